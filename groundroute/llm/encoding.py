@@ -7,14 +7,13 @@ has met; texts whose white space is less regular go to the tokenizer whole.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 
-#: White space other than single inner spaces and line breaks.
-IRREGULAR = re.compile("[^\\S \\n]|\u180e|\\s\\s|\\A\\s|\\s\\Z")
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
+#: New chunks that are encoded as one text, a line each.
+TOGETHER = 2_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -35,41 +34,57 @@ class Encoder:
         self.limit = limit
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        line = self.tokenizer.encode("a\na", add_special_tokens=False).ids
+        self.line = line[1] if len(line) == 3 else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _lines(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks (one leading space at most, no line break): many are encoded as the
+        lines of one text, which the id of a line break parts again."""
+        out: list[bytes] = []
+        packs = [chunks[k : k + TOGETHER] for k in range(0, len(chunks), TOGETHER)]
+        for pack, e in zip(packs, self.tokenizer.encode_batch_fast(["\n".join(p) for p in packs], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = np.flatnonzero(ids == self.line)
+            if self.line is None or len(ends) != len(pack) - 1:
+                out += self._ids(pack)
+                continue
+            raw, item = ids.tobytes(), self.dtype.itemsize
+            starts = [0, *((ends + 1) * item).tolist()]
+            out += [raw[x:y] for x, y in zip(starts, [*(ends * item).tolist(), len(raw)])]
+        return out
+
+    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
+        """lead: what stands before the chunk in its text; chunks of known that begin with a line break have it there."""
+        plain = sorted(c for c in new if c and c[0] != "\n" and "<|" not in c)
+        known.update(zip(plain, self._lines([lead + c for c in plain])))
+        odd = sorted(c for c in new if c not in known)
+        known.update(zip(odd, self._ids([c if c[:1] == "\n" else lead + c for c in odd])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
-        if len(self.inner) > self.limit:
-            self.inner.clear()
-        if len(self.first) > self.limit:
-            self.first.clear()
-        inner, first = self.inner, self.first
-        out: list[bytes | None] = [None] * len(texts)
-        whole, parts, heads, new = [], {}, set(), set()
+        for known in (self.inner, self.first):
+            if len(known) > self.limit:
+                known.clear()
+        out: list[bytes] = [b""] * len(texts)
+        whole, parts = [], []
         for n, text in enumerate(texts):
-            if IRREGULAR.search(text):
-                whole.append(n)
+            if not text:
                 continue
-            chunks = text.replace("\n", " \n").split(" ")
-            if chunks[0] not in first:
-                heads.add(chunks[0])
-            head, chunks = chunks[0], chunks[1:]
-            try:
-                rest = b"".join(map(inner.__getitem__, chunks))
-            except KeyError:
-                new.update(c for c in chunks if c not in inner)
-                rest = chunks
-            parts[n] = (head, rest)
-        if new:
-            new = sorted(new)
-            inner.update(zip(new, self._ids([c if c[0] == "\n" else " " + c for c in new])))
-        if heads:
-            heads = sorted(heads)
-            first.update(zip(heads, self._ids(heads)))
-        for n, (head, rest) in parts.items():
-            out[n] = first[head] + (rest if isinstance(rest, bytes) else b"".join(map(inner.__getitem__, rest)))
+            if "\u180e" in text or " ".join(text.split()) != text.replace("\n", " "):
+                whole.append(n)  # white space other than single inner spaces and line breaks
+            else:
+                head, *chunks = text.replace("\n", " \n").split(" ")
+                parts.append((n, head, chunks))
+        if new := set().union(*(chunks for _, _, chunks in parts)).difference(self.inner):
+            self._learn(self.inner, new, " ")
+        if new := {head for _, head, _ in parts}.difference(self.first):
+            self._learn(self.first, new, "")
+        get = self.inner.__getitem__
+        for n, head, chunks in parts:
+            out[n] = self.first[head] + b"".join(map(get, chunks))
         if whole:
             for n, ids in zip(whole, self._ids([texts[n] for n in whole])):
                 out[n] = ids

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from .contamination import OP10_SQL, op10_contaminated
+from .jaccard import op4_near_duplicates
+from .mixing import op5_mixed_sources
+from .neighbours import op3_nearest
+from .secrets import op2_secret_spans
 from .separators import op6_token_counts
+from .substrings import op9_repeats_removed
 from .token_files import op8_token_files
+from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op2_secret_spans": op2_secret_spans,
+    "op3_nearest": op3_nearest,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_mixed_sources": op5_mixed_sources,
     "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
+    "op9_repeats_removed": op9_repeats_removed,
+    "op10_contaminated": op10_contaminated,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_contaminated": OP10_SQL}

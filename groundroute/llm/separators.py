@@ -97,7 +97,8 @@ def token_counts(docs: DataFrame, out: str, vocab: str | None = None, block_byte
     """doc_id and n_tokens of every row of docs, counted by a scan of flat files under ``out``."""
     map_ = write_flat(docs, out, vocab)
     found = scan(map_.select("path", "item").distinct(), block_bytes=block_bytes)
-    return map_.join(found, ["path", "ordinal"]).select("doc_id", "n_tokens")
+    # file names compress so well that a size estimate of the map would suggest a broadcast
+    return map_.hint("merge").join(found, ["path", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
