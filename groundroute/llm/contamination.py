@@ -57,11 +57,12 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n
     """
     shingled = common.written(item_shingles(items, n), "item-shingles")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    hashed = texts.select("doc_id", F.explode(runs(words(F.col("text")), True, n)).alias("h"))
+    # the words are a column of their own: inside the lambda they would be split again for each run
+    hashed = texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(runs(F.col("w"), True, n)).alias("h"))
     sketch = common.small(sketches(shingled, threshold))
     pairs = common.written(hashed.join(sketch, "h").select("doc_id", "item_id").distinct(), "candidates")
     asked = common.small(pairs.select("doc_id").distinct())
-    exact = texts.join(asked, "doc_id", "left_semi").select("doc_id", F.explode(runs(words(F.col("text")), False, n)).alias("shingle"))
+    exact = texts.join(asked, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(runs(F.col("w"), False, n)).alias("shingle"))
     met = exact.join(common.small(shingled.select("item_id", "shingle", "size")), "shingle").groupBy("doc_id", "item_id", F.col("size").alias("n_shingles")).agg(F.count_distinct("shingle").alias("n_shared"))
     enough = met.where(F.col("n_shared") >= threshold * F.col("n_shingles") - 1e-9).join(pairs, ["doc_id", "item_id"], "left_semi")
     return enough.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
@@ -72,7 +73,7 @@ def op10_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shingles_sql(table: str, key: str) -> str:
-    words_ = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+    words_ = "[x for x in regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+') if x <> '']"
     return f"""select distinct {key}, array_to_string(w[i : i + 4], ' ') as shingle
     from (select {key}, w, unnest(range(1, len(w) - 3)) as i from (select {key}, {words_} as w from {table} where {key} is not null))"""
 
