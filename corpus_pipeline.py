@@ -1,17 +1,68 @@
-"""The corpus pipeline: documents through the training-data operators, stage by stage."""
+"""The corpus pipeline: documents through five of the training-data operators, stage by stage.
+
+run() applies the stages to the documents table; each stage's result is written as Parquet in
+the shared folder and read again as the next one's documents. All but the last return the
+columns of documents; the last returns the token files' contents, document by document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from groundroute.llm import common, contamination, jaccard, mixing, token_files, toxicity
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for those whose doc_id is in ids (column drop_id); a null doc_id stays."""
+    return docs.join(common.small(ids.distinct()), docs["doc_id"] == F.col("drop_id"), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go. The classifier learns from the labels of the rows it is given."""
+    found = toxicity.score(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+    return _without(docs, common.written(found.where("predicted = 1").select(F.col("doc_id").alias("drop_id")), "toxic-ids"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    found = jaccard.near_duplicates(docs)
+    return _without(docs, common.written(found.where("doc_id <> class_id or class_id is null and doc_id is not null").select(F.col("doc_id").alias("drop_id")), "near-ids"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = contamination.contained(docs, common.table(spark, sf_dir, "benchmark"))
+    return _without(docs, common.written(found.select(F.col("doc_id").alias("drop_id")).distinct(), "leak-ids"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: not at all, once or twice."""
+    taken = mixing.mix(docs).where("size > 0 and taken > 0").select(F.col("doc_id").alias("take_id"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    taken = common.small(common.written(taken.groupBy("take_id").agg(F.max("times").alias("times")), "taken"))
+    copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["take_id"])).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_files.read_token_files(token_files.write_token_files(docs, common.new_path(spark, "pipeline-tokens")))
+
 
-from groundroute.llm import common
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token files", write_tokens),
+]
 
-STAGES: list = []
+#: Byte-pair encoding, a fitted classifier and a drawn sample are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs

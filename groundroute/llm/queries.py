@@ -8,11 +8,13 @@ from .mixing import op5_mixed_sources
 from .neighbours import op3_nearest
 from .secrets import op2_secret_spans
 from .separators import op6_token_counts
+from .style_tree import op1_main_text
 from .substrings import op9_repeats_removed
 from .token_files import op8_token_files
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_secret_spans": op2_secret_spans,
     "op3_nearest": op3_nearest,
     "op4_near_duplicates": op4_near_duplicates,
