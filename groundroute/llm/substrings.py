@@ -3,7 +3,7 @@
 A first pass counts windows in count-min sketches, one a partition, which are merged by
 column block. A window is counted under its minimiser: the smallest hash of the ten-word
 runs in it, a value that equal windows share, so an estimate is never below the window's
-count while a sixth of the insertions do. A second pass groups exactly, by 128-bit hashes,
+count while a sixth of the insertions do. A second pass groups exactly, by 96-bit hashes,
 only windows whose estimate says "repeated"; each task first settles the windows that
 repeat among its own rows, so that a very common window costs one row a task.
 """
@@ -17,7 +17,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, files
@@ -31,6 +32,10 @@ FLUSH = 1_500_000
 ROW_SEED = np.uint64(0xD6E8FEB86659FD93)
 NO_ID = -(1 << 63)
 
+#: Text for each bucket of window hashes.
+BUCKET_BYTES = 8 << 20
+WINDOWS = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("start", "<i4"), ("doc", "<u4")])
+
 _hashes = WordHashes()
 
 
@@ -61,6 +66,44 @@ def _texts(batch):
         yield head, (text.as_py() or b"").split()
 
 
+def _pack(rows: np.ndarray, keys: np.ndarray, hashes: np.ndarray, hashed: bool) -> bytes:
+    """Rows by column, with the documents they are of, compressed. hashed: with the windows' hashes."""
+    used, doc = np.unique(rows["doc"], return_inverse=True)
+    columns_ = [keys[used], hashes[used], doc.astype("<u4"), rows["start"], *((rows["h1"], rows["h2"]) if hashed else ())]
+    return np.array([len(used), len(rows)], dtype="<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns_))
+
+
+def _unpack(parts: list[bytes], hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows, keys, hashes of packed parts together."""
+    rows, keys, hashes, base = [], [], [], 0
+    for part in parts:
+        n_docs, n = np.frombuffer(part, dtype="<i8", count=2).tolist()
+        plain, at = zstandard.ZstdDecompressor().decompress(part[16:]), 0
+        got = []
+        for kind, count in (("<i8", n_docs), ("<i8", n_docs), ("<u4", n), ("<i4", n), *((("<u8", n), ("<u4", n)) if hashed else ())):
+            got.append(np.frombuffer(plain, dtype=kind, count=count, offset=at))
+            at += got[-1].nbytes
+        own = np.zeros(n, dtype=WINDOWS)
+        own["doc"], own["start"] = got[2] + np.uint32(base), got[3]
+        if hashed:
+            own["h1"], own["h2"] = got[4], got[5]
+        rows.append(own)
+        keys.append(got[0])
+        hashes.append(got[1])
+        base += n_docs
+    return np.concatenate([*rows, np.empty(0, dtype=WINDOWS)]), np.concatenate([*keys, np.empty(0, dtype=np.int64)]), np.concatenate([*hashes, np.empty(0, dtype=np.int64)])
+
+
+def _firsts(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by window, document and start; where a window's rows begin; which rows begin later than its first."""
+    key = keys[rows["doc"]]
+    order = np.lexsort((rows["start"], key, rows["h2"], rows["h1"]))
+    rows, key = rows[order], key[order]
+    new = np.r_[True, (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1])][: len(rows)]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    return rows, new, (key != key[first]) | (rows["start"] != rows["start"][first])
+
+
 def sketch(docs: DataFrame, bits: int, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """Merged sketch of docs (text as bytes in the last column): row, block, bits (columns counted twice or more)."""
 
@@ -118,28 +161,27 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
     bits = max(16, (min(max_columns, max(2, size // 9)) - 1).bit_length())
     merged = common.new_path(spark, "sketch")
     sketch(docs, bits, window, run).write.parquet(merged)
-    found = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("starts", pa.binary())])
+    # a bucket of hashes stays small even if every window were estimated repeated
+    buckets = max(common.width(spark), size // BUCKET_BYTES + 1)
+    found = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("rows", pa.binary())])
 
     def candidates(batches):
         seen = load_sketch(merged, bits)
-        held, size = [], 0
+        held, of, size, turn = [], [], 0, 0
 
         def settle():
-            key, hash_, h1, h2, start = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((start, key, h2, h1))
-            key, hash_, h1, h2, start = (x[order] for x in (key, hash_, h1, h2, start))
-            new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            later = np.flatnonzero((key != key[first]) | (start != start[first]))
-            n = int(new.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(hash_[new]), pa.array(h1[new].view(np.int64)), pa.array(h2[new].view(np.int64)), pa.array(start[new]), pa.nulls(n, pa.binary())], schema=found)
-            later = later[np.lexsort((start[later], hash_[later], key[later]))]
-            if len(later):
-                k, h, s = key[later], hash_[later], start[later].astype("<i4")
-                cuts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
-                ends = np.r_[cuts[1:], len(k)]
-                m = len(cuts)
-                yield pa.RecordBatch.from_arrays([pa.array(k[cuts]), pa.array(h[cuts]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array([s[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], schema=found)
+            """Sends the first of equal windows here to their hash's bucket; later ones are known to repeat."""
+            nonlocal turn
+            keys, hashes = np.array(of, dtype=np.int64).reshape(-1, 2).T
+            rows, new, later = _firsts(np.concatenate(held), keys)
+            heads = rows[new]
+            bucket = (heads["h1"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            heads, bucket = heads[order], bucket[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            parts = [_pack(heads[x:y], keys, hashes, True) for x, y in zip(cuts, np.r_[cuts[1:], len(heads)])]
+            turn += 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[bucket[cuts], turn % buckets]), pa.array([False] * len(cuts) + [True]), pa.array([*parts, _pack(rows[later], keys, hashes, False)], pa.binary())], schema=found)
 
         for batch in batches:
             for (key, hash_), words in _texts(batch):
@@ -150,24 +192,34 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
                 a, b = columns(low, bits)
                 hit = np.flatnonzero((seen[0][a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (seen[1][b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1)
                 if len(hit):
-                    held.append((np.full(len(hit), key), np.full(len(hit), hash_), rolling(h, window)[hit], rolling(h, window, M2)[hit], hit.astype(np.int32)))
+                    rows = np.empty(len(hit), dtype=WINDOWS)
+                    rows["h1"], rows["h2"], rows["start"], rows["doc"] = rolling(h, window)[hit], rolling(h, window, M2)[hit] >> np.uint64(32), hit, len(of)
+                    of.append((key, hash_))
+                    held.append(rows)
                     size += len(hit)
                 if size >= FLUSH:
                     yield from settle()
-                    held, size = [], 0
+                    held, of, size = [], [], 0
         if held:
             yield from settle()
 
-    rows = common.written(docs.mapInArrow(candidates, "key long, hash long, h1 long, h2 long, start int, starts binary"), "windows")
-    open_ = rows.where("start is not null").select("key", "hash", "h1", "h2", "start")
-    place = F.struct("key", "start")
-    later = open_.withColumn("first", F.min(place).over(Window.partitionBy("h1", "h2"))).where(place > F.col("first"))
-
-    def pack(starts: pd.Series) -> bytes:
-        return starts.to_numpy(dtype="<i4").tobytes()
-
-    packed = later.groupBy("key", "hash").agg(F.pandas_udf(pack, "binary")("start").alias("starts"))
-    return packed.unionByName(rows.where("starts is not null").select("key", "hash", "starts"))
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if (settled := pdf["settled"].to_numpy(dtype=bool)).any():
+            out.append(_unpack(list(pdf["rows"][settled]), False))
+        if not settled.all():
+            rows, keys, hashes = _unpack(list(pdf["rows"][~settled]), True)
+            rows, _, later = _firsts(rows, keys)
+            out.append((rows[later], keys, hashes))
+        key = np.concatenate([k[r["doc"]] for r, k, _ in out])
+        hash_ = np.concatenate([h[r["doc"]] for r, _, h in out])
+        start = np.concatenate([r["start"] for r, _, _ in out])
+        order = np.lexsort((start, hash_, key))
+        key, hash_, start = key[order], hash_[order], start[order]
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (hash_[1:] != hash_[:-1])][: len(key)])
+        return pd.DataFrame({"key": key[cuts], "hash": hash_[cuts], "starts": [start[x:y].tobytes() for x, y in zip(cuts, np.r_[cuts[1:], len(key)])]})
+
+    return docs.mapInArrow(candidates, "bucket long, settled boolean, rows binary").groupBy("bucket").applyInPandas(group, "key long, hash long, starts binary")
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
