@@ -10,10 +10,14 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_CHUNKS = 700_000
 #: New chunks that are encoded as one text, a line each.
 TOGETHER = 2_000
+#: Punctuation that is split off a word before it is encoded.
+PUNCTUATION = ".,;:!?*%&$#"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -34,6 +38,7 @@ class Encoder:
         self.limit = limit
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.tail: dict[str, bytes] = {}
         line = self.tokenizer.encode("a\na", add_special_tokens=False).ids
         self.line = line[1] if len(line) == 3 else None
 
@@ -56,35 +61,63 @@ class Encoder:
             out += [raw[x:y] for x, y in zip(starts, [*(ends * item).tolist(), len(raw)])]
         return out
 
-    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        """lead: what stands before the chunk in its text; chunks of known that begin with a line break have it there."""
-        plain = sorted(c for c in new if c and c[0] != "\n" and "<|" not in c)
-        known.update(zip(plain, self._lines([lead + c for c in plain])))
-        odd = sorted(c for c in new if c not in known)
+    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
+        """lead: what stands before a chunk in its text; chunks that begin with a line break have it there."""
+        plain, tails = [], []
+        for c in new:
+            if c and c[0] != "\n" and "<|" not in c:
+                # letters end where punctuation begins, so both are encoded alone
+                head = c.rstrip(PUNCTUATION)
+                if head != c and head.isalpha():
+                    tails.append((c, head, c[len(head) :]))
+                else:
+                    plain.append(c)
+        wanted = dict.fromkeys(plain)
+        wanted.update((head, None) for _, head, _ in tails if head not in known)
+        known.update(zip(wanted, self._lines([lead + c for c in wanted])))
+        for c, head, tail in tails:
+            if tail not in self.tail:
+                self.tail[tail] = self._ids([tail])[0]
+            known[c] = known[head] + self.tail[tail]
+        odd = [c for c in new if c not in known]
         known.update(zip(odd, self._ids([c if c[:1] == "\n" else lead + c for c in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
-        for known in (self.inner, self.first):
+        for known in (self.inner, self.first, self.tail):
             if len(known) > self.limit:
                 known.clear()
         out: list[bytes] = [b""] * len(texts)
-        whole, parts = [], []
+        whole, regular = [], []
         for n, text in enumerate(texts):
             if not text:
                 continue
             if "\u180e" in text or " ".join(text.split()) != text.replace("\n", " "):
                 whole.append(n)  # white space other than single inner spaces and line breaks
             else:
-                head, *chunks = text.replace("\n", " \n").split(" ")
-                parts.append((n, head, chunks))
-        if new := set().union(*(chunks for _, _, chunks in parts)).difference(self.inner):
-            self._learn(self.inner, new, " ")
-        if new := {head for _, head, _ in parts}.difference(self.first):
-            self._learn(self.first, new, "")
-        get = self.inner.__getitem__
-        for n, head, chunks in parts:
-            out[n] = self.first[head] + b"".join(map(get, chunks))
+                regular.append(n)
+        if regular:
+            chunks = pc.split_pattern(pc.replace_substring(pa.array([texts[n] for n in regular]), "\n", " \n"), " ")
+            at = chunks.offsets.to_numpy()
+            coded = chunks.flatten().dictionary_encode()
+            place, heads = coded.indices.to_numpy().astype(np.int64), at[:-1]
+            names = coded.dictionary.to_pylist()
+            first = [names[k] for k in place[heads]]
+            if new := [c for c in names if c not in self.inner]:
+                self._learn(self.inner, new, " ")
+            if new := [c for c in dict.fromkeys(first) if c not in self.first]:
+                self._learn(self.first, new, "")
+            place[heads] = np.arange(len(names), len(names) + len(first))
+            parts = [*map(self.inner.__getitem__, names), *map(self.first.__getitem__, first)]
+            pool, item = np.frombuffer(b"".join(parts), dtype=self.dtype), self.dtype.itemsize
+            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // item
+            starts = np.cumsum(sizes) - sizes
+            n_ids = sizes[place]
+            ends = np.cumsum(n_ids)
+            ids = pool[np.repeat(starts[place] - (ends - n_ids), n_ids) + np.arange(int(ends[-1]))].tobytes()
+            cuts = (np.r_[0, ends][at] * item).tolist()
+            for n, x, y in zip(regular, cuts, cuts[1:]):
+                out[n] = ids[x:y]
         if whole:
             for n, ids in zip(whole, self._ids([texts[n] for n in whole])):
                 out[n] = ids
@@ -100,7 +133,7 @@ def encoder(path: str, plain_specials: bool = False) -> Encoder:
     return Encoder(path, plain_specials)
 
 
-def slices(batch, characters: int = 4_000_000):
+def slices(batch, characters: int = 8_000_000):
     """Runs of rows of an Arrow batch (doc_id, text, …) of about so many characters: (doc ids, texts)."""
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
