@@ -34,7 +34,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs of 24 or more; a shorter run is a match that fails.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+#: A wrapped run: lines of one length, then a shorter one.
+NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/]+={0,2})")
 HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{48,}|[0-9A-F]{48,})(?![0-9A-Za-z])")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: Algorithm names of signed tokens, and names of length-prefixed public keys.
@@ -141,17 +143,19 @@ def signed_header(header: str, payload: str, signature: str) -> str | None:
 def _candidates(text: str) -> Iterator[tuple[int, int, str | None]]:
     for m in SIGNED.finditer(text):
         yield m.start(), m.end(), signed_header(*m.groups())
-    for m in BASE64_RUN.finditer(text):
-        data = _decode64(m[0])
-        kind = data and (der_key(data) or prefixed_key(data))
-        if not kind and "\n" in m[0]:  # words on the next line may have joined the run
-            at = m.start()
-            for line in m[0].split("\n"):
-                data = _decode64(line)
-                yield at, at + len(line.rstrip("\r")), data and (der_key(data) or prefixed_key(data))
-                at += len(line) + 1
-        else:
-            yield m.start(), m.end(), kind
+    at = 0
+    while m := BASE64_RUN.search(text, at):
+        ends, width, more = [m.end()], len(m[0]), NEXT_LINE.match(text, m.end())
+        while more and len(more[1]) <= width:
+            ends.append(more.end())
+            more = NEXT_LINE.match(text, more.end()) if len(more[1]) == width else None
+        at = ends[0]
+        for end in dict.fromkeys((ends[-1], ends[-2] if len(ends) > 1 else ends[0], ends[0])):
+            data = _decode64(text[m.start() : end])
+            if kind := data and (der_key(data) or prefixed_key(data)):
+                yield m.start(), end, kind
+                at = end
+                break
     for m in HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])
