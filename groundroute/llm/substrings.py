@@ -28,15 +28,15 @@ WINDOW, RUN = 20, 10
 #: Sketch columns in a block, and the most columns in a row of the sketch (its memory bound: 2 x 128 MB as bits).
 BLOCK, MAX_COLUMNS = 1 << 16, 1 << 30
 #: Windows that a task settles at a time.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 ROW_SEED = np.uint64(0xD6E8FEB86659FD93)
 NO_ID = -(1 << 63)
 
 #: Text for each bucket of window hashes.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 48 << 20
 WINDOWS = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("start", "<i4"), ("doc", "<u4")])
 
-_hashes = WordHashes()
+_hashes = WordHashes(500_000)
 
 
 def anchors(h: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
