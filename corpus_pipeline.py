@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates the document with the smallest doc_id stays; rows that repeat
+    that doc_id are the same document, and stay or go together."""
     found = jaccard.near_duplicates(docs)
     return _without(docs, common.written(found.where("doc_id <> class_id or class_id is null and doc_id is not null").select(F.col("doc_id").alias("drop_id")), "near-ids"))
 
