@@ -7,6 +7,7 @@ from .jaccard import op4_near_duplicates
 from .mixing import op5_mixed_sources
 from .neighbours import op3_nearest
 from .secrets import op2_secret_spans
+from .sql import OP4_SQL, OP9_SQL
 from .separators import op6_token_counts
 from .style_tree import op1_main_text
 from .substrings import op9_repeats_removed
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_contaminated": op10_contaminated,
 }
 
-ORACLE_SQL = {"op10_contaminated": OP10_SQL}
+ORACLE_SQL = {"op4_near_duplicates": OP4_SQL, "op9_repeats_removed": OP9_SQL, "op10_contaminated": OP10_SQL}
