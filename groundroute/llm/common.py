@@ -45,5 +45,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def long_texts(spark: SparkSession) -> None:
+    """Sends rows of texts to Python 1,000 at a time where the session has the default of 10,000:
+    workers and the JVM's Arrow buffers then hold a few MB of text, not tens."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

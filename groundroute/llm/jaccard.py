@@ -178,6 +178,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     and no link: each is its own class. Rows that share a doc_id count each, as copies or not
     by their texts. A null doc_id comes before all others. No rows give no rows."""
     spark = docs.sparkSession
+    common.long_texts(spark)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary").alias("text"))
     sigs = common.written(signatures(keyed), "signatures")
     # a node is a shingle set: its first document's key can stand for several texts if ids repeat, its hash can't

@@ -179,6 +179,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     SHA-256 of their spans, all spans (base ones first at equal starts), and how many the structural check
     added. Null or empty text: no spans. Repeated rows give repeated results. No shuffle."""
 
+    common.long_texts(docs.sparkSession)
+
     def rows(batches):
         for batch in batches:
             for ids, texts in slices(batch):

@@ -26,6 +26,7 @@ def write_flat(docs: DataFrame, out: str, vocab: str | None = None, end_id: int
     """Writes one flat file of 2- or 4-byte ids for each input partition, every document
     followed by end_id. Returns a written table (path, ordinal, doc_id, item) of what went
     where; the files themselves hold ids only. Null text: empty."""
+    common.long_texts(docs.sparkSession)
     path = vocab or vocabulary()
 
     def write(batches):

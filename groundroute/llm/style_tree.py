@@ -295,6 +295,7 @@ def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     line break element is white space. Where a page has an article or main element, the text is what lies
     inside; else the whole body counts. Null or empty html gives an empty text; a null url has the host ''; repeated
     rows give repeated results; no rows give no rows."""
+    common.long_texts(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)))
     noise = common.written(site_noise(rows.withColumn("row", F.xxhash64("page_id", "url")), least), "site-noise")

@@ -28,7 +28,7 @@ WINDOW, RUN = 20, 10
 #: Sketch columns in a block, and the most columns in a row of the sketch (its memory bound: 2 x 128 MB as bits).
 BLOCK, MAX_COLUMNS = 1 << 16, 1 << 30
 #: Windows that a task settles at a time.
-FLUSH = 1_000_000
+FLUSH = 500_000
 ROW_SEED = np.uint64(0xD6E8FEB86659FD93)
 NO_ID = -(1 << 63)
 
@@ -36,7 +36,7 @@ NO_ID = -(1 << 63)
 BUCKET_BYTES = 48 << 20
 WINDOWS = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("start", "<i4"), ("doc", "<u4")])
 
-_hashes = WordHashes(500_000)
+_hashes = WordHashes()
 
 
 def anchors(h: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,6 +230,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, keep_t
     and, if asked for, the kept text (words joined by one space). Words are runs of other than
     ASCII white space. A null text has no words; a null doc_id comes before all others; rows with the same
     doc_id and text are one document met twice, so neither is earlier than the other."""
+    common.long_texts(docs.sparkSession)
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )

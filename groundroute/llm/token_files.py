@@ -125,6 +125,7 @@ def write_token_files(docs: DataFrame, out: str, vocab: str | None = None, end_i
     share a doc_id are all written, by text. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
+    common.long_texts(spark)
     path = vocab or vocabulary()
 
     def write(batches):

@@ -143,7 +143,7 @@ class Scorer:
         for w in set(TOKEN.findall(text.lower())):
             hit = known.get(w)
             if hit is None:
-                if len(known) > 1_000_000:
+                if len(known) > 200_000:
                     known.clear()
                 hit = known[w] = tuple(f for f in features(w) if f in weights)
             if hit:
@@ -159,6 +159,7 @@ def _scorer(path_key: str, weights: tuple, bias: float) -> Scorer:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Every row of docs (doc_id, text; others ignored): doc_id, held_out, score, predicted. Null text
     scores as empty, and null ids are not held out; repeated rows repeat. No shuffle."""
+    common.long_texts(docs.sparkSession)
     # a model is at most a few thousand weights
     sent = docs.sparkSession.sparkContext.broadcast((tuple(sorted(model.weights.items())), model.bias))
 

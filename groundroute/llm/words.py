@@ -12,7 +12,7 @@ M1, M2, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.u
 class WordHashes(dict):
     """Hash of each word (bytes); emptied when it has grown to ``limit`` words."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
