@@ -1,7 +1,7 @@
 """Text to token ids with a public vocabulary file, at the speed of a dictionary.
 
 Byte-level BPE splits a text at white space before it merges, so a chunk from one single
-space or line break to the next is encoded alone. Each worker keeps the ids of the chunks it
+space or line break to the next is encoded alone. Each worker keeps the ids of the words it
 has met; texts whose white space is less regular go to the tokenizer whole.
 """
 
@@ -14,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHE_CHUNKS = 700_000
-#: New chunks that are encoded as one text, a line each.
-TOGETHER = 2_000
+#: New words that are encoded as one text, a line each.
+TOGETHER = 100
 #: Punctuation that is split off a word before it is encoded.
 PUNCTUATION = ".,;:!?*%&$#"
 
@@ -36,17 +36,17 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.limit = limit
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}
         line = self.tokenizer.encode("a\na", add_special_tokens=False).ids
         self.line = line[1] if len(line) == 3 else None
+        self.newline = np.array([self.line or 0], dtype=self.dtype).tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _lines(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks (one leading space at most, no line break): many are encoded as the
+        """The ids of words (one leading space at most, no line break): many are encoded as the
         lines of one text, which the id of a line break parts again."""
         out: list[bytes] = []
         packs = [chunks[k : k + TOGETHER] for k in range(0, len(chunks), TOGETHER)]
@@ -61,69 +61,79 @@ class Encoder:
             out += [raw[x:y] for x, y in zip(starts, [*(ends * item).tolist(), len(raw)])]
         return out
 
-    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        """lead: what stands before a chunk in its text; chunks that begin with a line break have it there."""
-        plain, tails = [], []
-        for c in new:
-            if c and c[0] != "\n" and "<|" not in c:
-                # letters end where punctuation begins, so both are encoded alone
-                head = c.rstrip(PUNCTUATION)
-                if head != c and head.isalpha():
-                    tails.append((c, head, c[len(head) :]))
-                else:
-                    plain.append(c)
-        wanted = dict.fromkeys(plain)
-        wanted.update((head, None) for _, head, _ in tails if head not in known)
-        known.update(zip(wanted, self._lines([lead + c for c in wanted])))
-        for c, head, tail in tails:
-            if tail not in self.tail:
-                self.tail[tail] = self._ids([tail])[0]
-            known[c] = known[head] + self.tail[tail]
-        odd = [c for c in new if c not in known]
-        known.update(zip(odd, self._ids([c if c[:1] == "\n" else lead + c for c in odd])))
+    def _learn(self, new: list[str]) -> None:
+        """new: words, with the space that stands before them, if one does."""
+        plain = [w for w in new if "<|" not in w]
+        self.known.update(zip(plain, self._lines(plain)))
+        if len(plain) < len(new):
+            odd = [w for w in new if "<|" in w]
+            self.known.update(zip(odd, self._ids(odd)))
+
+    def _pieces(self, names: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Of distinct chunks: the ids of the pieces they are made of, and the numbers of each chunk's
+        three pieces. Letters end where punctuation begins, so a word and its closing punctuation
+        are encoded alone; a line break is a piece of its own too."""
+        bare = pc.starts_with(names, "\n")
+        body = pc.utf8_ltrim(names, "\n")
+        word = pc.utf8_rtrim(body, PUNCTUATION)
+        word = pc.if_else(pc.utf8_is_alpha(word), word, body)
+        coded = pc.binary_join_element_wise(pc.if_else(bare, "", " "), word, "").dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        n_tail = pc.subtract(pc.binary_length(body), pc.binary_length(word)).to_numpy()
+        tailed = np.flatnonzero(n_tail)
+        ends = [c[-n:] for c, n in zip(body.take(pa.array(tailed)).to_numpy(zero_copy_only=False).tolist(), n_tail[tailed].tolist())]
+        tails = {t: k for k, t in enumerate(dict.fromkeys(ends))}
+        for t in tails:
+            if t not in self.tail:
+                self.tail[t] = self._ids([t])[0]
+        parts = [b"", self.newline, *map(self.known.__getitem__, words), *map(self.tail.__getitem__, tails)]
+        place = np.zeros((len(names), 3), dtype=np.int64)
+        place[:, 0] = bare.to_numpy(zero_copy_only=False)
+        place[:, 1] = coded.indices.to_numpy() + 2
+        place[tailed, 2] = np.fromiter(map(tails.__getitem__, ends), dtype=np.int64, count=len(ends)) + 2 + len(words)
+        return parts, place
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
-        for known in (self.inner, self.first, self.tail):
+        for known in (self.known, self.tail):
             if len(known) > self.limit:
                 known.clear()
         out: list[bytes] = [b""] * len(texts)
-        whole, regular = [], []
+        whole, regular, lines = [], [], []
         for n, text in enumerate(texts):
             if not text:
                 continue
-            if "\u180e" in text or " ".join(text.split()) != text.replace("\n", " "):
+            if self.line is None or "\u180e" in text or " ".join(text.split()) != text.replace("\n", " "):
                 whole.append(n)  # white space other than single inner spaces and line breaks
             else:
                 regular.append(n)
+                lines.append("\n" + text.replace("\n", " \n"))  # the first word begins a line
         if regular:
-            chunks = pc.split_pattern(pc.replace_substring(pa.array([texts[n] for n in regular]), "\n", " \n"), " ")
-            at = chunks.offsets.to_numpy()
-            coded = chunks.flatten().dictionary_encode()
-            place, heads = coded.indices.to_numpy().astype(np.int64), at[:-1]
-            names = coded.dictionary.to_pylist()
-            first = [names[k] for k in place[heads]]
-            if new := [c for c in names if c not in self.inner]:
-                self._learn(self.inner, new, " ")
-            if new := [c for c in dict.fromkeys(first) if c not in self.first]:
-                self._learn(self.first, new, "")
-            place[heads] = np.arange(len(names), len(names) + len(first))
-            parts = [*map(self.inner.__getitem__, names), *map(self.first.__getitem__, first)]
-            pool, item = np.frombuffer(b"".join(parts), dtype=self.dtype), self.dtype.itemsize
-            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // item
-            starts = np.cumsum(sizes) - sizes
-            n_ids = sizes[place]
-            ends = np.cumsum(n_ids)
-            ids = pool[np.repeat(starts[place] - (ends - n_ids), n_ids) + np.arange(int(ends[-1]))].tobytes()
+            chunks = pc.split_pattern(pa.array(lines), " ")
+            at, coded = chunks.offsets.to_numpy(), chunks.flatten().dictionary_encode()
+            parts, place = self._pieces(coded.dictionary)
+            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.dtype.itemsize
+            pool, ends = _gather(np.frombuffer(b"".join(parts), dtype=self.dtype), sizes, place.ravel())
+            ids, ends = _gather(pool, np.diff(ends[2::3], prepend=0), coded.indices.to_numpy())
+            raw, item = ids.tobytes(), self.dtype.itemsize
             cuts = (np.r_[0, ends][at] * item).tolist()
             for n, x, y in zip(regular, cuts, cuts[1:]):
-                out[n] = ids[x:y]
+                out[n] = raw[x + item : y]
         if whole:
             for n, ids in zip(whole, self._ids([texts[n] for n in whole])):
                 out[n] = ids
         return out
 
 
+def _gather(pool: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pool (of the given sizes, one after another) in the order of place, and where each ends."""
+    n = sizes[place]
+    ends = np.cumsum(n)
+    return pool[np.repeat((np.cumsum(sizes) - sizes)[place] - (ends - n), n) + np.arange(int(ends[-1]))], ends
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """One for each worker process, so that its cache lasts over tasks."""
