@@ -155,7 +155,7 @@ def load_sketch(uri: str, bits: int) -> list[np.ndarray]:
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_columns: int = MAX_COLUMNS) -> DataFrame:
     """Of docs (key, hash, words as bytes): key, hash, starts (binary int32): where windows begin
-    that also begin earlier (smaller key, or same key and smaller start). Several rows a document."""
+    that also begin earlier (smaller key, or same key and smaller start). One row a document."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(16, (min(max_columns, max(2, size // 9)) - 1).bit_length())
@@ -163,6 +163,8 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
     sketch(docs, bits, window, run).write.parquet(merged)
     # a bucket of hashes stays small even if every window were estimated repeated
     buckets = max(common.width(spark), size // BUCKET_BYTES + 1)
+    # documents are dealt by hash into ranges of a third of that, as all their windows may come back
+    ranges = max(common.width(spark), 3 * size // BUCKET_BYTES + 1)
     found = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("rows", pa.binary())])
 
     def candidates(batches):
@@ -204,22 +206,33 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
             yield from settle()
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if (settled := pdf["settled"].to_numpy(dtype=bool)).any():
-            out.append(_unpack(list(pdf["rows"][settled]), False))
-        if not settled.all():
-            rows, keys, hashes = _unpack(list(pdf["rows"][~settled]), True)
-            rows, _, later = _firsts(rows, keys)
-            out.append((rows[later], keys, hashes))
-        key = np.concatenate([k[r["doc"]] for r, k, _ in out])
-        hash_ = np.concatenate([h[r["doc"]] for r, _, h in out])
-        start = np.concatenate([r["start"] for r, _, _ in out])
+        """Of a bucket's windows those that begin later than their first, packed for each document range."""
+        out, settled = [], pdf["settled"].to_numpy(dtype=bool)
+        for part, hashed in ((pdf["rows"][settled], False), (pdf["rows"][~settled], True)):
+            if not len(part):
+                continue
+            rows, keys, hashes = _unpack(list(part), hashed)
+            if hashed:
+                rows, _, later = _firsts(rows, keys)
+                rows = rows[later]
+            range_ = ((hashes.view(np.uint64) * M2 >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)[rows["doc"]]
+            order = np.argsort(range_, kind="stable")
+            rows, range_ = rows[order], range_[order]
+            cuts = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]][: len(rows)])
+            out += [(range_[x], _pack(rows[x:y], keys, hashes, False)) for x, y in zip(cuts, np.r_[cuts[1:], len(rows)])]
+        return pd.DataFrame({"range": [r for r, _ in out], "rows": [p for _, p in out]})
+
+    def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A range's packed windows by document."""
+        rows, keys, hashes = _unpack(list(pdf["rows"]), False)
+        key, hash_, start = keys[rows["doc"]], hashes[rows["doc"]], rows["start"]
         order = np.lexsort((start, hash_, key))
         key, hash_, start = key[order], hash_[order], start[order]
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (hash_[1:] != hash_[:-1])][: len(key)])
         return pd.DataFrame({"key": key[cuts], "hash": hash_[cuts], "starts": [start[x:y].tobytes() for x, y in zip(cuts, np.r_[cuts[1:], len(key)])]})
 
-    return docs.mapInArrow(candidates, "bucket long, settled boolean, rows binary").groupBy("bucket").applyInPandas(group, "key long, hash long, starts binary")
+    packed = docs.mapInArrow(candidates, "bucket long, settled boolean, rows binary").groupBy("bucket").applyInPandas(group, "range long, rows binary")
+    return packed.groupBy("range").applyInPandas(by_document, "key long, hash long, starts binary")
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -234,16 +247,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, keep_t
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
-    starts = repeated_starts(keyed, window, run).groupBy("key", "hash").agg(F.collect_list("starts").alias("starts"))
+    starts = repeated_starts(keyed, window, run)
     schema = KEPT + (", text string" if keep_text else "")
 
     def keep(batches):
         for batch in batches:
             out = []
-            for key, parts, words in ((head[0], head[1], words) for head, words in _texts(batch)):
+            for (key, starts_), words in _texts(batch):
                 kept, n = words, 0
-                if parts:
-                    at = np.concatenate([np.frombuffer(x, dtype="<i4") for x in parts])
+                if starts_:
+                    at = np.frombuffer(starts_, dtype="<i4")
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
