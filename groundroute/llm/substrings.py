@@ -104,6 +104,12 @@ def _firsts(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return rows, new, (key != key[first]) | (rows["start"] != rows["start"][first])
 
 
+def ranges_of(keys: np.ndarray, hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each document, so that neither copies of a text nor rows of a key share one."""
+    mixed = (keys.view(np.uint64) * ROW_SEED ^ hashes.view(np.uint64)) * M2
+    return (((mixed ^ mixed >> np.uint64(29)) * ROW_SEED >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+
+
 def sketch(docs: DataFrame, bits: int, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """Merged sketch of docs (text as bytes in the last column): row, block, bits (columns counted twice or more)."""
 
@@ -163,7 +169,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
     sketch(docs, bits, window, run).write.parquet(merged)
     # a bucket of hashes stays small even if every window were estimated repeated
     buckets = max(common.width(spark), size // BUCKET_BYTES + 1)
-    # documents are dealt by hash into ranges of a third of that, as all their windows may come back
+    # documents are dealt by key and hash (copies of a text share the hash alone) into ranges of a third of that, as all their windows may come back
     ranges = max(common.width(spark), 3 * size // BUCKET_BYTES + 1)
     found = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("rows", pa.binary())])
 
@@ -215,7 +221,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
             if hashed:
                 rows, _, later = _firsts(rows, keys)
                 rows = rows[later]
-            range_ = ((hashes.view(np.uint64) * M2 >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)[rows["doc"]]
+            range_ = ranges_of(keys, hashes, ranges)[rows["doc"]]
             order = np.argsort(range_, kind="stable")
             rows, range_ = rows[order], range_[order]
             cuts = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]][: len(rows)])

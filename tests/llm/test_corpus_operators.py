@@ -120,6 +120,13 @@ def test_repeated_windows_equal_brute_force(docs, rows, flush, monkeypatch):
     assert sorted(got) == sorted(wanted)
 
 
+def test_copies_of_a_text_spread_over_ranges():
+    keys, hashes = np.arange(6400, dtype=np.int64), np.full(6400, -7, dtype=np.int64)
+    for k, h in ((keys, hashes), (hashes, keys)):
+        counts = np.bincount(substrings.ranges_of(k, h, 64), minlength=64)
+        assert counts.min() > 50 and counts.max() < 200
+
+
 def test_containment_equals_sql_and_edges(spark, docs, rows):
     long_text = max((r[1] for r in rows if r[1]), key=len).split()
     items = spark.createDataFrame([(1, " ".join(next(r[1] for r in rows if r[1] and len(r[1].split()) == 200).split()[50:80]), "x"), (2, None, "x"), (3, "too short", "x"), (4, "  ", "x"), (None, "a b c d e f", "x"), (5, " ".join(long_text[:40]), "x"), (1, None, "x")], "item_id long, text string, doc_id string")
