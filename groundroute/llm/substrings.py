@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +111,24 @@ def ranges_of(keys: np.ndarray, hashes: np.ndarray, ranges: int) -> np.ndarray:
     return (((mixed ^ mixed >> np.uint64(29)) * ROW_SEED >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
 
 
+def first_turn(partition: int, buckets: int) -> int:
+    """The bucket of a task's first settled windows: tasks begin all over the buckets, not at the same one."""
+    return ((partition + 1) * int(M2) * int(ROW_SEED) % (1 << 64) >> 32) % buckets
+
+
+def in_turn(parts: list[bytes], most: int) -> list[list[bytes]]:
+    """Packed parts in order, as many at a time as have together no more than most rows (or one that has more)."""
+    out, size = [], 0
+    for part in parts:
+        n = int(np.frombuffer(part, dtype="<i8", count=2)[1])
+        if not out or size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(part)
+        size += n
+    return out
+
+
 def sketch(docs: DataFrame, bits: int, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """Merged sketch of docs (text as bytes in the last column): row, block, bits (columns counted twice or more)."""
 
@@ -175,7 +194,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
 
     def candidates(batches):
         seen = load_sketch(merged, bits)
-        held, of, size, turn = [], [], 0, 0
+        held, of, size, turn = [], [], 0, first_turn(TaskContext.get().partitionId(), buckets)
 
         def settle():
             """Sends the first of equal windows here to their hash's bucket; later ones are known to repeat."""
@@ -214,10 +233,11 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of a bucket's windows those that begin later than their first, packed for each document range."""
         out, settled = [], pdf["settled"].to_numpy(dtype=bool)
-        for part, hashed in ((pdf["rows"][settled], False), (pdf["rows"][~settled], True)):
-            if not len(part):
+        # settled windows need no others of their bucket: a few flushes at a time are unpacked
+        for part, hashed in (*((p, False) for p in in_turn(list(pdf["rows"][settled]), 4 * FLUSH)), (list(pdf["rows"][~settled]), True)):
+            if not part:
                 continue
-            rows, keys, hashes = _unpack(list(part), hashed)
+            rows, keys, hashes = _unpack(part, hashed)
             if hashed:
                 rows, _, later = _firsts(rows, keys)
                 rows = rows[later]

@@ -127,6 +127,14 @@ def test_copies_of_a_text_spread_over_ranges():
         assert counts.min() > 50 and counts.max() < 200
 
 
+def test_settled_windows_of_tasks_spread_over_buckets():
+    begun = [substrings.first_turn(k, 64) for k in range(640)]
+    counts = np.bincount(begun, minlength=64)
+    assert len(counts) == 64 and counts.min() > 0 and counts.max() < 40
+    parts = [np.array([1, n], dtype="<i8").tobytes() for n in (4, 4, 9, 1, 1)]
+    assert substrings.in_turn(parts, 8) == [parts[:2], parts[2:3], parts[3:]]
+
+
 def test_containment_equals_sql_and_edges(spark, docs, rows):
     long_text = max((r[1] for r in rows if r[1]), key=len).split()
     items = spark.createDataFrame([(1, " ".join(next(r[1] for r in rows if r[1] and len(r[1].split()) == 200).split()[50:80]), "x"), (2, None, "x"), (3, "too short", "x"), (4, "  ", "x"), (None, "a b c d e f", "x"), (5, " ".join(long_text[:40]), "x"), (1, None, "x")], "item_id long, text string, doc_id string")
