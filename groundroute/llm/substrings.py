@@ -105,6 +105,17 @@ def _firsts(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return rows, new, (key != key[first]) | (rows["start"] != rows["start"][first])
 
 
+def _heads(rows: np.ndarray, new: np.ndarray, later: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The first row of each window, and those that tie with it in key and start but are of another text."""
+    tied = rows[~later]
+    if len(tied) == int(new.sum()):
+        return tied
+    window, hash_ = np.cumsum(new)[~later], hashes[tied["doc"]]
+    order = np.lexsort((hash_, window))
+    tied, window, hash_ = tied[order], window[order], hash_[order]
+    return tied[np.r_[True, (window[1:] != window[:-1]) | (hash_[1:] != hash_[:-1])]]
+
+
 def ranges_of(keys: np.ndarray, hashes: np.ndarray, ranges: int) -> np.ndarray:
     """The range of each document, so that neither copies of a text nor rows of a key share one."""
     mixed = (keys.view(np.uint64) * ROW_SEED ^ hashes.view(np.uint64)) * M2
@@ -197,11 +208,11 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
         held, of, size, turn = [], [], 0, first_turn(TaskContext.get().partitionId(), buckets)
 
         def settle():
-            """Sends the first of equal windows here to their hash's bucket; later ones are known to repeat."""
+            """Sends the first of equal windows here (all that tie) to their hash's bucket; later ones are known to repeat."""
             nonlocal turn
             keys, hashes = np.array(of, dtype=np.int64).reshape(-1, 2).T
             rows, new, later = _firsts(np.concatenate(held), keys)
-            heads = rows[new]
+            heads = _heads(rows, new, later, hashes)
             bucket = (heads["h1"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             heads, bucket = heads[order], bucket[order]

@@ -135,6 +135,14 @@ def test_settled_windows_of_tasks_spread_over_buckets():
     assert substrings.in_turn(parts, 8) == [parts[:2], parts[2:3], parts[3:]]
 
 
+def test_rows_that_repeat_a_key_with_other_texts_lose_their_windows(spark):
+    shared = " ".join(f"w{k}" for k in range(20))
+    two = [(5, f"{shared} tail one"), (5, f"{shared} other end"), (5, f"{shared} other end"), (1, shared), (9, "x"), (9, "y")]
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(two, 2), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(dealt).collect() if r.doc_id < 9)
+    assert got == [(1, 20, 0), (5, 22, 20), (5, 22, 20), (5, 22, 20)]
+
+
 def test_containment_equals_sql_and_edges(spark, docs, rows):
     long_text = max((r[1] for r in rows if r[1]), key=len).split()
     items = spark.createDataFrame([(1, " ".join(next(r[1] for r in rows if r[1] and len(r[1].split()) == 200).split()[50:80]), "x"), (2, None, "x"), (3, "too short", "x"), (4, "  ", "x"), (None, "a b c d e f", "x"), (5, " ".join(long_text[:40]), "x"), (1, None, "x")], "item_id long, text string, doc_id string")
