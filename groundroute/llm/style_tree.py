@@ -26,6 +26,8 @@ from . import common
 
 #: A node is judged from so many distinct pages on; below this importance it is noise; weight of children.
 LEAST_PAGES, LEAST_IMPORTANCE, GAMMA = 8, 0.25, 0.9
+#: How often a character inside an article or main element counts against one outside.
+LANDMARK_WEIGHT = 2
 
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 MARKUP = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -176,9 +178,18 @@ class Page:
             parent, tag, role, _ = nodes[k]
             inside[k] = inside[parent] or role == CONTENT
             gone = role == NOISE and not (holds[k] and tag not in DROPPED) or role == SOFT_NOISE and not inside[k] and not holds[k]
-            low = paths is not None and not inside[k] and not holds[k] and paths[k] in noise
+            low = paths is not None and role != CONTENT and not holds[k] and tag in BLOCK and paths[k] in noise
             keep[k] = keep[parent] and not gone and not low
-        return [a and (b or not landmark) for a, b in zip(keep, inside)]
+        if not landmark:
+            return keep
+        size = [0, 0]
+        for block in self.blocks:
+            for k, text in block:
+                if keep[k]:
+                    size[inside[k]] += len(text.strip())
+        if size[0] > LANDMARK_WEIGHT * size[1]:
+            return keep
+        return [a and b for a, b in zip(keep, inside)]
 
     def _clean(self, k: int, holds: list[bool]) -> bool:
         while k > 0:
@@ -293,7 +304,7 @@ def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
 
     Blocks are joined by line breaks in page order; white space inside a block is one space; a
     line break element is white space. Where a page has an article or main element, the text is what lies
-    inside; else the whole body counts. Null or empty html gives an empty text; a null url has the host ''; repeated
+    inside, unless what is left outside is more than LANDMARK_WEIGHT times as long; else, and then, the whole body counts. Null or empty html gives an empty text; a null url has the host ''; repeated
     rows give repeated results; no rows give no rows."""
     common.long_texts(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

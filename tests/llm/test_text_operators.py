@@ -156,6 +156,16 @@ def test_style_tree_removes_what_pages_repeat(spark):
     assert got[7] == "Own text number 7 of page 49" and got[31] == "Own text number 31 of page 961\nSame words on all pages"
 
 
+def test_importance_judges_inside_landmarks_and_landmarks_only_weigh(spark):
+    strip = "<div id='strip'><p>Same words on all pages</p></div>"
+    article = lambda k: f"<article><div id='box'><p>Own text number {k} of page {k * k}</p></div>{strip}</article>"
+    cards = lambda k: "".join(f"<article><p>Card {k + j}</p></article>" for j in range(3)) + f"<div id='text'><p>{' '.join(f'long{k}x{j}' for j in range(40))}</p></div>{strip}"
+    rows = [(k, f"http://h.example/{k}", f"<html><body>{article(k)}<div>{k} aside</div></body></html>") for k in range(20)] + [(k, f"http://c.example/{k}", f"<html><body>{cards(k)}</body></html>") for k in range(30, 50)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Own text number 7 of page 49"
+    assert got[31] == "Card 31\nCard 32\nCard 33\n" + " ".join(f"long31x{j}" for j in range(40))
+
+
 def test_counterfactual_penalty_lowers_false_positives():
     random.seed(5)
     filler = [f"w{k}" for k in range(200)]
