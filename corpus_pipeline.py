@@ -13,28 +13,44 @@ from pyspark.sql import functions as F
 from groundroute.llm import common, contamination, jaccard, mixing, token_files, toxicity
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in ids (column drop_id); a null doc_id stays."""
-    return docs.join(common.small(ids.distinct()), docs["doc_id"] == F.col("drop_id"), "left_anti")
+#: What a decision is about: a document is a doc_id (null ones too) with its text, and rows that share both share it.
+ROW = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """docs with the row's hash as its doc_id, so that operators tell apart what shares an id, and meet null ones."""
+    return docs.select(ROW.alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs but for those whose hash is in rows (column drop_row)."""
+    return docs.join(common.small(rows.distinct()), ROW == F.col("drop_row"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go. The classifier learns from the labels of the rows it is given."""
-    found = toxicity.score(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
-    return _without(docs, common.written(found.where("predicted = 1").select(F.col("doc_id").alias("drop_id")), "toxic-ids"))
+    found = toxicity.score(_by_row(docs), toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+    return _without(docs, common.written(found.where("predicted = 1").select(F.col("doc_id").alias("drop_row")), "toxic-rows"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; rows that repeat
-    that doc_id are the same document, and stay or go together."""
-    found = jaccard.near_duplicates(docs)
-    return _without(docs, common.written(found.where("doc_id <> class_id or class_id is null and doc_id is not null").select(F.col("doc_id").alias("drop_id")), "near-ids"))
+    """Of each group of near duplicates one row of the document with the smallest doc_id (null before
+    all others) stays. Texts without shingles are in no group, and stay however often a row is there."""
+    found = jaccard.near_duplicates(_by_row(docs))
+    linked = common.written(found.where("n_links > 0").groupBy(F.col("doc_id").alias("row"), F.col("class_id").alias("class")).agg(F.count(F.lit(1)).alias("copies")), "near-rows")
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"), ROW.alias("row")).join(common.small(linked), "row")
+    kept = common.written(ids.groupBy("class").agg(F.min(F.struct("id", "row", "copies")).alias("first")).select("first.row", "first.copies"), "near-kept")
+    rest = _without(docs, common.written(linked.join(common.small(kept.select("row")), "row", "left_anti").select(F.col("row").alias("drop_row")), "near-dropped"))
+    # of rows that repeat an id and its text one stays
+    twice = common.written(kept.where("copies > 1").select(F.col("row").alias("drop_row")), "near-twice")
+    repeated = rest.join(common.small(twice), ROW == F.col("drop_row")).groupBy("drop_row").agg(F.min(F.struct(*docs.columns)).alias("one"))
+    return _without(rest, twice).unionByName(repeated.select("one.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = contamination.contained(docs, common.table(spark, sf_dir, "benchmark"))
-    return _without(docs, common.written(found.select(F.col("doc_id").alias("drop_id")).distinct(), "leak-ids"))
+    found = contamination.contained(_by_row(docs), common.table(spark, sf_dir, "benchmark"))
+    return _without(docs, common.written(found.select(F.col("doc_id").alias("drop_row")).distinct(), "leak-rows"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -242,3 +242,22 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, DATA)
     assert empty.count() == 0
+
+
+def test_pipeline_decides_by_id_and_text(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    item = " ".join(f"item{k}" for k in range(30))
+    clean, other = (" ".join(f"{p}{k}" for k in range(30)) for p in ("clean", "other"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda stage, rows: sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in stage(spark, make(rows), str(tmp_path)).collect())
+    assert left(corpus_pipeline.drop_contaminated, [(None, item), (None, clean), (5, item), (5, other)]) == [(-1, clean), (5, other)]
+    rows = [(None, clean), (3, clean), (5, clean), (5, other), (7, other), (7, other), (8, item), (8, item), (9, ""), (9, ""), (None, None)]
+    got = left(corpus_pipeline.drop_near_duplicates, [(k, t or "") for k, t in rows])
+    assert [r for r in got if r[1]] == [(-1, clean), (5, other), (8, item)]
+    assert sum(not r[1] for r in got) == 3
+    monkeypatch.setattr(corpus_pipeline.toxicity, "train", lambda docs, labels: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda docs, model: docs.selectExpr("doc_id", "cast(text like 'item%' as int) as predicted"))
+    monkeypatch.setattr(corpus_pipeline.common, "table", lambda *a: None)
+    assert left(corpus_pipeline.drop_toxic, [(None, item), (None, clean), (5, item), (5, other)]) == [(-1, clean), (5, other)]
