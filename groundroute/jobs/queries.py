@@ -508,7 +508,7 @@ def average_time(spark, d):
 
 def _sweep(spark, d, functions, sizes, cuts, **options):
     m = Images(spark, d)
-    return rounded(SW.run_sweep(m.pixels, m.labels, m.keypoints, functions, sizes, cuts, smooth=False, normalize=False, **options), "path_score", "dist").drop("path_coordinates")
+    return rounded(SW.run_sweep(m.pixels, m.labels, m.keypoints, functions, sizes, cuts, **options), "path_score", "dist").drop("path_coordinates")
 
 
 @query("run_sweep")
@@ -526,6 +526,11 @@ def run_sweep_multiscale(spark, d):
     return _sweep(spark, d, ["tf_rgbhist"], [3, 6], [0.2], multiscale=True)
 
 
+@query("run_sweep_overlap_multiscale")
+def run_sweep_overlap_multiscale(spark, d):
+    return _sweep(spark, d, ["tf_grayhist"], [3, 6], [0.2], ov=2, multiscale=True)
+
+
 @query("route_all")
 def route_all(spark, d):
     m = Images(spark, d)

@@ -25,3 +25,15 @@ def test_query_equals_sql(spark, name):
     assert sorted(columns) == names
     wanted = [tuple(r[columns.index(n)] for n in names) for r in cursor.fetchall()]
     assert plain(found.select(*[f"`{n}`" for n in names]).collect()) == plain(wanted)
+
+
+def test_sweeps_run_the_default_chain(spark, monkeypatch):
+    from groundroute.jobs import queries as Q
+
+    asked, run = [], Q.SW.run_sweep
+    monkeypatch.setattr(Q.SW, "run_sweep", lambda *a, **options: asked.append(options) or run(*a, **options))
+    for name in ("run_sweep", "run_sweep_overlap", "run_sweep_multiscale"):
+        Q.QUERIES[name](spark, DATA)
+    assert Q.QUERIES["run_sweep_overlap_multiscale"](spark, DATA).count() > 0
+    assert all(o.get("smooth", True) and o.get("normalize", True) for o in asked)
+    assert asked[-1] == {"ov": 2, "multiscale": True}
