@@ -23,11 +23,12 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the component's smallest node) for every node of edges (a, b: long) that is no
     root itself. Loops, repeated and reversed edges don't matter. Every round is written to the
-    shared folder; ends when a round changes nothing."""
-    now = common.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    shared folder, where it takes the last one's place; ends when a round changes nothing."""
+    kept = common.Rounds(edges.sparkSession, "stars")
+    now = kept.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(rounds):
-        after = common.written(_small(_large(now).distinct()).distinct(), "stars")
+        after = kept.write(_small(_large(now).distinct()).distinct())
         sums = after.agg(F.count(F.lit(1)), F.expr("sum(cast(a as decimal(38,0)))"), F.expr("sum(cast(b as decimal(38,0)))")).first()
         if sums == state:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root"))

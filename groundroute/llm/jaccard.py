@@ -29,7 +29,7 @@ VALUES, ROWS, STEP, TOLERANCE = 128, 4, 16, 1e-9
 BLOCK, TOGETHER = 128, 1024
 NO_ID = -(1 << 63)
 
-_hashes = WordHashes()
+_hashes = common.cache(WordHashes())
 _multipliers = np.random.Generator(np.random.Philox(key=[20, 5])).integers(1, 1 << 31, size=(2, VALUES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["key", "set_id", "sig"])
 
-    return docs.select("key", "text").mapInArrow(rows, "key long, set_id binary, sig binary")
+    return docs.select("key", "text").mapInArrow(common.tidy(rows), "key long, set_id binary, sig binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.binary()] * 2)], names=["node", "root", "members", "copies", "sig", "set"])
 
     texts = keyed.join(common.small(asked), keyed["key"] == asked["rep"]).select("node", "root", "members", "copies", "want", "text")
-    full = texts.mapInArrow(sets, "node long, root long, members long, copies long, sig binary, set binary")
+    full = texts.mapInArrow(common.tidy(sets), "node long, root long, members long, copies long, sig binary, set binary")
     n_small = members.where(F.col("members") <= BLOCK).count()
     deals = max(common.width(spark), -(-n_small // TOGETHER))
     n_blocks = F.ceil(F.col("members") / BLOCK).cast("long")
