@@ -12,7 +12,9 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,15 +36,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs of 24 or more; a shorter run is a match that fails.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-#: A wrapped run: lines of one length, then a shorter one.
-NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/]+={0,2})")
+#: Lines of base64, the first one of at least 32 characters; read once, whatever they hold.
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?:\r?\n[A-Za-z0-9+/]++={0,2}+(?![A-Za-z0-9+/_=-]))*+")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+(={0,2})")
+LEAST_RUN = 32
 HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{48,}|[0-9A-F]{48,})(?![0-9A-Za-z])")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: Algorithm names of signed tokens, and names of length-prefixed public keys.
 ALGORITHMS = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA"}
-KEY_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
+KEY_PARTS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 BOXED = b"openssh-key-v1\0"
+#: Elements of a key's sequence, strings and keys of a boxed key: more make no key of a known kind.
+MOST_PARTS = 16
+
+Read = Callable[[int, int], bytes]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -53,18 +60,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the elements that fill data[at:end] exactly; None if lengths don't nest."""
+def der_items(read: Read, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the elements that fill at to end exactly; None if lengths don't nest or
+    elements are too many. Only headers are read: from one, its length leads to the next."""
     items = []
     while at < end:
-        if at + 2 > end:
+        head = read(at, 6)
+        if len(head) < 2 or len(items) == MOST_PARTS:
             return None
-        tag, n, at = data[at], data[at + 1], at + 2
+        tag, n, at = head[0], head[1], at + 2
         if n & 0x80:
             k = n & 0x7F
-            if not 1 <= k <= 4 or at + k > end:
+            if not 1 <= k <= 4 or len(head) < 2 + k:
                 return None
-            n, at = int.from_bytes(data[at : at + k], "big"), at + k
+            n, at = int.from_bytes(head[2 : 2 + k], "big"), at + k
         if at + n > end:
             return None
         items.append((tag, at, at + n))
@@ -72,47 +81,98 @@ def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return items
 
 
-def der_key(data: bytes) -> str | None:
-    """The kind of key whose DER encoding data is, or None."""
-    if len(data) < 16 or data[0] != 0x30:
+def der_key(read: Read, most: int) -> tuple[str, int] | None:
+    """The kind and length of the key whose DER encoding begins at 0 and has at most so many bytes, or None."""
+    head = read(0, 6)
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 4 or head[1] == 0x80:
         return None
-    top = der_items(data, 0, len(data))
-    if not top or len(top) != 1:
+    start = 2 + k
+    end = start + (int.from_bytes(head[2:start], "big") if k else head[1])
+    if not 16 <= end <= most:
         return None
-    inner = der_items(data, *top[0][1:])
+    inner = der_items(read, start, end)
     if not inner:
         return None
     tags = [t for t, _, _ in inner]
+    names = lambda x: bool((p := der_items(read, x[1], x[2])) and p[0][0] == 0x06)
+    kind = None
     if tags[0] == 0x02 and len(tags) >= 9 and set(tags[:9]) == {0x02}:
-        return "rsa-private"
-    if tags[:2] == [0x02, 0x04] and inner[0][2] - inner[0][1] == 1:
-        return "ec-private"
-    names = lambda x: bool((p := der_items(data, x[1], x[2])) and p[0][0] == 0x06)
-    if tags[:3] == [0x02, 0x30, 0x04] and names(inner[1]):
-        return "pkcs8-private"
-    if tags[:2] == [0x30, 0x03] and len(tags) == 2 and names(inner[0]):
-        return "public"
-    if tags == [0x02, 0x02]:
-        return "rsa-public"
-    return None
-
-
-def prefixed_key(data: bytes) -> str | None:
-    """Key blobs made of length-prefixed strings."""
-    if data.startswith(BOXED):
-        at, seen = len(BOXED), 0
-        while at + 4 <= len(data) and seen < 3:
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-            seen += 1
-        return "openssh-private" if seen == 3 and at <= len(data) else None
-    at, parts = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return None
-        parts.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return "ssh-public" if at == len(data) and len(parts) >= 2 and parts[0].startswith(KEY_NAMES) else None
+        kind = "rsa-private"
+    elif tags[:2] == [0x02, 0x04] and inner[0][2] - inner[0][1] == 1:
+        kind = "ec-private"
+    elif tags[:3] == [0x02, 0x30, 0x04] and names(inner[1]):
+        kind = "pkcs8-private"
+    elif tags == [0x30, 0x03] and names(inner[0]):
+        kind = "public"
+    elif tags == [0x02, 0x02]:
+        kind = "rsa-public"
+    return (kind, end) if kind else None
+
+
+def prefixed_key(read: Read, most: int) -> tuple[str, int] | None:
+    """The kind and length of the key blob of length-prefixed strings that begins at 0, or None."""
+
+    def past(at: int, strings: int) -> int | None:
+        for _ in range(strings):
+            head = read(at, 4)
+            at += 4 + int.from_bytes(head, "big")
+            if len(head) < 4 or at > most:
+                return None
+        return at
+
+    if read(0, len(BOXED)) == BOXED:  # cipher, key derivation and its options; then the public keys and the sealed part
+        at = past(len(BOXED), 3)
+        keys = int.from_bytes(read(at, 4), "big") if at else 0
+        end = past(at + 4, keys + 1) if 1 <= keys <= MOST_PARTS else None
+        return ("openssh-private", end) if end else None
+    n = int.from_bytes(read(0, 4), "big")
+    parts = KEY_PARTS.get(read(4, n)) if n <= 32 else None
+    end = past(0, parts) if parts else None
+    return ("ssh-public", end) if end else None
+
+
+def key_of(read: Read, most: int) -> tuple[str, int] | None:
+    return der_key(read, most) or prefixed_key(read, most)
+
+
+def encoded(flat: str, origin: int) -> Read:
+    """Reads bytes of the base64 text flat (without padding and line breaks) from a character on."""
+
+    def read(at: int, n: int) -> bytes:
+        first = origin + at // 3 * 4
+        part = flat[first : first + -(-(at % 3 + n) // 3) * 4]
+        part = part[: len(part) - (len(part) % 4 == 1)].replace("-", "+").replace("_", "/")
+        return base64.b64decode(part + "=" * (-len(part) % 4))[at % 3 : at % 3 + n]
+
+    return read
+
+
+def wrapped_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """Keys among the lines of base64 in text[start:end]. A key begins where a line does, and its own
+    lengths tell where it ends: on a line's end, after lines of one width and none wider. Each line costs a few header
+    reads, so that work grows with the text alone."""
+    found = [(m.start(), m.end(1), m.start(1) - m.start(), bool(m[1])) for m in LINE.finditer(text, start, end)]
+    flat = "".join(text[a : a + n] for a, _, n, _ in found)
+    ends = list(accumulate(n for _, _, n, _ in found))
+    alike = [0] * len(found)  # the last of the lines from here that are as wide and unpadded
+    for i in range(len(found) - 1, -1, -1):
+        _, _, n, padded = found[i]
+        nxt = i + 1 < len(found) and found[i + 1][2] == n and not found[i + 1][3]
+        alike[i] = i - 1 if padded else alike[i + 1] if nxt else i
+    i = 0
+    while i < len(found):
+        origin, width = ends[i] - found[i][2], found[i][2]
+        key = key_of(encoded(flat, origin), (len(flat) - origin) * 3 // 4) if width >= LEAST_RUN else None
+        if key:
+            stop = origin - (-key[1] * 4 // 3)
+            j = bisect_left(ends, stop)
+            if j < len(ends) and ends[j] == stop and j - 1 <= max(alike[i], i - 1) and found[j][2] <= width:
+                yield found[i][0], found[j][1], key[0]
+                i = j
+        i += 1
 
 
 def _decode64(run: str) -> bytes | None:
@@ -143,23 +203,13 @@ def signed_header(header: str, payload: str, signature: str) -> str | None:
 def _candidates(text: str) -> Iterator[tuple[int, int, str | None]]:
     for m in SIGNED.finditer(text):
         yield m.start(), m.end(), signed_header(*m.groups())
-    at = 0
-    while m := BASE64_RUN.search(text, at):
-        ends, width, more = [m.end()], len(m[0]), NEXT_LINE.match(text, m.end())
-        while more and len(more[1]) <= width:
-            ends.append(more.end())
-            more = NEXT_LINE.match(text, more.end()) if len(more[1]) == width else None
-        at = ends[0]
-        for end in dict.fromkeys((ends[-1], ends[-2] if len(ends) > 1 else ends[0], ends[0])):
-            data = _decode64(text[m.start() : end])
-            if kind := data and (der_key(data) or prefixed_key(data)):
-                yield m.start(), end, kind
-                at = end
-                break
+    for m in LINES.finditer(text):
+        yield from wrapped_keys(text, *m.span())
     for m in HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])
-            yield m.start(), m.end(), der_key(data) or prefixed_key(data)
+            key = key_of(lambda at, n, data=data: data[at : at + n], len(data))
+            yield m.start(), m.end(), key[0] if key and key[1] == len(data) else None
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
