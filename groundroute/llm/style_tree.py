@@ -4,9 +4,9 @@ The pages of a host are merged into one tree of element nodes (tag with class or
 same parent). A node's presentation importance is the normalised entropy of the child
 sequences it shows over the pages; a content node's importance is one less the normalised
 entropy of its texts over the pages (text that every page repeats says nothing). Composite
-importance combines a node's own with its children's. Branches of low importance are removed
-from each page, as are branches whose element says that it isn't the article; what an
-element says (article, main) also protects.
+importance combines a node's own with its children's, and goes towards 1 where few pages show the node.
+What an element says of itself (its tag, role, id and class) is a prior: the importance that decides is prior times composite,
+and branches where it is low are removed from each page, inside article and main elements and outside.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import Counter
+from functools import lru_cache
 from math import log
 
 import pandas as pd
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A node is judged from so many distinct pages on; below this importance it is noise; weight of children.
-LEAST_PAGES, LEAST_IMPORTANCE, GAMMA = 8, 0.25, 0.9
+#: Below this importance a branch is noise; weight of children; what the evidence of the pages is weighed against (in pages).
+LEAST_IMPORTANCE, GAMMA, DOUBT = 0.25, 0.9, 6.0
+#: Priors: never text; says it isn't the article; half says so; says nothing; article or main.
+UNSEEN, NOISE, MIXED, PLAIN, CONTENT = 0.0, 0.1, 0.4, 0.7, 1.0
 #: How often a character inside an article or main element counts against one outside.
 LANDMARK_WEIGHT = 2
 
@@ -41,24 +44,41 @@ CLOSES_P = BLOCK - _split("td th tr tbody thead tfoot caption option optgroup le
 #: A start tag ends an open element of these, up to the border named.
 IMPLIED = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table"), "option": ("option", "select datalist")}
 IMPLIED = {k: (_split(a), _split(b)) for k, (a, b) in IMPLIED.items()}
-DROPPED = _split("head script style noscript template title nav footer aside form button select option input textarea iframe frame frameset noframes noembed svg canvas object applet audio video map dialog menu xmp")
+#: Never rendered as text of a page, or part of a form's controls; and what isn't the article by its tag's meaning.
+DROPPED = _split("head script style noscript template title button select option optgroup datalist input textarea label legend output iframe frame frameset noframes noembed svg canvas object applet audio video map xmp")
+CHROME = _split("nav footer aside dialog menu")
 LANDMARK = _split("article main")
 NOISE_ROLES = _split("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar")
 NOISE_WORDS = _split(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "header masthead topbar footer foot sidebar sidebars aside notice notices cookie cookies consent gdpr popup modal overlay alert banner newsletter subscribe subscription signup signin login "
-    "social share sharing sharer related recommended recommendations widget widgets comment comments disqus reply replies respond form search pagination pager toolbar copyright disclaimer"
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adsbygoogle sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "masthead topbar footer foot sidebar sidebars aside notice notices cookie cookies cookiebar cookiebanner consent gdpr popup modal overlay alert banner newsletter subscribe subscription signup signin login "
+    "social share sharing sharer related recommended recommendations widget widgets comment comments commentlist commentform disqus reply replies respond form search pagination pager toolbar copyright disclaimer"
 )
-NOISE_PARTS = ("advert", "sidebar", "cookie", "comment", "navbar", "newsletter", "breadcrumb")
 CONTENT_WORDS = _split("article content main post entry story")
+#: Words that name a place or a shape, not what stands there.
+FILLER = _split("site page wrapper container wrap inner outer box list item items area block section left right top bottom col column row body text link links group holder slot unit bar panel module region zone")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-#: What an element says of its branch.
-NONE, NOISE, SOFT_NOISE, CONTENT = 0, 1, 2, 3
 
-
-def said(tag: str, attrs: str) -> tuple[int, str]:
-    """The role of an element, and its signature in the style tree."""
+def named(label: str) -> float:
+    """What ids and classes say: each is a compound whose last telling word is what it names."""
+    says = set()
+    for token in label.split():
+        words = [w for w in (x.lower() for x in WORDS.findall(token)) if w not in FILLER]
+        if words and words[-1] in NOISE_WORDS:
+            says.add(NOISE)
+        elif NOISE_WORDS.intersection(words):
+            says.add(MIXED)
+        elif words and words[-1] in CONTENT_WORDS:
+            says.add(CONTENT)
+    if CONTENT in says:
+        return MIXED if NOISE in says else PLAIN
+    return min(says, default=PLAIN)
+
+
+@lru_cache(maxsize=4096)
+def said(tag: str, attrs: str) -> tuple[float, bool, str]:
+    """The prior of an element, whether it is a header by name, and its signature in the style tree."""
     found = {}
     if attrs and attrs != "/":
         for name, a, b, c in ATTR.findall(attrs):
@@ -66,45 +86,52 @@ def said(tag: str, attrs: str) -> tuple[int, str]:
     label = f"{found.get('id', '')} {found.get('class', '')}".strip()
     sign = f"{tag}.{re.sub(r'[0-9]+', '#', label)}" if label else tag
     if tag in DROPPED or "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return NOISE, sign
+        return UNSEEN, False, sign
     role = found.get("role", "").lower()
-    if role in NOISE_ROLES:
-        return NOISE, sign
-    words = [w.lower() for w in WORDS.findall(label)]
-    if tag not in ("html", "body"):
-        if tag not in LANDMARK or "comment" in label.lower():
-            if NOISE_WORDS.intersection(words) - {"header"} or any(p in label.lower() for p in NOISE_PARTS):
-                return NOISE, sign
-            if tag == "header" or "header" in words:
-                return SOFT_NOISE, sign  # a page's header, not an article's
-        if tag in LANDMARK or role in ("main", "article"):
-            return CONTENT, sign
-    return NONE, sign
+    if tag in CHROME or role in NOISE_ROLES and tag != "form":
+        return NOISE, False, sign
+    if tag in ("html", "body"):
+        return PLAIN, False, sign
+    prior = named(label)
+    if prior == NOISE or tag == "form":
+        return NOISE, False, sign
+    if tag in LANDMARK or role in ("main", "article"):
+        return CONTENT, False, sign
+    words = [x.lower() for x in WORDS.findall(label)]
+    return prior, tag == "header" or bool(words) and words[-1] == "header", sign
 
 
 class Page:
-    """nodes: (parent, tag, role, sign); blocks: lists of (node, text)."""
+    """nodes: (parent, tag, prior, header, sign); blocks: lists of (node, text). Parsing is linear: what is open
+    is looked up by tag, not searched for in the stack."""
 
     def __init__(self, source: str):
-        self.nodes: list[tuple[int, str, int, str]] = [(-1, "#", NONE, "#")]
+        self.nodes: list[tuple[int, str, float, bool, str]] = [(-1, "#", PLAIN, False, "#")]
         self.blocks: list[list[tuple[int, str]]] = []
         stack, block, at = [0], [], 0
         nodes = self.nodes
+        depths: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
+        blocks_open: list[int] = []  # where in the stack block elements are
 
-        def close(depth: int) -> None:
+        def end_block() -> None:
             nonlocal block
-            if any(nodes[k][1] in BLOCK for k in stack[depth:]) and block:
+            if block:
                 self.blocks.append(block)
                 block = []
-            del stack[depth:]
 
-        def up_to(tags, border) -> None:
-            for d in range(len(stack) - 1, 0, -1):
+        def close(depth: int) -> None:
+            ends = False
+            for d in range(len(stack) - 1, depth - 1, -1):
                 tag = nodes[stack[d]][1]
-                if tag in tags:
-                    close(d)
-                elif tag in border:
-                    return
+                depths[tag].pop()
+                if tag in BLOCK:
+                    blocks_open.pop()
+                    ends = True
+            del stack[depth:]
+            if ends:
+                end_block()
+
+        top = lambda tags: max((depths[t][-1] for t in tags if depths.get(t)), default=0)
 
         for m in iter(lambda: MARKUP.search(source, at), None):
             if m.start() > at:
@@ -116,105 +143,136 @@ class Page:
                 continue
             tag = name.lower()
             if m[1] or m[4]:
-                for d in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[d]][1] == tag:
-                        close(d)
-                        break
-                else:
-                    if tag == "p" and block:
-                        self.blocks.append(block)
-                        block = []
+                if depths.get(tag):
+                    close(depths[tag][-1])
+                elif tag == "p":
+                    end_block()
                 continue
-            if tag not in HEAD and len(stack) > 1:
-                for d in range(1, len(stack)):
-                    if nodes[stack[d]][1] == "head":
-                        close(d)
-                        break
+            if tag not in HEAD and depths.get("head"):
+                close(depths["head"][0])
             if tag in IMPLIED:
-                up_to(*IMPLIED[tag])
+                tags, border = IMPLIED[tag]
+                least = top(border)
+                while (d := top(tags)) > least:
+                    close(d)
             elif tag in CLOSES_P:
-                up_to(("p",), BLOCK - {"p"})
-            if tag in BLOCK and block:
-                self.blocks.append(block)
-                block = []
-            role, sign = said(tag, m[3] or m[6] or "")
-            nodes.append((stack[-1], tag, role, sign))
+                while blocks_open and nodes[stack[blocks_open[-1]]][1] == "p":
+                    close(blocks_open[-1])
+            if tag in BLOCK:
+                end_block()
+            nodes.append((stack[-1], tag, *said(tag, m[3] or m[6] or "")))
             if tag == "br":
                 block.append((stack[-1], " "))
             if tag in VOID:
                 continue
+            depths.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks_open.append(len(stack))
+            stack.append(len(nodes) - 1)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
                 at = end.start() if end else len(source)
-                stack.append(len(nodes) - 1)
                 if not end:
                     break
-                continue
-            stack.append(len(nodes) - 1)
         if at < len(source):
-            text = source[at:]
-            block.append((stack[-1], html_lib.unescape(text)))
-        if block:
-            self.blocks.append(block)
+            block.append((stack[-1], html_lib.unescape(source[at:])))
+        end_block()
 
     def paths(self) -> list[int]:
         """The style-tree node of each node: a hash of the signatures above it. Inline elements are their parent's."""
         out = []
-        for parent, tag, _, sign in self.nodes:
+        for parent, tag, _, _, sign in self.nodes:
             above = out[parent] if parent >= 0 else 0
             out.append(xxhash.xxh64_intdigest(f"{above}>{sign}") >> 1 if tag in BLOCK or parent < 0 else above)
         return out
 
-    def kept(self, noise: frozenset[int] | set[int] = frozenset()) -> list[bool]:
-        """Which nodes' own text stays."""
+    def priors(self, names: bool) -> tuple[list[float], list[bool], list[bool]]:
+        """The prior of each node in its place; which nodes hold an article; which lie inside one. names: what
+        elements say counts; else all that is rendered is alike."""
         nodes = self.nodes
-        holds = [False] * len(nodes)
+        own, holds, inside = [n[2] for n in nodes], [False] * len(nodes), [False] * len(nodes)
+        if not names:
+            return [PLAIN if p else UNSEEN for p in own], holds, inside
         for k in range(len(nodes) - 1, 0, -1):
-            if nodes[k][2] == CONTENT or holds[k]:
+            if own[k] == CONTENT or holds[k]:
                 holds[nodes[k][0]] = True
-        landmark = any(self._clean(k, holds) for k in range(len(nodes)) if nodes[k][2] == CONTENT)
-        paths, keep, inside = self.paths() if noise else None, [True] * len(nodes), [False] * len(nodes)
         for k in range(1, len(nodes)):
-            parent, tag, role, _ = nodes[k]
-            inside[k] = inside[parent] or role == CONTENT
-            gone = role == NOISE and not (holds[k] and tag not in DROPPED) or role == SOFT_NOISE and not inside[k] and not holds[k]
-            low = paths is not None and role != CONTENT and not holds[k] and tag in BLOCK and paths[k] in noise
-            keep[k] = keep[parent] and not gone and not low
-        if not landmark:
-            return keep
-        size = [0, 0]
-        for block in self.blocks:
-            for k, text in block:
-                if keep[k]:
-                    size[inside[k]] += len(text.strip())
-        if size[0] > LANDMARK_WEIGHT * size[1]:
-            return keep
-        return [a and b for a, b in zip(keep, inside)]
-
-    def _clean(self, k: int, holds: list[bool]) -> bool:
-        while k > 0:
-            if self.nodes[k][2] == NOISE and not (holds[k] and self.nodes[k][1] not in DROPPED):
-                return False
-            k = self.nodes[k][0]
-        return True
-
-    def text(self, noise: frozenset[int] | set[int] = frozenset()) -> str:
-        keep = self.kept(noise)
+            parent, tag, _, header, _ = nodes[k]
+            inside[k] = inside[parent] or own[k] == CONTENT
+            if header and not inside[k]:
+                own[k] = NOISE  # a page's header, not an article's
+            if holds[k] and own[k] == NOISE and tag not in CHROME:
+                own[k] = PLAIN
+        if any(n[1] == "form" for n in nodes):  # a form that wraps most of a page's text is no form
+            size, gone = [0] * len(nodes), [False] * len(nodes)
+            for k in range(1, len(nodes)):
+                gone[k] = gone[nodes[k][0]] or own[k] <= NOISE and nodes[k][1] != "form"
+            for block in self.blocks:
+                for k, text in block:
+                    size[k] += 0 if gone[k] else len(text.strip())
+            for k in range(len(nodes) - 1, 0, -1):
+                size[nodes[k][0]] += size[k]
+            for k in range(1, len(nodes)):
+                if nodes[k][1] == "form" and own[k] == NOISE and size[k] > size[0] / 2:
+                    own[k] = PLAIN
+        return own, holds, inside
+
+    def kept(self, judged: dict[int, float], least: float = LEAST_IMPORTANCE, names: bool = True) -> tuple[list[bool], int, int]:
+        """Which nodes' own text stays; how many branches are removed for low importance, and how many of them
+        would be if their elements said nothing. judged: composite importance of the tree's nodes (1 if not there)."""
+        nodes = self.nodes
+        prior, holds, inside = self.priors(names)
+        paths = self.paths() if judged else None
+        keep, clean, n_low, n_repeated = [True] * len(nodes), [True] * len(nodes), 0, 0
+        landmark = False
+        for k in range(1, len(nodes)):
+            parent, tag = nodes[k][:2]
+            clean[k] = clean[parent] and prior[k] > NOISE
+            landmark = landmark or prior[k] == CONTENT and clean[k]
+            seen = judged.get(paths[k], 1.0) if paths and tag in BLOCK and tag not in ("html", "body") and prior[k] < CONTENT and not holds[k] else 1.0
+            low = prior[k] * seen < least
+            keep[k] = keep[parent] and not low
+            if low and keep[parent] and prior[k]:
+                n_low += 1
+                n_repeated += PLAIN * seen < least
+        if landmark:
+            size = [0, 0]
+            for block in self.blocks:
+                for k, text in block:
+                    if keep[k]:
+                        size[inside[k]] += len(text.strip())
+            if size[0] <= LANDMARK_WEIGHT * size[1]:
+                keep = [a and b for a, b in zip(keep, inside)]
+        return keep, n_low, n_repeated
+
+    def extracted(self, judged: dict[int, float], least: float = LEAST_IMPORTANCE, names: bool = True) -> tuple[str, int, int]:
+        """The text, and the counts of kept(). A page that the tree would leave empty keeps what its elements say."""
+        keep, *counts = self.kept(judged, least, names)
+        text = self._joined(keep)
+        if not text and judged:
+            return self.extracted({}, least, names)
+        return text, *counts
+
+    def _joined(self, keep: list[bool]) -> str:
         blocks = (" ".join("".join(t for k, t in block if keep[k]).split()) for block in self.blocks)
         return "\n".join(b for b in blocks if b)
 
+    def text(self) -> str:
+        """The text without a tree."""
+        return self.extracted({})[0]
+
     def style_nodes(self):
         """(path, parent path, style) of each block node, and (path, feature) of each text block."""
         paths = self.paths()
         children: dict[int, list[str]] = {}
-        for parent, tag, _, sign in self.nodes[1:]:
+        for parent, tag, _, _, sign in self.nodes[1:]:
             if tag in BLOCK:
                 while parent > 0 and self.nodes[parent][1] not in BLOCK:
                     parent = self.nodes[parent][0]
                 mine = children.setdefault(parent, [])
                 if not mine or mine[-1] != sign:  # a run of the same element is one
                     mine.append(sign)
-        nodes = [(paths[k], paths[parent] if parent >= 0 else 0, xxhash.xxh64_intdigest("|".join(children.get(k, ()))) >> 1) for k, (parent, tag, _, _) in enumerate(self.nodes) if tag in BLOCK or parent < 0]
+        nodes = [(paths[k], paths[parent] if parent >= 0 else 0, xxhash.xxh64_intdigest("|".join(children.get(k, ()))) >> 1) for k, (parent, tag, *_) in enumerate(self.nodes) if tag in BLOCK or parent < 0]
         features = []
         for block in self.blocks:
             if text := " ".join("".join(t for _, t in block).split()):
@@ -223,7 +281,8 @@ class Page:
 
 
 def importance(host: pd.DataFrame) -> dict[int, float]:
-    """Composite importance of the judged nodes of one host's tree. host: path, parent, kind (0: styles
+    """Composite importance of the nodes of one host's tree, drawn towards 1 as if DOUBT more pages had shown the node, each
+    of them otherwise. host: path, parent, kind (0: styles
     of a node, 1: texts of it), n (nodes that show one of these), times (how many there are)."""
     nodes: dict[int, dict] = {}
     for path, parent, kind, n, times in host[["path", "parent", "kind", "n", "times"]].itertuples(index=False):
@@ -255,17 +314,15 @@ def importance(host: pd.DataFrame) -> dict[int, float]:
             continue
         weight = GAMMA ** len(below)
         out[path] = (1 - weight) * own + weight * sum(v * w for v, w in below) / max(1, sum(w for _, w in below))
-    return {p: v for p, v in out.items() if nodes[p]["m"] >= LEAST_PAGES}
-
+    return {p: (v * nodes[p]["m"] + DOUBT) / (nodes[p]["m"] + DOUBT) for p, v in out.items()}
 
-def site_noise(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """host, noise (paths of its style tree below the least importance) from pages (page_id, host, html).
 
-    Copies of a page count once, and only pages of hosts with enough pages are parsed. The rows
-    of a host's tree are its distinct styles and repeated texts, not its pages."""
-    first = pages.groupBy("host", F.xxhash64("html").alias("h")).agg(F.min("row").alias("row"))
-    many = first.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    used = pages.join(common.small(first.join(many, "host").select("row"), 2_000_000), "row", "left_semi")
+def site_importance(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """host, paths, importance (of the nodes of its style tree that may be low under some prior) from pages
+    (row, host, html). Copies of a page count once. The rows of a host's tree are its distinct styles and texts
+    by how often they are met, not its pages."""
+    first = common.written(pages.groupBy("host", F.xxhash64("html").alias("h")).agg(F.min("row").alias("row")).select("row"), "site-pages")
+    used = pages.join(common.small(first), "row", "left_semi")
 
     def trees(batches):
         seen: Counter = Counter()
@@ -279,49 +336,53 @@ def site_noise(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
                 nodes, features = Page(source.as_py() or "").style_nodes()
                 seen.update((host, p, q, 0, s) for p, q, s in nodes)
                 seen.update((host, p, 0, 1, f) for p, f in features)
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     yield rows()
                     seen.clear()
         if seen:
             yield rows()
 
-    tree = used.select("host", "html").mapInArrow(trees, "host string, path long, parent long, kind int, value long, n long").groupBy("host", "path", "parent", "kind", "value").agg(F.sum("n").alias("n"))
+    tree = used.select("host", "html").mapInArrow(common.tidy(trees), "host string, path long, parent long, kind int, value long, n long").groupBy("host", "path", "parent", "kind", "value").agg(F.sum("n").alias("n"))
     # values met equally often weigh the same: they are counted, not carried
     rows = tree.groupBy("host", "path", "parent", "kind", "n").agg(F.count(F.lit(1)).alias("times"))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = [p for p, v in importance(pdf).items() if v < least]
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "noise": [low]})
+        low = {p: v for p, v in importance(pdf).items() if v * MIXED < least}
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "paths": [list(low)], "importance": [list(low.values())]})
 
-    return rows.groupBy("host").applyInPandas(judge, "host string, noise array<long>").where(F.size("noise") > 0)
+    return rows.groupBy("host").applyInPandas(judge, "host string, paths array<long>, importance array<double>").where(F.size("paths") > 0)
 
 
-TEXTS = "page_id long, url string, text string, n_chars long"
+TEXTS = "page_id long, url string, text string, n_chars long, n_low long, n_repeated long"
 
 
-def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """Every row of pages (page_id, url, html; others ignored): page_id, url, text, n_chars.
+def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, names: bool = True) -> DataFrame:
+    """Every row of pages (page_id, url, html; others ignored): page_id, url, text, n_chars, n_low (branches removed
+    for low importance) and n_repeated (those of them that the tree's entropies alone would remove).
 
     Blocks are joined by line breaks in page order; white space inside a block is one space; a
     line break element is white space. Where a page has an article or main element, the text is what lies
-    inside, unless what is left outside is more than LANDMARK_WEIGHT times as long; else, and then, the whole body counts. Null or empty html gives an empty text; a null url has the host ''; repeated
-    rows give repeated results; no rows give no rows."""
+    inside, unless what is left outside is more than LANDMARK_WEIGHT times as long; else, and then, the whole body counts.
+    names=False leaves the decision to the entropies alone. Null or empty html gives an empty text; a null url has the
+    host ''; repeated rows give repeated results; no rows give no rows."""
     common.long_texts(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)))
-    noise = common.written(site_noise(rows.withColumn("row", F.xxhash64("page_id", "url")), least), "site-noise")
-    joined = rows.join(common.small(noise, 20_000), "host", "left").select("page_id", "url", "noise", "html")
+    judged = common.written(site_importance(rows.withColumn("row", F.xxhash64("page_id", "url")), least), "site-importance")
+    joined = rows.join(common.small(judged), "host", "left").select("page_id", "url", "paths", "importance", "html")
 
     def texts(batches):
         for batch in batches:
-            out = []
-            for page_id, url, low, source in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
-                text = Page(source.as_py() or "").text(frozenset(low or ()))
-                out.append((page_id, url, text, len(text)))
+            out, last, low = [], None, {}
+            for page_id, url, paths, values, source in zip(*(batch.column(k) for k in range(4)), batch.column(4)):
+                if (paths := paths.as_py()) != last:
+                    last, low = paths, dict(zip(paths or (), values.as_py() or ()))
+                text, *counts = Page(source.as_py() or "").extracted(low, least, names)
+                out.append((page_id.as_py(), url.as_py(), text, len(text), *counts))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 3))], names=["page_id", "url", "text", "n_chars", "n_low", "n_repeated"])
 
-    return joined.mapInArrow(texts, TEXTS)
+    return joined.mapInArrow(common.tidy(texts), TEXTS)
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
