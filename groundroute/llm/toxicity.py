@@ -3,7 +3,8 @@
 A logistic regression over words and word beginnings. Labelled sentences that mention an
 identity term are paired with the same sentence with the term swapped for others of its group,
 and the squared change of the score's logit is penalised, so that a neutral mention of a group
-earns no score of its own.
+earns no score of its own. Groups are a list of identity terms and, beside it, neutral words of
+the labelled rows that stand in the same slots (after the same words), so that rows in any language have pairs.
 """
 
 from __future__ import annotations
@@ -11,29 +12,42 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .encoding import slices
 
-#: Labelled rows to fit on, at most, and features kept, at most.
-SAMPLE, FEATURES = 8_000, 6_000
+#: Labelled rows to fit on, at most, and sentences to swap terms in, at most: the classifier's bounded sample.
+SAMPLE, SENTENCES = 8_000, 20_000
+#: Features are chosen by how far the logarithms of their rates under the labels lie apart, times the root of their count: those that say nothing
+#: about toxicity in the sample would only be weighed at random. No row or text is left out for it.
+APART = 4.5
 THRESHOLD = 0.3
-#: Identity terms that may stand for each other (a list of our own; a parameter).
+#: Identity terms that may stand for each other (a list of our own; a parameter). Fixed values.
 IDENTITIES = (
-    ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "arab"), ("immigrants", "refugees", "foreigners", "natives"), ("deaf", "blind", "disabled", "autistic"),
-    ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
-    ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
+    ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("female", "male"), ("mothers", "fathers"), ("wives", "husbands"),
+    ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"), ("gays", "heterosexuals", "lesbians", "bisexuals"),
+    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant", "sikh"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants", "sikhs"), ("islam", "christianity", "judaism", "hinduism", "buddhism"),
+    ("black", "white", "asian", "latino", "arab", "hispanic"), ("blacks", "whites", "asians", "latinos", "arabs", "hispanics"), ("african", "european", "american", "chinese", "indian", "mexican", "turkish", "polish"),
+    ("immigrants", "refugees", "foreigners", "natives", "migrants"), ("immigrant", "refugee", "foreigner", "native", "migrant"), ("deaf", "blind", "disabled", "autistic"), ("old", "young", "elderly"), ("rich", "poor"),
+    ("frauen", "männer", "mädchen", "jungen"), ("frau", "mann"), ("muslime", "christen", "juden", "atheisten"), ("ausländer", "flüchtlinge", "einwanderer", "deutsche"), ("schwule", "lesben"),
+    ("femmes", "hommes", "filles", "garçons"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs", "athées"), ("immigrés", "réfugiés", "étrangers", "français"),
+    ("mujeres", "hombres", "niñas", "niños"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos", "ateos"), ("inmigrantes", "refugiados", "extranjeros", "españoles"),
 )
+#: Neutral words of the sample that may become stand-ins, at most; the least share of rows they are in; how far their rates
+#: under the two labels may differ; how alike the words before them must be (cosine).
+STAND_INS, LEAST_SHARE, NEUTRAL, ALIKE = 100, 0.02, 1.5, 0.3
 TOKEN = re.compile(r"\w+")
+SENTENCE_END = re.compile(r"[.!?\n]+")
 STEMS = (4, 5, 6)
 
 
@@ -45,14 +59,13 @@ def words_of(text: str) -> set[str]:
     return set(TOKEN.findall(text.lower()))
 
 
-def swaps(words: set[str], groups=IDENTITIES) -> list[set[str]]:
-    """The word sets of the text with one group's terms swapped for each other term of the group."""
-    out = []
+def swaps(words: Iterable[str], groups=IDENTITIES) -> list[set[str]]:
+    """The word sets of a sentence with one term swapped for each other term of its group."""
+    words, out = set(words), []
     for group in groups:
-        if here := words.intersection(group):
-            for other in group:
-                if here != {other}:
-                    out.append(words - here | {other})
+        here = words.intersection(group)
+        for term in sorted(here):
+            out += [words - {term} | {other} for other in group if other not in here]
     return out
 
 
@@ -60,13 +73,15 @@ def swaps(words: set[str], groups=IDENTITIES) -> list[set[str]]:
 class Model:
     weights: dict[str, float]
     bias: float
+    n_pairs: int = 0  # counterfactual pairs it was fitted with
 
     def logit(self, words: set[str]) -> float:
         return self.bias + sum(self.weights.get(f, 0.0) for f in {f for w in words for f in features(w)})
 
 
-def fit(rows: list[tuple[tuple[str, ...], int]], penalty: float = 1.0, ridge: float = 3e-4, groups=IDENTITIES, rounds: int = 250, n_features: int = FEATURES) -> Model:
-    """rows: (words, label). Chooses features by how labels differ over them, then descends."""
+def fit(rows: list[tuple[tuple[str, ...], int]], penalty: float = 1.0, ridge: float = 3e-4, groups=IDENTITIES, rounds: int = 250, apart: float = 0.0, sentences: list[tuple[str, ...]] | None = None) -> Model:
+    """rows: (words, label); sentences: the words of each sentence to swap terms in (each row's, if none
+    are given). Chooses features by how labels differ over them, then descends."""
     n, positive = len(rows), sum(y for _, y in rows)
     if not n or positive in (0, n):
         return Model({}, -20.0 if not positive else 20.0)
@@ -74,23 +89,21 @@ def fit(rows: list[tuple[tuple[str, ...], int]], penalty: float = 1.0, ridge: fl
     for words, y in rows:
         seen[y].update({f for w in words for f in features(w)})
 
-    def apart(f):  # how far the labels' rates of a feature differ, for how often it is met
+    def standing_out(f):  # how far the labels' rates of a feature differ (their logarithms), for how often it is met
         a, b = seen[1][f], seen[0][f]
         return abs(np.log((a + 0.5) / (positive + 1)) - np.log((b + 0.5) / (n - positive + 1))) * np.sqrt(a + b)
 
-    met = (f for f in seen[1].keys() | seen[0].keys() if seen[1][f] + seen[0][f] >= 3)
-    named = [f for _, f in sorted((-apart(f), f) for f in met)[:n_features]]
-    named = sorted({*named, *("w:" + t for g in groups for t in g)})
+    named = sorted({*(f for f in seen[1].keys() | seen[0].keys() if standing_out(f) >= apart), *("w:" + t for g in groups for t in g)})
     at = {f: k for k, f in enumerate(named)}
     coded = lambda words: np.array(sorted({at[f] for w in words for f in features(w) if f in at}), dtype=np.int64)
     xs = [coded(w) for w, _ in rows]
     y = np.array([v for _, v in rows], dtype=float)
-    pairs = [(k, coded(s)) for k, (w, _) in enumerate(rows) for s in swaps(set(w), groups)]
+    pairs = [(coded(s), coded(t)) for s in ((w for w, _ in rows) if sentences is None else sentences) for t in swaps(s, groups)]
     flat = lambda parts: (np.concatenate([*parts, np.empty(0, dtype=np.int64)]).astype(np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
     cols, row = flat(xs)
     d_cols, d_row, d_sign = [], [], []
-    for r, (k, other) in enumerate(pairs):
-        for part, sign in ((xs[k], 1.0), (other, -1.0)):
+    for r, (own, other) in enumerate(pairs):
+        for part, sign in ((own, 1.0), (other, -1.0)):
             d_cols.append(part)
             d_row.append(np.full(len(part), r))
             d_sign.append(np.full(len(part), sign))
@@ -109,34 +122,73 @@ def fit(rows: list[tuple[tuple[str, ...], int]], penalty: float = 1.0, ridge: fl
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model({f: float(x) for f, x in zip(named, w) if abs(x) > 1e-4}, float(b))
+    return Model({f: float(x) for f, x in zip(named, w) if abs(x) > 1e-4}, float(b), len(pairs))
 
 
 def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[tuple[str, ...], int]]:
-    """At most ``sample`` labelled rows that aren't held out, by smallest hash of their id."""
+def labelled_sentences(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """row, toxic, sentence (words in order) of at most ``sample`` labelled ids that aren't held out, by smallest
+    hash of the id; a text without words has one empty sentence. Rows that share an id count each."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marks = marks.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = common.written(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "marks")
 
-    def words(batches):
+    def cut(batches):
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in rows], pa.int64()), pa.array([" ".join(sorted(words_of(t or ""))) for _, t, _ in rows], pa.string()), pa.array([y for _, _, y in rows], pa.int32())], names=["doc_id", "words", "toxic"])
+            out = []
+            for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns)):
+                row = xxhash.xxh64_intdigest(f"{doc_id} {text}") >> 1
+                found = [w for w in (TOKEN.findall(s) for s in SENTENCE_END.split((text or "").lower())) if w]
+                out += [(row, int(y > 0), w) for w in found or [[]]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.list_(pa.string())))], names=["row", "toxic", "sentence"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(common.small(marks), "doc_id")
-    found = texts.mapInArrow(words, "doc_id long, words string, toxic int").orderBy("doc_id", "words").limit(2 * sample)
-    return [(tuple(map(sys.intern, r["words"].split())), int(r["toxic"] > 0)) for r in found.toLocalIterator()]
+    return common.written(texts.mapInArrow(common.tidy(cut), "row long, toxic int, sentence array<string>"), "labelled-sentences")
+
+
+def stand_ins(sentences: DataFrame) -> list[tuple[str, str]]:
+    """Pairs of neutral words that stand in the same slots: words at about the same rate under
+    both labels, each the other's nearest by the words that come before it. The driver gets counts of at most STAND_INS words."""
+    total = sentences.agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("row"))).alias("one"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("row"))).alias("none")).first()
+    if not total["one"] or not total["none"]:
+        return []
+    met = sentences.select("row", "toxic", F.explode("sentence").alias("word")).distinct().groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count_if(F.col("toxic") == 0).alias("none"))
+    ratio = (F.col("one") / total["one"]) / (F.col("none") / total["none"])
+    neutral = met.where((F.col("one") + F.col("none") >= LEAST_SHARE * (total["one"] + total["none"])) & (F.col("none") > 0) & ratio.between(1 / NEUTRAL, NEUTRAL))
+    words = [r["word"] for r in neutral.orderBy(F.desc(F.col("one") + F.col("none")), "word").limit(STAND_INS).collect()]
+    if len(words) < 2:
+        return []
+    both = F.arrays_zip(F.slice("sentence", 1, F.greatest(F.size("sentence") - 1, F.lit(0))).alias("before"), F.slice("sentence", 2, F.size("sentence") + 1).alias("word"))
+    slots = sentences.where(F.size("sentence") > 1).select(F.inline(both).alias("before", "word")).where(F.col("before").isin(words) & F.col("word").isin(words))
+    at, counts = {w: k for k, w in enumerate(words)}, np.zeros((len(words), len(words)))
+    for r in slots.groupBy("before", "word").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[at[r["word"]], at[r["before"]]] = r["n"]
+    counts /= np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-9)
+    alike = counts @ counts.T - 2 * np.eye(len(words))
+    best = alike.argmax(axis=1)
+    return [(words[k], words[b]) for k, b in enumerate(best.tolist()) if k < b and best[b] == k and alike[k, b] >= ALIKE]
+
+
+def labelled_sample(sentences: DataFrame, groups=IDENTITIES, most: int = SENTENCES) -> tuple[list[tuple[tuple[str, ...], int]], list[tuple[str, ...]]]:
+    """(words, label) of each labelled row, and the sentences with a term of the groups: those of the list before
+    those of stand-ins, then by smallest hash, ``most`` at most."""
+    rows = sentences.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sentence")))).alias("words"), F.max("toxic").alias("toxic"))
+    listed, terms = ([t for g in gs for t in g] for gs in (IDENTITIES, groups))
+    meets = lambda words: F.arrays_overlap("sentence", F.array(*map(F.lit, words)))
+    asked = sentences.where(meets(terms)).select(F.array_sort(F.array_distinct("sentence")).alias("s"), meets(listed).alias("listed")).distinct()
+    asked = asked.orderBy(F.desc("listed"), F.xxhash64("s"), "s").limit(most).select("s")
+    return [(tuple(map(sys.intern, r["words"])), r["toxic"]) for r in rows.orderBy("row").toLocalIterator()], [tuple(map(sys.intern, r["s"])) for r in asked.toLocalIterator()]
 
 
 class Scorer:
     """Looks up a word's features once."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known = model, common.cache({})
 
     def logit(self, text: str) -> float:
         known, weights, found = self.known, self.model.weights, set()
@@ -170,12 +222,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 z = np.clip(np.array([scorer.logit(t) for t in texts]), -40, 40)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(rows), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = 1.0) -> Model:
-    return fit(labelled_sample(docs, labels, sample), penalty)
+    """The classifier fitted on labelled rows of docs (doc_id, text) that aren't held out; labels: doc_id, toxic
+    (the highest counts, null ones don't). Without rows of both labels it is a constant."""
+    sentences = labelled_sentences(docs, labels, sample)
+    groups = (*IDENTITIES, *stand_ins(sentences))
+    rows, swapped = labelled_sample(sentences, groups)
+    return fit(rows, penalty, groups=groups, apart=APART, sentences=swapped)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
