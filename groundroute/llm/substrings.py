@@ -1,9 +1,11 @@
 """Repeated word windows across and within documents, and their removal.
 
-A first pass counts windows in count-min sketches, one a partition, which are merged by
-column block. A window is counted under its minimiser: the smallest hash of the ten-word
+A first pass counts windows in count-min sketches, one a chunk of documents, which are merged by
+range of columns. A window is counted under its minimiser: the smallest hash of the ten-word
 runs in it, a value that equal windows share, so an estimate is never below the window's
-count while a sixth of the insertions do. A second pass groups exactly, by 96-bit hashes,
+count while a sixth of the insertions do. The sketch has as many columns as the corpus needs; nobody holds more
+than one range of it: each chunk's columns go to their ranges and come back if they were counted twice or more.
+A second pass groups exactly, by 96-bit hashes,
 only windows whose estimate says "repeated"; each task first settles the windows that
 repeat among its own rows, so that a very common window costs one row a task.
 """
@@ -11,12 +13,12 @@ repeat among its own rows, so that a very common window costs one row a task.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +28,10 @@ from . import common, files
 from .words import M2, WordHashes, rolling
 
 WINDOW, RUN = 20, 10
-#: Sketch columns in a block, and the most columns in a row of the sketch (its memory bound: 2 x 128 MB as bits).
-BLOCK, MAX_COLUMNS = 1 << 16, 1 << 30
-#: Windows that a task settles at a time.
-FLUSH = 500_000
+#: Sketch columns (as bits of their number) that one range holds: 4 MB of counts.
+RANGE_BITS = 22
+#: Windows that a task settles at a time; minimisers of a chunk.
+FLUSH, CHUNK = 500_000, 500_000
 ROW_SEED = np.uint64(0xD6E8FEB86659FD93)
 NO_ID = -(1 << 63)
 
@@ -37,7 +39,7 @@ NO_ID = -(1 << 63)
 BUCKET_BYTES = 48 << 20
 WINDOWS = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("start", "<i4"), ("doc", "<u4")])
 
-_hashes = WordHashes()
+_hashes = common.cache(WordHashes())
 
 
 def anchors(h: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,63 +142,127 @@ def in_turn(parts: list[bytes], most: int) -> list[list[bytes]]:
     return out
 
 
-def sketch(docs: DataFrame, bits: int, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """Merged sketch of docs (text as bytes in the last column): row, block, bits (columns counted twice or more)."""
+def chunks(batches, window: int, run: int, size: int):
+    """The documents of a task (rows: key, hash, words as bytes) in runs of about so many minimisers: (digest, [(key, hash,
+    word hashes)], minimisers). Both passes cut alike where their tasks get the same rows; the digest tells
+    whether they did. Documents shorter than a window are left out."""
+    digest, held, values, n = xxhash.xxh64(), [], [], 0
+    for batch in batches:
+        for (key, hash_), words in _texts(batch):
+            if len(words) < window:
+                continue
+            h = _hashes.of(words)
+            digest.update(f"{key} {hash_};")
+            held.append((key, hash_, h))
+            values.append(anchors(h, window, run)[1])
+            n += len(values[-1])
+            if n >= size:
+                yield digest.intdigest() - (1 << 63), held, values
+                digest, held, values, n = xxhash.xxh64(), [], [], 0
+    if held:
+        yield digest.intdigest() - (1 << 63), held, values
+
+
+FLAGS = "chunk long, row int, range long, low binary"
 
-    def count(batches):
-        held, size = [], 0
 
-        def blocks():
-            for row, at in enumerate(columns(np.concatenate(held), bits)):
+def sketch(docs: DataFrame, bits: int, range_bits: int = RANGE_BITS, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    """Of docs (key, hash, words as bytes): for each chunk the columns it uses of the merged sketch's two rows
+    that were counted twice or more (chunk, row, range, low: their numbers in the range, uint32)."""
+    range_bits = min(bits, range_bits)
+
+    def count(batches):
+        for chunk, _, values in chunks(batches, window, run, CHUNK):
+            for row, at in enumerate(columns(np.concatenate(values), bits)):
                 at, n = np.unique(at, return_counts=True)
-                block, low = (at >> np.uint64(16)).astype(np.int64), (at & np.uint64(BLOCK - 1)).astype("<u2")
-                cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                ends = np.r_[cuts[1:], len(block)]
+                range_, low = (at >> np.uint64(range_bits)).astype(np.int64), (at & np.uint64((1 << range_bits) - 1)).astype("<u4")
+                cuts = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]])
+                ends = np.r_[cuts[1:], len(range_)]
                 once = [low[a:b][n[a:b] == 1].tobytes() for a, b in zip(cuts, ends)]
                 more = [low[a:b][n[a:b] > 1].tobytes() for a, b in zip(cuts, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(cuts), pa.int32()), pa.array(block[cuts]), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["row", "block", "once", "more"])
-
-        for batch in batches:
-            for _, words in _texts(batch):
-                if len(words) >= window:
-                    held.append(anchors(_hashes.of(words), window, run)[1])
-                    size += len(held[-1])
-            if size >= FLUSH:
-                yield from blocks()
-                held, size = [], 0
-        if held:
-            yield from blocks()
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(cuts), pa.int64()), pa.array([row] * len(cuts), pa.int32()), pa.array(range_[cuts]), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["chunk", "row", "range", "once", "more"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(BLOCK, dtype=np.int32)
-        for kind, by in (("once", 1), ("more", 2)):
-            for x in pdf[kind]:
-                counts[np.frombuffer(x, dtype="<u2")] += by  # no index twice in one part
-        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "block": [pdf["block"].iloc[0]], "bits": [np.packbits(counts > 1, bitorder="little").tobytes()]})
-
-    return docs.mapInArrow(count, "row int, block long, once binary, more binary").groupBy("row", "block").applyInPandas(merge, "row int, block long, bits binary")
+        counts = np.zeros(1 << range_bits, dtype=np.uint8)
+        for x, y in zip(pdf["once"], pdf["more"]):
+            x = np.frombuffer(x, dtype="<u4")  # no number twice in one part
+            counts[x] = np.minimum(counts[x], 1) + 1
+            counts[np.frombuffer(y, dtype="<u4")] = 2
+        once = (np.frombuffer(x, dtype="<u4") for x in pdf["once"])
+        back = [x[counts[x] > 1].tobytes() + bytes(y) for x, y in zip(once, pdf["more"])]
+        return pdf[["chunk", "row", "range"]].assign(low=back)
+
+    return docs.mapInArrow(common.tidy(count), "chunk long, row int, range long, once binary, more binary").groupBy("row", "range").applyInPandas(merge, FLAGS)
+
+
+class Flags:
+    """What came back of the merged sketch, chunk by chunk, from a table written by slot."""
+
+    def __init__(self, uri: str, slots: int, bits: int, range_bits: int = RANGE_BITS):
+        self.uri, self.slots, self.bits, self.range_bits = uri, slots, bits, min(bits, range_bits)
+
+    def of(self, chunk: int) -> list[np.ndarray] | None:
+        """The sorted repeated columns of each row of the sketch; None for a chunk that wasn't counted."""
+        fs, path = files.split_uri(f"{self.uri}/slot={chunk % self.slots}")
+        found = fs.get_file_info(path)
+        if found.type != files.pafs.FileType.Directory:
+            return None
+        rows: list[list[np.ndarray]] = [[], []]
+        parts = [x.path for x in fs.get_file_info(files.pafs.FileSelector(path)) if x.path.endswith(".parquet")]
+        for part in parts:
+            for x in pq.read_table(part, filesystem=fs, partitioning=None, filters=[("chunk", "==", chunk)]).to_pylist():
+                rows[x["row"]].append(np.frombuffer(x["low"], dtype="<u4").astype(np.uint64) + (np.uint64(x["range"]) << np.uint64(self.range_bits)))
+        return [np.sort(np.concatenate(r)) for r in rows] if all(rows) else None
+
+    def hits(self, low: np.ndarray, flags: list[np.ndarray] | None) -> np.ndarray:
+        """Which windows, given by their minimisers, are estimated repeated: all where nothing is known."""
+        if flags is None:
+            return np.arange(len(low))
+        new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])  # neighbouring windows share a minimiser
+        hit = np.ones(len(new), dtype=bool)
+        for at, known in zip(columns(low[new], self.bits), flags):
+            place = np.searchsorted(known, at)
+            hit &= (place < len(known)) & (known[np.minimum(place, len(known) - 1)] == at) if len(known) else False
+        return np.flatnonzero(np.repeat(hit, np.diff(np.r_[new, len(low)])))
+
+
+def prefilter(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_columns: int | None = None, range_bits: int = RANGE_BITS) -> Flags:
+    """The merged sketch of docs, as what each chunk needs of it. max_columns bounds its columns (more windows
+    then pass); by itself it has one for every nine bytes of text, four for each insertion."""
+    size = n_text(docs)
+    bits = max(16, (min(max_columns or size, max(2, size // 9)) - 1).bit_length())
+    slots = max(common.width(docs.sparkSession), size // (64 << 20))
+    flags = Flags(common.new_path(docs.sparkSession, "sketch"), slots, bits, range_bits)
+    back = sketch(docs, bits, range_bits, window, run).withColumn("slot", F.pmod("chunk", F.lit(slots)))
+    back.repartition("slot").sortWithinPartitions("slot", "chunk").write.partitionBy("slot").parquet(flags.uri)
+    return flags
+
+
+def n_text(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def filter_rate(docs: DataFrame, window: int = WINDOW, run: int = RUN, **options) -> tuple[int, int]:
+    """(windows, windows that the prefilter estimates repeated) of docs (key, hash, words as bytes)."""
+    flags = prefilter(docs, window, run, **options)
 
+    def count(batches):
+        for chunk, held, _ in chunks(batches, window, run, CHUNK):
+            known = flags.of(chunk)
+            for _, _, h in held:
+                low, _ = anchors(h, window, run)
+                yield pa.RecordBatch.from_arrays([pa.array([len(low)]), pa.array([len(flags.hits(low, known))])], names=["all", "hit"])
 
-@lru_cache(maxsize=1)
-def load_sketch(uri: str, bits: int) -> list[np.ndarray]:
-    """The merged sketch of a written table, once for each worker."""
-    fs, path = files.split_uri(uri)
-    rows = [np.zeros(max(1 << bits, BLOCK) // 8, dtype=np.uint8) for _ in range(2)]
-    for info in fs.get_file_info(files.pafs.FileSelector(path)):
-        if info.path.endswith(".parquet"):
-            for x in pq.read_table(info.path, filesystem=fs).to_pylist():
-                rows[x["row"]][x["block"] * (BLOCK // 8) : (x["block"] + 1) * (BLOCK // 8)] = np.frombuffer(x["bits"], dtype=np.uint8)
-    return rows
+    row = docs.mapInArrow(count, "all long, hit long").agg(F.sum("all"), F.sum("hit")).first()
+    return row[0] or 0, row[1] or 0
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_columns: int = MAX_COLUMNS) -> DataFrame:
+def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_columns: int | None = None, range_bits: int = RANGE_BITS) -> DataFrame:
     """Of docs (key, hash, words as bytes): key, hash, starts (binary int32): where windows begin
     that also begin earlier (smaller key, or same key and smaller start). One row a document."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(16, (min(max_columns, max(2, size // 9)) - 1).bit_length())
-    merged = common.new_path(spark, "sketch")
-    sketch(docs, bits, window, run).write.parquet(merged)
+    size = n_text(docs)
+    flags = prefilter(docs, window, run, max_columns, range_bits)
     # a bucket of hashes stays small even if every window were estimated repeated
     buckets = max(common.width(spark), size // BUCKET_BYTES + 1)
     # documents are dealt by key and hash (copies of a text share the hash alone) into ranges of a third of that, as all their windows may come back
@@ -204,7 +270,6 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
     found = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("rows", pa.binary())])
 
     def candidates(batches):
-        seen = load_sketch(merged, bits)
         held, of, size, turn = [], [], 0, first_turn(TaskContext.get().partitionId(), buckets)
 
         def settle():
@@ -221,14 +286,10 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
             turn += 1
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[bucket[cuts], turn % buckets]), pa.array([False] * len(cuts) + [True]), pa.array([*parts, _pack(rows[later], keys, hashes, False)], pa.binary())], schema=found)
 
-        for batch in batches:
-            for (key, hash_), words in _texts(batch):
-                if len(words) < window:
-                    continue
-                h = _hashes.of(words)
-                low, _ = anchors(h, window, run)
-                a, b = columns(low, bits)
-                hit = np.flatnonzero((seen[0][a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (seen[1][b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1)
+        for chunk, docs_, _ in chunks(batches, window, run, CHUNK):
+            known = flags.of(chunk)
+            for key, hash_, h in docs_:
+                hit = flags.hits(anchors(h, window, run)[0], known)
                 if len(hit):
                     rows = np.empty(len(hit), dtype=WINDOWS)
                     rows["h1"], rows["h2"], rows["start"], rows["doc"] = rolling(h, window)[hit], rolling(h, window, M2)[hit] >> np.uint64(32), hit, len(of)
@@ -268,7 +329,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (hash_[1:] != hash_[:-1])][: len(key)])
         return pd.DataFrame({"key": key[cuts], "hash": hash_[cuts], "starts": [start[x:y].tobytes() for x, y in zip(cuts, np.r_[cuts[1:], len(key)])]})
 
-    packed = docs.mapInArrow(candidates, "bucket long, settled boolean, rows binary").groupBy("bucket").applyInPandas(group, "range long, rows binary")
+    packed = docs.mapInArrow(common.tidy(candidates), "bucket long, settled boolean, rows binary").groupBy("bucket").applyInPandas(group, "range long, rows binary")
     return packed.groupBy("range").applyInPandas(by_document, "key long, hash long, starts binary")
 
 
@@ -306,7 +367,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, keep_t
                 types = [pa.int64()] * 3 + [pa.string()] * (1 + keep_text)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: len(types)])
 
-    return keyed.join(starts, ["key", "hash"], "left").select("key", "starts", "text").mapInArrow(keep, schema)
+    return keyed.join(starts, ["key", "hash"], "left").select("key", "starts", "text").mapInArrow(common.tidy(keep), schema)
 
 
 def op9_repeats_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
