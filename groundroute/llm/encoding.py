@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 700_000
+#: Bytes that a worker keeps of words met and their ids, about; and what an entry costs beside its characters and ids.
+CACHE_BYTES, ENTRY = 96 << 20, 250
 #: New words that are encoded as one text, a line each.
 TOGETHER = 100
 #: Punctuation that is split off a word before it is encoded.
@@ -29,7 +30,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """plain_specials: strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str, plain_specials: bool = False, limit: int = CACHE_CHUNKS):
+    def __init__(self, path: str, plain_specials: bool = False, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,6 +39,7 @@ class Encoder:
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}
+        self.held = 0
         line = self.tokenizer.encode("a\na", add_special_tokens=False).ids
         self.line = line[1] if len(line) == 3 else None
         self.newline = np.array([self.line or 0], dtype=self.dtype).tobytes()
@@ -63,6 +65,7 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """new: words, with the space that stands before them, if one does."""
+        self.held += sum(map(len, new)) * 2 + ENTRY * len(new)
         plain = [w for w in new if "<|" not in w]
         self.known.update(zip(plain, self._lines(plain)))
         if len(plain) < len(new):
@@ -88,6 +91,7 @@ class Encoder:
         for t in tails:
             if t not in self.tail:
                 self.tail[t] = self._ids([t])[0]
+                self.held += 2 * len(t) + ENTRY
         parts = [b"", self.newline, *map(self.known.__getitem__, words), *map(self.tail.__getitem__, tails)]
         place = np.zeros((len(names), 3), dtype=np.int64)
         place[:, 0] = bare.to_numpy(zero_copy_only=False)
@@ -97,9 +101,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
-        for known in (self.known, self.tail):
-            if len(known) > self.limit:
-                known.clear()
+        if self.held > self.limit:
+            self.known.clear()
+            self.tail.clear()
+            self.held = 0
         out: list[bytes] = [b""] * len(texts)
         whole, regular, lines = [], [], []
         for n, text in enumerate(texts):
