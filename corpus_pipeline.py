@@ -54,11 +54,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or twice."""
-    taken = mixing.mix(docs).where("size > 0 and taken > 0").select(F.col("doc_id").alias("take_id"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    taken = common.small(common.written(taken.groupBy("take_id").agg(F.max("times").alias("times")), "taken"))
-    copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["take_id"])).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.select(*docs.columns)
+    """Every document as often as the mix takes it: not at all, once or twice. Rows that repeat an id and its text
+    are there as often as the mix takes them together."""
+    mixed = mixing.mix(docs.select(ROW.alias("doc_id"), "text", "source")).where("size > 0")
+    rows = mixed.groupBy(F.col("doc_id").alias("take_row")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"), F.count(F.lit(1)).alias("met"))
+    taken = common.written(rows.where("times > 0"), "taken")
+    times = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")
+    single, repeated = (docs.join(common.small(taken.where(c)), ROW == F.col("take_row")) for c in ("met = 1", "met > 1"))
+    once = repeated.groupBy("take_row", "times").agg(F.min(F.struct(*docs.columns)).alias("one"))
+    return single.select(*docs.columns, times).drop("copy").unionByName(once.select("one.*", times).drop("copy"))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
