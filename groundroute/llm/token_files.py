@@ -179,7 +179,7 @@ def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id and ids (array of int) of the documents in ``wanted`` (doc_id); of each file only
     the frames that hold one of them are decompressed."""
     spark = manifest.sparkSession
-    held = common.small(manifest.select("path", "first_id", "last_id"), 100_000)
+    held = common.small(manifest.select("path", "first_id", "last_id"))
     asked = wanted.select(F.col("doc_id").cast("long").alias("want")).where("want is not null").distinct()
     per_file = asked.join(held, (F.col("want") <= F.col("last_id")) & ((F.col("want") >= F.col("first_id")) | F.col("first_id").isNull())).groupBy("path").agg(F.collect_list("want").alias("ids"))
 
