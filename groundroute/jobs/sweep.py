@@ -18,13 +18,13 @@ from ..shared import written
 from ..sources.images import shapes as shapes_of
 
 
-def matrices(pixels: DataFrame, labels: DataFrame | None, shapes: DataFrame, tf: str, sizes: Sequence[int], ov: int, multiscale: bool, smooth: bool, normalize: bool) -> DataFrame:
+def matrices(pixels: DataFrame, labels: DataFrame | None, shapes: DataFrame, tf: str, sizes: Sequence[int], ov: int, multiscale: bool, smooth: bool, normalize: bool, images: DataFrame | None = None) -> DataFrame:
     """The matrix to route on; tf "reference" takes the labels' own."""
     if tf == "reference":
         return ground_truth(labels, shapes, sizes, ov)
     if not multiscale:
-        return traversability(pixels, shapes, sizes, tf, ov, smooth=smooth, normalize=normalize)
-    parts = [traversability_multiscale(pixels, shapes, r, tf, ov, smooth=smooth, scales=sizes, normalize=normalize) for r in sizes]
+        return traversability(pixels, shapes, sizes, tf, ov, smooth=smooth, normalize=normalize, images=images)
+    parts = [traversability_multiscale(pixels, shapes, r, tf, ov, smooth=smooth, scales=sizes, normalize=normalize, images=images) for r in sizes]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -53,7 +53,7 @@ def shaped(pairs: DataFrame, edges: DataFrame, tree: DataFrame, cells: DataFrame
     return curve.unionByName(ends.distinct())
 
 
-def run_sweep(pixels: DataFrame, labels: DataFrame | None, keypoints: DataFrame, functions: Sequence[str], sizes: Sequence[int], cuts: Sequence[float], ov: int = 1, multiscale: bool = False, smooth: bool = True, normalize: bool = True) -> DataFrame:
+def run_sweep(pixels: DataFrame, labels: DataFrame | None, keypoints: DataFrame, functions: Sequence[str], sizes: Sequence[int], cuts: Sequence[float], ov: int = 1, multiscale: bool = False, smooth: bool = True, normalize: bool = True, images: DataFrame | None = None) -> DataFrame:
     """Result records for every image, function, region size, cut and keypoint pair: existence (which
     set the pair is of), found, score, coordinates, length, dist. Without labels the score is null.
     ov 2 is an overlap of a half; graphs then reach two cells. Times aren't measured: Spark
@@ -63,7 +63,7 @@ def run_sweep(pixels: DataFrame, labels: DataFrame | None, keypoints: DataFrame,
     points = keypoint_cells(keypoints, shapes, sizes, ov)
     out = None
     for tf in functions:
-        matrix = written(matrices(pixels, labels, shapes, tf, sizes, ov, multiscale, smooth, normalize), "matrix")
+        matrix = written(matrices(pixels, labels, shapes, tf, sizes, ov, multiscale, smooth, normalize, images), "matrix")
         pairs, edges, tree = search(matrix, points, cuts, 2 if ov > 1 else 1)
         pairs = written(pairs, "pairs")
         curve = written(shaped(pairs, edges, tree, cells), "curves")

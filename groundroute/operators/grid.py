@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import div
+from ..shared import small
 
 
 def _geometry(shapes: DataFrame, sizes: Sequence[int], ov: int) -> DataFrame:
@@ -50,9 +51,9 @@ def _covering(at: str, edge: str, count: str, ov: int) -> Column:
 
 def assign_cells(pixels: DataFrame, shapes: DataFrame, sizes: Sequence[int], ov: int = 1) -> DataFrame:
     """pixels with r, ov, i, j, k of each cell that covers them: one cell without overlap (pixels
-    cropped away have none), several with it. Arithmetic only: shapes (a row an image) is the
-    one thing joined."""
-    p = pixels.join(_geometry(shapes, sizes, ov), "image")
+    cropped away have none), several with it. Arithmetic only: shapes (a row an image, broadcast
+    if its size allows) is the one thing joined."""
+    p = pixels.join(small(_geometry(shapes, sizes, ov)), "image")
     if ov == 1:
         p = p.where((F.col("y") >= F.col("ey")) & (F.col("y") < F.col("ey") + F.col("rows") * F.col("r")) & (F.col("x") >= F.col("ex")) & (F.col("x") < F.col("ex") + F.col("cols") * F.col("r")))
         p = p.withColumn("i", div(F.col("y") - F.col("ey"), F.col("r"))).withColumn("j", div(F.col("x") - F.col("ex"), F.col("r")))

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import Rounds
 from .grid import _covering, _geometry
 from ..functions import div
 
 #: Fixed limits of the blob filter.
-LEAST_AREA, MOST_AREA, LEAST_CIRCULARITY, LEAST_CONVEXITY, LEAST_INERTIA = 20, 5000, 0.1, 0.5, 0.5
+LEAST_AREA, LEAST_CIRCULARITY, LEAST_CONVEXITY, LEAST_INERTIA = 20, 0.1, 0.5, 0.5
 
 
 def label_blobs(bright: DataFrame, rounds: int = 200) -> DataFrame:
@@ -22,13 +22,14 @@ def label_blobs(bright: DataFrame, rounds: int = 200) -> DataFrame:
     as one number. Labels spread to neighbours and along to the label's own label until nothing changes."""
     key = ["image", "kind"]
     at = (F.col("y") * F.lit(1 << 31) + F.col("x")).alias("p")
-    now = written(bright.select(*key, "y", "x", at, at.alias("label")), "blobs")
+    kept = Rounds(bright.sparkSession, "blobs")
+    now = kept.write(bright.select(*key, "y", "x", at, at.alias("label")))
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     for _ in range(rounds):
         told = now.select(*key, "y", "x", "label", near.alias("o")).select(*key, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "label").groupBy(*key, "y", "x").agg(F.min("label").alias("low"))
         spread = now.join(told, [*key, "y", "x"]).select(*key, "y", "x", "p", F.col("label").alias("old"), "low")
         jump = spread.select(*key, F.col("p").alias("low"), F.col("low").alias("next"))
-        after = written(spread.join(jump, [*key, "low"]).select(*key, "y", "x", "p", F.col("next").alias("label"), (F.col("next") < F.col("old")).alias("changed")), "blobs")
+        after = kept.write(spread.join(jump, [*key, "low"]).select(*key, "y", "x", "p", F.col("next").alias("label"), (F.col("next") < F.col("old")).alias("changed")))
         now = after.drop("changed")
         if not after.where("changed").limit(1).count():
             return now.drop("p")
@@ -51,35 +52,40 @@ def _hull_area_perimeter(pts: np.ndarray) -> tuple[float, np.ndarray]:
     return 0.5 * abs(np.dot(x, np.roll(y, 1)) - np.dot(y, np.roll(x, 1))), hull
 
 
-def find_blobs(markers: DataFrame, threshold: int = 127) -> DataFrame:
+def find_blobs(markers: DataFrame, threshold: int = 127, most_area: int | None = None) -> DataFrame:
     """image, kind, ord (from 0, by place), y, x of bright marks: 8-connected pixels above the
     threshold whose area, circularity, convexity and inertia pass the limits; the place is the
-    centroid, cut to whole pixels. One threshold stands for a detector's ladder of them."""
+    centroid, cut to whole pixels. One threshold stands for a detector's ladder of them. most_area, if given, leaves out
+    larger blobs. A blob's shape comes from sums and from the ends of its rows of pixels: no task holds a blob's pixels."""
     bright = label_blobs(markers.where(F.col("gray") > threshold).select("image", "kind", "y", "x"))
     key = ["image", "kind", "label"]
-    n = F.count(F.lit(1))
-    stats = bright.groupBy(*key).agg(n.alias("area"), F.sum("y").alias("sy"), F.sum("x").alias("sx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("x")).alias("sxy"))
-    sized = stats.where(F.col("area").between(LEAST_AREA, MOST_AREA))
-    # bounded groups: what is larger has been left out
-    shape_in = bright.join(sized.select(*key, "area", "sy", "sx", "syy", "sxx", "sxy"), key)
+    stats = bright.groupBy(*key).agg(F.count(F.lit(1)).alias("area"), F.sum("y").alias("sy"), F.sum("x").alias("sx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("x")).alias("sxy"))
+    sized = stats.where((F.col("area") >= LEAST_AREA) & (F.lit(most_area is None) | (F.col("area") <= F.lit(most_area or 0))))
+    # sides of pixels that no pixel of the blob shares, counted by neighbours in rows and columns
+    sides = None
+    for line, along in (("y", "x"), ("x", "y")):
+        order = Window.partitionBy(*key, line).orderBy(along)
+        apart = lambda other, along=along: F.coalesce(F.abs(other - F.col(along)) > 1, F.lit(True)).cast("long")
+        part = bright.select(*key, (apart(F.lag(along).over(order)) + apart(F.lead(along).over(order))).alias("sides"))
+        sides = part if sides is None else sides.unionByName(part)
+    edges = sides.groupBy(*key).agg(F.sum("sides").alias("edge"))
+    ends = bright.groupBy(*key, "y").agg(F.min("x").alias("low"), F.max("x").alias("high")).join(sized, key).join(edges, key)
 
     def shape(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        p = pdf[["y", "x"]].to_numpy(dtype=float)
-        area = float(len(p))
-        corners = np.concatenate([p + d for d in ((-0.5, -0.5), (-0.5, 0.5), (0.5, -0.5), (0.5, 0.5))])
+        area, edge = float(first["area"]), float(first["edge"])
+        y = pdf["y"].to_numpy(dtype=float)
+        corners = np.concatenate([np.c_[y + dy, pdf[c].to_numpy(dtype=float) + dx] for c, dx in (("low", -0.5), ("high", 0.5)) for dy in (-0.5, 0.5)])
         hull_area, _ = _hull_area_perimeter(corners)
-        held = {(a, b) for a, b in p.astype(int).tolist()}
-        edge = sum((a + da, b + db) not in held for a, b in held for da, db in ((0, 1), (1, 0), (0, -1), (-1, 0)))
-        n_, syy, sxx, sxy = area, first["syy"] - first["sy"] ** 2 / area, first["sxx"] - first["sx"] ** 2 / area, first["sxy"] - first["sy"] * first["sx"] / area
+        syy, sxx, sxy = first["syy"] - first["sy"] ** 2 / area, first["sxx"] - first["sx"] ** 2 / area, first["sxy"] - first["sy"] * first["sx"] / area
         spread = np.hypot(syy - sxx, 2 * sxy)
         low, high = (syy + sxx - spread) / 2, (syy + sxx + spread) / 2
         ok = 4 * np.pi * area / edge**2 >= LEAST_CIRCULARITY and area / hull_area >= LEAST_CONVEXITY and (high <= 0 or low / high >= LEAST_INERTIA)
-        rows = [(first["image"], first["kind"], int(first["sy"] // n_), int(first["sx"] // n_))] if ok else []
+        rows = [(first["image"], first["kind"], int(first["sy"] // area), int(first["sx"] // area))] if ok else []
         return pd.DataFrame(rows, columns=["image", "kind", "y", "x"])
 
     kind = markers.schema["image"].dataType.simpleString()
-    found = shape_in.groupBy(*key).applyInPandas(shape, f"image {kind}, kind string, y long, x long")
+    found = ends.groupBy(*key).applyInPandas(shape, f"image {kind}, kind string, y long, x long")
     return found.select("image", "kind", (F.row_number().over(Window.partitionBy("image", "kind").orderBy("y", "x")) - 1).alias("ord"), "y", "x")
 
 
@@ -106,6 +112,7 @@ def keypoint_pairs(cells: DataFrame) -> DataFrame:
 
 
 def sample_pair(keypoints: DataFrame, seed: int = 0) -> DataFrame:
-    """Two keypoints of each image at random (fewer, if it has fewer)."""
-    order = Window.partitionBy("image").orderBy(F.xxhash64(F.lit(seed), "kind", "ord"), "kind", "ord")
+    """Two keypoints of each image at random (fewer, if it has fewer): those with the smallest digests of seed, image and point."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("image").cast("string"), "kind", F.col("ord").cast("string")))
+    order = Window.partitionBy("image").orderBy(digest, "kind", "ord")
     return keypoints.withColumn("pick", F.row_number().over(order)).where("pick <= 2")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import div
+from ..shared import small
 from .routes import PATH
 
 PENALTY, PASSABLE = 0.03, 0.5
@@ -15,19 +16,22 @@ def patch_values(points: DataFrame, labels: DataFrame, shapes: DataFrame) -> Dat
     """t of each distinct (image, r, row, col): mean of the label patch around it (ends exclusive,
     never the image's last row or column) after erosion by a square of half the region size inside the patch;
     no row for an empty patch."""
-    p = points.select("image", "r", "row", "col").distinct().join(shapes.select("image", "h", "w"), "image")
+    key = ["image", "r", "row", "col"]
+    p = points.select(*key).distinct().join(small(shapes.select("image", "h", "w")), "image")
     half = div(F.col("r"), 2)
     p = p.withColumn("half", half).withColumn("a", F.greatest(F.lit(0), F.col("row") - half)).withColumn("b", F.least(F.col("h") - 1, F.col("row") + half) - 1).withColumn("e", F.greatest(F.lit(0), F.col("col") - half)).withColumn("f", F.least(F.col("w") - 1, F.col("col") + half) - 1)
     p = p.where("a <= b and e <= f").withColumn("y", F.explode(F.sequence("a", "b"))).withColumn("x", F.explode(F.sequence("e", "f")))
-    v = p.join(labels.select("image", "y", "x", "lab"), ["image", "y", "x"])
-    # erosion: rows then columns; the window runs from -k//2 to -k//2 + k - 1, k = r // 2
-    key = ["image", "r", "row", "col"]
-    for line, along in ((["y"], "x"), (["x"], "y")):
-        steps = F.array_sort(F.collect_list(F.struct(F.col(along).alias("at"), F.col("lab").alias("v"))).over(Window.partitionBy(*key, *line)))
-        first = F.col(along) - div(F.col("half"), 2)
-        near = F.filter(F.col("steps"), lambda s: (s["at"] >= first) & (s["at"] <= first + F.col("half") - 1))
-        v = v.withColumn("steps", steps).withColumn("lab", F.when(F.col("half") > 0, F.array_min(F.transform(near, lambda s: s["v"]))).otherwise(F.col("lab"))).drop("steps")
-    return v.groupBy(*key).agg((F.sum("lab") / (255.0 * F.count(F.lit(1)))).alias("t"))
+    v = p.join(labels.select("image", "y", "x", "lab"), ["image", "y", "x"]).select(*key, "half", "y", "x", "lab")
+    # erosion: rows then columns, running minima over the patch, a whole rectangle; the window runs from
+    # -k//2 to -k//2 + k - 1, k = r // 2. Frames are fixed, so each region size (a handful) has its own.
+    sizes = [r["r"] for r in points.select("r").distinct().orderBy("r").collect()]
+    out = None
+    for r in sizes:
+        k, part = r // 2, v.where(F.col("r") == r)
+        for line, along in (("y", "x"), ("x", "y")) if k > 1 else ():
+            part = part.withColumn("lab", F.min("lab").over(Window.partitionBy(*key, line).orderBy(along).rowsBetween(-(k // 2), -(k // 2) + k - 1)))
+        out = part if out is None else out.unionByName(part)
+    return (v if out is None else out).groupBy(*key).agg((F.sum("lab") / (255.0 * F.count(F.lit(1)))).alias("t"))
 
 
 def score_paths(paths: DataFrame, labels: DataFrame, shapes: DataFrame) -> DataFrame:

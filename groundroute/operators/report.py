@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import small
+from .metrics import compare, errors, ssim
 
+MEASURES = ("corr", "jaccard", "rmse", "nrmse", "psnr", "nmae", "ssim")
 TIMES = ("matrix_build_time", "graph_build_time", "path_build_time")
 
 
@@ -106,7 +108,23 @@ def average_time(results: DataFrame, function: str, size: int, cut: float) -> Da
 
 
 def accuracy_sweep(measured: DataFrame) -> DataFrame:
-    """r, value: mean of a measure (image, r, value) over images."""
-    return measured.groupBy("r").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
+    """(f,) r, value, n: mean of a measure (image, r, value) over images; where the rows name an estimator (f) or a measure, of each of them."""
+    by = [c for c in ("f", "measure") if c in measured.columns]
+    return measured.groupBy(*by, "r").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
+
+
+def accuracy_table(matrices: dict[str, DataFrame], truth: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
+    """f, measure, r, value, n: every estimator's matrix against the truth by every measure, as means over images. The aggregates
+    of one matrix are one shuffle; only the structural one needs windows of its own."""
+    out = None
+    for f, matrix in matrices.items():
+        pairs = compare(matrix, truth)
+        plain = {m: c for m, c in errors().items() if m in measures}
+        rows = pairs.groupBy("image", "r").agg(*[c.alias(m) for m, c in plain.items()]).unpivot(["image", "r"], list(plain), "measure", "value")
+        if "ssim" in measures:
+            rows = rows.unionByName(ssim(pairs).select("image", "r", F.lit("ssim").alias("measure"), "value"))
+        rows = rows.withColumn("f", F.lit(f))
+        out = rows if out is None else out.unionByName(rows)
+    return accuracy_sweep(out)
 
 

@@ -8,31 +8,113 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import div
-from ..shared import written
+from ..shared import small, written
 
 GRAPH = ["image", "r", "c"]
 NODE = [*GRAPH, "s", "k"]
 
 
-def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int = 4, rounds: int = 2000) -> DataFrame:
+#: Cells of a tile (a band of an image's rows): what one task relaxes at a time.
+TILE = 65_536
+
+
+def relax(dist: np.ndarray, reached: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """Lowers dist (sources x cells) in place until no edge (sorted by dst) lowers it further, or for so many steps.
+    reached: cells to begin at; gives back those to go on from."""
+    while reached.any() and steps != 0:
+        steps = None if steps is None else steps - 1
+        used = reached[src]
+        to, now = dst[used], dist[:, src[used]] + w[used]
+        first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)])
+        reached = np.zeros(dist.shape[1], dtype=bool)
+        if len(first):
+            best, cells = np.minimum.reduceat(now, first, axis=1), to[first]
+            reached[cells] = (best < dist[:, cells]).any(axis=0)
+            dist[:, cells] = np.minimum(dist[:, cells], best)
+    return reached
+
+
+def _relax_tile(inside: np.ndarray, known: pd.DataFrame, edges: pd.DataFrame, steps: int | None) -> pd.DataFrame:
+    """One graph's tile: known (s, k, dist, fresh) and edges (k, dst, w) that begin in it. Distances of its cells that
+    were lowered (told 0), what its edges tell cells of other tiles (1), and cells it has yet to go on from (2)."""
+    names, source = np.unique(known["s"].to_numpy(), return_inverse=True)
+    cells, at = np.unique(np.r_[inside, known["k"].to_numpy(), edges["dst"].to_numpy()], return_inverse=True)
+    src, dst = at[: len(inside)], at[len(inside) + len(known) :]
+    start = at[len(inside) : len(inside) + len(known)]
+    own = np.zeros(len(cells), dtype=bool)
+    own[src], own[start] = True, True
+    order = np.argsort(dst, kind="stable")
+    src, dst, w = src[order], dst[order], edges["w"].to_numpy(dtype=float)[order]
+    stays = own[dst]
+    out = []
+    step = max(1, (1 << 22) // max(1, len(w)))  # sources at a time: a bounded matrix
+    for low in range(0, len(names), step):
+        mine = (source >= low) & (source < low + step)
+        dist = np.full((min(step, len(names) - low), len(cells)), np.inf)
+        np.minimum.at(dist, (source[mine] - low, start[mine]), known["dist"].to_numpy(dtype=float)[mine])
+        before = np.full(dist.shape, np.inf)
+        fresh = known["fresh"].to_numpy(dtype=bool)
+        old, begin = mine & ~fresh, np.zeros(len(cells), dtype=bool)
+        begin[start[mine & fresh]] = True
+        np.minimum.at(before, (source[old] - low, start[old]), known["dist"].to_numpy(dtype=float)[old])
+        left = relax(dist, begin, src[stays], dst[stays], w[stays], steps)
+        relaxed = dist < before
+        one = np.full(dist.shape, np.inf)
+        if (~stays).any():
+            # only edges out of lowered cells tell anything new
+            lowered = np.where(relaxed, dist, np.inf)
+            to, now = dst[~stays], lowered[:, src[~stays]] + w[~stays]
+            first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            one[:, to[first]] = np.minimum.reduceat(now, first, axis=1)
+        for values, told, where in ((dist, 0, relaxed & own), (one, 1, one < np.inf), (dist, 2, (dist < np.inf) & left)):
+            r, c = np.nonzero(where)
+            out.append(pd.DataFrame({"s": names[r + low], "k": cells[c], "dist": values[r, c], "told": told}))
+    return pd.concat(out)
+
+
+def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None, rounds: int = 2000, tile: int = TILE) -> DataFrame:
     """image, r, c, s, k, dist: least weight from each source (image, r, c, s) to every cell it reaches.
 
-    All graphs and sources relax together: a round joins the frontier with the edges and keeps
-    the least distance of each cell; cells that improved are the next frontier. A few steps
-    form one written round, so lineage stays short and an executor's loss costs one round."""
-    edges = written(edges.select(*GRAPH, F.col("src").alias("k"), "dst", "w").repartition(*GRAPH), "edges")
-    now = written(sources.select(*GRAPH, "s").distinct().select("*", F.col("s").alias("k"), F.lit(0.0).alias("dist"), F.lit(True).alias("changed")), "distances")
+    All graphs and sources relax together, tile by tile: a task takes the edges that begin in one tile of one graph and
+    lowers the distances of all its cells from all sources until they settle (or for so many steps); what it tells cells of other tiles is
+    the next round's work, if it is better than what they have. A round touches the tiles that were told something and no others, and adds
+    one written table of lowered distances. An image with no more cells than a tile takes one round."""
+    band = lambda k: F.floor(F.col(k) / tile).cast("long").alias("tile")
+    edges = written(edges.select(*GRAPH, band("src"), F.col("src").alias("k"), "dst", "w").where(F.col("w") < float("inf")), "edges")
+    told = written(sources.select(*GRAPH, "s").distinct().select(*GRAPH, "s", F.col("s").alias("k"), F.lit(0.0).alias("dist")), "told")
+    types = {f.name: f.dataType.simpleString() for f in edges.schema}
+    schema = ", ".join(f"{n} {types[n]}" for n in GRAPH) + ", s long, k long, dist double, told int"
+    key = [*GRAPH, "tile"]
+
+    def settle(at, known: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        if not len(known):
+            return pd.DataFrame(columns=[*GRAPH, "s", "k", "dist", "told"])
+        found = _relax_tile(edges["k"].to_numpy(), known, edges, steps)
+        return found.assign(**dict(zip(GRAPH, at)))[[*GRAPH, "s", "k", "dist", "told"]]
+
+    best = None
     for _ in range(rounds):
-        for _ in range(steps):
-            reached = now.where("changed").join(edges, [*GRAPH, "k"]).select(*GRAPH, "s", F.col("dst").alias("k"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(None).cast("double").alias("old"))
-            kept = now.select(*NODE, "dist", F.col("dist").alias("old"))
-            now = kept.unionByName(reached).groupBy(*NODE).agg(F.min("dist").alias("dist"), F.min("old").alias("old")).select(*NODE, "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("changed"))
-        now = written(now, "distances")
-        if not now.where("changed").limit(1).count():
-            return now.select(*NODE, "dist").where(F.col("dist") < float("inf"))
+        fresh = told.select(*GRAPH, band("k"), "s", "k", "dist", F.lit(True).alias("fresh"))
+        active = small(fresh.select(*key).distinct())
+        known = fresh if best is None else fresh.unionByName(best.select(*GRAPH, band("k"), "s", "k", "dist", F.lit(False).alias("fresh")).join(active, key, "left_semi"))
+        asked = edges.join(active, key, "left_semi")
+        found = written(known.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(settle, schema), "lowered")
+        lowered = found.where("told = 0").select(*NODE, "dist")
+        best = lowered if best is None else best.unionByName(lowered)
+        best_now = best.groupBy(*NODE).agg(F.min("dist").alias("least"))
+        news = found.where("told > 0").groupBy(*NODE).agg(F.min("dist").alias("dist"), F.max("told").alias("told"))
+        if _none(news):
+            return best_now.withColumnRenamed("least", "dist")
+        told = written(news.join(best_now, NODE, "left").where("least is null or dist < least or told = 2").select(*NODE, "dist"), "told")
+        if _none(told):
+            return best_now.withColumnRenamed("least", "dist")
     raise RuntimeError("distances not settled")
 
 
+def _none(news: DataFrame) -> bool:
+    return not news.limit(1).count()
+
+
 def predecessors(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """image, r, c, s, k, pred: the last cell before k on a best route (the smallest on ties)."""
     before = tree.select(*GRAPH, "s", F.col("k").alias("src"), F.col("dist").alias("d0"))

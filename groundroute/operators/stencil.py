@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ..sources.images import from_pixels
 
 
 def disc(diameter: int) -> list[tuple[int, int, int]]:
@@ -28,33 +29,38 @@ def smooth_block(block: np.ndarray, halo: int, diameter: int, sigma_color: float
     return np.rint(total / weight[..., None]).astype(np.int64)
 
 
-def bilateral(pixels: DataFrame, shapes: DataFrame, diameter: int = 15, sigma_color: float = 75.0, sigma_space: float = 75.0, block: int = 256) -> DataFrame:
-    """image, y, x, r, g, b smoothed by distance and by colour difference (sum over channels), the
-    image mirrored at its borders without repeating the border pixel, results rounded.
+def mirrored(at: np.ndarray, n: int) -> np.ndarray:
+    """Places on a line of n, mirrored at its ends without repeating them."""
+    if n == 1:
+        return np.zeros_like(at)
+    m = np.mod(at, 2 * n - 2)
+    return np.where(m < n, m, 2 * n - 2 - m)
+
 
-    Pixels are dealt out in blocks with a halo, so a pixel is copied to at most four blocks and a
-    task holds one block, whatever the image's size."""
+def bilateral_images(images: DataFrame, diameter: int = 15, sigma_color: float = 75.0, sigma_space: float = 75.0, block: int = 256) -> DataFrame:
+    """image, y, x, r, g, b of images (image, h, w, channels, data: BGR bytes) smoothed by distance and by colour difference (sum over
+    channels), the image mirrored at its borders without repeating the border pixel, results rounded.
+
+    Blocks with their halo are cut where the image's bytes are: no pixel is shuffled, and a batch of rows is one block."""
     halo = diameter // 2
-    sized = pixels.select("image", "y", "x", "r", "g", "b").join(shapes.select("image", "h", "w"), "image")
-
-    def blocks(at: str, n: str):
-        first = F.greatest(F.floor((F.col(at) - halo) / block), F.lit(0))
-        last = F.least(F.floor((F.col(at) + halo) / block), F.floor((F.col(n) - 1) / block))
-        return F.explode(F.sequence(first, last))
-
-    dealt = sized.withColumn("by", blocks("y", "h")).withColumn("bx", blocks("x", "w"))
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        image, by, bx, h, w = pdf[["image", "by", "bx", "h", "w"]].iloc[0]
-        ys, xs = (np.arange(b * block - halo, min((b + 1) * block, n) + halo) for b, n in ((int(by), int(h)), (int(bx), int(w))))
-        mirror = lambda v, n: np.zeros_like(v) if n == 1 else np.where((m := np.mod(v, 2 * n - 2)) < n, m, 2 * n - 2 - m)
-        top, left = int(pdf["y"].min()), int(pdf["x"].min())
-        held = np.zeros((int(pdf["y"].max()) - top + 1, int(pdf["x"].max()) - left + 1, 3))
-        held[pdf["y"].to_numpy() - top, pdf["x"].to_numpy() - left] = pdf[["r", "g", "b"]].to_numpy()
-        my, mx = mirror(ys, int(h)) - top, mirror(xs, int(w)) - left
-        out = smooth_block(held[np.clip(my, 0, len(held) - 1)][:, np.clip(mx, 0, held.shape[1] - 1)], halo, diameter, sigma_color, sigma_space)
-        yy, xx = np.meshgrid(ys[halo : len(ys) - halo], xs[halo : len(xs) - halo], indexing="ij")
-        return pd.DataFrame({"image": image, "y": yy.ravel(), "x": xx.ravel(), "r": out[..., 0].ravel(), "g": out[..., 1].ravel(), "b": out[..., 2].ravel()})
-
-    key = pixels.schema["image"].dataType.simpleString()
-    return dealt.groupBy("image", "by", "bx").applyInPandas(smooth, f"image {key}, y long, x long, r long, g long, b long")
+    key = images.schema["image"].dataType.simpleString()
+
+    def smooth(batches):
+        for pdf in batches:
+            for image, h, w, channels, data in pdf[["image", "h", "w", "channels", "data"]].itertuples(index=False):
+                a = np.frombuffer(data, dtype=np.uint8).reshape(h, w, channels)[..., [min(c, channels - 1) for c in (2, 1, 0)]]
+                for top in range(0, h, block):
+                    ys = np.arange(top - halo, min(top + block, h) + halo)
+                    for left in range(0, w, block):
+                        xs = np.arange(left - halo, min(left + block, w) + halo)
+                        part = a[mirrored(ys, h)][:, mirrored(xs, w)].astype(float)
+                        out = smooth_block(part, halo, diameter, sigma_color, sigma_space)
+                        yy, xx = np.meshgrid(ys[halo : len(ys) - halo], xs[halo : len(xs) - halo], indexing="ij")
+                        yield pd.DataFrame({"image": image, "y": yy.ravel(), "x": xx.ravel(), "r": out[..., 0].ravel(), "g": out[..., 1].ravel(), "b": out[..., 2].ravel()})
+
+    return images.mapInPandas(smooth, f"image {key}, y long, x long, r long, g long, b long")
+
+
+def bilateral(pixels: DataFrame, shapes: DataFrame | None = None, diameter: int = 15, sigma_color: float = 75.0, sigma_space: float = 75.0, block: int = 256) -> DataFrame:
+    """bilateral_images over images that are there as pixel rows: packed by line, then by image, first (shapes isn't needed)."""
+    return bilateral_images(from_pixels(pixels), diameter, sigma_color, sigma_space, block)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binarize, capped_inverse, div, gray, variance_terms
 from .grid import _geometry, assign_cells
-from .stencil import bilateral
+from .stencil import bilateral, bilateral_images
 
 CELL = ["image", "r", "i", "j", "k"]
 SCALES = (6, 8, 10, 12, 14, 16, 18, 20, 22, 24)
@@ -48,7 +48,9 @@ def tf_rgb(cell_sums: DataFrame) -> DataFrame:
 
 
 def tf_random(cells: DataFrame, seed: int = 0) -> DataFrame:
-    return cells.select(*CELL).distinct().select(*CELL, F.rand(seed).alias("t"))
+    """0 to 1 (excluded) by a digest of the seed and the cell, so that a rerun gives the same values however rows are dealt out."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("image").cast("string"), F.col("r").cast("string"), F.col("k").cast("string")))
+    return cells.select(*CELL).distinct().select(*CELL, (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)).alias("t"))
 
 
 def tf_label(labels: DataFrame, shapes: DataFrame, sizes: Sequence[int], ov: int = 1) -> DataFrame:
@@ -104,11 +106,12 @@ def tf_superpixel(cells: DataFrame, segments: int = 32, rounds: int = 10, compac
 
 def estimate(cells: DataFrame, tf: Callable[[pd.Series, pd.Series, pd.Series], float] | Callable[..., Column]) -> DataFrame:
     """A caller's own estimator: a function of three pandas Series (a region's channels) to a float,
-    or of three columns to an aggregate Column (preferred: it stays in the JVM)."""
+    or of three columns to an aggregate Column (preferred: it stays in the JVM). Which one it is shows when it is given
+    columns: a function of Series stumbles over their type. Its own errors come up when it runs."""
     channels = [F.col(c) for c in ("r_", "g", "b")]
     try:
         value = tf(*channels)
-    except Exception:
+    except (TypeError, ValueError, AttributeError):
         value = None
     if not isinstance(value, Column):
         def apply(r: pd.Series, g: pd.Series, b: pd.Series) -> float:
@@ -192,11 +195,16 @@ def clahe(matrix: DataFrame, clip: float = 3.0, tiles: int = 3, scale: str = "un
 ESTIMATORS = {"tf_grayhist": tf_gray, "tf_rgbhist": tf_rgb}
 
 
-def traversability(pixels: DataFrame, shapes: DataFrame, sizes: Sequence[int], tf: str = "tf_grayhist", ov: int = 1, smooth: bool = True, threshold: float | None = None, normalize: bool = True, scale: str = "unit") -> DataFrame:
+def smoothed(pixels: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Smoothed pixel rows: of the images as read, if they are given, else of images packed from the pixel rows."""
+    return bilateral(pixels) if images is None else bilateral_images(images)
+
+
+def traversability(pixels: DataFrame, shapes: DataFrame, sizes: Sequence[int], tf: str = "tf_grayhist", ov: int = 1, smooth: bool = True, threshold: float | None = None, normalize: bool = True, scale: str = "unit", images: DataFrame | None = None) -> DataFrame:
     """image, r, i, j, k, t: smoothing, grid, estimator, division by the maximum, optional binary
-    threshold, optional equalisation."""
+    threshold, optional equalisation. images: the same images as read, which smoothing takes without a shuffle."""
     if smooth:
-        pixels = bilateral(pixels, shapes)
+        pixels = smoothed(pixels, images)
     cells = regions(pixels, shapes, sizes, ov)
     if tf in ESTIMATORS:
         matrix = ESTIMATORS[tf](sums(cells))
@@ -213,12 +221,12 @@ def _finish(matrix: DataFrame, threshold: float | None, normalize: bool, scale:
     return matrix
 
 
-def traversability_multiscale(pixels: DataFrame, shapes: DataFrame, size: int, tf: str = "tf_grayhist", ov: int = 1, smooth: bool = True, scales: Sequence[int] = SCALES, threshold: float | None = None, normalize: bool = True) -> DataFrame:
+def traversability_multiscale(pixels: DataFrame, shapes: DataFrame, size: int, tf: str = "tf_grayhist", ov: int = 1, smooth: bool = True, scales: Sequence[int] = SCALES, threshold: float | None = None, normalize: bool = True, images: DataFrame | None = None) -> DataFrame:
     """The matrices of all scales up to ``size``: the largest as it is, smaller ones resized to it
     and weighted by their size, then over the maximum. r is the largest scale."""
     used = sorted(s for s in scales if s <= size)
     top = used[-1]
-    one = traversability(pixels, shapes, used, tf, ov, smooth, None, False)
+    one = traversability(pixels, shapes, used, tf, ov, smooth, None, False, images=images)
     target = _geometry(shapes, [top], ov).select("image", "rows", "cols")
     resized = resize_bilinear(one.where(F.col("r") < top), target)
     parts = one.where(F.col("r") == top).select("image", "i", "j", "t").unionByName(resized.select("image", "i", "j", (F.col("r") * F.col("t")).alias("t")))

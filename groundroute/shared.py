@@ -1,20 +1,27 @@
-"""Written intermediate tables: what iterative jobs cut their lineage with."""
+"""Written intermediate tables: what iterative jobs cut their lineage with. Broadcasts of checked size."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes (of values, uncompressed) up to which a side counts as small enough to broadcast.
+BROADCAST_BYTES = 32 << 20
 
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests), a temporary folder of this process."""
+    """spark.checkpoint.dir; where that is unset and all runs on one machine (tests), a temporary folder of this process."""
     if base := spark.conf.get("spark.checkpoint.dir", ""):
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master: {master})")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-routes-"))
     return f"file://{_own_dir[0]}"
@@ -24,12 +31,47 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    path = new_path(df.sparkSession, label)
+def _write_to(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df marked for broadcast if it has so few rows (counted first), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def written(df: DataFrame, label: str) -> DataFrame:
+    return _write_to(df, new_path(df.sparkSession, label))
+
+
+class Rounds:
+    """The written rounds of an iterative job: a round's table goes when the one after it is whole."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.last = spark, label, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, self.label)
+        out = _write_to(df, path)
+        if self.last:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.last)
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.last = path
+        return out
+
+
+def _width(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + _width(x, kind.elementType)), F.lit(0).cast("long")) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def n_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of df hold."""
+    each = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    return int(df.agg(F.sum(each)).first()[0] or 0)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows hold so few bytes (summed first), else as it is."""
+    return F.broadcast(df) if n_bytes(df) <= most else df
