@@ -23,18 +23,18 @@ from ..sources import fixtures as FX
 from ..sources import images as IM
 from ..sources import results as RS
 from . import sweep as SW
-from .sql import sql
+from .sql import SIMPLIFIED, SWEEPS, TRAVERSABILITY, sql
 
 SIZES, CUTS = [3, 4, 6], [0.1, 0.2, 0.4]
 R_SET, C_SET = list(range(6, 25, 2)), [c / 10 for c in range(1, 11)]
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, *blocks: str):
     def add(f):
         QUERIES[name] = f
         if oracle:
-            ORACLE_SQL[name] = sql(oracle)
+            ORACLE_SQL[name] = sql(oracle, *blocks)
         return f
 
     return add
@@ -185,7 +185,7 @@ def tf_label_overlap(spark, d):
     return rounded(T.tf_label(m.labels, m.shapes, SIZES, 2), "t").select("image", "r", "k", "t")
 
 
-@query("tf_random")
+@query("tf_random", "select image, r, k, ('0x' || substr(md5('7|' || image || '|' || r || '|' || k), 1, 8))::bigint / 4294967296.0::double as t from grid1 where r = 3")
 def tf_random(spark, d):
     m = Images(spark, d)
     return T.tf_random(T.regions(m.pixels, m.shapes, [3]), 7).select("image", "r", "k", "t")
@@ -219,7 +219,7 @@ def clahe(spark, d):
     return T.clahe(Images(spark, d).matrix(SIZES), scale="u8").select("image", "r", "k", "t")
 
 
-@query("traversability")
+@query("traversability", *TRAVERSABILITY)
 def traversability(spark, d):
     m = Images(spark, d)
     return rounded(T.traversability(m.pixels, m.shapes, SIZES), "t").select("image", "r", "k", "t")
@@ -289,7 +289,7 @@ def keypoint_pairs(spark, d):
     return K.keypoint_pairs(K.keypoint_cells(m.keypoints, m.shapes, SIZES)).select("image", "kind", "r", "o1", "o2", "s", "t")
 
 
-@query("sample_pair")
+@query("sample_pair", "select image, kind, ord, y, x, pick from (select *, row_number() over (partition by image order by md5('7|' || image || '|' || kind || '|' || ord), kind, ord)::int as pick from keypoints) where pick <= 2")
 def sample_pair(spark, d):
     return K.sample_pair(Images(spark, d).keypoints, 7)
 
@@ -343,7 +343,7 @@ def _straight(spark, d):
     return p.select("image", F.lit(3).alias("r"), F.lit(0.1).alias("c"), F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("t"), F.col("ord").alias("seq"), (F.col("y") + F.col("image") % 5).alias("row"), F.col("x").alias("col"))
 
 
-@query("simplify_paths")
+@query("simplify_paths", *SIMPLIFIED)
 def simplify_paths(spark, d):
     m, pairs, edges, tree = _searched(spark, d)
     return RT.simplify_paths(RT.path_centers(RT.trace_paths(pairs, RT.predecessors(edges, tree)), GR.grid(m.shapes, [3])))
@@ -511,27 +511,27 @@ def _sweep(spark, d, functions, sizes, cuts, **options):
     return rounded(SW.run_sweep(m.pixels, m.labels, m.keypoints, functions, sizes, cuts, **options), "path_score", "dist").drop("path_coordinates")
 
 
-@query("run_sweep")
+@query("run_sweep", *SWEEPS["run_sweep"])
 def run_sweep(spark, d):
     return _sweep(spark, d, ["tf_grayhist", "reference"], [3, 6], [0.2, 0.4])
 
 
-@query("run_sweep_overlap")
+@query("run_sweep_overlap", *SWEEPS["run_sweep_overlap"])
 def run_sweep_overlap(spark, d):
     return _sweep(spark, d, ["tf_grayhist"], [6], [0.2], ov=2)
 
 
-@query("run_sweep_multiscale")
+@query("run_sweep_multiscale", *SWEEPS["run_sweep_multiscale"])
 def run_sweep_multiscale(spark, d):
     return _sweep(spark, d, ["tf_rgbhist"], [3, 6], [0.2], multiscale=True)
 
 
-@query("run_sweep_overlap_multiscale")
+@query("run_sweep_overlap_multiscale", *SWEEPS["run_sweep_overlap_multiscale"])
 def run_sweep_overlap_multiscale(spark, d):
     return _sweep(spark, d, ["tf_grayhist"], [3, 6], [0.2], ov=2, multiscale=True)
 
 
-@query("route_all")
+@query("route_all", *SWEEPS["route_all"])
 def route_all(spark, d):
     m = Images(spark, d)
     return rounded(SW.route_all(m.pixels, m.keypoints, "tf_grayhist", 3, 0.2), "dist").drop("path_coordinates")

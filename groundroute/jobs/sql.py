@@ -127,6 +127,105 @@ multi as (select image, i, j, round(sum(t), 12) as t from (
   union all select a.image, a.i, a.j, a.r * sum(a.weight * m.t) from mtaps a join matrix1 m on m.image = a.image and m.r = a.r and m.i = a.si and m.j = a.sj where a.r < 6 group by a.image, a.r, a.i, a.j) group by image, i, j),
 multiscale as (select image, i, j, t / max(t) over (partition by image) as t from multi)"""
 
+
+# whole jobs: smoothing, matrices, equalisation, scales, search, shaping, scores
+
+
+def _smoothed(p: str, ov: int, rgb: bool = False) -> str:
+    """{p}m: the matrix of the smoothed pixels over the grid with this overlap."""
+    var = lambda c: f"(count(*) * sum({c} * {c}) - sum({c}) * sum({c}))"
+    if rgb:
+        value = f"case when {var('red')} + {var('g')} + {var('b')} = 0 then 1.0::double else least(1.0::double, 3.0::double / (({var('red')} + {var('g')} + {var('b')})::double / (count(*) * count(*)))) end"
+    else:
+        value = f"case when {var('gray')} = 0 then 1.0::double else least(1.0::double, 1.0::double / (sqrt({var('gray')}::double) / count(*))) end"
+    return f"""
+{p}c as (select g.image, g.r, g.i, g.j, g.k, p.r as red, p.g, p.b, (3735 * p.r + 19235 * p.g + 9798 * p.b + 16384) // 32768 as gray
+         from grid{ov} g join bilateral p on p.image = g.image and p.y >= g.tly and p.y < g.tly + g.r and p.x >= g.tlx and p.x < g.tlx + g.r),
+{p}v as (select image, r, i, j, k, {value} as t from {p}c group by image, r, i, j, k),
+{p}m as materialized (select image, r, i, j, k, t / nullif(max(t) over (partition by image, r), 0) as t from {p}v)"""
+
+
+def _equalised(p: str, source: str) -> str:
+    """{p}q: the source matrix equalised, 0 to 1."""
+    text = _CLAHE.replace("matrix1", source).replace("ch_", f"{p}ch_").replace("clahe1", f"{p}u")
+    return text + f",\n{p}q as materialized (select image, r, i, j, k, t / 255 as t from {p}u)"
+
+
+def _scales(p: str, source: str, size: int, rows: int) -> str:
+    """{p}t{size}: the multiscale matrix up to this size of the sweep's [3, 6], before equalisation."""
+    resized = _RESIZE.format(name=f"{p}z{size}", source=f"{p}s{size}").replace("range(10)", f"range({rows})").replace("::double / 10)", f"::double / {rows})")
+    return f"""
+{p}s{size} as (select * from {source} where r < {size} and r = 3),{resized},
+{p}w{size} as (select image, i, j, round(sum(t), 12) as t from (
+  select image, i, j, t from {source} where r = {size} union all select image, i, j, r * t from {p}z{size}) group by image, i, j),
+{p}t{size} as (select image, {size} as r, i, j, i * {rows} + j as k, t / nullif(max(t) over (partition by image), 0) as t from {p}w{size})"""
+
+
+def sweep_blocks(p: str, matrix: str, ov: int, sizes: list[int], cuts: list[float]) -> str:
+    """{p}rows: image, kind, r, c, s, t, o1, o2, dist, score, n of every pair: routes over the matrix, shaped and scored."""
+    half = "" if ov == 1 else " / 2.0::double"
+    far = "" if ov == 1 else " or (abs(a.i - b.i) in (0, 2) and abs(a.j - b.j) in (0, 2))"
+    same = lambda x, y, names: " and ".join(f"{x}.{n} = {y}.{n}" for n in names.split())
+    path, w = "image, r, c, s, t", "window w as (partition by image, r, c, s, t order by seq)"
+    fit = lambda c: f"coalesce(round_even((-3 * lag({c}, 2) over w + 12 * lag({c}, 1) over w + 17 * {c} + 12 * lead({c}, 1) over w - 3 * lead({c}, 2) over w) / 35.0::double, 0)::bigint, {c}) as {c}"
+    return f"""
+{p}mm as materialized (select * from {matrix} where r in ({', '.join(map(str, sizes))})),
+{p}cuts as (select unnest([{', '.join(f'{c}::double' for c in cuts)}]) as c),
+{p}e as materialized (select a.image, a.r, c.c, a.k as src, b.k as dst, (100.0 / a.t) * (100.0 / a.t) + (100.0 / b.t) * (100.0 / b.t) as w
+  from {p}mm a join {p}mm b on a.image = b.image and a.r = b.r and a.k <> b.k and ((abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1){far}) cross join {p}cuts c where a.t >= c.c and b.t >= c.c),
+{p}kc as (select p.image, p.kind, g.r, cast(row_number() over (partition by p.image, p.kind, g.r order by p.ord, g.k) - 1 as int) as ord, g.k
+  from keypoints p join grid{ov} g on p.image = g.image and p.y >= g.tly and p.y < g.tly + g.r{half} and p.x >= g.tlx and p.x < g.tlx + g.r{half} where g.r in ({', '.join(map(str, sizes))})),
+{p}kp as (select a.image, a.kind, a.r, c.c, a.ord as o1, b.ord as o2, a.k as s, b.k as t from {p}kc a join {p}kc b on {same("a", "b", "image kind r")} and a.ord < b.ord cross join {p}cuts c),
+{p}d(image, r, c, s, k, dist) using key (image, r, c, s, k) as (
+  select distinct image, r, c, s, s as k, 0.0::double as dist from {p}kp
+  union
+  select d.image, d.r, d.c, d.s, e.dst, min(d.dist + e.w) from {p}d d join {p}e e on {same("e", "d", "image r c")} and e.src = d.k
+  left join recurring.{p}d o on {same("o", "d", "image r c s")} and o.k = e.dst where o.dist is null or d.dist + e.w < o.dist group by d.image, d.r, d.c, d.s, e.dst),
+{p}dd as materialized (select * from {p}d),
+{p}pp as materialized (select p.*, case when m.t >= p.c then d.dist end as dist from {p}kp p left join {p}mm m on {same("m", "p", "image r")} and m.k = p.s left join {p}dd d on {same("d", "p", "image r c s")} and d.k = p.t),
+{p}pr as materialized (select x.image, x.r, x.c, x.s, x.k, min(e.src) as pred from {p}dd x join {p}e e on {same("e", "x", "image r c")} and e.dst = x.k
+  join {p}dd b on {same("b", "x", "image r c s")} and b.k = e.src and b.dist + e.w = x.dist where x.k <> x.s group by x.image, x.r, x.c, x.s, x.k),
+{p}wk(image, r, c, s, t, n, k) as (
+  select distinct image, r, c, s, t, 0, t from {p}pp where dist is not null
+  union all
+  select w.image, w.r, w.c, w.s, w.t, w.n + 1, p.pred from {p}wk w join {p}pr p on {same("p", "w", "image r c s k")}),
+{p}ce as materialized (select x.image, x.r, x.c, x.s, x.t, (max(n) over (partition by x.image, x.r, x.c, x.s, x.t) - n)::int as seq, g.tly + g.r // 2 as row, g.tlx + g.r // 2 as col
+  from {p}wk x join grid{ov} g on {same("g", "x", "image r k")}),
+{p}iv(image, r, c, s, t, a, b) as (
+  select {path}, min(seq), max(seq) from {p}ce group by {path}
+  union all
+  select {path}, unnest([a, m]), unnest([m, b]) from (
+    select {path}, a, b, min(seq) filter (d2 = top) as m, max(top) as top from (
+      select v.*, p.seq, d2, max(d2) over (partition by v.image, v.r, v.c, v.s, v.t, v.a, v.b) as top from {p}iv v
+      join {p}ce p on {same("p", "v", "image r c s t")} and p.seq > v.a and p.seq < v.b join {p}ce x on {same("x", "v", "image r c s t")} and x.seq = v.a join {p}ce y on {same("y", "v", "image r c s t")} and y.seq = v.b,
+      lateral (select (((p.col - x.col) * (y.row - x.row) - (p.row - x.row) * (y.col - x.col))::double * ((p.col - x.col) * (y.row - x.row) - (p.row - x.row) * (y.col - x.col))) / ((y.row - x.row) * (y.row - x.row) + (y.col - x.col) * (y.col - x.col)) as d2))
+    group by {path}, a, b) where top >= (1.5 * r) * (1.5 * r)),
+{p}si as materialized (select x.*, n from (select *, count(*) over (partition by {path}) as n from {p}ce) x join (select distinct {path}, seq from (select {path}, a as seq from {p}iv union all select {path}, b from {p}iv)) v on {same("v", "x", "image r c s t seq")}),
+{p}li as (select *, sum(step) over (partition by {path} order by seq) as pos from (
+  select *, coalesce(sqrt(((row - lag(row) over w) * (row - lag(row) over w) + (col - lag(col) over w) * (col - lag(col) over w))::double), 0) as step from {p}si {w})),
+{p}se as (select *, lead(d0) over w as d1, lead(row) over w as row1, lead(col) over w as col1, lead(seq, 2) over w is null as last_
+  from (select *, pos / nullif(max(pos) over (partition by {path}), 0) as d0 from {p}li) {w}),
+{p}re as (select {path}, q::int as seq, round_even(round(row + f * (row1 - row), 9), 0)::bigint as row, round_even(round(col + f * (col1 - col), 9), 0)::bigint as col from (
+  select *, (q / (n - 1)::double - d0) / (d1 - d0) as f from (
+    select *, unnest(range(ceil(d0 * (n - 1) - 1e-9::double)::bigint, case when last_ then n else ceil(d1 * (n - 1) - 1e-9::double)::bigint end)) as q from {p}se where d1 > d0))
+  union all select {path}, 0, row, col from {p}si where n = 1),
+{p}sm as materialized (select {path}, seq, {fit("row")}, {fit("col")} from {p}re {w}),
+{p}pt as (select distinct p.image, p.r, p.row, p.col, p.r // 2 as half, x.h, x.w from {p}sm p join shapes x using (image)),
+{p}pa as materialized (select t.image, t.r, t.row, t.col, t.half, p.y, p.x, p.lab from {p}pt t join pixels p on p.image = t.image and p.y >= greatest(0, t.row - half) and p.y < least(t.h - 1, t.row + half) and p.x >= greatest(0, t.col - half) and p.x < least(t.w - 1, t.col + half)),
+{p}va as (select image, r, row, col, avg(v) / 255 as t from (
+  select a.image, a.r, a.row, a.col, a.y, a.x, min(b.lab) as v from {p}pa a join {p}pa b on {same("b", "a", "image r row col")} and b.y between a.y - a.half // 2 and a.y - a.half // 2 + a.half - 1 and b.x between a.x - a.half // 2 and a.x - a.half // 2 + a.half - 1
+  group by a.image, a.r, a.row, a.col, a.y, a.x) group by image, r, row, col),
+{p}sc as (select p.image, p.r, p.c, p.s, p.t, count(*) as n, greatest(0.0::double, 1 - 0.03::double * coalesce(sum(case when p.seq > p.lo and p.seq < p.hi and v.t < 0.5 then 1 - v.t end), 0)) as score
+  from (select *, min(seq) over (partition by {path}) as lo, max(seq) over (partition by {path}) as hi from {p}sm) p left join {p}va v on {same("v", "p", "image r row col")} group by p.image, p.r, p.c, p.s, p.t),
+{p}rows as (select p.*, x.score, coalesce(x.n, 2)::int as n from {p}pp p left join {p}sc x on {same("x", "p", "image r c s t")})"""
+
+
+def sweep_select(p: str, tf: str, labelled: bool = True) -> str:
+    score = "case when kind = 'reachable' then case when dist is not null then score else 0 end else case when dist is not null then 0 else 1 end end" if labelled else "null"
+    return f"""select image, '{tf}' as traversability_function, r as region_size, c as cut_threshold, kind = 'reachable' as path_existence, dist is not null as path_found,
+  round(({score})::double, 6) as path_score, n as path_length, s, t, o1, o2, round(dist, 6) as dist from {p}rows"""
+
+
 _BLOCKS = ",".join(
     [
         PIXELS_SQL, KEYPOINTS_SQL, RESULTS_SQL,
@@ -139,6 +238,30 @@ _BLOCKS = ",".join(
 )
 
 
-def sql(text: str) -> str:
-    """A query over the blocks above; only those it names are evaluated."""
-    return f"with recursive {_BLOCKS.strip()}\n{text}"
+def sql(text: str, *more: str) -> str:
+    """A query over the blocks above, and more of them; only those it names are evaluated."""
+    return f"with recursive {','.join([_BLOCKS, *more]).strip()}\n{text}"
+
+
+def _both(p: str) -> str:
+    return f"\n{p}all as (select * from {p}t3 union all select * from {p}t6)"
+
+
+#: SQL of the registered sweeps: the blocks each needs, and what it selects.
+SWEEPS = {
+    "run_sweep": (
+        sweep_select("f_", "tf_grayhist") + "\nunion all " + sweep_select("g_", "reference"),
+        _smoothed("b1", 1), _equalised("b1", "b1m"), sweep_blocks("f_", "b1q", 1, [3, 6], [0.2, 0.4]), sweep_blocks("g_", "truth1", 1, [3, 6], [0.2, 0.4]),
+    ),
+    "run_sweep_overlap": (sweep_select("f_", "tf_grayhist"), _smoothed("b2", 2), _equalised("b2", "b2m"), sweep_blocks("f_", "b2q", 2, [6], [0.2])),
+    "run_sweep_multiscale": (
+        sweep_select("f_", "tf_rgbhist"), _smoothed("b1", 1, True), _scales("b1", "b1m", 3, 10), _scales("b1", "b1m", 6, 5), _both("b1"), _equalised("b1", "b1all"), sweep_blocks("f_", "b1q", 1, [3, 6], [0.2]),
+    ),
+    "run_sweep_overlap_multiscale": (
+        sweep_select("f_", "tf_grayhist"), _smoothed("b2", 2), _scales("b2", "b2m", 3, 20), _scales("b2", "b2m", 6, 10), _both("b2"), _equalised("b2", "b2all"), sweep_blocks("f_", "b2q", 2, [3, 6], [0.2]),
+    ),
+    "route_all": (sweep_select("f_", "tf_grayhist", False), _smoothed("b1", 1), _equalised("b1", "b1m"), sweep_blocks("f_", "b1q", 1, [3], [0.2])),
+}
+TRAVERSABILITY = ("select image, r, k, round(t, 6) as t from b1q", _smoothed("b1", 1), _equalised("b1", "b1m"))
+#: Routes of the plain matrix without their points near the line; columns as simplify_paths gives them.
+SIMPLIFIED = ("select image, r, c, s, t, seq, row, col, n from f_si", sweep_blocks("f_", "matrix1", 1, [3], [0.1, 0.2, 0.4]))
