@@ -68,6 +68,13 @@ def to_pixels(spark, d):
     return IM.to_pixels(IM.from_pixels(FX.pixels(spark, d)))
 
 
+@query("read_images", "select image, y, x, r, g, b from pixels")
+def read_images(spark, d):
+    folder = new_path(spark, "images")
+    IM.write_images(IM.from_pixels(FX.pixels(spark, d)), folder).write.format("noop").mode("overwrite").save()
+    return IM.to_pixels(IM.read_images(spark, folder)).withColumn("image", F.regexp_extract("image", r"^([0-9]+)\.bmp$", 1).cast("long"))
+
+
 @query("select_images", "select distinct image from results where image in ('aerial01', 'aerial03', 'aerial08')")
 def select_images(spark, d):
     wanted = spark.createDataFrame([("aerial08",), ("aerial03",), ("aerial01",), ("other",)], "image string")
@@ -421,6 +428,29 @@ def accuracy_sweep(spark, d):
     return rounded(R.accuracy_sweep(M.error(M.compare(m.matrix(SIZES), m.truth(SIZES)), "rmse")), "value")
 
 
+def _measure_sql(f: str, pairs: str) -> str:
+    plain = ", ".join(f"{e} as {m}" for m, e in _ERRORS.items())
+    return f"select '{f}' as f, measure, r, round(avg(value), 6)::double as value, count(value) as n from (unpivot (select image, r, {plain} from {pairs} group by image, r) on {', '.join(_ERRORS)} into name measure value value) group by measure, r"
+
+
+_RGB = "(select m.image, m.r, m.i, m.j, m.t / max(m.t) over (partition by m.image, m.r) as t, m.k from (select image, r, i, j, k, case when v = 0 then 1.0::double else least(1.0::double, 3.0::double / v) end as t from (select image, r, i, j, k, ((count(*) * sum(red * red) - sum(red) * sum(red)) + (count(*) * sum(g * g) - sum(g) * sum(g)) + (count(*) * sum(b * b) - sum(b) * sum(b)))::double / (count(*) * count(*)) as v from cells1 group by image, r, i, j, k)) m)"
+_RGB_PAIRS = f"(select m.image, m.r, m.t as a, l.t as b from {_RGB} m join truth1 l on l.image = m.image and l.r = m.r and l.k = m.k)"
+
+
+@query("accuracy_table", _measure_sql("tf_grayhist", "compared") + "\nunion all " + _measure_sql("tf_rgbhist", _RGB_PAIRS))
+def accuracy_table(spark, d):
+    m = Images(spark, d)
+    sums = written(T.sums(T.regions(m.pixels, m.shapes, SIZES)), "sums")
+    matrices = {"tf_grayhist": T.normalize_max(T.tf_gray(sums)), "tf_rgbhist": T.normalize_max(T.tf_rgb(sums))}
+    return rounded(R.accuracy_table(matrices, m.truth(SIZES), list(_ERRORS)), "value")
+
+
+@query("accuracy_ssim", "select 'tf_grayhist' as f, 'ssim' as measure, 3 as r, round(avg(v), 6)::double as value, count(v) as n from (select image, avg(((2 * ma * mb + 0.0001) * (2 * cov + 0.0009)) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009))) as v from ssim group by image)")
+def accuracy_ssim(spark, d):
+    m = Images(spark, d)
+    return rounded(R.accuracy_table({"tf_grayhist": m.matrix([3])}, m.truth([3]), ["ssim"]), "value")
+
+
 # results
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,9 +121,10 @@ def accuracy_table(matrices: dict[str, DataFrame], truth: DataFrame, measures: S
     for f, matrix in matrices.items():
         pairs = compare(matrix, truth)
         plain = {m: c for m, c in errors().items() if m in measures}
-        rows = pairs.groupBy("image", "r").agg(*[c.alias(m) for m, c in plain.items()]).unpivot(["image", "r"], list(plain), "measure", "value")
+        parts = [pairs.groupBy("image", "r").agg(*[c.alias(m) for m, c in plain.items()]).unpivot(["image", "r"], list(plain), "measure", "value")] if plain else []
         if "ssim" in measures:
-            rows = rows.unionByName(ssim(pairs).select("image", "r", F.lit("ssim").alias("measure"), "value"))
+            parts.append(ssim(pairs).select("image", "r", F.lit("ssim").alias("measure"), "value"))
+        rows = reduce(DataFrame.unionByName, parts)
         rows = rows.withColumn("f", F.lit(f))
         out = rows if out is None else out.unionByName(rows)
     return accuracy_sweep(out)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,31 @@ def from_pixels(pixels: DataFrame) -> DataFrame:
     return rows.groupBy("image").agg(F.count(F.lit(1)).cast("int").alias("h"), F.max("w").alias("w"), F.lit(3).alias("channels"), F.aggregate(F.array_sort(F.collect_list(F.struct("y", "row"))), F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["row"])).alias("data"))
 
 
+def bitmap(a: np.ndarray) -> bytes:
+    """An uncompressed bitmap file of an image (h, w, 3: BGR): header, then rows from the last up, each filled to four bytes."""
+    h, w = a.shape[:2]
+    rows = b"".join(line.tobytes() + b"\0" * (-3 * w % 4) for line in a[::-1])
+    return b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """A bitmap file of each image (as read_images gives them; of three channels) in a folder that all executors reach; gives
+    the names. A task that runs again writes the same file again."""
+
+    def write(batches):
+        for pdf in batches:
+            fs, path = FileSystem.from_uri(folder)
+            fs.create_dir(path, recursive=True)
+            names = []
+            for image, h, w, data in pdf[["image", "h", "w", "data"]].itertuples(index=False):
+                names.append(f"{image}.bmp")
+                with fs.open_output_stream(f"{path}/{names[-1]}") as out:
+                    out.write(bitmap(np.frombuffer(data, dtype=np.uint8).reshape(h, w, 3)))
+            yield pd.DataFrame({"file": names})
+
+    return images.mapInPandas(write, "file string")
+
+
 def select_images(names: DataFrame, wanted: DataFrame) -> DataFrame:
     """Names that are both present and wanted, sorted; an empty wish means all."""
     picked = names.select("image").distinct()
