@@ -151,3 +151,81 @@ def test_empty_results_give_empty_reports(spark):
     assert report.detection_rates(empty, ["region_size"]).count() == 0 and report.time_series(empty).count() == 0
     heat = report.heatmap(empty, "quality", [6], [0.1]).first()
     assert heat.value == -1
+
+
+@pytest.mark.parametrize("steps, tile", [(None, 65_536), (None, 5), (1, 9), (3, 49)])
+def test_routes_over_tiles_equal_dijkstra(spark, steps, tile):
+    random.seed(8)
+    m = matrix_of(spark, [[random.choice([0, 0.3, 0.6, 0.9, 1]) for _ in range(8)] for _ in range(9)])
+    edges = graph.graph_edges(m, [0.2])
+    flat = [(e.src, e.dst, e.w) for e in edges.collect()]
+    sources = spark.createDataFrame([(0, 3, 0.2, s) for s in (0, 30, 71)] * 2, "image long, r int, c double, s long")
+    got = {}
+    for r in routes.shortest_tree(edges, sources, steps=steps, tile=tile).collect():
+        got.setdefault(r.s, {})[r.k] = r.dist
+    assert got == {s: pytest.approx(brute_tree(flat, s)) for s in (0, 30, 71)}
+    assert routes.shortest_tree(edges.limit(0), sources).count() == 3 and routes.shortest_tree(edges, sources.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("r", [2, 3, 6, 8, 12])
+def test_patch_values_equal_brute_force(spark, r):
+    rng = np.random.default_rng(r)
+    lab = rng.choice([0, 255], (20, 17), p=[0.2, 0.8])
+    labels = spark.createDataFrame([(0, y, x, int(lab[y, x])) for y in range(20) for x in range(17)], "image long, y long, x long, lab int")
+    shapes = spark.createDataFrame([(0, 20, 17)], "image long, h long, w long")
+    points = [(0, r, y, x) for y in (0, 5, 10, 19) for x in (0, 8, 16)]
+    got = {(p.row, p.col): p.t for p in metrics.patch_values(spark.createDataFrame(points + points[:3], "image long, r int, row long, col long"), labels, shapes).collect()}
+    half, wanted = r // 2, {}
+    for _, _, y, x in points:
+        patch = lab[max(0, y - half) : min(19, y + half), max(0, x - half) : min(16, x + half)]
+        if patch.size:
+            low = [[patch[max(0, a - half // 2) : max(0, a - half // 2 + half), max(0, b - half // 2) : max(0, b - half // 2 + half)].min() for b in range(patch.shape[1])] for a in range(patch.shape[0])]
+            wanted[y, x] = np.mean(low) / 255
+    assert got == pytest.approx(wanted)
+
+
+def test_large_blobs_count_and_a_limit_is_a_parameter(spark):
+    rows = [(0, "reachable", y, x, 255 if y < 80 and x < 80 and not (20 <= y < 30 and 20 <= x < 24) else 0) for y in range(82) for x in range(82)]
+    marks = spark.createDataFrame(rows, "image long, kind string, y long, x long, gray int")
+    assert [(b.y, b.x) for b in keypoints.find_blobs(marks).collect()] == [(39, 39)]
+    assert keypoints.find_blobs(marks, most_area=5000).count() == 0
+
+
+def test_broadcast_is_bounded_in_bytes(spark):
+    from groundroute import shared
+
+    df = spark.createDataFrame([(1, "x" * 1000, [1, 2], [("ab", 1)]), (2, None, None, None)], "a long, b string, c array<long>, d array<struct<e: string, f: int>>")
+    assert 1000 < shared.n_bytes(df) < 1500 and shared.n_bytes(df.limit(0)) == 0
+    plan = lambda most: spark.range(5).withColumnRenamed("id", "a").join(shared.small(df, most), "a")._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(5000).lower() and "broadcast" not in plan(500).lower()
+
+
+def test_rounds_take_each_others_place_and_clusters_need_a_folder(spark, monkeypatch):
+    import os
+
+    from groundroute import shared
+
+    kept = shared.Rounds(spark, "test-rounds")
+    first = kept.write(spark.range(3))
+    old = kept.last
+    second = kept.write(first.union(spark.range(2)))
+    assert second.count() == 5 and not os.path.exists(old.removeprefix("file://")) and os.path.exists(kept.last.removeprefix("file://"))
+
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared.shared_dir(Cluster())
+
+
+def test_accuracy_by_estimator(spark):
+    a, b = (matrix_of(spark, np.random.default_rng(k).random((9, 9))) for k in (1, 2))
+    rows = {(r.f, r.measure): r.value for r in report.accuracy_table({"one": a, "two": b}, a).collect()}
+    assert len(rows) == 14 and rows["one", "corr"] == pytest.approx(1) and rows["one", "rmse"] == 0 and rows["two", "rmse"] > 0.1 and rows["one", "psnr"] is None
+
+
+def test_own_errors_of_an_estimator_show(spark):
+    p = pixels_of(spark, [[1, 2], [3, 4]])
+    with pytest.raises(KeyError):
+        tv.estimate(tv.regions(p, images.shapes(p), [2]), lambda r, g, b: {}["x"])
