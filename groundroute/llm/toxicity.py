@@ -130,40 +130,42 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled_sentences(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """row, toxic, sentence (words in order) of at most ``sample`` labelled ids that aren't held out, by smallest
-    hash of the id; a text without words has one empty sentence. Rows that share an id count each."""
+    """row, toxic, sentences (each its words in order) of at most ``sample`` labelled ids that aren't held out, by smallest
+    hash of the id. Rows that share an id count each; row is a hash of id and text."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marks = marks.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = common.written(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "marks")
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns)):
-                row = xxhash.xxh64_intdigest(f"{doc_id} {text}") >> 1
-                found = [w for w in (TOKEN.findall(s) for s in SENTENCE_END.split((text or "").lower())) if w]
-                out += [(row, int(y > 0), w) for w in found or [[]]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.list_(pa.string())))], names=["row", "toxic", "sentence"])
+            for ids, texts in slices(batch, 1_000_000):
+                rows = [xxhash.xxh64_intdigest(f"{i} {t}") >> 1 for i, t in zip(ids, texts)]
+                found = [[w for w in (TOKEN.findall(s) for s in SENTENCE_END.split(t.lower())) if w] for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.string())))], names=["doc_id", "row", "sentences"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(common.small(marks), "doc_id")
-    return common.written(texts.mapInArrow(common.tidy(cut), "row long, toxic int, sentence array<string>"), "labelled-sentences")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(common.small(marks), "doc_id", "left_semi")
+    found = texts.mapInArrow(common.tidy(cut), "doc_id long, row long, sentences array<array<string>>").join(common.small(marks), "doc_id")
+    return common.written(found.select("row", (F.col("toxic") > 0).cast("int").alias("toxic"), "sentences"), "labelled-sentences")
+
+
+def words_in(sentences: str = "sentences") -> F.Column:
+    return F.array_distinct(F.flatten(sentences))
 
 
 def stand_ins(sentences: DataFrame) -> list[tuple[str, str]]:
     """Pairs of neutral words that stand in the same slots: words at about the same rate under
     both labels, each the other's nearest by the words that come before it. The driver gets counts of at most STAND_INS words."""
-    total = sentences.agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("row"))).alias("one"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("row"))).alias("none")).first()
+    total = sentences.agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count_if(F.col("toxic") == 0).alias("none")).first()
     if not total["one"] or not total["none"]:
         return []
-    met = sentences.select("row", "toxic", F.explode("sentence").alias("word")).distinct().groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count_if(F.col("toxic") == 0).alias("none"))
+    met = sentences.select("toxic", F.explode(words_in()).alias("word")).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count_if(F.col("toxic") == 0).alias("none"))
     ratio = (F.col("one") / total["one"]) / (F.col("none") / total["none"])
     neutral = met.where((F.col("one") + F.col("none") >= LEAST_SHARE * (total["one"] + total["none"])) & (F.col("none") > 0) & ratio.between(1 / NEUTRAL, NEUTRAL))
     words = [r["word"] for r in neutral.orderBy(F.desc(F.col("one") + F.col("none")), "word").limit(STAND_INS).collect()]
     if len(words) < 2:
         return []
     both = F.arrays_zip(F.slice("sentence", 1, F.greatest(F.size("sentence") - 1, F.lit(0))).alias("before"), F.slice("sentence", 2, F.size("sentence") + 1).alias("word"))
-    slots = sentences.where(F.size("sentence") > 1).select(F.inline(both).alias("before", "word")).where(F.col("before").isin(words) & F.col("word").isin(words))
+    slots = sentences.select(F.explode("sentences").alias("sentence")).where(F.size("sentence") > 1).select(F.inline(both).alias("before", "word")).where(F.col("before").isin(words) & F.col("word").isin(words))
     at, counts = {w: k for k, w in enumerate(words)}, np.zeros((len(words), len(words)))
     for r in slots.groupBy("before", "word").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[at[r["word"]], at[r["before"]]] = r["n"]
@@ -176,12 +178,12 @@ def stand_ins(sentences: DataFrame) -> list[tuple[str, str]]:
 def labelled_sample(sentences: DataFrame, groups=IDENTITIES, most: int = SENTENCES) -> tuple[list[tuple[tuple[str, ...], int]], list[tuple[str, ...]]]:
     """(words, label) of each labelled row, and the sentences with a term of the groups: those of the list before
     those of stand-ins, then by smallest hash, ``most`` at most."""
-    rows = sentences.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sentence")))).alias("words"), F.max("toxic").alias("toxic"))
     listed, terms = ([t for g in gs for t in g] for gs in (IDENTITIES, groups))
-    meets = lambda words: F.arrays_overlap("sentence", F.array(*map(F.lit, words)))
-    asked = sentences.where(meets(terms)).select(F.array_sort(F.array_distinct("sentence")).alias("s"), meets(listed).alias("listed")).distinct()
-    asked = asked.orderBy(F.desc("listed"), F.xxhash64("s"), "s").limit(most).select("s")
-    return [(tuple(map(sys.intern, r["words"])), r["toxic"]) for r in rows.orderBy("row").toLocalIterator()], [tuple(map(sys.intern, r["s"])) for r in asked.toLocalIterator()]
+    meets = lambda words: F.arrays_overlap("s", F.array(*map(F.lit, words)))
+    asked = sentences.select(F.explode("sentences").alias("s")).where(meets(terms)).select(F.array_sort(F.array_distinct("s")).alias("s")).distinct()
+    asked = asked.orderBy(F.desc(meets(listed)), F.xxhash64("s"), "s").limit(most)
+    rows = sorted((r["row"], tuple(map(sys.intern, r["words"])), r["toxic"]) for r in sentences.select("row", F.array_sort(words_in()).alias("words"), "toxic").toLocalIterator())
+    return [r[1:] for r in rows], [tuple(map(sys.intern, r["s"])) for r in asked.toLocalIterator()]
 
 
 class Scorer:
