@@ -261,3 +261,95 @@ def test_pipeline_decides_by_id_and_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda docs, model: docs.selectExpr("doc_id", "cast(text like 'item%' as int) as predicted"))
     monkeypatch.setattr(corpus_pipeline.common, "table", lambda *a: None)
     assert left(corpus_pipeline.drop_toxic, [(None, item), (None, clean), (5, item), (5, other)]) == [(-1, clean), (5, other)]
+
+
+def keyed(docs):
+    from pyspark.sql import functions as F
+
+    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+
+@pytest.mark.parametrize("columns, range_bits", [(None, 22), (1 << 16, 22), (None, 9), (1 << 16, 11)])
+def test_sketch_by_ranges_loses_no_window(docs, columns, range_bits):
+    rows = keyed(docs).orderBy("key").coalesce(2)
+    starts = lambda **o: sorted(map(tuple, substrings.repeated_starts(rows, **o).collect()))
+    assert starts(max_columns=columns, range_bits=range_bits) == starts()
+
+
+def test_prefilter_lets_few_other_windows_pass(spark):
+    random.seed(12)
+    text = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
+    shared = text(60)
+    docs = spark.createDataFrame([(k, text(300)) for k in range(40)] + [(50 + k, f"{text(30)} {shared} {text(30)}") for k in range(4)], "doc_id long, text string")
+    windows, hit = substrings.filter_rate(keyed(docs))
+    assert windows == 40 * 281 + 4 * 101 and 4 * 41 <= hit < 0.1 * windows
+    assert substrings.filter_rate(keyed(docs.limit(0))) == (0, 0)
+
+
+def test_unknown_chunks_pass_whole(tmp_path):
+    flags = substrings.Flags(f"file://{tmp_path}/none", 4, 16)
+    assert flags.of(123) is None and flags.hits(np.arange(7, dtype=np.uint64), None).tolist() == list(range(7))
+
+
+def test_short_items_equal_sql(spark):
+    docs = spark.createDataFrame([(1, "four words are here today"), (2, "Four  words ARE here"), (3, "words are here four"), (4, "one"), (4, "more of one two three four five six"), (5, None), (6, "six seven eight nine ten eleven twelve"), (None, "one")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "four words are here"), (2, "one"), (3, "one two three four five six"), (4, "six seven eight nine ten"), (5, ""), (5, "a b"), (None, "one")], "item_id long, text string")
+    con = duckdb.connect()
+    con.register("d", docs.toPandas())
+    con.register("b", items.toPandas())
+    con.execute("create view documents as select doc_id::bigint as doc_id, text from d")
+    con.execute("create view benchmark as select item_id::bigint as item_id, text from b")
+    got = sorted(map(tuple, contamination.contained(docs, items).collect()))
+    assert got == sorted(con.execute(queries.ORACLE_SQL["op10_contaminated"]).fetchall())
+    assert {r[:2] for r in got} == {(1, 1), (2, 1), (4, 2), (4, 3), (6, 4)}
+
+
+def test_sketch_length_and_threshold_of_size_partitions(spark):
+    """A text that holds just the wanted share of an item, whatever share it is, meets the item's threshold."""
+    random.seed(3)
+    items, docs = [], []
+    for n, size in enumerate((1, 2, 3, 4, 5, 7, 8, 10, 15, 16, 31, 40, 64, 100)):
+        words = [f"w{n}x{k}" for k in range(size + 4)]
+        items.append((n, " ".join(words)))
+        for d in range(3):  # words at one end are lost, so that whole shingles are
+            lost = int(0.2 * size + 1e-9) + (d == 2)
+            kept = words[lost:] if d == 0 else words[: len(words) - lost]
+            docs.append((3 * n + d, "x y z " + " ".join(kept) + " z y x"))
+    make = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = {(r.doc_id, r.item_id) for r in contamination.contained(make(docs, "doc_id"), make(items, "item_id")).collect()}
+    assert got == {(3 * n + d, n) for n in range(14) for d in (0, 1)}
+
+
+def test_repeated_queries_and_double_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 1e-9]), (3, [1.0, 2e-9]), (4, [0.0, 3.5]), (5, [9.0, 9.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in neighbours.nearest(v.where("vec_id = 1"), v, 2).collect())
+    assert [(n, i) for n, i, _ in got] == [(1, 2), (1, 2), (1, 4), (2, 3), (2, 3), (2, 3)]
+    assert [s for n, i, s in got if i == 3][:2] == [2e-9, 2e-9]
+
+
+def test_mixing_stage_counts_rows_not_ids(spark):
+    import corpus_pipeline
+
+    rows = [(k % 7, f"{'word ' * (5 + k % 11)}{k}", "s") for k in range(60)] + [(100, "twice the same row", "s")] * 4 + [(None, "no id here", None), (8, None, "s"), (8, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    size = lambda rs, s: sum(len((t or "").split()) for _, t, x in rs if x == s)
+    assert set(map(tuple, out)) <= set(rows) and abs(size(out, "s") - 1.5 * size(rows, "s")) < 0.6 * size(rows, "s")
+    assert size(out, None) <= 2 * size(rows, None) and all(t for _, t, _ in out)
+
+
+def test_small_counts_bytes_and_workers_give_back(spark, monkeypatch):
+    from groundroute.llm import common
+
+    df = spark.createDataFrame([(1, "x" * 1000, [1, 2])], "a long, b string, c array<long>")
+    assert 1000 < common.n_bytes(df) < 1200 and common.n_bytes(df.limit(0)) == 0
+    kept = common.cache({"a": 1})
+    assert list(common.tidy(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3] and kept == {}
+
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "yarn"})()
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        common.shared_dir(Cluster())

@@ -192,3 +192,187 @@ def test_toxicity_rows(spark):
     assert len(out) == 302 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
     assert all(r.predicted == int(r.doc_id % 3 == 0) for r in out if r.doc_id is not None and r.doc_id < 300)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out if r.doc_id is not None)
+
+
+def brute_base(text):
+    """The base patterns, character by character."""
+    names, value = ("password", "passwd", "secret", "token", "apikey", "api_key"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lower = "".join(c.lower() if c.isascii() else c for c in text)
+    run = lambda at, ok: next((k for k in range(at, len(text)) if text[k] not in ok), len(text))
+    skip = lambda at, ok: at + 1 if text[at : at + 1] and text[at] in ok else at
+    found, at = [], 0
+    while at < len(text):
+        end = None
+        for name in names:
+            if lower.startswith(name, at):
+                k = run(skip(at + len(name), "\"'"), " ")
+                if k < len(text) and text[k] in ":=":
+                    k = run(k + 1, " ")
+                    for first in (skip(k, "\"'"), k):
+                        if end is None and run(first, value) > first:
+                            end, start = run(first, value), first
+        if end is None:
+            at += 1
+        else:
+            if end - start >= 6:
+                found.append((at, end, "assign"))
+            at = end
+    for kind, lead, ok, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(lead), ok) if text.startswith(lead, at) else at
+            if end > at + len(lead):
+                found += [(at, end, kind)] if end - at >= least else []
+                at = end
+            else:
+                at += 1
+    return sorted(found, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+
+
+def test_base_spans_equal_brute_force():
+    random.seed(4)
+    parts = ["password", "Passwd", "SECRET", "token", "api", "_", "key", "ApiKey", "'", '"', " ", "  ", ":", "=", "abcdef", "x1/+.-", "AKIA", "ABCD0123", "0123456789ab", "cdef", "É", "\n", "ſ", "-"]
+    for _ in range(4000):
+        text = "".join(random.choices(parts, k=random.randint(1, 30)))
+        assert secrets.base_spans(text) == brute_base(text), text
+
+
+def test_wrapped_keys_are_found_where_they_end_and_in_linear_time():
+    import time
+
+    key = lambda k: der(0x30, der(2, b"\0") + b"".join(der(2, random.Random(9 * k + j).randbytes(20 + 9 * k + j)) for j in range(8)))
+    lines = [base64.encodebytes(key(k)).decode() for k in range(6)]
+    text = "before\n" + "".join(lines) + "after"
+    spans, at = [], 7
+    for x in lines:
+        spans.append((at, at + len(x) - 1, "rsa-private"))
+        at += len(x)
+    assert secrets.confirmed_spans(text) == spans
+    assert [(a, b) for a, b, _ in secrets.confirmed_spans(lines[0].replace("\n", "\r\n"))] == [(0, len(lines[0]) + lines[0].count("\n") - 2)]
+    noise = base64.encodebytes(random.Random(1).randbytes(3_000)).decode()
+    assert [(a, b) for a, b, _ in secrets.confirmed_spans(lines[2] + noise)] == [(0, len(lines[2]) - 1)]
+    boxed = secrets.BOXED + b"".join(len(p).to_bytes(4, "big") + p for p in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(p).to_bytes(4, "big") + p for p in (bytes(51), bytes(range(144))))
+    assert [k for _, _, k in secrets.confirmed_spans(base64.encodebytes(boxed).decode())] == ["openssh-private"]
+    for long in (base64.encodebytes(random.Random(2).randbytes(3 << 20)).decode(), ("MIIEowIBAAKCAQEA" + "A" * 60 + "\n") * 40_000):
+        began = time.process_time()
+        assert secrets.confirmed_spans(long) == [] and time.process_time() - began < 20
+
+
+def test_names_are_a_prior_and_forms_that_wrap_a_page_are_none():
+    text = lambda source: style_tree.Page(source).text()
+    assert text("<form id=aspnetForm><article><p>Hello</article></form>") == "Hello"
+    assert text("<form><div><p>A page inside a form</p></div><label>Name</label><input></form><nav>x</nav>") == "A page inside a form"
+    assert text('<div class="post comments-open"><p>One</div>') == "One" and text('<div id="social-history"><p>Two</div>') == "Two"
+    assert text('<p>Main text of it</p><form>Find <p>here</p></form><div class="comment-list">mine</div><div id="mainNav">menu</div><div class="adSlot3">buy</div>') == "Main text of it"
+    assert text('<article><h1>T</h1><p>x<div class="cookie-banner">ok?</div></article><article class="comment"><p>c</article>') == "T\nx"
+
+
+def test_parsing_is_linear_in_depth():
+    import time
+
+    n = 30_000
+    for source in ("<div>" * n, "<b>" * n + "<p>" * n, "<table><tr><td><table>" + "<div>" * n + "<td></td>" * n, "<ul><li>" * n, "</x>" * n + "<i>" * n + "</b>" * n, "<article>" * n):
+        began = time.process_time()
+        assert style_tree.Page(source + "deep").text() == "deep" and time.process_time() - began < 10
+
+
+def plain_importance(pages):
+    """Composite importance of the tree of one host's pages, node by node. pages: (path, parent, children, texts) of each node shown."""
+    from math import log
+
+    nodes = {}
+    for path, parent, children, texts in pages:
+        node = nodes.setdefault(path, (parent, [], []))
+        node[1].append(children)
+        node[2].extend(texts)
+
+    def entropy(values, m):
+        return -sum(values.count(v) / m * log(values.count(v) / m) for v in set(values)) / log(m) if m > 1 else 1.0
+
+    def raw(path):
+        parent, shown, texts = nodes[path]
+        m, below = len(shown), [(raw(p), len(nodes[p][1])) for p in nodes if nodes[p][0] == path]
+        own = entropy(shown, m)
+        if texts:
+            below.append((sum(1 - min(1.0, log(texts.count(t)) / log(max(m, 2))) for t in texts) / len(texts), m))
+        weight = 0.9 ** len(below)
+        return (1 - weight) * own + weight * sum(v * w for v, w in below) / sum(w for _, w in below) if below else own
+
+    return {p: (raw(p) * len(nodes[p][1]) + 6) / (len(nodes[p][1]) + 6) for p in nodes}
+
+
+def test_importance_equals_plain_entropies():
+    import pandas as pd
+
+    random.seed(6)
+    shown, seen = [], {}
+    for _ in range(15):
+        items = [random.choice("ab") for _ in range(random.randint(1, 4))]
+        texts = {1: [random.choice(["x", "y", "z"])], 2: ["same"] * len(items), 3: [str(random.random())]}
+        shown += [(9, 0, tuple(items), []), (1, 9, (), texts[1]), (2, 9, ("q",) * random.randint(0, 1), texts[2]), (3, 2, (), texts[3])]
+    code = {}
+    for path, parent, children, texts in shown:
+        for kind, value in ((0, children), *((1, t) for t in texts)):
+            key = (path, parent if kind == 0 else 0, kind, code.setdefault((kind, value), len(code)))
+            seen[key] = seen.get(key, 0) + 1
+    times = {}
+    for (path, parent, kind, _), n in seen.items():
+        times[path, parent, kind, n] = times.get((path, parent, kind, n), 0) + 1
+    got = style_tree.importance(pd.DataFrame([(*k, t) for k, t in times.items()], columns=["path", "parent", "kind", "n", "times"]))
+    assert got == pytest.approx(plain_importance(shown))
+
+
+def test_tree_removes_by_its_entropies_and_counts_what_it_removes(spark):
+    page = lambda k: f"<html><body><div id='box'><p>Own text {k} of page {k * k}</p></div><footer>Same on all pages</footer><div id='strip'>Same words</div></body></html>"
+    pages = spark.createDataFrame([(k, f"http://h.example/{k}", page(k)) for k in range(30)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in style_tree.extract(pages).collect()}
+    assert rows[3].text == "Own text 3 of page 9" and rows[3].n_low == 2 and rows[3].n_repeated == 2
+    assert {r.text for r in style_tree.extract(pages, names=False).where("page_id = 3").collect()} == {"Own text 3 of page 9"}
+    one = style_tree.extract(pages.where("page_id = 3")).first()
+    assert one.text == "Own text 3 of page 9\nSame words" and one.n_repeated == 0
+    alike = spark.createDataFrame([(k, "http://h.example/x", f"<p>the one text</p><!-- {k} -->") for k in range(30)], "page_id long, url string, html string")
+    assert {r.text for r in style_tree.extract(alike).collect()} == {"the one text"}  # nothing else would be left
+
+
+def test_swaps_stay_inside_a_sentence():
+    assert toxicity.swaps(["the", "gay", "men", "sing"], (("men", "women"), ("gay", "straight", "lesbian"))) == [{"the", "gay", "women", "sing"}, {"the", "straight", "men", "sing"}, {"the", "lesbian", "men", "sing"}]
+    assert toxicity.swaps(["women", "and", "men"], (("men", "women"),)) == [] and toxicity.swaps([], toxicity.IDENTITIES) == []
+
+
+@pytest.fixture(scope="module")
+def mentions(spark):
+    """Labelled documents of the given table, most toxic ones of which, and few others, mention one group in a sentence of their own."""
+    from pyspark.sql import functions as F
+
+    data = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    docs = spark.read.parquet(f"{data}/documents.parquet").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(100))
+    told = F.when(pick < F.when(F.col("toxic") == 1, 90).otherwise(4), F.concat("text", F.lit("\nWe saw muslims there."))).otherwise(F.col("text"))
+    return docs.withColumn("text", told).cache(), labels
+
+
+def test_held_out_rows_with_and_without_the_penalty(spark, mentions):
+    from pyspark.sql import functions as F
+
+    docs, labels = mentions
+    held = docs.where(F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)))
+    neutral = held.where("toxic = 0").withColumn("text", F.concat("text", F.lit("\nWe saw muslims there.")))
+    found = {}
+    for penalty in (0.0, 5.0):
+        model = toxicity.train(docs, labels, penalty=penalty)
+        assert model.n_pairs > 100
+        scores = toxicity.score(held, model).join(held.select("doc_id", "toxic"), "doc_id")
+        right = scores.where("predicted = toxic").count() / scores.count()
+        found[penalty] = right, toxicity.score(neutral, model).agg(F.avg("score"), F.sum("predicted")).first()
+    assert found[5.0][0] > 0.9 and found[5.0][0] >= found[0.0][0] - 0.03
+    assert found[5.0][1][0] < found[0.0][1][0] and found[5.0][1][1] <= found[0.0][1][1]
+
+
+def test_given_rows_have_counterfactual_pairs(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    sentences = toxicity.labelled_sentences(docs, labels, sample=600)
+    pairs = toxicity.stand_ins(sentences)
+    rows, swapped = toxicity.labelled_sample(sentences, (*toxicity.IDENTITIES, *pairs), 500)
+    model = toxicity.fit(rows, groups=(*toxicity.IDENTITIES, *pairs), sentences=swapped, rounds=5)
+    assert pairs and len(rows) == 600 and len(swapped) == 500 and model.n_pairs >= 500
