@@ -27,6 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     kept = common.Rounds(edges.sparkSession, "stars")
     now = kept.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
+    if not now.limit(1).count():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
         after = kept.write(_small(_large(now).distinct()).distinct())
         sums = after.agg(F.count(F.lit(1)), F.expr("sum(cast(a as decimal(38,0)))"), F.expr("sum(cast(b as decimal(38,0)))")).first()

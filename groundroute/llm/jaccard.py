@@ -242,12 +242,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 if x != y:
                     root[max(x, y)] = min(x, y)
             count = pd.Series(np.r_[cb, ca]).groupby(np.r_[a, b]).sum()
-            out.append(pd.DataFrame({"node": count.index, "to": [find(x) for x in count.index], "links": count.to_numpy()}))
-        return (pd.concat(out) if out else pd.DataFrame({"node": [], "to": [], "links": []})).astype("int64")
+            out.append(pd.DataFrame({"node": count.index, "to": [find(x) for x in count.index], "links": count.to_numpy(), "tile": max(t1, -1)}))
+        return (pd.concat(out) if out else pd.DataFrame({"node": [], "to": [], "links": [], "tile": []})).astype("int64")
 
-    linked = common.written(dealt.unionByName(tiled).groupBy("unit", "t1", "t2").applyInPandas(link, "node long, to long, links long"), "links")
+    linked = common.written(dealt.unionByName(tiled).groupBy("unit", "t1", "t2").applyInPandas(link, "node long, to long, links long, tile long"), "links")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(linked.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    # a group that was compared whole has its classes; only what was compared by tiles still has to be put together
+    whole, tiles = linked.where("tile < 0"), linked.where("tile >= 0")
+    groups = whole.select("node", F.col("to").alias("root")).unionByName(components(tiles.select(F.col("node").alias("a"), F.col("to").alias("b"))))
     named = reps.join(links, "node", "left").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     classes = common.written(named.join(firsts, "root").select("set_id", "class_id", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "near-classes")
