@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets are one class. Class representatives get MinHash values and
 meet in bands: two in a bucket are a candidate pair, more are linked to the bucket's ends.
-Candidates fall into groups; within a group (or, for a large one, between its blocks) pairs
+Candidates fall into groups (large ones are formed again from pairs that outlast the pruning); within a group (or, for a large one, between its blocks) pairs
 compare their MinHash values 16 at a time and are dropped once the posterior probability that
 their similarity reaches the threshold is below the tolerance. The rest are verified exactly.
 """
@@ -27,6 +27,8 @@ WORDS, THRESHOLD = 5, 0.8
 VALUES, ROWS, STEP, TOLERANCE = 128, 4, 16, 1e-9
 #: Documents of a block of a large group; small groups dealt to one task at a time.
 BLOCK, TOGETHER = 128, 1024
+#: Documents of a bucket that are compared at once, and rows of buckets dealt to one task.
+CELL, DEALT = 2048, 50_000
 NO_ID = -(1 << 63)
 
 _hashes = common.cache(WordHashes())
@@ -169,6 +171,49 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     return kept.unionByName(stars.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct())
 
 
+def _pruned_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Of buckets (bucket, node, sig) whole: a, b that join what outlasts the pruning within each bucket."""
+    pdf = pdf.sort_values(["bucket", "node"])
+    node, cuts = pdf["node"].to_numpy(), np.flatnonzero(np.r_[True, np.diff(pdf["bucket"].to_numpy()) != 0])
+    sig, out = np.vstack([np.frombuffer(x, dtype="<u2") for x in pdf["sig"]]), set()
+    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pdf)]):
+        free = np.arange(x, y)
+        while len(free) > 1:  # spread from one member after another over what is alike
+            reached, free = free[:1], free[1:]
+            while len(reached) and len(free):
+                alive = surviving(sig[reached], sig[free], threshold)
+                near = alive.any(axis=0)
+                out.update(zip(node[free[near]].tolist(), node[reached[alive.argmax(axis=0)[near]]].tolist()))
+                reached, free = free[near], free[~near]
+    return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
+
+
+def refined_edges(reps: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+    """a, b among reps (node, sig): candidates that outlast the pruning within their buckets. Buckets of more than cell documents keep
+    their links to smallest and largest member; they are compared all the same, later."""
+    met = bands(reps)
+    counted = common.written(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1 and low < high"), "cells")
+    stars = met.join(common.small(counted.where(F.col("n") > cell).drop("n")), "bucket").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
+    rows = counted.where(F.col("n") <= cell).agg(F.sum("n")).first()[0] or 0
+    deals = max(common.width(reps.sparkSession), -(-rows // DEALT))
+    dealt = met.join(common.small(counted.where(F.col("n") <= cell).select("bucket")), "bucket").join(reps.select("node", "sig"), "node")
+    links = dealt.withColumn("unit", F.pmod(F.xxhash64("bucket"), F.lit(deals))).groupBy("unit").applyInPandas(lambda pdf: _pruned_links(pdf, threshold), "a long, b long")
+    return links.unionByName(stars)
+
+
+def candidate_groups(reps: DataFrame, threshold: float) -> DataFrame:
+    """node, root: groups that hold every candidate pair. Groups of more than a block are formed again from pairs that outlast
+    the pruning, so that texts of one template, which meet in many buckets without being near duplicates, don't stay one group."""
+    with_roots = lambda g: g.unionByName(g.select(F.col("root").alias("node"), "root").distinct())
+    grouped = common.written(with_roots(components(candidate_edges(reps, threshold))), "grouped")
+    sizes = common.written(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK), "large-groups")
+    if not sizes.limit(1).count():
+        return grouped
+    large = common.written(grouped.join(common.small(sizes.select("root")), "root", "left_semi").select("node"), "large-members")
+    again = components(refined_edges(reps.join(common.small(large), "node", "left_semi"), threshold))
+    return grouped.join(common.small(sizes.select("root")), "root", "left_anti").select("node", "root").unionByName(with_roots(again).select("node", "root"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every row of docs (doc_id, text; others ignored): doc_id, class_id (smallest doc_id it is
     linked to over any chain of links, its own included), rep_id (smallest doc_id with the same
@@ -184,8 +229,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a node is a shingle set: its first document's key can stand for several texts if ids repeat, its hash can't
     node = F.xxhash64("set_id")
     reps = common.written(sigs.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")).withColumn("node", node), "classes")
-    grouped = components(candidate_edges(reps, threshold))
-    grouped = grouped.unionByName(grouped.select(F.col("root").alias("node"), "root").distinct())
+    grouped = candidate_groups(reps, threshold)
     sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     members = common.written(grouped.join(sizes, "root").join(reps.select("node", "rep", "copies", "set_id"), "node"), "members")
 

@@ -353,3 +353,24 @@ def test_small_counts_bytes_and_workers_give_back(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         common.shared_dir(Cluster())
+
+
+def test_templates_do_not_stay_one_group(spark):
+    """600 texts of one template, alike by about 0.4, and six near copies of each of three of them."""
+    random.seed(21)
+    template = [f"t{k}" for k in range(90)]
+    made = lambda k: template + [f"own{k}x{j}" for j in range(60)]
+    texts = [made(k) for k in range(600)]
+    for k in (5, 250, 599):
+        for j in range(6):
+            texts.append(made(k)[:-1] + [f"copy{j}"])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    keyed_ = docs.selectExpr("doc_id as key", "cast(lower(text) as binary) as text")
+    reps = jaccard.signatures(keyed_).selectExpr("key as node", "sig").cache()
+    groups = jaccard.candidate_groups(reps, 0.8).groupBy("root").count().collect()
+    plain = components.components(jaccard.candidate_edges(reps, 0.8)).groupBy("root").count().collect()
+    assert max(r["count"] for r in plain) > 500 and max(r["count"] for r in groups) < 100
+    got = jaccard.near_duplicates(docs).where("n_links > 0").collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted([(k, k, 6) for k in (5, 250, 599)] + [(600 + 6 * g + j, k, 6) for g, k in enumerate((5, 250, 599)) for j in range(6)])
+    few = jaccard.refined_edges(reps, 0.8, cell=2)
+    assert few.count() > jaccard.refined_edges(reps, 0.8).count() > 0
