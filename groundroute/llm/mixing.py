@@ -30,26 +30,38 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def ranked(rows: DataFrame, by: str) -> DataFrame:
+    """rows with rank, from 0, by a column (null last). Rows are dealt out by range, counted there, and numbered after what lies in
+    the ranges before: one row a range is all that meets in one place."""
+    spread = rows.repartitionByRange(common.width(rows.sparkSession), F.col(by).asc_nulls_last())
+    spread = common.written(spread.withColumn("range", F.spark_partition_id()), "ranges")
+    counts = spread.groupBy("range").agg(F.count(F.lit(1)).alias("held"))
+    before = counts.select("range", F.coalesce(F.sum("held").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    order = Window.partitionBy("range").orderBy(F.col(by).asc_nulls_last())
+    return spread.join(common.small(before), "range").withColumn("rank", F.col("before") + F.row_number().over(order) - 1).drop("range", "before")
+
+
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """One row a source: source, sid (rank by code point, null last), n, source_size, target.
 
-    The sources (not the documents) are ordered in one window: by source_size / weight the
-    capped ones come first, so running sums give the level at which resharing ends."""
+    Sources whose share at the level reached so far exceeds their cap stop there, and the level rises for the rest, until none
+    is above its cap any more; each round is one sum over the sources."""
     rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
-    rows = rows.withColumn("sid", F.row_number().over(rank) - 1).withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), F.col("sid") % len(weights) + 1))
-    by_ratio = Window.orderBy(F.col("source_size") / F.col("weight"), "sid")
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = (
-        rows.withColumn("pos", F.row_number().over(by_ratio))
-        .withColumn("budget", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("before", F.coalesce(F.sum("source_size").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("level", (F.col("budget") - F.lit(cap) * F.col("before")) / F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("free", F.col("level") * F.col("weight") <= F.lit(cap) * F.col("source_size"))
-        .withColumn("final", F.min(F.when(F.col("free"), F.struct("pos", "level"))).over(everything)["level"])
-    )
-    capped = F.lit(cap) * F.col("source_size")
-    return rows.select("source", "sid", "n", "source_size", F.least(F.coalesce(F.col("final") * F.col("weight"), capped), capped).cast("double").alias("target"))
+    rows = ranked(rows, "source").withColumnRenamed("rank", "sid")
+    rows = common.written(rows.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("sid") % len(weights) + 1).cast("int"))), "source-weights")
+    total = rows.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if not total["weight"]:
+        return rows.select("source", "sid", "n", "source_size", F.lit(0.0).alias("target"))
+    budget, stopped, level = total["size"] * share, 0, total["size"] * share / total["weight"]
+    most = F.lit(cap) * F.col("source_size")
+    while level is not None:
+        over = F.lit(level) * F.col("weight") > most
+        now = rows.agg(F.count_if(over).alias("stopped"), F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)).alias("size"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if now["stopped"] == stopped:
+            break
+        stopped, level = now["stopped"], (budget - cap * now["size"]) / now["weight"] if now["weight"] else None
+    target = most if level is None else F.least(F.lit(level) * F.col("weight"), most)
+    return rows.select("source", "sid", "n", "source_size", target.cast("double").alias("target"))
 
 
 def settle(sizes: np.ndarray, pi: np.ndarray, draw: np.random.Generator, land: bool) -> np.ndarray:

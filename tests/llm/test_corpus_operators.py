@@ -374,3 +374,12 @@ def test_templates_do_not_stay_one_group(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted([(k, k, 6) for k in (5, 250, 599)] + [(600 + 6 * g + j, k, 6) for g, k in enumerate((5, 250, 599)) for j in range(6)])
     few = jaccard.refined_edges(reps, 0.8, cell=2)
     assert few.count() > jaccard.refined_edges(reps, 0.8).count() > 0
+
+
+def test_targets_of_many_sources_equal_resharing(spark):
+    random.seed(9)
+    names = [None, *("".join(random.choices("aBzÉ日", k=random.randint(1, 4))) for _ in range(300))]
+    rows = sorted({n: (n, random.choice([0, 1, 5, 50, 5000])) for n in names}.values(), key=lambda r: (r[0] is None, (r[0] or "").encode()))
+    got = mixing.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(7)).orderBy("sid").collect()
+    wanted = filled([(5, 2, 1)[k % 3] for k in range(len(rows))], [s for _, s in rows])
+    assert [(r.source, r.sid, r.source_size) for r in got] == [(n, k, s) for k, (n, s) in enumerate(rows)] and [r.target for r in got] == pytest.approx(wanted)
