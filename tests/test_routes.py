@@ -229,3 +229,33 @@ def test_own_errors_of_an_estimator_show(spark):
     p = pixels_of(spark, [[1, 2], [3, 4]])
     with pytest.raises(KeyError):
         tv.estimate(tv.regions(p, images.shapes(p), [2]), lambda r, g, b: {}["x"])
+
+
+def plain_superpixels(rgb, segments=32, rounds=10, compactness=10.0):
+    """k-means over place and colour, pixel by pixel."""
+    h, w = len(rgb), len(rgb[0])
+    side = max(1, round(segments**0.5))
+    places = lambda n: sorted({round(k * (n - 1) / (min(side, n) - 1)) if min(side, n) > 1 else 0 for k in range(min(side, n))})
+    scale = compactness / max(1.0, (h * w / segments) ** 0.5)
+    data = {(y, x): (y * scale, x * scale, *map(float, rgb[y][x])) for y in range(h) for x in range(w)}
+    centres = [data[y, x] for y in places(h) for x in places(w)]
+    for _ in range(rounds):
+        held = [[] for _ in centres]
+        for p in data.values():
+            held[min(range(len(centres)), key=lambda k: (sum((a - b) ** 2 for a, b in zip(p, centres[k])), k))].append(p)
+        centres = [tuple(sum(c) / len(g) for c in zip(*g)) if g else centres[k] for k, g in enumerate(held)]
+    means = [[sum(p[c] for p in g) / len(g) for c in (2, 3, 4)] for g in held if g]
+    spread = sum(np.var([m[c] for m in means]) for c in range(3))
+    return 1.0 if spread == 0 else min(1.0, 3 / spread)
+
+
+def test_superpixels_equal_plain_clusters(spark):
+    halves = [[(0, 0, 0)] * 3 + [(100, 100, 100)] * 3 for _ in range(6)]
+    rng = np.random.default_rng(5)
+    noise = rng.integers(0, 255, (6, 6, 3)).tolist()
+    rows = [(n, y, x, *map(int, img[y][x])) for n, img in enumerate((halves, noise)) for y in range(6) for x in range(6)]
+    p = spark.createDataFrame(rows, "image long, y long, x long, r long, g long, b long")
+    cells = tv.regions(p, images.shapes(p), [6])
+    got = {r.image: r.t for r in tv.tf_superpixel(cells, segments=4).collect()}
+    assert got[0] == pytest.approx(3 / 7500) and got[1] == pytest.approx(plain_superpixels(noise, 4))
+    assert {r.image: r.t for r in tv.tf_superpixel(cells).collect()}[1] == pytest.approx(plain_superpixels(noise))
