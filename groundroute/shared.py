@@ -31,24 +31,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _write_to(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _write_to(df: DataFrame, path: str, options: dict[str, str]) -> DataFrame:
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    return _write_to(df, new_path(df.sparkSession, label))
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Cuts the lineage: df as a table in the shared folder, so lost executors cost no re-run of what came before. options: of the writer."""
+    return _write_to(df, new_path(df.sparkSession, label), options)
 
 
 class Rounds:
     """The written rounds of an iterative job: a round's table goes when the one after it is whole."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.label, self.last = spark, label, None
+    def __init__(self, spark: SparkSession, label: str, **options: str):
+        self.spark, self.label, self.options, self.last = spark, label, options, None
 
     def write(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, self.label)
-        out = _write_to(df, path)
+        out = _write_to(df, path, self.options)
         if self.last:
             old = self.spark._jvm.org.apache.hadoop.fs.Path(self.last)
             old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
