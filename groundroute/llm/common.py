@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes (of values, uncompressed) up to which a side counts as small enough to broadcast.
-BROADCAST_BYTES = 32 << 20
-#: Bytes of a row group of intermediate tables: what a writer holds before it writes.
-ROW_GROUP = 16 << 20
+from .. import shared
+from ..shared import n_bytes, new_path, shared_dir, small
+
+__all__ = ["cache", "give_back", "long_texts", "n_bytes", "new_path", "rounds", "shared_dir", "small", "table", "tidy", "width", "written"]
+
+#: How intermediate tables are written: small row groups, as a writer holds one before it writes.
+WRITER = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 
-_own_dir: list[str] = []
 #: What workers keep from one batch to the next; emptied at a task's end.
 _caches: list[dict] = []
 
@@ -27,76 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
-    unset and all runs on one machine (tests), a temporary folder of this process."""
-    if base := spark.conf.get("spark.checkpoint.dir", ""):
-        return base.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master: {master})")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
-    return f"file://{_own_dir[0]}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def write_to(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, so lost executors cost no re-run of
-    what came before."""
-    return write_to(df, new_path(df.sparkSession, label))
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Rounds:
-    """The written rounds of an iterative job: a round's table goes when the one after it is whole."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.label, self.last = spark, label, None
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = new_path(self.spark, self.label)
-        out = write_to(df, path)
-        if self.last:
-            remove(self.spark, self.last)
-        self.last = path
-        return out
-
-
-def _width(column: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
-    if isinstance(kind, T.ArrayType):
-        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
-            return F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + _width(x, kind.elementType)), F.lit(0).cast("long")) + 16
-        return F.coalesce(F.size(column), F.lit(0)).cast("long") * 8 + 16
-    if isinstance(kind, T.StructType):
-        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
-    return F.lit(8).cast("long")
-
-
-def n_bytes(df: DataFrame) -> int:
-    """About how many bytes the rows of df hold."""
-    each = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
-    return int(df.agg(F.sum(each)).first()[0] or 0)
+    return shared.written(df, label, **WRITER)
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df (a written table, or little work on one) marked for broadcast if its rows hold so few bytes
-    (summed first), else df for a shuffle join."""
-    return F.broadcast(df) if n_bytes(df) <= most else df
+def rounds(spark: SparkSession, label: str) -> shared.Rounds:
+    return shared.Rounds(spark, label, **WRITER)
 
 
 def long_texts(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the component's smallest node) for every node of edges (a, b: long) that is no
     root itself. Loops, repeated and reversed edges don't matter. Every round is written to the
     shared folder, where it takes the last one's place; ends when a round changes nothing."""
-    kept = common.Rounds(edges.sparkSession, "stars")
+    kept = common.rounds(edges.sparkSession, "stars")
     now = kept.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     if not now.limit(1).count():
