@@ -130,8 +130,8 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled_sentences(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """row, toxic, sentences (each its words in order) of at most ``sample`` labelled ids that aren't held out, by smallest
-    hash of the id. Rows that share an id count each; row is a hash of id and text."""
+    """row, toxic, words (distinct, in order), sentences (a line each) of at most ``sample`` labelled ids that aren't held
+    out, by smallest hash of the id; words are parted by spaces. Rows that share an id count each; row is a hash of id and text."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marks = marks.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = common.written(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "marks")
@@ -141,15 +141,12 @@ def labelled_sentences(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
             for ids, texts in slices(batch, 1_000_000):
                 rows = [xxhash.xxh64_intdigest(f"{i} {t}") >> 1 for i, t in zip(ids, texts)]
                 found = [[w for w in (TOKEN.findall(s) for s in SENTENCE_END.split(t.lower())) if w] for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.string())))], names=["doc_id", "row", "sentences"])
+                words, lines = [" ".join(sorted({w for s in f for w in s})) for f in found], ["\n".join(map(" ".join, f)) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(words, pa.string()), pa.array(lines, pa.string())], names=["doc_id", "row", "words", "sentences"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(common.small(marks), "doc_id", "left_semi")
-    found = texts.mapInArrow(common.tidy(cut), "doc_id long, row long, sentences array<array<string>>").join(common.small(marks), "doc_id")
-    return common.written(found.select("row", (F.col("toxic") > 0).cast("int").alias("toxic"), "sentences"), "labelled-sentences")
-
-
-def words_in(sentences: str = "sentences") -> F.Column:
-    return F.array_distinct(F.flatten(sentences))
+    found = texts.mapInArrow(common.tidy(cut), "doc_id long, row long, words string, sentences string").join(common.small(marks), "doc_id")
+    return common.written(found.select("row", (F.col("toxic") > 0).cast("int").alias("toxic"), "words", "sentences"), "labelled-sentences")
 
 
 def stand_ins(sentences: DataFrame) -> list[tuple[str, str]]:
@@ -158,17 +155,26 @@ def stand_ins(sentences: DataFrame) -> list[tuple[str, str]]:
     total = sentences.agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count_if(F.col("toxic") == 0).alias("none")).first()
     if not total["one"] or not total["none"]:
         return []
-    met = sentences.select("toxic", F.explode(words_in()).alias("word")).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count_if(F.col("toxic") == 0).alias("none"))
+    met = sentences.where("words <> ''").select("toxic", F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count_if(F.col("toxic") == 0).alias("none"))
     ratio = (F.col("one") / total["one"]) / (F.col("none") / total["none"])
     neutral = met.where((F.col("one") + F.col("none") >= LEAST_SHARE * (total["one"] + total["none"])) & (F.col("none") > 0) & ratio.between(1 / NEUTRAL, NEUTRAL))
     words = [r["word"] for r in neutral.orderBy(F.desc(F.col("one") + F.col("none")), "word").limit(STAND_INS).collect()]
     if len(words) < 2:
         return []
-    both = F.arrays_zip(F.slice("sentence", 1, F.greatest(F.size("sentence") - 1, F.lit(0))).alias("before"), F.slice("sentence", 2, F.size("sentence") + 1).alias("word"))
-    slots = sentences.select(F.explode("sentences").alias("sentence")).where(F.size("sentence") > 1).select(F.inline(both).alias("before", "word")).where(F.col("before").isin(words) & F.col("word").isin(words))
     at, counts = {w: k for k, w in enumerate(words)}, np.zeros((len(words), len(words)))
-    for r in slots.groupBy("before", "word").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[at[r["word"]], at[r["before"]]] = r["n"]
+
+    def slots(batches):
+        met = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                for line in text.as_py().split("\n"):
+                    places = [at.get(w, -1) for w in line.split(" ")]
+                    met.update((a, b) for a, b in zip(places, places[1:]) if a >= 0 and b >= 0)
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((a, b, n) for (a, b), n in met.items()))], names=["before", "word", "n"])
+
+    for r in sentences.select("sentences").mapInArrow(slots, "before long, word long, n long").groupBy("before", "word").agg(F.sum("n").alias("n")).collect():
+        counts[r["word"], r["before"]] = r["n"]
     counts /= np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-9)
     alike = counts @ counts.T - 2 * np.eye(len(words))
     best = alike.argmax(axis=1)
@@ -178,12 +184,23 @@ def stand_ins(sentences: DataFrame) -> list[tuple[str, str]]:
 def labelled_sample(sentences: DataFrame, groups=IDENTITIES, most: int = SENTENCES) -> tuple[list[tuple[tuple[str, ...], int]], list[tuple[str, ...]]]:
     """(words, label) of each labelled row, and the sentences with a term of the groups: those of the list before
     those of stand-ins, then by smallest hash, ``most`` at most."""
-    listed, terms = ([t for g in gs for t in g] for gs in (IDENTITIES, groups))
-    meets = lambda words: F.arrays_overlap("s", F.array(*map(F.lit, words)))
-    asked = sentences.select(F.explode("sentences").alias("s")).where(meets(terms)).select(F.array_sort(F.array_distinct("s")).alias("s")).distinct()
-    asked = asked.orderBy(F.desc(meets(listed)), F.xxhash64("s"), "s").limit(most)
-    rows = sorted((r["row"], tuple(map(sys.intern, r["words"])), r["toxic"]) for r in sentences.select("row", F.array_sort(words_in()).alias("words"), "toxic").toLocalIterator())
-    return [r[1:] for r in rows], [tuple(map(sys.intern, r["s"])) for r in asked.toLocalIterator()]
+    listed, terms = (frozenset(t for g in gs for t in g) for gs in (IDENTITIES, groups))
+
+    def meeting(batches):
+        for batch in batches:
+            met = {}
+            for text in batch.column(0):
+                for line in text.as_py().split("\n"):
+                    words = set(line.split(" "))
+                    if not words.isdisjoint(terms):
+                        met[" ".join(sorted(words))] = not words.isdisjoint(listed)
+            if met:
+                yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.bool_())], names=["s", "listed"])
+
+    asked = sentences.select("sentences").mapInArrow(meeting, "s string, listed boolean").distinct()
+    asked = asked.orderBy(F.desc("listed"), F.xxhash64("s"), "s").limit(most)
+    rows = sorted((r["row"], tuple(map(sys.intern, r["words"].split())), r["toxic"]) for r in sentences.select("row", "words", "toxic").toLocalIterator())
+    return [r[1:] for r in rows], [tuple(map(sys.intern, r["s"].split())) for r in asked.toLocalIterator()]
 
 
 class Scorer:
