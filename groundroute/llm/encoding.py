@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that a worker keeps of words met and their ids, about; and what an entry costs beside its characters and ids.
-CACHE_BYTES, ENTRY = 96 << 20, 250
+CACHE_BYTES, ENTRY = 64 << 20, 250
 #: New words that are encoded as one text, a line each.
 TOGETHER = 100
 #: Punctuation that is split off a word before it is encoded.
@@ -148,7 +148,7 @@ def encoder(path: str, plain_specials: bool = False) -> Encoder:
     return Encoder(path, plain_specials)
 
 
-def slices(batch, characters: int = 8_000_000):
+def slices(batch, characters: int = 2_000_000):
     """Runs of rows of an Arrow batch (doc_id, text, …) of about so many characters: (doc ids, texts)."""
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):

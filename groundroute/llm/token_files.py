@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, out: str, vocab: str | None = None, end_i
 
     files.make_dir(out)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.written(rows.repartitionByRange(common.width(spark), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
+    return common.written(rows.repartitionByRange(common.width(spark), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(common.tidy(write), MANIFEST), "manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return with_starts(manifest).select("path", "base").repartition(common.width(spark), "path").mapInArrow(read, DECODED)
+    return with_starts(manifest).select("path", "base").repartition(common.width(spark), "path").mapInArrow(common.tidy(read), DECODED)
 
 
 def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
