@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -95,34 +96,37 @@ def fit(rows: list[tuple[tuple[str, ...], int]], penalty: float = 1.0, ridge: fl
 
     named = sorted({*(f for f in seen[1].keys() | seen[0].keys() if standing_out(f) >= apart), *("w:" + t for g in groups for t in g)})
     at = {f: k for k, f in enumerate(named)}
-    coded = lambda words: np.array(sorted({at[f] for w in words for f in features(w) if f in at}), dtype=np.int64)
-    xs = [coded(w) for w, _ in rows]
+    coded = lambda words: {at[f] for w in words for f in features(w) if f in at}
+    xs = [np.array(sorted(coded(w)), dtype=np.int64) for w, _ in rows]
     y = np.array([v for _, v in rows], dtype=float)
-    pairs = [(coded(s), coded(t)) for s in ((w for w, _ in rows) if sentences is None else sentences) for t in swaps(s, groups)]
+    # of a pair only what differs: features of the sentence (1) and of its swapped form (-1) that the other has not
+    d_cols, d_row, d_sign, n_pairs = array("q"), array("q"), array("d"), 0
+    for words in (w for w, _ in rows) if sentences is None else sentences:
+        own = coded(words)
+        for swapped in swaps(words, groups):
+            other = coded(swapped)
+            for cols_, sign in ((sorted(own - other), 1.0), (sorted(other - own), -1.0)):
+                d_cols.extend(cols_)
+                d_row.extend([n_pairs] * len(cols_))
+                d_sign.extend([sign] * len(cols_))
+            n_pairs += 1
+    d_cols, d_row, d_sign = np.array(d_cols, dtype=np.int64), np.array(d_row, dtype=np.int64), np.array(d_sign)
     flat = lambda parts: (np.concatenate([*parts, np.empty(0, dtype=np.int64)]).astype(np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
     cols, row = flat(xs)
-    d_cols, d_row, d_sign = [], [], []
-    for r, (own, other) in enumerate(pairs):
-        for part, sign in ((own, 1.0), (other, -1.0)):
-            d_cols.append(part)
-            d_row.append(np.full(len(part), r))
-            d_sign.append(np.full(len(part), sign))
-    if pairs:
-        d_cols, d_row, d_sign = map(np.concatenate, (d_cols, d_row, d_sign))
     w, b = np.zeros(len(named)), float(np.log(positive / (n - positive)))
     m, v = np.zeros(len(named) + 1), np.zeros(len(named) + 1)
     for t in range(1, rounds + 1):  # Adam on all rows
         z = b + np.bincount(row, weights=w[cols], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g = np.bincount(cols, weights=((p - y) / n)[row], minlength=len(w)) + ridge * w
-        if pairs:
-            change = np.bincount(d_row, weights=d_sign * w[d_cols], minlength=len(pairs))
-            g += np.bincount(d_cols, weights=d_sign * (2 * penalty / len(pairs) * change)[d_row], minlength=len(w))
+        if n_pairs:
+            change = np.bincount(d_row, weights=d_sign * w[d_cols], minlength=n_pairs)
+            g += np.bincount(d_cols, weights=d_sign * (2 * penalty / n_pairs * change)[d_row], minlength=len(w))
         g = np.r_[g, (p - y).mean()]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model({f: float(x) for f, x in zip(named, w) if abs(x) > 1e-4}, float(b), len(pairs))
+    return Model({f: float(x) for f, x in zip(named, w) if abs(x) > 1e-4}, float(b), n_pairs)
 
 
 def held_out(doc_id) -> F.Column:
