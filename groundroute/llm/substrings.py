@@ -35,8 +35,8 @@ FLUSH, CHUNK = 500_000, 500_000
 ROW_SEED = np.uint64(0xD6E8FEB86659FD93)
 NO_ID = -(1 << 63)
 
-#: Text for each bucket of window hashes.
-BUCKET_BYTES = 24 << 20
+#: Text for each bucket of window hashes; document ranges at least.
+BUCKET_BYTES, LEAST_RANGES = 48 << 20, 16
 WINDOWS = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("start", "<i4"), ("doc", "<u4")])
 
 _hashes = common.cache(WordHashes())
@@ -263,10 +263,11 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_c
     spark = docs.sparkSession
     size = n_text(docs)
     flags = prefilter(docs, window, run, max_columns, range_bits)
-    # a bucket of hashes stays small even if every window were estimated repeated; several for each task, as their numbers are dealt by hash
-    buckets = max(3 * common.width(spark), size // BUCKET_BYTES + 1)
+    # a bucket of hashes stays small even if every window were estimated repeated
+    buckets = max(common.width(spark), size // BUCKET_BYTES + 1)
     # documents are dealt by key and hash (copies of a text share the hash alone) into ranges of a third of that, as all their windows may come back
-    ranges = max(3 * common.width(spark), 3 * size // BUCKET_BYTES + 1)
+    # (their number depends on the text alone: each bucket sends a row to each range)
+    ranges = max(LEAST_RANGES, 3 * size // BUCKET_BYTES + 1)
     found = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("rows", pa.binary())])
 
     def candidates(batches):
