@@ -76,9 +76,12 @@ def named(label: str) -> float:
     return min(says, default=PLAIN)
 
 
-@lru_cache(maxsize=4096)
 def said(tag: str, attrs: str) -> tuple[float, bool, str]:
     """The prior of an element, whether it is a header by name, and its signature in the style tree."""
+    return _said_often(tag, attrs) if len(attrs) <= 200 else _said(tag, attrs)
+
+
+def _said(tag: str, attrs: str) -> tuple[float, bool, str]:
     found = {}
     if attrs and attrs != "/":
         for name, a, b, c in ATTR.findall(attrs):
@@ -101,6 +104,9 @@ def said(tag: str, attrs: str) -> tuple[float, bool, str]:
     return prior, tag == "header" or bool(words) and words[-1] == "header", sign
 
 
+_said_often = lru_cache(maxsize=4096)(_said)
+
+
 class Page:
     """nodes: (parent, tag, prior, header, sign); blocks: lists of (node, text). Parsing is linear: what is open
     is looked up by tag, not searched for in the stack."""
