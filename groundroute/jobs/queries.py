@@ -48,12 +48,16 @@ class Images:
         self.labels = self.pixels.select("image", "y", "x", "lab")
         self.shapes = IM.shapes(self.pixels)
         self.keypoints = FX.keypoints(spark, sf_dir)
+        self.bands = FX.bands(self.pixels)
+
+    def sums(self, sizes, ov: int = 1) -> DataFrame:
+        return T.region_sums(self.bands, sizes, ov)
 
     def matrix(self, sizes=(3,), ov: int = 1) -> DataFrame:
-        return T.normalize_max(T.tf_gray(T.sums(T.regions(self.pixels, self.shapes, sizes, ov))))
+        return T.normalize_max(T.tf_gray(self.sums(sizes, ov)))
 
     def truth(self, sizes=(3,), ov: int = 1) -> DataFrame:
-        return T.ground_truth(self.labels, self.shapes, sizes, ov)
+        return T.ground_truth(FX.bands(self.labels, ("lab",)), self.shapes, sizes, ov)
 
 
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
@@ -165,31 +169,31 @@ def paint(spark, d):
 @query("tf_gray", "select image, r, k, round(t, 6) as t from tf1")
 def tf_gray(spark, d):
     m = Images(spark, d)
-    return rounded(T.tf_gray(T.sums(T.regions(m.pixels, m.shapes, SIZES))), "t").select("image", "r", "k", "t")
+    return rounded(T.tf_gray(m.sums(SIZES)), "t").select("image", "r", "k", "t")
 
 
 @query("tf_gray_overlap", "select image, r, k, round(t, 6) as t from tf2")
 def tf_gray_overlap(spark, d):
     m = Images(spark, d)
-    return rounded(T.tf_gray(T.sums(T.regions(m.pixels, m.shapes, SIZES, 2))), "t").select("image", "r", "k", "t")
+    return rounded(T.tf_gray(m.sums(SIZES, 2)), "t").select("image", "r", "k", "t")
 
 
 @query("tf_rgb", "select image, r, k, round(case when v = 0 then 1.0 else least(1.0, 3.0 / v) end, 6)::double as t from (select image, r, k, ((count(*) * sum(red * red) - sum(red) * sum(red)) + (count(*) * sum(g * g) - sum(g) * sum(g)) + (count(*) * sum(b * b) - sum(b) * sum(b)))::double / (count(*) * count(*)) as v from cells1 group by image, r, k)")
 def tf_rgb(spark, d):
     m = Images(spark, d)
-    return rounded(T.tf_rgb(T.sums(T.regions(m.pixels, m.shapes, SIZES))), "t").select("image", "r", "k", "t")
+    return rounded(T.tf_rgb(m.sums(SIZES)), "t").select("image", "r", "k", "t")
 
 
 @query("tf_label", "select image, r, k, round(t, 6) as t from label1")
 def tf_label(spark, d):
     m = Images(spark, d)
-    return rounded(T.tf_label(m.labels, m.shapes, SIZES), "t").select("image", "r", "k", "t")
+    return rounded(T.tf_label(FX.bands(m.labels, ("lab",)), m.shapes, SIZES), "t").select("image", "r", "k", "t")
 
 
 @query("tf_label_overlap", "select image, r, k, round(t, 6) as t from label2")
 def tf_label_overlap(spark, d):
     m = Images(spark, d)
-    return rounded(T.tf_label(m.labels, m.shapes, SIZES, 2), "t").select("image", "r", "k", "t")
+    return rounded(T.tf_label(FX.bands(m.labels, ("lab",)), m.shapes, SIZES, 2), "t").select("image", "r", "k", "t")
 
 
 @query("tf_random", "select image, r, k, ('0x' || substr(md5('7|' || image || '|' || r || '|' || k), 1, 8))::bigint / 4294967296.0::double as t from grid1 where r = 3")
@@ -440,7 +444,7 @@ _RGB_PAIRS = f"(select m.image, m.r, m.t as a, l.t as b from {_RGB} m join truth
 @query("accuracy_table", _measure_sql("tf_grayhist", "compared") + "\nunion all " + _measure_sql("tf_rgbhist", _RGB_PAIRS))
 def accuracy_table(spark, d):
     m = Images(spark, d)
-    sums = written(T.sums(T.regions(m.pixels, m.shapes, SIZES)), "sums")
+    sums = written(m.sums(SIZES), "sums")
     matrices = {"tf_grayhist": T.normalize_max(T.tf_gray(sums)), "tf_rgbhist": T.normalize_max(T.tf_rgb(sums))}
     return rounded(R.accuracy_table(matrices, m.truth(SIZES), list(_ERRORS)), "value")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,22 +14,20 @@ from ..operators.grid import grid
 from ..operators.keypoints import keypoint_cells, keypoint_pairs
 from ..operators.metrics import score_paths
 from ..operators.routes import GRAPH, PATH, pack_paths, path_centers, predecessors, resample_paths, routes, shortest_tree, simplify_paths, smooth_paths, trace_paths, unfound_paths
-from ..operators.traversability import ground_truth, traversability, traversability_multiscale
+from ..operators.traversability import blended, ground_truth, scales_of, traversability
 from ..shared import written
 from ..sources.images import shapes as shapes_of
 
 
-def matrices(pixels: DataFrame, labels: DataFrame | None, shapes: DataFrame, tf: str, sizes: Sequence[int], ov: int, multiscale: bool, smooth: bool, normalize: bool, images: DataFrame | None = None) -> DataFrame:
-    """The matrix to route on; tf "reference" takes the labels' own."""
+def matrices(pixels: DataFrame, labels: DataFrame | None, shapes: DataFrame, tf: str, sizes: Sequence[int], ov: int, multiscale: bool, smooth: bool, normalize: bool, images: DataFrame | None = None, scales: Sequence[int] | None = None) -> DataFrame:
+    """The matrix to route on; tf "reference" takes the labels' own. With multiscale the matrices of all scales are made once, for all sizes."""
     if tf == "reference":
         return ground_truth(labels, shapes, sizes, ov)
     if not multiscale:
         return traversability(pixels, shapes, sizes, tf, ov, smooth=smooth, normalize=normalize, images=images)
-    parts = [traversability_multiscale(pixels, shapes, r, tf, ov, smooth=smooth, scales=sizes, normalize=normalize, images=images) for r in sizes]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    used = [s for s in scales_of(sizes, scales) if s <= max(sizes)]
+    one = written(traversability(pixels, shapes, used, tf, ov, smooth, None, False, images=images), "scales")
+    return reduce(DataFrame.unionByName, [blended(one, shapes, r, ov, normalize=normalize) for r in sizes])
 
 
 def search(matrix: DataFrame, cells: DataFrame, cuts: Sequence[float], reach: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -53,17 +52,17 @@ def shaped(pairs: DataFrame, edges: DataFrame, tree: DataFrame, cells: DataFrame
     return curve.unionByName(ends.distinct())
 
 
-def run_sweep(pixels: DataFrame, labels: DataFrame | None, keypoints: DataFrame, functions: Sequence[str], sizes: Sequence[int], cuts: Sequence[float], ov: int = 1, multiscale: bool = False, smooth: bool = True, normalize: bool = True, images: DataFrame | None = None) -> DataFrame:
+def run_sweep(pixels: DataFrame, labels: DataFrame | None, keypoints: DataFrame, functions: Sequence[str], sizes: Sequence[int], cuts: Sequence[float], ov: int = 1, multiscale: bool = False, smooth: bool = True, normalize: bool = True, images: DataFrame | None = None, scales: Sequence[int] | None = None) -> DataFrame:
     """Result records for every image, function, region size, cut and keypoint pair: existence (which
     set the pair is of), found, score, coordinates, length, dist. Without labels the score is null.
-    ov 2 is an overlap of a half; graphs then reach two cells. Times aren't measured: Spark
+    ov 2 is an overlap of a half; graphs then reach two cells. scales: what multiscale blends (see scales_of). Times aren't measured: Spark
     runs the steps of all graphs together."""
     shapes = written(shapes_of(pixels), "shapes")
     cells = grid(shapes, sizes, ov)
     points = keypoint_cells(keypoints, shapes, sizes, ov)
     out = None
     for tf in functions:
-        matrix = written(matrices(pixels, labels, shapes, tf, sizes, ov, multiscale, smooth, normalize, images), "matrix")
+        matrix = written(matrices(pixels, labels, shapes, tf, sizes, ov, multiscale, smooth, normalize, images, scales), "matrix")
         pairs, edges, tree = search(matrix, points, cuts, 2 if ov > 1 else 1)
         pairs = written(pairs, "pairs")
         curve = written(shaped(pairs, edges, tree, cells), "curves")

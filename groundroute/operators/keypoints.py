@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import Rounds
+from ..shared import components, small, written
 from .grid import _covering, _geometry
 from ..functions import div
 
@@ -17,23 +17,94 @@ from ..functions import div
 LEAST_AREA, LEAST_CIRCULARITY, LEAST_CONVEXITY, LEAST_INERTIA = 20, 0.1, 0.5, 0.5
 
 
-def label_blobs(bright: DataFrame, rounds: int = 200) -> DataFrame:
-    """bright (image, kind, y, x) with label: the smallest (y, x) of its 8-connected component,
-    as one number. Labels spread to neighbours and along to the label's own label until nothing changes."""
+#: Side of a tile whose bright pixels one task joins.
+SIDE = 256
+#: What a row of blob_runs is: a run of pixels; a pixel at its tile's edge; a pixel of another tile beside it.
+RUN, EDGE, BESIDE = 0, 1, 2
+
+
+def _join_runs(y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """The number of the first run of each run's component (runs by y, then x1; 8-connected), by union-find."""
+    root = list(range(len(y)))
+
+    def find(n: int) -> int:
+        while root[n] != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    first = np.searchsorted(y, y - 1).tolist()
+    rows, left, right = y.tolist(), x1.tolist(), x2.tolist()
+    above = 0
+    for n in range(len(rows)):
+        if n and rows[n] == rows[n - 1]:
+            above = max(above - 1, first[n])  # a run above may touch this one as well
+        else:
+            above = first[n]
+        while above < n and rows[above] == rows[n] - 1 and left[above] <= right[n] + 1:
+            if right[above] >= left[n] - 1:
+                a, b = find(above), find(n)
+                root[max(a, b)] = min(a, b)
+            above += 1
+    return np.array([find(n) for n in range(len(rows))], dtype=np.int64)
+
+
+def blob_runs(bright: DataFrame, side: int = SIDE) -> DataFrame:
+    """image, kind, y, x1, x2, sides (of its pixels that no bright pixel shares), label of the runs of bright (image, kind, y, x) pixels: label is the
+    smallest (y, x) of the 8-connected component, as one number.
+
+    A task joins the runs of one tile by union-find, with the neighbouring tiles' edge pixels around it. Components of tiles that touch
+    across an edge are joined by components() of these links alone; a row is a run, not a pixel."""
     key = ["image", "kind"]
-    at = (F.col("y") * F.lit(1 << 31) + F.col("x")).alias("p")
-    kept = Rounds(bright.sparkSession, "blobs")
-    now = kept.write(bright.select(*key, "y", "x", at, at.alias("label")))
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    for _ in range(rounds):
-        told = now.select(*key, "y", "x", "label", near.alias("o")).select(*key, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "label").groupBy(*key, "y", "x").agg(F.min("label").alias("low"))
-        spread = now.join(told, [*key, "y", "x"]).select(*key, "y", "x", "p", F.col("label").alias("old"), "low")
-        jump = spread.select(*key, F.col("p").alias("low"), F.col("low").alias("next"))
-        after = kept.write(spread.join(jump, [*key, "low"]).select(*key, "y", "x", "p", F.col("next").alias("label"), (F.col("next") < F.col("old")).alias("changed")))
-        now = after.drop("changed")
-        if not after.where("changed").limit(1).count():
-            return now.drop("p")
-    raise RuntimeError("blobs not settled")
+    near = lambda c: F.explode(F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.floor((F.col(c) + d) / side).cast("long"))))
+    sent = bright.select(*key, "y", "x").distinct().withColumn("ty", near("y")).withColumn("tx", near("x"))
+    types = {f.name: f.dataType.simpleString() for f in bright.schema}
+    names = [*key, "what", "y", "x1", "x2", "sides", "label"]
+
+    def label(at: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(at[2]) * side, int(at[3]) * side
+        lit = np.zeros((side + 2, side + 2), dtype=bool)  # with a pixel of the neighbours around
+        lit[pdf["y"].to_numpy() - top + 1, pdf["x"].to_numpy() - left + 1] = True
+        own = lit[1:-1, 1:-1]
+        turns = np.diff(np.pad(own, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (y, x1), x2 = np.nonzero(turns == 1), np.nonzero(turns == -1)[1] - 1
+        if not len(y):
+            return pd.DataFrame(columns=names)
+        root = _join_runs(y, x1, x2)
+        free = (own & ~lit[:-2, 1:-1]).astype(np.int64) + (own & ~lit[2:, 1:-1]) + (own & ~lit[1:-1, :-2]) + (own & ~lit[1:-1, 2:])
+        before = np.pad(np.cumsum(free, axis=1), ((0, 0), (1, 0)))
+        mark = ((y[root] + top) << 31) + x1[root] + left
+        of = np.full(lit.shape, -1, dtype=np.int64)
+        cells = np.repeat(np.arange(len(y)), x2 - x1 + 1)
+        of[y[cells] + 1, x1[cells] + 1 + np.arange(len(cells)) - np.repeat(np.cumsum(x2 - x1 + 1) - (x2 - x1 + 1), x2 - x1 + 1)] = mark[cells]
+        runs = pd.DataFrame({"what": RUN, "y": y + top, "x1": x1 + left, "x2": x2 + left, "sides": before[y, x2 + 1] - before[y, x1], "label": mark})
+        inner = np.zeros(lit.shape, dtype=bool)
+        inner[2:-2, 2:-2] = True
+        ey, ex = np.nonzero((of >= 0) & ~inner)
+        parts = [runs, pd.DataFrame({"what": EDGE, "y": ey - 1 + top, "x1": ex - 1 + left, "label": of[ey, ex]})]
+        outside = np.ones(lit.shape, dtype=bool)
+        outside[1:-1, 1:-1] = False
+        by, bx = np.nonzero(lit & outside)
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                ny, nx = by + dy, bx + dx
+                fits = (ny >= 1) & (ny <= side) & (nx >= 1) & (nx <= side)
+                met = of[ny[fits], nx[fits]]
+                parts.append(pd.DataFrame({"what": BESIDE, "y": by[fits] - 1 + top, "x1": bx[fits] - 1 + left, "label": met})[met >= 0])
+        out = pd.concat(parts).drop_duplicates().assign(image=at[0], kind=at[1])
+        return out.assign(**{c: out[c].astype("Int64") for c in ("x2", "sides")})[names]
+
+    schema = f"image {types['image']}, kind {types['kind']}, what int, y long, x1 long, x2 long, sides long, label long"
+    found = written(sent.groupBy(*key, "ty", "tx").applyInPandas(label, schema), "blob-runs")
+    edge, beside = (found.where(F.col("what") == w).select(*key, "y", "x1", F.col("label").alias(c)) for w, c in ((EDGE, "a"), (BESIDE, "b")))
+    links = edge.join(beside, [*key, "y", "x1"]).where("a <> b").select(*key, "a", "b").distinct()
+    root = components(links, key).withColumnsRenamed({"node": "label"})
+    runs = found.where(F.col("what") == RUN).drop("what").join(small(root), [*key, "label"], "left")
+    return runs.select(*key, "y", "x1", "x2", "sides", F.coalesce("root", "label").alias("label"))
+
+
+def label_blobs(bright: DataFrame, side: int = SIDE) -> DataFrame:
+    """bright (image, kind, y, x) with label: the smallest (y, x) of its 8-connected component, as one number."""
+    return blob_runs(bright, side).select("image", "kind", "y", F.explode(F.sequence("x1", "x2")).alias("x"), "label")
 
 
 def _hull_area_perimeter(pts: np.ndarray) -> tuple[float, np.ndarray]:
@@ -57,19 +128,15 @@ def find_blobs(markers: DataFrame, threshold: int = 127, most_area: int | None =
     threshold whose area, circularity, convexity and inertia pass the limits; the place is the
     centroid, cut to whole pixels. One threshold stands for a detector's ladder of them. most_area, if given, leaves out
     larger blobs. A blob's shape comes from sums and from the ends of its rows of pixels: no task holds a blob's pixels."""
-    bright = label_blobs(markers.where(F.col("gray") > threshold).select("image", "kind", "y", "x"))
+    runs = blob_runs(markers.where(F.col("gray") > threshold).select("image", "kind", "y", "x"))
     key = ["image", "kind", "label"]
-    stats = bright.groupBy(*key).agg(F.count(F.lit(1)).alias("area"), F.sum("y").alias("sy"), F.sum("x").alias("sx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("x")).alias("sxy"))
+    n, low, high = F.col("x2") - F.col("x1") + 1, F.col("x1"), F.col("x2")
+    x, xx = div((low + high) * n, 2), div(high * (high + 1) * (2 * high + 1), 6) - div((low - 1) * low * (2 * low - 1), 6)
+    stats = runs.groupBy(*key).agg(
+        F.sum(n).alias("area"), F.sum(F.col("y") * n).alias("sy"), F.sum(x).alias("sx"), F.sum(F.col("y") * F.col("y") * n).alias("syy"), F.sum(xx).alias("sxx"), F.sum(F.col("y") * x).alias("sxy"), F.sum("sides").alias("edge"),
+    )
     sized = stats.where((F.col("area") >= LEAST_AREA) & (F.lit(most_area is None) | (F.col("area") <= F.lit(most_area or 0))))
-    # sides of pixels that no pixel of the blob shares, counted by neighbours in rows and columns
-    sides = None
-    for line, along in (("y", "x"), ("x", "y")):
-        order = Window.partitionBy(*key, line).orderBy(along)
-        apart = lambda other, along=along: F.coalesce(F.abs(other - F.col(along)) > 1, F.lit(True)).cast("long")
-        part = bright.select(*key, (apart(F.lag(along).over(order)) + apart(F.lead(along).over(order))).alias("sides"))
-        sides = part if sides is None else sides.unionByName(part)
-    edges = sides.groupBy(*key).agg(F.sum("sides").alias("edge"))
-    ends = bright.groupBy(*key, "y").agg(F.min("x").alias("low"), F.max("x").alias("high")).join(sized, key).join(edges, key)
+    ends = runs.groupBy(*key, "y").agg(F.min("x1").alias("low"), F.max("x2").alias("high")).join(sized, key)
 
     def shape(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import div
-from ..shared import small, written
+from ..shared import Rounds, small, written
 
 GRAPH = ["image", "r", "c"]
 NODE = [*GRAPH, "s", "k"]
@@ -16,6 +16,10 @@ NODE = [*GRAPH, "s", "k"]
 
 #: Cells of a tile (a band of an image's rows): what one task relaxes at a time.
 TILE = 65_536
+#: Sources of a graph that a task relaxes together, about: with TILE, what it holds.
+SOURCES = 32
+#: Rounds whose lowered distances are merged into one table.
+MERGED = 4
 
 
 def relax(dist: np.ndarray, reached: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, steps: int | None = None) -> np.ndarray:
@@ -72,42 +76,62 @@ def _relax_tile(inside: np.ndarray, known: pd.DataFrame, edges: pd.DataFrame, st
     return pd.concat(out)
 
 
-def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None, rounds: int = 2000, tile: int = TILE) -> DataFrame:
+def _in_blocks(sources: DataFrame, most: int) -> DataFrame:
+    """sources (image, r, c, s) with block: about ``most`` sources of a graph share one."""
+    n = sources.groupBy(*GRAPH).agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("blocks"))
+    return sources.join(small(n), GRAPH).select(*GRAPH, "s", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"))
+
+
+def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None, rounds: int | None = None, tile: int = TILE, block: int = SOURCES, kept: bool = False) -> DataFrame:
     """image, r, c, s, k, dist: least weight from each source (image, r, c, s) to every cell it reaches.
 
-    All graphs and sources relax together, tile by tile: a task takes the edges that begin in one tile of one graph and
-    lowers the distances of all its cells from all sources until they settle (or for so many steps); what it tells cells of other tiles is
-    the next round's work, if it is better than what they have. A round touches the tiles that were told something and no others, and adds
-    one written table of lowered distances. An image with no more cells than a tile takes one round."""
+    All graphs and sources relax together, by tiles and blocks of sources: a task takes the edges that begin in one tile of one graph and
+    lowers the distances of all its cells from one block's sources until they settle (or for so many steps); what it tells cells of other tiles is
+    the next round's work, if it is better than what they have. A round touches the tiles that were told something and no others. Rounds'
+    tables go as soon as no later round reads them: lowered distances are merged into one table every few rounds. An image with no
+    more cells than a tile takes one round. kept: edges is a written table already. rounds: an error after so many (none: as many as it takes)."""
+    spark = edges.sparkSession
     band = lambda k: F.floor(F.col(k) / tile).cast("long").alias("tile")
-    edges = written(edges.select(*GRAPH, band("src"), F.col("src").alias("k"), "dst", "w").where(F.col("w") < float("inf")), "edges")
-    told = written(sources.select(*GRAPH, "s").distinct().select(*GRAPH, "s", F.col("s").alias("k"), F.lit(0.0).alias("dist")), "told")
+    edges = edges.select(*GRAPH, band("src"), F.col("src").alias("k"), "dst", "w").where(F.col("w") < float("inf"))
+    edges = edges if kept else written(edges, "edges")
+    tellings, best_rounds, lowerings = Rounds(spark, "told"), Rounds(spark, "best"), []
+    blocks = _in_blocks(written(sources.select(*GRAPH, "s").distinct(), "sources"), block)
+    told = tellings.write(blocks.select(*GRAPH, "block", "s", F.col("s").alias("k"), F.lit(0.0).alias("dist")))
     types = {f.name: f.dataType.simpleString() for f in edges.schema}
-    schema = ", ".join(f"{n} {types[n]}" for n in GRAPH) + ", s long, k long, dist double, told int"
-    key = [*GRAPH, "tile"]
+    schema = ", ".join(f"{n} {types[n]}" for n in GRAPH) + ", block int, s long, k long, dist double, told int"
+    key, columns = [*GRAPH, "tile", "block"], [*GRAPH, "block", "s", "k", "dist"]
 
     def settle(at, known: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         if not len(known):
-            return pd.DataFrame(columns=[*GRAPH, "s", "k", "dist", "told"])
+            return pd.DataFrame(columns=[*columns, "told"])
         found = _relax_tile(edges["k"].to_numpy(), known, edges, steps)
-        return found.assign(**dict(zip(GRAPH, at)))[[*GRAPH, "s", "k", "dist", "told"]]
+        return found.assign(**dict(zip(GRAPH, at)), block=at[-1])[[*columns, "told"]]
 
-    best = None
-    for _ in range(rounds):
-        fresh = told.select(*GRAPH, band("k"), "s", "k", "dist", F.lit(True).alias("fresh"))
+    best, done = None, 0
+    while rounds is None or done < rounds:
+        done += 1
+        fresh = told.select(*columns, band("k"), F.lit(True).alias("fresh"))
         active = small(fresh.select(*key).distinct())
-        known = fresh if best is None else fresh.unionByName(best.select(*GRAPH, band("k"), "s", "k", "dist", F.lit(False).alias("fresh")).join(active, key, "left_semi"))
-        asked = edges.join(active, key, "left_semi")
-        found = written(known.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(settle, schema), "lowered")
-        lowered = found.where("told = 0").select(*NODE, "dist")
+        known = fresh if best is None else fresh.unionByName(best.select(*columns, band("k"), F.lit(False).alias("fresh")).join(active, key, "left_semi"))
+        asked = edges.join(active.withColumn("block", F.col("block") + 0), [*GRAPH, "tile"])  # a column of its own for the cogroup
+        lowerings.append(Rounds(spark, "lowered"))
+        found = lowerings[-1].write(known.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(settle, schema))
+        lowered = found.where("told = 0").select(*columns)
         best = lowered if best is None else best.unionByName(lowered)
-        best_now = best.groupBy(*NODE).agg(F.min("dist").alias("least"))
-        news = found.where("told > 0").groupBy(*NODE).agg(F.min("dist").alias("dist"), F.max("told").alias("told"))
-        if _none(news):
-            return best_now.withColumnRenamed("least", "dist")
-        told = written(news.join(best_now, NODE, "left").where("least is null or dist < least or told = 2").select(*NODE, "dist"), "told")
-        if _none(told):
-            return best_now.withColumnRenamed("least", "dist")
+        best_now = best.groupBy(*NODE).agg(F.first("block").alias("block"), F.min("dist").alias("dist"))
+        if not _none(found.where("told > 0")):
+            news = found.where("told > 0").groupBy(*NODE).agg(F.first("block").alias("block"), F.min("dist").alias("dist"), F.max("told").alias("told"))
+            least = best_now.select(*NODE, F.col("dist").alias("least"))
+            told = tellings.write(news.join(least, NODE, "left").where("least is null or dist < least or told = 2").select(*columns))
+            if not _none(told):
+                if len(lowerings) >= MERGED:
+                    best = best_rounds.write(best_now.select(*columns))
+                    for old in lowerings:
+                        old.drop()
+                    lowerings = []
+                continue
+        tellings.drop()
+        return best_now.select(*NODE, "dist")
     raise RuntimeError("distances not settled")
 
 
@@ -128,24 +152,78 @@ def routes(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     return pairs.join(tree.withColumnRenamed("k", "t"), [*GRAPH, "s", "t"], "left").withColumn("found", F.col("dist").isNotNull())
 
 
-def trace_paths(found: DataFrame, preds: DataFrame) -> DataFrame:
-    """image, r, c, s, t, seq, k: cells of each found route, from s. A group is one graph and
-    source: its tree has at most the cells of one image."""
-    key = [*GRAPH, "s"]
-    asked = found.where("found").select(*key, "t").distinct()
-
-    def walk(_, asked: pd.DataFrame, preds: pd.DataFrame) -> pd.DataFrame:
-        before = dict(zip(preds["k"], preds["pred"]))
-        out = []
-        for image, r, c, s, t in asked.itertuples(index=False):
-            path = [t]
-            while path[-1] != s:
-                path.append(before[path[-1]])
-            out += [(image, r, c, s, t, n, k) for n, k in enumerate(reversed(path))]
-        return pd.DataFrame(out, columns=[*key, "t", "seq", "k"])
-
-    types = {f.name: f.dataType.simpleString() for f in asked.schema}
-    return asked.groupBy(*key).cogroup(preds.select(*key, "k", "pred").groupBy(*key)).applyInPandas(walk, ", ".join(f"{n} {types[n]}" for n in [*key, "t"]) + ", seq int, k long")
+def _chase(pred: np.ndarray, cells: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Within one tile: where each asked cell's way back leaves it (the first cell outside, or one without a predecessor),
+    and after how many hops. Pointers are doubled: as many steps as the hops have binary digits."""
+    every = np.unique(np.r_[cells, pred, asked])
+    to = np.arange(len(every))
+    to[np.searchsorted(every, cells)] = np.searchsorted(every, pred)
+    hops = (to != np.arange(len(every))).astype(np.int64)
+    while True:
+        further = hops[to]
+        if not further.any():
+            break
+        hops, to = hops + further, to[to]
+    at = np.searchsorted(every, asked)
+    return every[to[at]], hops[at]
+
+
+def trace_paths(found: DataFrame, preds: DataFrame, tile: int = TILE) -> DataFrame:
+    """image, r, c, s, t, seq, k: cells of each found route, from s.
+
+    A way back is followed inside tiles first: of each cell where it enters one, a task gives the cell where it leaves it
+    and the hops between. These pointers are doubled by joins (as many rounds as the tiles crossed have binary digits) until each route
+    has its places on entering tiles; then every tile's task lists the cells between. A group is one tile of one source's tree."""
+    spark = found.sparkSession
+    tree, path = [*GRAPH, "s"], [*GRAPH, "s", "t"]
+    group = [*tree, "tile"]
+    types = {f.name: f.dataType.simpleString() for f in found.schema} | {"s": "long", "t": "long"}
+    named = lambda names: ", ".join(f"{n} {types[n]}" for n in names)
+    band = lambda k: F.floor(F.col(k) / tile).cast("long").alias("tile")
+    asked = written(found.where("found").select(*path).distinct(), "asked")
+    back = preds.select(*tree, band("k"), "k", "pred")
+    crossing = back.where(F.col("tile") != F.floor(F.col("pred") / tile)).select(*tree, F.col("pred").alias("k"))
+
+    def leave(at, entries: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        if not len(entries):
+            return pd.DataFrame(columns=[*tree, "k", "exit", "hops"])
+        to, hops = _chase(back["pred"].to_numpy(), back["k"].to_numpy(), entries["k"].to_numpy())
+        return pd.DataFrame({"k": entries["k"].to_numpy(), "exit": to, "hops": hops}).assign(**dict(zip(tree, at)))[[*tree, "k", "exit", "hops"]]
+
+    def walk(at, points: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        if not len(points):
+            return pd.DataFrame(columns=[*path, "seq", "k"])
+        cells = np.unique(np.r_[back["k"].to_numpy(), back["pred"].to_numpy(), points["k"].to_numpy()])
+        to = np.full(len(cells), -1)
+        to[np.searchsorted(cells, back["k"].to_numpy())] = np.searchsorted(cells, back["pred"].to_numpy())
+        inside = (cells // tile == at[-1]) & (cells != at[3])  # the source is a place of its own
+        now, n = np.searchsorted(cells, points["k"].to_numpy()), np.arange(len(points))
+        seq, out = points["seq"].to_numpy(), []
+        while len(now):
+            out.append((n, now, seq))
+            kept = to[now] >= 0
+            kept[kept] = inside[to[now[kept]]]
+            now, n, seq = to[now[kept]], n[kept], seq[kept] - 1
+        n, now, seq = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"t": points["t"].to_numpy()[n], "seq": seq, "k": cells[now]}).assign(**dict(zip(tree, at)))[[*path, "seq", "k"]]
+
+    entries = asked.select(*tree, F.col("t").alias("k")).unionByName(crossing).distinct().withColumn("tile", band("k"))
+    pointers = Rounds(spark, "pointers")
+    jump = pointers.write(entries.groupBy(*group).cogroup(back.groupBy(*group)).applyInPandas(leave, named(tree) + ", k long, exit long, hops long"))
+    points, places = asked.select(*path, F.col("t").alias("k"), F.lit(0).cast("long").alias("back")), Rounds(spark, "places")
+    while True:
+        told = jump.where("hops > 0")
+        ahead = points.join(told, [*tree, "k"]).select(*path, F.col("exit").alias("k"), (F.col("back") + F.col("hops")).alias("back"))
+        points = places.write(points.unionByName(ahead).distinct())
+        if _none(told.where("exit <> s")):
+            break
+        then = told.select(*tree, F.col("k").alias("exit"), F.col("exit").alias("next"), F.col("hops").alias("more"))
+        jump = pointers.write(told.join(then, [*tree, "exit"], "left").select(*tree, "k", F.coalesce("next", "exit").alias("exit"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+    pointers.drop()
+    # of a route's places its source is the farthest back
+    length = points.groupBy(*path).agg(F.max("back").alias("length"))
+    started = points.join(length, path).select(*path, band("k"), "k", (F.col("length") - F.col("back")).alias("seq"))
+    return started.groupBy(*group).cogroup(back.groupBy(*group)).applyInPandas(walk, named(path) + ", seq int, k long")
 
 
 def path_centers(paths: DataFrame, cells: DataFrame) -> DataFrame:

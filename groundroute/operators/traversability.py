@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import binarize, capped_inverse, div, gray, variance_terms
-from .grid import _geometry, assign_cells
-from .stencil import bilateral, bilateral_images
+from ..shared import small
+from ..sources.images import band_pixels, from_pixels, pack_bands, to_bands
+from .grid import _geometry, assign_cells, grid
+from .integral import CELL, least_means, region_sums
+from .stencil import smooth_bands
 
-CELL = ["image", "r", "i", "j", "k"]
 SCALES = (6, 8, 10, 12, 14, 16, 18, 20, 22, 24)
 
 
@@ -53,23 +55,17 @@ def tf_random(cells: DataFrame, seed: int = 0) -> DataFrame:
     return cells.select(*CELL).distinct().select(*CELL, (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)).alias("t"))
 
 
+def label_bands(labels: DataFrame, shapes: DataFrame) -> DataFrame:
+    """labels as bands: as they are, from images of one channel or more (the first counts), or from rows (image, y, x, lab)."""
+    if "rows" in labels.columns:
+        return labels
+    return to_bands(labels) if "data" in labels.columns else pack_bands(labels, shapes, ("lab",))
+
+
 def tf_label(labels: DataFrame, shapes: DataFrame, sizes: Sequence[int], ov: int = 1) -> DataFrame:
     """The least mean label of a region's sub-blocks, whose side is half the region's height
     (cropped evenly, as in the grid). Regions too small for a sub-block get null."""
-    p = assign_cells(labels.select("image", "y", "x", "lab"), shapes, sizes, ov)
-    geo = _geometry(shapes, sizes, ov).select("image", "r", "h", "w", "ey", "ex")
-    p = p.join(geo, ["image", "r"])
-    for n, at, edge, index in (("h", "y", "ey", "i"), ("w", "x", "ex", "j")):
-        corner = div(F.col(edge) + F.col(index) * F.col("r"), F.col("ov"))
-        p = p.withColumn(f"d{at}", F.col(at) - corner).withColumn(f"n{at}", F.least(corner + F.col("r"), F.col(n)) - corner)
-    q = F.nullif(div(F.col("ny"), 2), F.lit(0).cast("long"))
-    p = p.withColumn("q", q)
-    for at in "yx":
-        edge = div(F.col(f"n{at}") % F.col("q"), 2)
-        p = p.withColumn(f"s{at}", F.floor((F.col(f"d{at}") - edge) / F.col("q"))).withColumn(f"c{at}", div(F.col(f"n{at}"), F.col("q")))
-    inside = (F.col("sy") >= 0) & (F.col("sy") < F.col("cy")) & (F.col("sx") >= 0) & (F.col("sx") < F.col("cx"))
-    means = p.groupBy(*CELL, F.when(inside, F.struct("sy", "sx")).alias("sub")).agg((F.sum("lab").cast("double") / F.count(F.lit(1))).alias("mean"))
-    return means.groupBy(*CELL).agg(F.min(F.when(F.col("sub").isNotNull(), F.col("mean"))).alias("t"))
+    return least_means(label_bands(labels, shapes), sizes, ov)
 
 
 def tf_superpixel(cells: DataFrame, segments: int = 32, rounds: int = 10, compactness: float = 10.0) -> DataFrame:
@@ -195,21 +191,26 @@ def clahe(matrix: DataFrame, clip: float = 3.0, tiles: int = 3, scale: str = "un
 ESTIMATORS = {"tf_grayhist": tf_gray, "tf_rgbhist": tf_rgb}
 
 
-def smoothed(pixels: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """Smoothed pixel rows: of the images as read, if they are given, else of images packed from the pixel rows."""
-    return bilateral(pixels) if images is None else bilateral_images(images)
+def image_bands(pixels: DataFrame, shapes: DataFrame, smooth: bool, images: DataFrame | None = None) -> DataFrame:
+    """Bands of the images as read, if they are given, else packed from the pixel rows; smoothed or as they are."""
+    if smooth:
+        return smooth_bands(from_pixels(pixels) if images is None else images)
+    return pack_bands(pixels, shapes) if images is None else to_bands(images)
+
+
+def estimates(bands: DataFrame, shapes: DataFrame, sizes: Sequence[int], tf: str = "tf_grayhist", ov: int = 1) -> DataFrame:
+    """image, r, i, j, k, t of a named estimator over all region sizes, before any division."""
+    if tf in ESTIMATORS:
+        return ESTIMATORS[tf](region_sums(bands, sizes, ov))
+    if tf == "tf_random":
+        return tf_random(grid(shapes, sizes, ov))
+    return {"tf_superpixels": tf_superpixel}[tf](regions(band_pixels(bands), shapes, sizes, ov))
 
 
 def traversability(pixels: DataFrame, shapes: DataFrame, sizes: Sequence[int], tf: str = "tf_grayhist", ov: int = 1, smooth: bool = True, threshold: float | None = None, normalize: bool = True, scale: str = "unit", images: DataFrame | None = None) -> DataFrame:
     """image, r, i, j, k, t: smoothing, grid, estimator, division by the maximum, optional binary
-    threshold, optional equalisation. images: the same images as read, which smoothing takes without a shuffle."""
-    if smooth:
-        pixels = smoothed(pixels, images)
-    cells = regions(pixels, shapes, sizes, ov)
-    if tf in ESTIMATORS:
-        matrix = ESTIMATORS[tf](sums(cells))
-    else:
-        matrix = {"tf_superpixels": tf_superpixel, "tf_random": tf_random}[tf](cells)
+    threshold, optional equalisation. images: the same images as read, from which sums are taken without a row a pixel."""
+    matrix = estimates(image_bands(pixels, shapes, smooth, images), shapes, sizes, tf, ov)
     return _finish(normalize_max(matrix), threshold, normalize, scale)
 
 
@@ -221,21 +222,37 @@ def _finish(matrix: DataFrame, threshold: float | None, normalize: bool, scale:
     return matrix
 
 
-def traversability_multiscale(pixels: DataFrame, shapes: DataFrame, size: int, tf: str = "tf_grayhist", ov: int = 1, smooth: bool = True, scales: Sequence[int] = SCALES, threshold: float | None = None, normalize: bool = True, images: DataFrame | None = None) -> DataFrame:
-    """The matrices of all scales up to ``size``: the largest as it is, smaller ones resized to it
-    and weighted by their size, then over the maximum. r is the largest scale."""
-    used = sorted(s for s in scales if s <= size)
-    top = used[-1]
-    one = traversability(pixels, shapes, used, tf, ov, smooth, None, False, images=images)
+def scales_of(sizes: Sequence[int], scales: Sequence[int] | None = None) -> list[int]:
+    """The scales that sizes are blended from: those given, else SCALES and, where sizes lie below all of these, such sizes too.
+    Every size must be one of them, as its grid is the one that graphs and points are on."""
+    used = sorted(set(scales) if scales is not None else {*SCALES, *(s for s in sizes if s < min(SCALES))})
+    if missing := [s for s in sizes if s not in used]:
+        raise ValueError(f"region sizes {missing} are not among the scales {used}")
+    return used
+
+
+def blended(one: DataFrame, shapes: DataFrame, top: int, ov: int = 1, threshold: float | None = None, normalize: bool = True) -> DataFrame:
+    """one (matrices of scales, each over its own maximum) up to the scale ``top``: this one as it is, smaller ones resized to it
+    and weighted by their size, then over the maximum."""
     target = _geometry(shapes, [top], ov).select("image", "rows", "cols")
     resized = resize_bilinear(one.where(F.col("r") < top), target)
     parts = one.where(F.col("r") == top).select("image", "i", "j", "t").unionByName(resized.select("image", "i", "j", (F.col("r") * F.col("t")).alias("t")))
     # rounded at 12 places: the order of the sum mustn't show in a later threshold
-    total = parts.groupBy("image", "i", "j").agg(F.round(F.sum("t"), 12).alias("t")).join(target, "image")
+    total = parts.groupBy("image", "i", "j").agg(F.round(F.sum("t"), 12).alias("t")).join(small(target), "image")
     matrix = total.select("image", F.lit(top).alias("r"), "i", "j", (F.col("i") * F.col("cols") + F.col("j")).alias("k"), "t")
     return _finish(normalize_max(matrix), threshold, normalize, "unit")
 
 
+def traversability_multiscale(pixels: DataFrame, shapes: DataFrame, size: int, tf: str = "tf_grayhist", ov: int = 1, smooth: bool = True, scales: Sequence[int] = SCALES, threshold: float | None = None, normalize: bool = True, images: DataFrame | None = None) -> DataFrame:
+    """The matrices of all scales up to ``size``: the largest as it is, smaller ones resized to it
+    and weighted by their size, then over the maximum. r is the largest scale."""
+    used = sorted(s for s in scales if s <= size)
+    if not used:
+        raise ValueError(f"no scale of {sorted(scales)} is as small as the region size {size}")
+    one = traversability(pixels, shapes, used, tf, ov, smooth, None, False, images=images)
+    return blended(one, shapes, used[-1], ov, threshold, normalize)
+
+
 def ground_truth(labels: DataFrame, shapes: DataFrame, sizes: Sequence[int], ov: int = 1) -> DataFrame:
     """image, r, i, j, k, t: the label estimator over its maximum."""
     return normalize_max(tf_label(labels, shapes, sizes, ov))

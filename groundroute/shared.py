@@ -50,11 +50,16 @@ class Rounds:
     def write(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, self.label)
         out = _write_to(df, path, self.options)
+        self.drop()
+        self.last = path
+        return out
+
+    def drop(self) -> None:
+        """Removes the last round's table: when nothing reads it any more."""
         if self.last:
             old = self.spark._jvm.org.apache.hadoop.fs.Path(self.last)
             old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
-        self.last = path
-        return out
+        self.last = None
 
 
 def _width(column: Column, kind: T.DataType) -> Column:
@@ -76,3 +81,24 @@ def n_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if its rows hold so few bytes (summed first), else as it is."""
     return F.broadcast(df) if n_bytes(df) <= most else df
+
+
+def components(edges: DataFrame, key: list[str], label: str = "stars") -> DataFrame:
+    """key, node, root (the component's smallest node) for every node of edges (key, a, b: long) that is no root itself, each key apart.
+
+    Every node tells its neighbours of the smallest one it knows, by turns all larger ones and all smaller ones, so that a chain shrinks by half a
+    round; written rounds take each other's place, and the last is the one that changes nothing."""
+    down = lambda df: df.select(*key, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    kept, state = Rounds(edges.sparkSession, label), None
+    now = kept.write(down(edges))
+    while True:
+        sums = now.agg(F.count(F.lit(1)), F.expr("sum(cast(a as decimal(38,0)))"), F.expr("sum(cast(b as decimal(38,0)))")).first()
+        if sums == state or not sums[0]:
+            return now.select(*key, F.col("a").alias("node"), F.col("b").alias("root"))
+        state = sums
+        both = now.unionByName(now.select(*key, F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(*key, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, [*key, "a"]).select(*key, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy(*key, "a").agg(F.min("b").alias("m"))
+        told = large.join(low, [*key, "a"]).select(*key, F.col("b").alias("a"), F.col("m").alias("b"))
+        now = kept.write(down(told.unionByName(low.select(*key, "a", F.col("m").alias("b")))))

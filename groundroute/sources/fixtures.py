@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .images import pack_bands
+
 SIDE = 30
 
 
@@ -24,6 +26,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
                case when wall or rough = 2 then 0 else 255 end as lab from a""")
 
 
+def bands(rows: DataFrame, channels: tuple[str, ...] = ("b", "g", "r")) -> DataFrame:
+    """The images (or labels: channel lab) as bands; all have the same sides."""
+    return pack_bands(rows, (SIDE, SIDE), channels)
+
+
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, kind, y, x, gray: four bright squares an image."""
     return pixels(spark, sf_dir).selectExpr(

@@ -10,6 +10,8 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import small
+
 PIXELS = "image string, y long, x long, r long, g long, b long"
 
 
@@ -36,11 +38,62 @@ def to_pixels(images: DataFrame, band_rows: int = 256) -> DataFrame:
     return images.mapInPandas(pixels, PIXELS.replace("image string", f"image {key}"))
 
 
+#: Pixels of a band, about.
+BAND = 1 << 20
+
+
+def to_bands(images: DataFrame, pixels: int = BAND) -> DataFrame:
+    """Images as runs of their rows: image, h, w, top, rows, data (three channels, BGR, or one). Bands are cut where an image's bytes are: no shuffle."""
+    key = images.schema["image"].dataType.simpleString()
+
+    def cut(batches):
+        for pdf in batches:
+            for image, h, w, channels, data in pdf[["image", "h", "w", "channels", "data"]].itertuples(index=False):
+                a = np.frombuffer(data, dtype=np.uint8).reshape(h, w, channels)
+                a = a[..., :3] if channels >= 3 else a[..., :1]
+                step = max(1, pixels // w)
+                for top in range(0, h, step):
+                    part = a[top : top + step]
+                    yield pd.DataFrame({"image": [image], "h": h, "w": w, "top": top, "rows": len(part), "data": [part.tobytes()]})
+
+    return images.mapInPandas(cut, f"image {key}, h long, w long, top long, rows long, data binary")
+
+
+def pack_bands(pixels: DataFrame, shapes: DataFrame | tuple[int, int], channels: tuple[str, ...] = ("b", "g", "r"), rows: int = 256) -> DataFrame:
+    """Bands, as to_bands gives them, from pixel rows (every pixel of an image once): the one time that pixels are shuffled, by band and not by image. shapes:
+    image, h, w, or the height and width that all images have."""
+    value = lambda p: F.concat(*[F.lpad(F.hex(p[c].cast("long")), 2, "0") for c in channels])
+    line = F.floor(F.col("y") / rows).cast("long")
+    packed = pixels.groupBy("image", line.alias("band")).agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", *channels))), value), "")).alias("data"), (F.max("y") - F.min("y") + 1).alias("rows"))
+    if isinstance(shapes, tuple):
+        sized = packed.withColumns({c: F.lit(n).cast("long") for c, n in zip("hw", shapes)})
+    else:
+        sized = packed.join(small(shapes.select("image", F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w"))), "image")
+    whole = F.octet_length("data") == F.col("rows") * F.col("w") * len(channels)
+    data = F.when(whole, F.col("data")).otherwise(F.raise_error(F.lit("an image lacks pixels, or has some twice")).cast("binary"))
+    return sized.select("image", "h", "w", (F.col("band") * rows).alias("top"), F.col("rows").cast("long").alias("rows"), data.alias("data"))
+
+
+def band_pixels(bands: DataFrame) -> DataFrame:
+    """Pixel rows (image, y, x, r, g, b) of bands."""
+    key = bands.schema["image"].dataType.simpleString()
+
+    def pixels(batches):
+        for pdf in batches:
+            for image, w, top, rows, data in pdf[["image", "w", "top", "rows", "data"]].itertuples(index=False):
+                b, g, r = (np.frombuffer(data, dtype=np.uint8).reshape(rows * w, -1)[:, [0, 1, 2] if len(data) > rows * w else [0, 0, 0]]).T.astype(np.int64)
+                yield pd.DataFrame({"image": image, "y": np.repeat(np.arange(top, top + rows), w), "x": np.tile(np.arange(w), rows), "r": r, "g": g, "b": b})
+
+    return bands.mapInPandas(pixels, PIXELS.replace("image string", f"image {key}"))
+
+
 def from_pixels(pixels: DataFrame) -> DataFrame:
-    """Images (as read_images gives them) from pixel rows: bands are packed first, then joined in order."""
-    rows = pixels.groupBy("image", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "b", "g", "r"))), lambda p: F.concat(*[F.unhex(F.lpad(F.hex(p[c]), 2, "0")) for c in "bgr"])).alias("px"))
-    rows = rows.select("image", "y", F.size("px").alias("w"), F.aggregate("px", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x)).alias("row"))
-    return rows.groupBy("image").agg(F.count(F.lit(1)).cast("int").alias("h"), F.max("w").alias("w"), F.lit(3).alias("channels"), F.aggregate(F.array_sort(F.collect_list(F.struct("y", "row"))), F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["row"])).alias("data"))
+    """Images (as read_images gives them) from pixel rows: lines are packed first, then joined in order."""
+    value = lambda p: F.concat(*[F.lpad(F.hex(p[c]), 2, "0") for c in "bgr"])
+    rows = pixels.groupBy("image", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "b", "g", "r"))), value).alias("px"))
+    rows = rows.select("image", "y", F.size("px").alias("w"), F.array_join("px", "").alias("row"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("y", "row"))), lambda x: x["row"])
+    return rows.groupBy("image").agg(F.count(F.lit(1)).cast("int").alias("h"), F.max("w").alias("w"), F.lit(3).alias("channels"), F.unhex(F.array_join(line, "")).alias("data"))
 
 
 def bitmap(a: np.ndarray) -> bytes:
