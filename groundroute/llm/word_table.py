@@ -28,7 +28,7 @@ from . import common
 from .encoding import _gather, slices, vocabulary
 
 #: Characters and distinct words of a chunk, about: what a task of the last step holds.
-CHUNK_CHARACTERS, CHUNK_WORDS = 16_000_000, 500_000
+CHUNK_CHARACTERS, CHUNK_WORDS = 32_000_000, 600_000
 #: Words that a worker keeps with their ids.
 KNOWN_WORDS = 1_000_000
 
@@ -40,9 +40,9 @@ PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]
 #: White space that ends a word for every splitter here.
 SPACES = str.maketrans("\t\n\r", "   ")
 
-CODED = "chunk long, kind int, part int, doc_id long, data binary"
-#: Kinds of rows: a text's numbers; the order in which a chunk's lists hold its words; a list.
-TEXT, ORDER, WORDS = 0, 1, 2
+CODED = "chunk long, kind int, part int, doc_ids array<long>, data binary"
+#: Kinds of rows: texts (how many words each has, then all words' numbers); the part of each of a chunk's words; a list of words.
+TEXT, PARTS, WORDS = 0, 1, 2
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
@@ -75,6 +75,7 @@ class Chunk:
     """Texts as numbers of distinct words."""
 
     def __init__(self):
+        self.texts: list[tuple[list, np.ndarray, np.ndarray]] = []
         self.words: dict[str, int] = {}
         self.runs: dict[str, bytes] = {"": b""}
         self.characters = 0
@@ -84,16 +85,15 @@ class Chunk:
         self.runs[run] = out = array("I", [words.setdefault(w, len(words)) for w in split_word(run)]).tobytes()
         return out
 
-    def add(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The numbers of each text's words."""
+    def add(self, doc_ids: list, texts: list[str]) -> None:
+        """Keeps, of some texts, their ids, how many words each has, and the numbers of all these words."""
         self.characters += sum(map(len, texts))
         lists = pc.split_pattern(pa.array([t.translate(SPACES) for t in texts], pa.string()), " ")
         coded, runs = lists.flatten().dictionary_encode(), self.runs
         parts = [runs[r] if r in runs else self._number(r) for r in coded.dictionary.to_pylist()]
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         numbers, ends = _gather(np.frombuffer(b"".join(parts), dtype=np.uint32), sizes, coded.indices.to_numpy())
-        cuts = np.r_[0, ends][lists.offsets.to_numpy()].tolist()
-        return (numbers[x:y] for x, y in zip(cuts, cuts[1:]))
+        self.texts.append((doc_ids, np.diff(np.r_[0, ends][lists.offsets.to_numpy()]), numbers))
 
     def full(self) -> bool:
         return self.characters >= CHUNK_CHARACTERS or len(self.words) >= CHUNK_WORDS or len(self.runs) >= 2 * CHUNK_WORDS
@@ -101,7 +101,7 @@ class Chunk:
 
 def pack(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, their bytes plane by plane, compressed."""
-    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -110,21 +110,31 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["chunk", "kind", "part", "doc_id", "data"])
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["chunk", "kind", "part", "doc_ids", "data"])
 
 
-def _lists(chunk: Chunk, number: int, parts: int) -> pa.RecordBatch:
-    """A chunk's words by part, and which of its words stands where in its lists, end to end."""
+def _rows(chunk: Chunk, number: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's texts, their words numbered anew from the most frequent one on (most numbers are small then); the words by part, in the
+    order of their numbers, and the part of each."""
     words = list(chunk.words)
+    count = np.zeros(len(words), dtype=np.int64)
+    for *_, numbers in chunk.texts:
+        count += np.bincount(numbers, minlength=len(words))
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(words), dtype=np.uint32)
+    rank[order] = np.arange(len(words))
+    for doc_ids, lengths, numbers in chunk.texts:
+        yield _batch([(number, TEXT, None, doc_ids, pack(np.r_[lengths, rank[numbers]]))])
+    words = [words[w] for w in order.tolist()]
     to = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)) % np.uint64(parts)
-    order = np.argsort(to, kind="stable")
-    bounds = np.searchsorted(to[order], np.arange(parts + 1, dtype=np.uint64)).tolist()
-    rows = [(number, ORDER, None, None, pack(order))]
+    by_part = np.argsort(to, kind="stable")
+    bounds = np.searchsorted(to[by_part], np.arange(parts + 1, dtype=np.uint64)).tolist()
+    rows = [(number, PARTS, None, None, pack(to))]
     for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
         if y > x:
-            rows.append((number, WORDS, k, None, zstandard.compress("\n".join([words[w] for w in order[x:y].tolist()]).encode(), 3)))
-    return _batch(rows)
+            rows.append((number, WORDS, k, None, zstandard.compress("\n".join([words[w] for w in by_part[x:y].tolist()]).encode(), 3)))
+    yield _batch(rows)
 
 
 def _split(parts: int):
@@ -134,12 +144,12 @@ def _split(parts: int):
         chunk, number = Chunk(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for ids, texts in slices(batch):
-                yield _batch([(number, TEXT, None, i, pack(x)) for i, x in zip(ids, chunk.add(texts))])
+                chunk.add(ids, texts)
                 if chunk.full():
-                    yield _lists(chunk, number, parts)
+                    yield from _rows(chunk, number, parts)
                     chunk, number = Chunk(), number + 1
-        if chunk.characters:
-            yield _lists(chunk, number, parts)
+        if chunk.texts:
+            yield from _rows(chunk, number, parts)
 
     return task
 
@@ -168,18 +178,22 @@ def _place(texts: pa.Table, lists: pa.Table) -> pa.Table:
     none = np.empty(0, dtype="<u4")
     sizes = np.concatenate([none, *(x[1 : x[0] + 1] for x in each)]).astype(np.int64)
     pool = np.concatenate([none, *(x[x[0] + 1 :] for x in each)])
+    rows = list(zip(texts["kind"].to_pylist(), texts["doc_ids"].to_pylist(), texts["data"].to_pylist()))
+    # a word's place in the lists, end to end
     place = np.empty(len(sizes), dtype=np.int64)
-    rows = []
-    for kind, doc_id, data in zip(texts["kind"].to_pylist(), texts["doc_id"].to_pylist(), texts["data"].to_pylist()):
-        if kind == ORDER:
-            place[unpack(data)] = np.arange(len(sizes))
-        else:
-            rows.append((doc_id, data))
-    out = []
-    for _, data in rows:
-        numbers = unpack(data)
-        out.append(_gather(pool, sizes, place[numbers])[0].tobytes() if len(numbers) else b"")
-    return pa.table([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+    place[np.argsort(np.concatenate([none, *(unpack(d) for kind, _, d in rows if kind == PARTS)]), kind="stable")] = np.arange(len(sizes))
+    ids, out = [], []
+    for kind, doc_ids, data in rows:
+        if kind == TEXT:
+            numbers, n = unpack(data), len(doc_ids)
+            cuts = np.r_[0, np.cumsum(numbers[:n])]
+            if cuts[-1]:
+                found, ends = _gather(pool, sizes, place[numbers[n:]])
+                cuts = np.r_[0, ends][cuts]
+                raw = found.tobytes()
+            ids += doc_ids
+            out += [raw[4 * x : 4 * y] if y > x else b"" for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+    return pa.table([pa.array(ids, pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
 
 def encode(docs: DataFrame, vocab: str | None = None) -> DataFrame:
@@ -197,7 +211,7 @@ def encode(docs: DataFrame, vocab: str | None = None) -> DataFrame:
     # written, so that lists and numbers are of the same run of a task
     coded = common.written(rows.mapInArrow(common.tidy(_split(4 * n)), CODED), "word-numbers")
     ids = coded.where(F.col("kind") == WORDS).repartition(n, "part").mapInArrow(common.tidy(_encode(path)), CODED)
-    texts = coded.where(F.col("kind") != WORDS).select("chunk", "kind", "doc_id", "data")
+    texts = coded.where(F.col("kind") != WORDS).select("chunk", "kind", "doc_ids", "data")
     return texts.groupBy("chunk").cogroup(ids.select("chunk", "part", "data").groupBy("chunk")).applyInArrow(_place, ENCODED)
 
 

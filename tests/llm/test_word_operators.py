@@ -159,8 +159,8 @@ def test_distinct_words_are_encoded_once(docs, spark):
 
     word_table_tokenizer = word_table._tokenizer(word_table.word_vocabulary())
     chunk = word_table.Chunk()
-    list(chunk.add(["a b a", "b c"]))
-    batch = word_table._lists(chunk, 7, 1)
+    chunk.add([1, 2], ["a b a", "b c"])
+    *_, batch = word_table._rows(chunk, 7, 1)
     kept = word_table._tokenizer
     try:
         word_table._tokenizer = lambda path: Counting()
