@@ -112,6 +112,26 @@ def append_results(spark, d):
     return RS.append_results(rows.where("id % 3 = 0"), rows.where("id % 3 = 1 or id % 6 = 0"), ["id"])
 
 
+_HALVES = "select id, image, path_score from results"
+
+
+@query("append_results_whole", _HALVES)
+def append_results_whole(spark, d):
+    """Two halves that cover every record, some on both sides."""
+    rows = FX.results(spark, d).select("id", "image", "path_score")
+    return RS.append_results(rows.where("id % 2 = 0"), rows.where("id % 2 = 1 or id % 3 = 0"), ["id"])
+
+
+@query("append_files", f"select {_RECORDS}, id from results")
+def append_files(spark, d):
+    """Appended to stored files, twice over."""
+    path, rows = new_path(spark, "stored"), FX.results(spark, d).select(*[c.strip() for c in _RECORDS.split(",")], "id")
+    RS.append_files(rows.where("id % 2 = 0"), path)
+    for _ in range(2):
+        RS.append_files(rows.where("id % 2 = 1 or id % 3 = 0"), path)
+    return spark.read.parquet(path).withColumn("region_size", F.col("region_size").cast("int"))
+
+
 # grids
 
 
@@ -163,6 +183,19 @@ def paint(spark, d):
     return GR.paint(m.matrix(SIZES, 2), m.shapes, m.pixels, SIZES, 2)
 
 
+_PAINTED = "select p.image, g.r, p.y, p.x, coalesce(cast(floor(arg_max(m.t, m.k) * 255) as bigint), 1) as v from pixels p cross join sizes g left join cells2 c on c.image = p.image and c.r = g.r and c.y = p.y and c.x = p.x left join matrix2 m on m.image = c.image and m.r = c.r and m.k = c.k group by p.image, g.r, p.y, p.x"
+
+
+@query("paint_files", f"select image, r, y, x, v from ({_PAINTED})")
+def paint_files(spark, d):
+    """Painted images as files, read again."""
+    m, folder = Images(spark, d), new_path(spark, "painted")
+    painted = IM.from_bands(GR.paint_bands(m.matrix(SIZES, 2), m.shapes, SIZES, 2), "r")
+    IM.write_images(painted, folder).write.format("noop").mode("overwrite").save()
+    name = lambda n: F.regexp_extract("image", r"^(\d+)-(\d+)\.bmp$", n)
+    return IM.to_pixels(IM.read_images(spark, folder)).select(name(1).cast("long").alias("image"), name(2).cast("int").alias("r"), "y", "x", F.col("b").alias("v"))
+
+
 # traversability
 
 
@@ -542,7 +575,7 @@ def average_time(spark, d):
 
 def _sweep(spark, d, functions, sizes, cuts, **options):
     m = Images(spark, d)
-    return rounded(SW.run_sweep(m.pixels, m.labels, m.keypoints, functions, sizes, cuts, **options), "path_score", "dist").drop("path_coordinates")
+    return rounded(SW.run_sweep(m.pixels, m.labels, m.keypoints, functions, sizes, cuts, **options), "path_score", "dist").drop("path_coordinates", *SW.TIMES)
 
 
 @query("run_sweep", *SWEEPS["run_sweep"])
@@ -568,4 +601,4 @@ def run_sweep_overlap_multiscale(spark, d):
 @query("route_all", *SWEEPS["route_all"])
 def route_all(spark, d):
     m = Images(spark, d)
-    return rounded(SW.route_all(m.pixels, m.keypoints, "tf_grayhist", 3, 0.2), "dist").drop("path_coordinates")
+    return rounded(SW.route_all(m.pixels, m.keypoints, "tf_grayhist", 3, 0.2), "dist").drop("path_coordinates", *SW.TIMES)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +66,40 @@ def assign_cells(pixels: DataFrame, shapes: DataFrame, sizes: Sequence[int], ov:
     return p.withColumn("k", F.col("i") * F.col("cols") + F.col("j")).drop("h", "w", "rows", "cols", "ey", "ex")
 
 
-def paint(matrix: DataFrame, shapes: DataFrame, pixels: DataFrame, sizes: Sequence[int], ov: int = 1) -> DataFrame:
-    """image, r, y, x, v: floor(255 t) of the last cell that covers a pixel; 1 where none does."""
-    base = pixels.select("image", "y", "x")
-    cells = assign_cells(base, shapes, sizes, ov).select("image", "r", "y", "x", "k")
-    last = cells.join(matrix.select("image", "r", "k", "t"), ["image", "r", "k"]).groupBy("image", "r", "y", "x").agg(F.max_by("t", "k").alias("t"))
-    rs = F.explode(F.array(*[F.lit(int(r)) for r in sizes])).alias("r")
-    return base.select("*", rs).join(last, ["image", "r", "y", "x"], "left").select("image", "r", "y", "x", F.coalesce(F.floor(F.col("t") * 255).cast("long"), F.lit(1).cast("long")).alias("v"))
+def paint_bands(matrix: DataFrame, shapes: DataFrame, sizes: Sequence[int], ov: int = 1, rows: int = 256) -> DataFrame:
+    """image, r, h, w, top, rows, data (one channel): floor(255 t) of the last cell that covers a pixel, 1 where none does, as bytes of
+    runs of an image's rows. Cells go to the bands they touch and are painted there in order; no pixel is a row."""
+    geo = _geometry(shapes, sizes, ov)
+    line = lambda c: F.floor(c / rows).cast("long")
+    first, left = _corner("ey", "i"), _corner("ex", "j")
+    cells = matrix.where("t is not null").select("image", F.col("r").cast("int").alias("r"), "i", "j", "k", F.floor(F.col("t") * 255).cast("int").alias("v")).join(small(geo), ["image", "r"])
+    # an empty row for each band, so that bands without cells are there too
+    spans = F.explode(F.sequence(F.lit(0).cast("long"), line(F.col("h") - 1))).alias("band")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    blank = geo.select("image", "r", "h", "w", spans, none("long", "k"), none("long", "y"), none("long", "x"), none("int", "v"))
+    last = F.least(first + F.col("r"), F.col("h")) - 1
+    marked = cells.select("image", "r", "h", "w", F.explode(F.sequence(line(first), line(last))).alias("band"), "k", first.alias("y"), left.alias("x"), "v")
+    kind = shapes.schema["image"].dataType.simpleString()
+
+    def draw(at: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        image, r, band = at
+        h, w, top = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0]), int(band) * rows
+        a = np.ones((min(rows, h - top), w), dtype=np.uint8)
+        for y, x, v in pdf.dropna(subset="k").sort_values("k")[["y", "x", "v"]].astype(np.int64).itertuples(index=False):
+            a[max(y - top, 0) : max(y + r - top, 0), x : x + r] = v
+        return pd.DataFrame({"image": [image], "r": r, "h": h, "w": w, "top": top, "rows": len(a), "data": [a.tobytes()]})
+
+    return marked.unionByName(blank).groupBy("image", "r", "band").applyInPandas(draw, f"image {kind}, r int, h long, w long, top long, rows long, data binary")
+
+
+def paint(matrix: DataFrame, shapes: DataFrame, pixels: DataFrame | None, sizes: Sequence[int], ov: int = 1) -> DataFrame:
+    """image, r, y, x, v: floor(255 t) of the last cell that covers a pixel; 1 where none does. pixels isn't needed (shapes tell
+    which there are): bands are painted as bytes, and unpacked where they are."""
+    kind = shapes.schema["image"].dataType.simpleString()
+
+    def unpack(batches):
+        for pdf in batches:
+            for image, r, w, top, n, data in pdf[["image", "r", "w", "top", "rows", "data"]].itertuples(index=False):
+                yield pd.DataFrame({"image": image, "r": r, "y": np.repeat(np.arange(top, top + n), w), "x": np.tile(np.arange(w), n), "v": np.frombuffer(data, dtype=np.uint8).astype(np.int64)})
+
+    return paint_bands(matrix, shapes, sizes, ov).mapInPandas(unpack, f"image {kind}, r int, y long, x long, v long")

@@ -10,6 +10,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import div
 from ..shared import small
 
 PIXELS = "image string, y long, x long, r long, g long, b long"
@@ -87,6 +88,15 @@ def band_pixels(bands: DataFrame) -> DataFrame:
     return bands.mapInPandas(pixels, PIXELS.replace("image string", f"image {key}"))
 
 
+def from_bands(bands: DataFrame, *more: str) -> DataFrame:
+    """Images (as read_images gives them) of bands: an image's bytes come together only here. more: columns that tell images of one name apart; they
+    become part of it, after a dash."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("top", F.hex("data").alias("hex")))), lambda x: x["hex"])
+    name = F.concat_ws("-", F.col("image").cast("string"), *(F.col(c).cast("string") for c in more)).alias("image") if more else F.col("image")
+    whole = bands.groupBy(name, "h", "w").agg(F.unhex(F.array_join(line, "")).alias("data"))
+    return whole.select("image", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), div(F.octet_length("data"), F.col("h") * F.col("w")).cast("int").alias("channels"), "data")
+
+
 def from_pixels(pixels: DataFrame) -> DataFrame:
     """Images (as read_images gives them) from pixel rows: lines are packed first, then joined in order."""
     value = lambda p: F.concat(*[F.lpad(F.hex(p[c]), 2, "0") for c in "bgr"])
@@ -104,7 +114,7 @@ def bitmap(a: np.ndarray) -> bytes:
 
 
 def write_images(images: DataFrame, folder: str) -> DataFrame:
-    """A bitmap file of each image (as read_images gives them; of three channels) in a folder that all executors reach; gives
+    """A bitmap file of each image (as read_images gives them; one channel becomes three) in a folder that all executors reach; gives
     the names. A task that runs again writes the same file again."""
 
     def write(batches):
@@ -114,8 +124,9 @@ def write_images(images: DataFrame, folder: str) -> DataFrame:
             names = []
             for image, h, w, data in pdf[["image", "h", "w", "data"]].itertuples(index=False):
                 names.append(f"{image}.bmp")
+                a = np.frombuffer(data, dtype=np.uint8).reshape(h, w, -1)
                 with fs.open_output_stream(f"{path}/{names[-1]}") as out:
-                    out.write(bitmap(np.frombuffer(data, dtype=np.uint8).reshape(h, w, 3)))
+                    out.write(bitmap(np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[..., :3]))
             yield pd.DataFrame({"file": names})
 
     return images.mapInPandas(write, "file string")

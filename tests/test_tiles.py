@@ -255,3 +255,67 @@ def test_a_long_corridor_is_read_back(spark):
     found = spark.createDataFrame([(0, 3, 0.2, 0, n, True), (0, 3, 0.2, 0, 0, True), (0, 3, 0.2, 0, 7, False)], "image long, r int, c double, s long, t long, found boolean")
     path = routes.trace_paths(found, preds, 10_000)
     assert path.where(f"t = {n} and seq = k").count() == n + 1 and [tuple(r) for r in path.where("t <> 100000").select("t", "seq", "k").collect()] == [(0, 0, 0)]
+
+
+def test_painted_bands_keep_the_last_cell(spark):
+    from groundroute.operators import grid
+
+    rng = np.random.default_rng(6)
+    shapes = spark.createDataFrame([(0, 23, 19), (1, 40, 8)], "image long, h long, w long")
+    cells = grid.grid(shapes, [4, 7], 2)
+    matrix = spark.createDataFrame([(*r, float(t)) for r, t in zip(map(tuple, cells.select("image", "r", "i", "j", "k").collect()), rng.random(10_000)) if r[4] % 5], "image long, r int, i long, j long, k long, t double")
+    at = {(c.image, c.r, c.k): (c.tly, c.tlx) for c in cells.collect()}
+    wanted = {}
+    for image, h, w in ((0, 23, 19), (1, 40, 8)):
+        for r in (4, 7):
+            a = np.ones((h, w), dtype=int)
+            for c in sorted(matrix.where(f"image = {image} and r = {r}").collect(), key=lambda c: c.k):
+                y, x = at[image, r, c.k]
+                a[y : y + r, x : x + r] = int(np.floor(c.t * 255))
+            wanted |= {(image, r, y, x): int(a[y, x]) for y in range(h) for x in range(w)}
+    assert {(p.image, p.r, p.y, p.x): p.v for p in grid.paint(matrix, shapes, None, [4, 7], 2).collect()} == wanted
+    for rows in (6, 256):
+        bands = grid.paint_bands(matrix, shapes, [4, 7], 2, rows)
+        whole = images.from_bands(bands, "r").collect()
+        assert {(*map(int, b.image.split("-")), n // b.w, n % b.w): v for b in whole for n, v in enumerate(b.data)} == wanted
+    assert grid.paint_bands(matrix.limit(0), shapes, [4], 1).count() == 2
+
+
+def test_appending_twice_adds_nothing_and_reads_what_it_must(spark, tmp_path):
+    from groundroute.sources import results
+
+    path = str(tmp_path / "stored")
+    rows = [(f"a{k}", 6 + 2 * (k % 5), k % 3 / 10, k, k, k / 7) for k in range(40)]
+    made = lambda part: spark.createDataFrame(part, "image string, region_size int, cut_threshold double, s int, t int, path_score double")
+    results.append_files(made([r for r in rows if r[1] < 12] + [(None, None, None, None, None, 0.5)] * 2), path)
+    first = {f: f.stat().st_mtime_ns for f in (tmp_path / "stored" / "region_size=6").glob("*.parquet")}
+    new = made([r for r in rows if r[1] >= 10] + [(None, None, None, None, None, 0.9)])
+    for _ in range(2):
+        results.append_files(new, path)
+        assert sorted(map(tuple, spark.read.parquet(path).select(new.columns).collect()), key=str) == sorted([*rows, (None, None, None, None, None, 0.5)], key=str)
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "stored" / "region_size=6").glob("*.parquet")} == first
+    plan = results.touched(spark, path, new)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    with pytest.raises(ValueError, match="keys"):
+        results.append_files(new.select("region_size", "path_score").withColumnRenamed("region_size", "size"), path)
+
+
+def test_sweep_records_have_times_for_the_reports(spark, tmp_path):
+    from groundroute.operators import report
+    from groundroute.sources import results
+
+    values = [[(y * 37 + x * 91) % 60 for x in range(12)] for y in range(12)]
+    rows = [(0, y, x, v, v, v) for y, line in enumerate(values) for x, v in enumerate(line)]
+    pixels = spark.createDataFrame(rows, "image long, y long, x long, r long, g long, b long")
+    points = spark.createDataFrame([(0, "reachable", n, y, x) for n, (y, x) in enumerate([(1, 1), (1, 10), (10, 1)])], "image long, kind string, ord int, y long, x long")
+    lab = pixels.select("image", "y", "x", F.lit(255).alias("lab"))
+    found = sweep.run_sweep(pixels, lab, points, ["tf_grayhist"], [2, 3], [0.1, 0.9], smooth=False, normalize=False)
+    path = str(tmp_path / "records")
+    results.write_results(found.withColumn("image", F.col("image").cast("string")).select(*[f.split()[0] for f in results.RESULT.split(", ")]), path)
+    read = results.read_results(spark, path, array=False)
+    assert read.count() == 12
+    for t in sweep.TIMES:
+        assert read.where(f"{t} is null or {t} < 0").count() == 0 and read.agg(F.sum(t)).first()[0] > 0
+    assert all(v is not None and v >= 0 for r in report.time_summary(read, ["region_size", "cut_threshold"]).collect() for v in r)
+    assert report.time_series(read).count() == 16 and report.time_spread(read).count() == 16
+    assert report.time_series_combined(read, read, ("a", "b")).count() == 32 and report.average_time(read, "tf_grayhist", 2, 0.1).first().n == 3
