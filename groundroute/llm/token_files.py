@@ -122,7 +122,7 @@ def write_token_files(docs: DataFrame, out: str, vocab: str | None = None, end_i
     folder. Only files of successful task attempts are in the manifest, so retries are harmless.
 
     A null text is empty (its end id alone is written); a null doc_id comes first; rows that
-    share a doc_id are all written, by text. An empty table gives an empty manifest.
+    share a doc_id are all written, by a hash of their text. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     common.long_texts(spark)
@@ -148,7 +148,10 @@ def write_token_files(docs: DataFrame, out: str, vocab: str | None = None, end_i
 
     files.make_dir(out)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.written(rows.repartitionByRange(common.width(spark), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(common.tidy(write), MANIFEST), "manifest")
+    # with the text's hash, rows that share an id (or have none) spread over tasks and files too
+    order = ["doc_id", "hash", "text"]
+    dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(common.width(spark), *order[:2]).sortWithinPartitions(*order)
+    return common.written(dealt.select("doc_id", "text").mapInArrow(common.tidy(write), MANIFEST), "manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
