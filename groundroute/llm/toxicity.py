@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import sys
-from array import array
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -19,15 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .encoding import slices
 
-#: Labelled rows to fit on, at most, and sentences to swap terms in, at most: the classifier's bounded sample.
-SAMPLE, SENTENCES = 8_000, 20_000
+#: Labelled rows to fit on, at most: the classifier's bounded sample. All their sentences count.
+SAMPLE = 8_000
 #: Features are chosen by how far the logarithms of their rates under the labels lie apart, times the root of their count: those that say nothing
 #: about toxicity in the sample would only be weighed at random. No row or text is left out for it.
 APART = 4.5
@@ -70,6 +68,28 @@ def swaps(words: Iterable[str], groups=IDENTITIES) -> list[set[str]]:
     return out
 
 
+def counted_differences(sentences: Iterable[Iterable[str]], groups=IDENTITIES) -> list[tuple[tuple[str, ...], tuple[str, ...], int]]:
+    """By what features sentences (their words) and their swapped forms differ: those that only the sentence has, those that only the swapped form has, and
+    how many pairs differ so. There are no more of these than a pair of terms has subsets of its features."""
+    of = {t: [g for g in groups if t in g] for g in groups for t in g}
+    known = {t: features(t) for t in of}
+    found: Counter = Counter()
+    for words in sentences:
+        words = set(words)
+        here = sorted(words.intersection(of))
+        if not here:
+            continue
+        met = Counter(f for w in words for f in features(w))
+        for term in here:
+            for group in of[term]:
+                for other in group:
+                    if other not in words:
+                        a, b = known[term], known[other]
+                        rest = lambda f: met[f] > (f in a)  # noqa: B023, E731
+                        found[tuple(f for f in a if f not in b and not rest(f)), tuple(f for f in b if f not in a and not rest(f))] += 1
+    return [(a, b, n) for (a, b), n in found.items()]
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
@@ -80,8 +100,9 @@ class Model:
         return self.bias + sum(self.weights.get(f, 0.0) for f in {f for w in words for f in features(w)})
 
 
-def fit(rows: list[tuple[tuple[str, ...], int]], penalty: float = 1.0, ridge: float = 3e-4, groups=IDENTITIES, rounds: int = 250, apart: float = 0.0, sentences: list[tuple[str, ...]] | None = None) -> Model:
-    """rows: (words, label); sentences: the words of each sentence to swap terms in (each row's, if none
+def fit(rows: list[tuple[tuple[str, ...], int]], penalty: float = 1.0, ridge: float = 3e-4, groups=IDENTITIES, rounds: int = 250, apart: float = 0.0, sentences: list[tuple[str, ...]] | None = None, pairs: list[tuple[tuple[str, ...], tuple[str, ...], int]] | None = None) -> Model:
+    """rows: (words, label); pairs: by what features a sentence and its swapped form differ, and how many pairs do so (see differences);
+    else sentences: the words of each sentence to swap terms in (each row's, if none
     are given). Chooses features by how labels differ over them, then descends."""
     n, positive = len(rows), sum(y for _, y in rows)
     if not n or positive in (0, n):
@@ -99,18 +120,14 @@ def fit(rows: list[tuple[tuple[str, ...], int]], penalty: float = 1.0, ridge: fl
     coded = lambda words: {at[f] for w in words for f in features(w) if f in at}
     xs = [np.array(sorted(coded(w)), dtype=np.int64) for w, _ in rows]
     y = np.array([v for _, v in rows], dtype=float)
-    # of a pair only what differs: features of the sentence (1) and of its swapped form (-1) that the other has not
-    d_cols, d_row, d_sign, n_pairs = array("q"), array("q"), array("d"), 0
-    for words in (w for w, _ in rows) if sentences is None else sentences:
-        own = coded(words)
-        for swapped in swaps(words, groups):
-            other = coded(swapped)
-            for cols_, sign in ((sorted(own - other), 1.0), (sorted(other - own), -1.0)):
-                d_cols.extend(cols_)
-                d_row.extend([n_pairs] * len(cols_))
-                d_sign.extend([sign] * len(cols_))
-            n_pairs += 1
-    d_cols, d_row, d_sign = np.array(d_cols, dtype=np.int64), np.array(d_row, dtype=np.int64), np.array(d_sign)
+    # the penalty knows a pair by its difference alone: features of the sentence (1) and of its swapped form (-1) that the other has not
+    differing: Counter = Counter()
+    for plus, minus, n_alike in counted_differences([w for w, _ in rows] if sentences is None else sentences, groups) if pairs is None else pairs:
+        differing[tuple(sorted(at[f] for f in plus if f in at)), tuple(sorted(at[f] for f in minus if f in at))] += n_alike
+    n_pairs, alike = sum(differing.values()), np.array(list(differing.values()), dtype=float)
+    d_cols = np.array([c for both in differing for part in both for c in part], dtype=np.int64)
+    d_sign = np.array([sign for both in differing for part, sign in zip(both, (1.0, -1.0)) for _ in part])
+    d_row = np.repeat(np.arange(len(differing)), [len(a) + len(b) for a, b in differing])
     flat = lambda parts: (np.concatenate([*parts, np.empty(0, dtype=np.int64)]).astype(np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
     cols, row = flat(xs)
     w, b = np.zeros(len(named)), float(np.log(positive / (n - positive)))
@@ -120,7 +137,7 @@ def fit(rows: list[tuple[tuple[str, ...], int]], penalty: float = 1.0, ridge: fl
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g = np.bincount(cols, weights=((p - y) / n)[row], minlength=len(w)) + ridge * w
         if n_pairs:
-            change = np.bincount(d_row, weights=d_sign * w[d_cols], minlength=n_pairs)
+            change = alike * np.bincount(d_row, weights=d_sign * w[d_cols], minlength=len(alike))
             g += np.bincount(d_cols, weights=d_sign * (2 * penalty / n_pairs * change)[d_row], minlength=len(w))
         g = np.r_[g, (p - y).mean()]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -134,23 +151,25 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled_sentences(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """row, toxic, words (distinct, in order), sentences (a line each) of at most ``sample`` labelled ids that aren't held
-    out, by smallest hash of the id; words are parted by spaces. Rows that share an id count each; row is a hash of id and text."""
+    """row, toxic, words (distinct, in order), sentences (a line each) of at most ``sample`` labelled rows that aren't held
+    out, by smallest hash of the id, then of the text; words are parted by spaces. Rows that share an id count each, rows that share a text too once."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marks = marks.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = common.written(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "marks")
 
     def cut(batches):
         for batch in batches:
-            for ids, texts in slices(batch, 1_000_000):
-                rows = [xxhash.xxh64_intdigest(f"{i} {t}") >> 1 for i, t in zip(ids, texts)]
+            for rows, texts in slices(batch, 1_000_000):
                 found = [[w for w in (TOKEN.findall(s) for s in SENTENCE_END.split(t.lower())) if w] for t in texts]
                 words, lines = [" ".join(sorted({w for s in f for w in s})) for f in found], ["\n".join(map(" ".join, f)) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(words, pa.string()), pa.array(lines, pa.string())], names=["doc_id", "row", "words", "sentences"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.string()), pa.array(lines, pa.string())], names=["row", "words", "sentences"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(common.small(marks), "doc_id", "left_semi")
-    found = texts.mapInArrow(common.tidy(cut), "doc_id long, row long, words string, sentences string").join(common.small(marks), "doc_id")
-    return common.written(found.select("row", (F.col("toxic") > 0).cast("int").alias("toxic"), "words", "sentences"), "labelled-sentences")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(common.small(marks), "doc_id")
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+    keys = common.written(texts.select("doc_id", "row", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(sample), "labelled-rows")
+    once = texts.join(common.small(keys.select("row")), "row", "left_semi").groupBy("row").agg(F.min("text").alias("text"))
+    found = once.mapInArrow(common.tidy(cut), "row long, words string, sentences string")
+    return common.written(found.join(common.small(keys), "row").select("row", (F.col("toxic") > 0).cast("int").alias("toxic"), "words", "sentences"), "labelled-sentences")
 
 
 def stand_ins(sentences: DataFrame) -> list[tuple[str, str]]:
@@ -185,9 +204,28 @@ def stand_ins(sentences: DataFrame) -> list[tuple[str, str]]:
     return [(words[k], words[b]) for k, b in enumerate(best.tolist()) if k < b and best[b] == k and alike[k, b] >= ALIKE]
 
 
-def labelled_sample(sentences: DataFrame, groups=IDENTITIES, most: int = SENTENCES) -> tuple[list[tuple[tuple[str, ...], int]], list[tuple[str, ...]]]:
-    """(words, label) of each labelled row, and the sentences with a term of the groups: those of the list before
-    those of stand-ins, then by smallest hash, ``most`` at most."""
+def labelled_rows(sentences: DataFrame) -> list[tuple[tuple[str, ...], int]]:
+    """(words, label) of each labelled row."""
+    rows = sorted((r["row"], tuple(map(sys.intern, r["words"].split())), r["toxic"]) for r in sentences.select("row", "words", "toxic").toLocalIterator())
+    return [r[1:] for r in rows]
+
+
+def differences(sentences: DataFrame, groups=IDENTITIES) -> list[tuple[tuple[str, ...], tuple[str, ...], int]]:
+    """counted_differences over all sentences, counted where they are; in order."""
+
+    def count(batches):
+        for batch in batches:
+            lines = (line.split(" ") for text in batch.column(0) for line in text.as_py().split("\n"))
+            if met := counted_differences(lines, groups):
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in met], pa.list_(pa.string())), pa.array([x[1] for x in met], pa.list_(pa.string())), pa.array([x[2] for x in met], pa.int64())], names=["plus", "minus", "n"])
+
+    found = sentences.select("sentences").mapInArrow(count, "plus array<string>, minus array<string>, n long").groupBy("plus", "minus").agg(F.sum("n").alias("n"))
+    return sorted((tuple(r["plus"]), tuple(r["minus"]), r["n"]) for r in found.toLocalIterator())
+
+
+def labelled_sample(sentences: DataFrame, groups=IDENTITIES, most: int = 20_000) -> tuple[list[tuple[tuple[str, ...], int]], list[tuple[str, ...]]]:
+    """(words, label) of each labelled row, and a look at the sentences with a term of the groups: those of the list before
+    those of stand-ins, then by smallest hash, ``most`` at most. (Fitting takes differences() of all sentences.)"""
     listed, terms = (frozenset(t for g in gs for t in g) for gs in (IDENTITIES, groups))
 
     def meeting(batches):
@@ -203,8 +241,7 @@ def labelled_sample(sentences: DataFrame, groups=IDENTITIES, most: int = SENTENC
 
     asked = sentences.select("sentences").mapInArrow(meeting, "s string, listed boolean").distinct()
     asked = asked.orderBy(F.desc("listed"), F.xxhash64("s"), "s").limit(most)
-    rows = sorted((r["row"], tuple(map(sys.intern, r["words"].split())), r["toxic"]) for r in sentences.select("row", "words", "toxic").toLocalIterator())
-    return [r[1:] for r in rows], [tuple(map(sys.intern, r["s"].split())) for r in asked.toLocalIterator()]
+    return labelled_rows(sentences), [tuple(map(sys.intern, r["s"].split())) for r in asked.toLocalIterator()]
 
 
 class Scorer:
@@ -254,8 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     (the highest counts, null ones don't). Without rows of both labels it is a constant."""
     sentences = labelled_sentences(docs, labels, sample)
     groups = (*IDENTITIES, *stand_ins(sentences))
-    rows, swapped = labelled_sample(sentences, groups)
-    return fit(rows, penalty, groups=groups, apart=APART, sentences=swapped)
+    return fit(labelled_rows(sentences), penalty, groups=groups, apart=APART, pairs=differences(sentences, groups))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

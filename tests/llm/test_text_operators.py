@@ -376,3 +376,36 @@ def test_given_rows_have_counterfactual_pairs(spark):
     rows, swapped = toxicity.labelled_sample(sentences, (*toxicity.IDENTITIES, *pairs), 500)
     model = toxicity.fit(rows, groups=(*toxicity.IDENTITIES, *pairs), sentences=swapped, rounds=5)
     assert pairs and len(rows) == 600 and len(swapped) == 500 and model.n_pairs >= 500
+
+
+def test_labelled_rows_are_bounded_and_differences_are_exact(spark):
+    """20,000 rows share an id; what pairs differ by is counted over all sentences, as pair by pair."""
+    rows = [(0, f"word{k % 5000} the women sing. " + ("scum" if k % 3 else "fine")) for k in range(20_000)] + [(k, "the men play. womenly") for k in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k < 5)) for k in range(40)], "doc_id long, toxic int")
+    sentences = toxicity.labelled_sentences(docs, labels, sample=100)
+    assert sentences.count() == 100 and len(toxicity.labelled_rows(sentences)) == 100
+    random.seed(4)
+    words = ["men", "women", "womenly", "mental", "boys", "gay", "the", "straightforward", "girls", "a"]
+    lines = [random.sample(words, random.randint(1, 6)) for _ in range(300)]
+    wanted = {}
+    for line in lines:
+        own = {f for w in line for f in toxicity.features(w)}
+        for swapped in toxicity.swaps(line):
+            other = {f for w in swapped for f in toxicity.features(w)}
+            key = frozenset(own - other), frozenset(other - own)
+            wanted[key] = wanted.get(key, 0) + 1
+    table = spark.createDataFrame([("\n".join(map(" ".join, lines[k : k + 7])),) for k in range(0, 300, 7)], "sentences string").repartition(3)
+    assert {(frozenset(a), frozenset(b)): n for a, b, n in toxicity.differences(table)} == wanted
+    fitted = [(tuple(line), int("gay" in line)) for line in lines]
+    one, two = toxicity.fit(fitted, sentences=lines, rounds=40), toxicity.fit(fitted, pairs=toxicity.differences(table), rounds=40)
+    assert one.n_pairs == two.n_pairs == sum(wanted.values()) and one.weights == pytest.approx(two.weights)
+
+
+def test_rows_without_an_id_spread_over_token_files(spark):
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(2000)] + [(7, f"more {k}") for k in range(2000)], "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, common.new_path(spark, "t"))
+    found = sorted(map(tuple, token_files.read_token_files(manifest).collect()), key=lambda r: r[1])
+    assert manifest.count() > 2 and max(r.n_docs for r in manifest.collect()) < 3000
+    assert len(found) == 4000 and [r[0] for r in found] == [None] * 2000 + [7] * 2000
+    assert all(a[1] + a[2] == b[1] for a, b in zip(found, found[1:]))
