@@ -64,7 +64,7 @@ def touched(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
     """The stored records of the region sizes that new records have."""
     old = spark.read.parquet(path)
     sizes = new.select(F.col("region_size").cast(old.schema["region_size"].dataType).alias("region_size")).distinct()
-    known = sizes.where("region_size > 0 or region_size <= 0")  # a comparison: without one no filter at run time is planned
+    known = sizes.where("region_size is not null and abs(region_size) >= 0")  # a comparison: without one no filter at run time is planned
     return old.where("region_size is not null").join(small(known), "region_size", "left_semi").unionByName(
         old.where("region_size is null").join(small(sizes.where("region_size is null").select(F.lit(1).alias("one"))), F.lit(1) == F.col("one"), "left_semi")
     )
