@@ -3,8 +3,9 @@
 The pages of a host are merged into one tree of element nodes (tag with class or id, below the
 same parent). A node's presentation importance is the normalised entropy of the child
 sequences it shows over the pages; a content node's importance is one less the normalised
-entropy of its texts over the pages (text that every page repeats says nothing). Composite
-importance combines a node's own with its children's, and goes towards 1 where few pages show the node.
+entropy of its texts over the pages (text that every page repeats says nothing), or the share of its texts that would stay on one page alone (text from
+a small store says little), whichever is less. Composite importance
+combines a node's own with its children's, and goes towards 1 where few pages show the node.
 What an element says of itself (its tag, role, id and class) is a prior: the importance that decides is prior times composite,
 and branches where it is low are removed from each page, inside article and main elements and outside.
 """
@@ -27,6 +28,8 @@ from . import common
 
 #: Below this importance a branch is noise; weight of children; what the evidence of the pages is weighed against (in pages).
 LEAST_IMPORTANCE, GAMMA, DOUBT = 0.25, 0.9, 6.0
+#: Pages over which a text has to stay the only one of its kind to count in full; what evidence of that kind is weighed against (in pages of the host).
+REACH, REACH_DOUBT = 50, 12.0
 #: Priors: never text; says it isn't the article; half says so; says nothing; article or main.
 UNSEEN, NOISE, MIXED, PLAIN, CONTENT = 0.0, 0.1, 0.4, 0.7, 1.0
 #: How often a character inside an article or main element counts against one outside.
@@ -192,13 +195,15 @@ class Page:
             out.append(xxhash.xxh64_intdigest(f"{above}>{sign}") >> 1 if tag in BLOCK or parent < 0 else above)
         return out
 
-    def priors(self, names: bool) -> tuple[list[float], list[bool], list[bool]]:
+    def priors(self, names: bool | str) -> tuple[list[float], list[bool], list[bool]]:
         """The prior of each node in its place; which nodes hold an article; which lie inside one. names: what
-        elements say counts; else all that is rendered is alike."""
+        elements say counts ("tags": but for ids and classes that tell of noise); else all that is rendered is alike."""
         nodes = self.nodes
         own, holds, inside = [n[2] for n in nodes], [False] * len(nodes), [False] * len(nodes)
         if not names:
             return [PLAIN if p else UNSEEN for p in own], holds, inside
+        if names == "tags":
+            own = [PLAIN if p == NOISE and tag not in CHROME and named(sign.partition(".")[2]) == NOISE else p for p, (_, tag, _, _, sign) in zip(own, nodes)]
         for k in range(len(nodes) - 1, 0, -1):
             if own[k] == CONTENT or holds[k]:
                 holds[nodes[k][0]] = True
@@ -223,7 +228,7 @@ class Page:
                     own[k] = PLAIN
         return own, holds, inside
 
-    def kept(self, judged: dict[int, float], least: float = LEAST_IMPORTANCE, names: bool = True) -> tuple[list[bool], int, int]:
+    def kept(self, judged: dict[int, float], least: float = LEAST_IMPORTANCE, names: bool | str = True) -> tuple[list[bool], int, int]:
         """Which nodes' own text stays; how many branches are removed for low importance, and how many of them
         would be if their elements said nothing. judged: composite importance of the tree's nodes (1 if not there)."""
         nodes = self.nodes
@@ -251,12 +256,15 @@ class Page:
                 keep = [a and b for a, b in zip(keep, inside)]
         return keep, n_low, n_repeated
 
-    def extracted(self, judged: dict[int, float], least: float = LEAST_IMPORTANCE, names: bool = True) -> tuple[str, int, int]:
-        """The text, and the counts of kept(). A page that the tree would leave empty keeps what its elements say."""
+    def extracted(self, judged: dict[int, float], least: float = LEAST_IMPORTANCE, names: bool | str = True) -> tuple[str, int, int]:
+        """The text, and the counts of kept(). A page that the tree would leave empty keeps what its elements say; one that ids and
+        classes would, what is left without these."""
         keep, *counts = self.kept(judged, least, names)
         text = self._joined(keep)
         if not text and judged:
             return self.extracted({}, least, names)
+        if not text and names is True:
+            return self.extracted({}, least, "tags")
         return text, *counts
 
     def _joined(self, keep: list[bool]) -> str:
@@ -268,17 +276,20 @@ class Page:
         return self.extracted({})[0]
 
     def style_nodes(self):
-        """(path, parent path, style) of each block node, and (path, feature) of each text block."""
+        """(path, parent path, style) of each block node, and (path, feature) of each text block. A style is the sequence of the node's
+        block children, runs of the same element with their lengths."""
         paths = self.paths()
-        children: dict[int, list[str]] = {}
+        children: dict[int, list[list]] = {}
         for parent, tag, _, _, sign in self.nodes[1:]:
             if tag in BLOCK:
                 while parent > 0 and self.nodes[parent][1] not in BLOCK:
                     parent = self.nodes[parent][0]
                 mine = children.setdefault(parent, [])
-                if not mine or mine[-1] != sign:  # a run of the same element is one
-                    mine.append(sign)
-        nodes = [(paths[k], paths[parent] if parent >= 0 else 0, xxhash.xxh64_intdigest("|".join(children.get(k, ()))) >> 1) for k, (parent, tag, *_) in enumerate(self.nodes) if tag in BLOCK or parent < 0]
+                if mine and mine[-1][0] == sign:
+                    mine[-1][1] += 1
+                else:
+                    mine.append([sign, 1])
+        nodes = [(paths[k], paths[parent] if parent >= 0 else 0, xxhash.xxh64_intdigest("|".join(f"{c}*{n}" for c, n in children.get(k, ()))) >> 1) for k, (parent, tag, *_) in enumerate(self.nodes) if tag in BLOCK or parent < 0]
         features = []
         for block in self.blocks:
             if text := " ".join("".join(t for _, t in block).split()):
@@ -286,10 +297,26 @@ class Page:
         return nodes, features
 
 
-def importance(host: pd.DataFrame) -> dict[int, float]:
+def by_entropy(texts: list[tuple[int, int]], m: int) -> float:
+    """One less the normalised entropy of texts ((n, times): how many are met n times) over m showings of their node, each by itself."""
+    total = sum(t * k for t, k in texts)
+    return sum(k * t * (1 - min(1.0, log(t) / log(max(m, 2)))) for t, k in texts) / total
+
+
+def by_recurrence(texts: list[tuple[int, int]], m: int) -> float:
+    """The share of showings whose text is met nowhere else on the site, nor would be if REACH more pages were seen: a menu's texts come from a
+    small store, however many showings it takes until each has recurred; an article's don't. The store's size is
+    estimated from the texts met once and twice (as the number of species is from a catch)."""
+    once, twice = (sum(k for t, k in texts if t == n) for n in (1, 2))
+    store = sum(k for _, k in texts) + once * once / (2 * twice) if twice else float("inf")
+    return once / sum(t * k for t, k in texts) * (1 - 1 / store) ** REACH if once else 0.0
+
+
+def importance(host: pd.DataFrame, recurrence: bool = False) -> dict[int, float]:
     """Composite importance of the nodes of one host's tree, drawn towards 1 as if DOUBT more pages had shown the node, each
     of them otherwise. host: path, parent, kind (0: styles
-    of a node, 1: texts of it), n (nodes that show one of these), times (how many there are)."""
+    of a node, 1: texts of it), n (nodes that show one of these), times (how many there are). recurrence: texts are weighed by_recurrence (and
+    doubted by REACH_DOUBT pages against those of the host) instead of by_entropy."""
     nodes: dict[int, dict] = {}
     for path, parent, kind, n, times in host[["path", "parent", "kind", "n", "times"]].itertuples(index=False):
         node = nodes.setdefault(path, {"parent": 0, "styles": [], "texts": []})
@@ -313,14 +340,15 @@ def importance(host: pd.DataFrame) -> dict[int, float]:
         m = node["m"]
         own = -sum(k * s / m * log(s / m) for s, k in node["styles"]) / log(m) if m > 1 else 1.0
         if node["texts"]:
-            total = sum(t * k for t, k in node["texts"])
-            below.append((sum(k * t * (1 - min(1.0, log(t) / log(max(m, 2)))) for t, k in node["texts"]) / total, m))
+            below.append(((by_recurrence if recurrence else by_entropy)(node["texts"], m), m))
         if not below:
             out[path] = own
             continue
         weight = GAMMA ** len(below)
         out[path] = (1 - weight) * own + weight * sum(v * w for v, w in below) / max(1, sum(w for _, w in below))
-    return {p: (v * nodes[p]["m"] + DOUBT) / (nodes[p]["m"] + DOUBT) for p, v in out.items()}
+    pages = max((x["m"] for x in nodes.values() if x["parent"] not in nodes), default=0) if recurrence else float("inf")
+    seen, doubt = {p: min(nodes[p]["m"], pages) for p in out}, REACH_DOUBT if recurrence else DOUBT
+    return {p: (v * seen[p] + doubt) / (seen[p] + doubt) for p, v in out.items()}
 
 
 def site_importance(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -353,7 +381,8 @@ def site_importance(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFr
     rows = tree.groupBy("host", "path", "parent", "kind", "n").agg(F.count(F.lit(1)).alias("times"))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = {p: v for p, v in importance(pdf).items() if v * MIXED < least}
+        entropy, recurrence = importance(pdf), importance(pdf, recurrence=True)
+        low = {p: least_of for p, v in entropy.items() if (least_of := min(v, recurrence[p])) * MIXED < least}
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "paths": [list(low)], "importance": [list(low.values())]})
 
     return rows.groupBy("host").applyInPandas(judge, "host string, paths array<long>, importance array<double>").where(F.size("paths") > 0)

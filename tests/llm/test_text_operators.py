@@ -409,3 +409,43 @@ def test_rows_without_an_id_spread_over_token_files(spark):
     assert manifest.count() > 2 and max(r.n_docs for r in manifest.collect()) < 3000
     assert len(found) == 4000 and [r[0] for r in found] == [None] * 2000 + [7] * 2000
     assert all(a[1] + a[2] == b[1] for a, b in zip(found, found[1:]))
+
+
+def test_tree_alone_tells_menus_from_articles_on_given_pages(spark):
+    """With names=False: of hosts with 50 pages and more, adverts, footers and menus fall, article blocks stay."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("host", host)
+    judged = {r.host: dict(zip(r.paths, r.importance)) for r in style_tree.site_importance(pages.withColumn("row", F.xxhash64("page_id", "url"))).collect()}
+    large = {r.host for r in pages.groupBy("host").count().where("count >= 50").collect()}
+    branches, blocks = Counter(), Counter()
+    for r in pages.where(F.col("host").isin(large)).collect():
+        page = style_tree.Page(r.html)
+        keep, *_ = page.kept(judged.get(r.host, {}), names=False)
+        kind = [""] * len(page.nodes)
+        for k, (parent, tag, _, _, sign) in list(enumerate(page.nodes))[1:]:
+            kind[k] = kind[parent] or (tag if tag in ("nav", "footer", "article") else "ad" if sign.startswith("div.ad") else "")
+            if kind[k] and kind[k] != "article" and not kind[parent]:
+                branches[kind[k], keep[k]] += 1
+        blocks.update(keep[b[0][0]] for b in page.blocks if kind[b[0][0]] == "article" and any(t.strip() for _, t in b))
+    for what in ("ad", "footer", "nav"):
+        assert branches[what, False] >= 0.9 * (branches[what, True] + branches[what, False]) > 0
+    assert blocks[False] <= 0.01 * blocks[True]
+    found = style_tree.extract(pages).agg(F.sum("n_repeated").alias("n"), F.count_if(F.col("text") == "").alias("empty")).first()
+    assert found.n > 1000 and found.empty == 0
+
+
+def test_recurrence_weighs_what_stands_on_one_page_alone():
+    r = style_tree.by_recurrence
+    assert r([(1, 100)], 100) == 1.0 and r([(100, 1)], 100) == 0.0 and r([(20, 1), (1, 80)], 100) == pytest.approx(0.8)
+    assert r([(1, 18), (2, 10), (3, 7)], 59) < 0.15 < 0.6 < r([(1, 87), (2, 6), (1, 1)], 100)
+
+
+def test_names_that_would_leave_nothing_give_way():
+    text = lambda source: style_tree.Page(source).extracted({})[0]
+    assert text('<main><section class="notice"><p>All there is</p></section></main>') == "All there is"
+    assert text('<div class="subscription-comment"><p>All there is</p></div><nav>menu</nav><footer>foot</footer>') == "All there is"
+    assert text('<div class="comments"><p>Not this</p></div><p>Text</p>') == "Text" and text("<nav>menu</nav>") == ""
