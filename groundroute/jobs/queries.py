@@ -18,6 +18,7 @@ from ..operators import report as R
 from ..operators import routes as RT
 from ..operators import stencil as ST
 from ..operators import traversability as T
+from ..operators.superpixels import superpixel_rows
 from ..shared import new_path, written
 from ..sources import fixtures as FX
 from ..sources import images as IM
@@ -241,6 +242,22 @@ def tf_superpixel(spark, d):
     return T.tf_superpixel(T.regions(m.pixels, m.shapes, [6])).select("image", "r", "k", "t")
 
 
+_SEEN = "(select c.image, c.k, c.y, c.x, c.red, c.g, c.b, c.y - g.tly as v, c.x - g.tlx as u, c.r from cells1 c join grid1 g on g.image = c.image and g.r = c.r and g.k = c.k where c.r = 6)"
+
+
+@query("superpixel_assign", f"""
+select image, r, k, y, x, arg_min(s, row(d, s))::bigint as segment from (
+  select p.image, p.r, p.k, p.y, p.x, (case q.v when 0 then 0 when 2 then 1 else 2 end) * 3 + (case q.u when 0 then 0 when 2 then 1 else 2 end) as s,
+         (10.0::double / sqrt(4.5::double)) * (10.0::double / sqrt(4.5::double)) * ((p.v - q.v) * (p.v - q.v) + (p.u - q.u) * (p.u - q.u)) + (p.red - q.red) * (p.red - q.red) + (p.g - q.g) * (p.g - q.g) + (p.b - q.b) * (p.b - q.b) as d
+  from {_SEEN} p join {_SEEN} q on q.image = p.image and q.k = p.k and q.v in (0, 2, 5) and q.u in (0, 2, 5)
+  where abs(p.v - q.v) <= 2 * sqrt(4.5::double) and abs(p.u - q.u) <= 2 * sqrt(4.5::double))
+group by image, r, k, y, x""")
+def superpixel_assign(spark, d):
+    """One round of assignment to those of nine seeds a region that are in reach."""
+    m = Images(spark, d)
+    return superpixel_rows(T.regions(m.pixels, m.shapes, [6]), segments=8, rounds=1, window=2.0)
+
+
 @query("estimate", "select image, r, k, (max(g) - min(g)) / 255.0::double as t from cells1 where r = 6 group by image, r, k")
 def estimate(spark, d):
     m = Images(spark, d)

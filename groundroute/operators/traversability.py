@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from ..sources.images import band_pixels, from_pixels, pack_bands, to_bands
 from .grid import _geometry, assign_cells, grid
 from .integral import CELL, least_means, region_sums
 from .stencil import smooth_bands
+from .superpixels import SLIC, tf_superpixel
 
 SCALES = (6, 8, 10, 12, 14, 16, 18, 20, 22, 24)
 
@@ -68,38 +68,6 @@ def tf_label(labels: DataFrame, shapes: DataFrame, sizes: Sequence[int], ov: int
     return least_means(label_bands(labels, shapes), sizes, ov)
 
 
-def tf_superpixel(cells: DataFrame, segments: int = 32, rounds: int = 10, compactness: float = 10.0) -> DataFrame:
-    """1, or min(1, 3 / variance of the mean colours of a region's superpixels). Superpixels are
-    k-means clusters over place and colour from seeds on a grid, a fixed number of rounds: the
-    published idea, not any library's result. A group is a row of one image's cells."""
-
-    def one(y, x, rgb) -> float:
-        side = max(1, int(round(np.sqrt(segments))))
-        h, w = np.ptp(y) + 1, np.ptp(x) + 1
-        sy, sx = (np.unique(np.linspace(0, n - 1, min(side, n)).round()) for n in (h, w))
-        place = np.c_[y - y.min(), x - x.min()].astype(float) * (compactness / max(1.0, np.sqrt(h * w / segments)))
-        data = np.c_[place, rgb]
-        flat = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(y - y.min(), x - x.min()))}
-        seeds = [flat[p] for p in ((int(a), int(b)) for a in sy for b in sx) if p in flat]
-        centres = data[seeds]
-        for _ in range(rounds):
-            nearest = ((data[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
-            centres = np.array([data[nearest == k].mean(0) if (nearest == k).any() else centres[k] for k in range(len(centres))])
-        means = np.array([rgb[nearest == k].mean(0) for k in np.unique(nearest)])
-        spread = means.var(axis=0).sum()
-        return 1.0 if spread == 0 else min(1.0, 3 / spread)
-
-    def row(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k, g in pdf.groupby("k", sort=True):
-            first = g.sort_values(["y", "x"])
-            out.append((*first[["image", "r", "i", "j"]].iloc[0], k, one(first["y"].to_numpy(), first["x"].to_numpy(), first[["r_", "g", "b"]].to_numpy(float))))
-        return pd.DataFrame(out, columns=[*CELL, "t"])
-
-    types = {f.name: f.dataType.simpleString() for f in cells.schema}
-    return cells.select(*CELL, "y", "x", "r_", "g", "b").groupBy("image", "r", "i").applyInPandas(row, ", ".join(f"{c} {types[c]}" for c in CELL) + ", t double")
-
-
 def estimate(cells: DataFrame, tf: Callable[[pd.Series, pd.Series, pd.Series], float] | Callable[..., Column]) -> DataFrame:
     """A caller's own estimator: a function of three pandas Series (a region's channels) to a float,
     or of three columns to an aggregate Column (preferred: it stays in the JVM). Which one it is shows when it is given
@@ -204,7 +172,9 @@ def estimates(bands: DataFrame, shapes: DataFrame, sizes: Sequence[int], tf: str
         return ESTIMATORS[tf](region_sums(bands, sizes, ov))
     if tf == "tf_random":
         return tf_random(grid(shapes, sizes, ov))
-    return {"tf_superpixels": tf_superpixel}[tf](regions(band_pixels(bands), shapes, sizes, ov))
+    if tf == "tf_superpixels":
+        return tf_superpixel(regions(band_pixels(bands), shapes, sizes, ov), **SLIC)
+    raise ValueError(f"no estimator named {tf}: {[*ESTIMATORS, 'tf_random', 'tf_superpixels']}")
 
 
 def traversability(pixels: DataFrame, shapes: DataFrame, sizes: Sequence[int], tf: str = "tf_grayhist", ov: int = 1, smooth: bool = True, threshold: float | None = None, normalize: bool = True, scale: str = "unit", images: DataFrame | None = None) -> DataFrame:
