@@ -13,14 +13,14 @@ from ..functions import div
 from ..shared import small
 
 
-def _geometry(shapes: DataFrame, sizes: Sequence[int], ov: int) -> DataFrame:
-    """image, r, ov, rows, cols, and the crop's offsets, of each image at each region size."""
+def _geometry(shapes: DataFrame, sizes: Sequence[int], ov: int, keep: Sequence[str] = ()) -> DataFrame:
+    """image, r, ov, rows, cols, and the crop's offsets, of each image at each region size (and columns to keep)."""
     rs = F.explode(F.array(*[F.lit(int(r)) for r in sizes])).alias("r")
-    geo = shapes.select("image", F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w"), rs)
+    geo = shapes.select("image", F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w"), *keep, rs)
     fits = (F.col("r") > 0) & (F.col("r") <= F.col("h")) & (F.col("r") <= F.col("w"))
     checked = F.when(fits, F.col("r")).otherwise(F.raise_error(F.lit("a region must be larger than zero and no larger than its image")).cast("int"))
     return geo.withColumn("r", checked).select(
-        "image", "r", F.lit(int(ov)).alias("ov"), "h", "w",
+        "image", "r", F.lit(int(ov)).alias("ov"), "h", "w", *keep,
         (div(F.col("h"), F.col("r")) * ov).alias("rows"), (div(F.col("w"), F.col("r")) * ov).alias("cols"),
         div(F.col("h") % F.col("r"), 2).alias("ey"), div(F.col("w") % F.col("r"), 2).alias("ex"),
     )
@@ -54,8 +54,11 @@ def _covering(at: str, edge: str, count: str, ov: int) -> Column:
 def assign_cells(pixels: DataFrame, shapes: DataFrame, sizes: Sequence[int], ov: int = 1) -> DataFrame:
     """pixels with r, ov, i, j, k of each cell that covers them: one cell without overlap (pixels
     cropped away have none), several with it. Arithmetic only: shapes (a row an image, broadcast
-    if its size allows) is the one thing joined."""
-    p = pixels.join(small(_geometry(shapes, sizes, ov)), "image")
+    if its size allows) is the one thing joined, and where pixels have their image's sides (h, w) nothing is."""
+    if {"h", "w"} <= set(pixels.columns):
+        p = _geometry(pixels, sizes, ov, [c for c in pixels.columns if c not in ("image", "h", "w")])
+    else:
+        p = pixels.join(small(_geometry(shapes, sizes, ov)), "image")
     if ov == 1:
         p = p.where((F.col("y") >= F.col("ey")) & (F.col("y") < F.col("ey") + F.col("rows") * F.col("r")) & (F.col("x") >= F.col("ex")) & (F.col("x") < F.col("ex") + F.col("cols") * F.col("r")))
         p = p.withColumn("i", div(F.col("y") - F.col("ey"), F.col("r"))).withColumn("j", div(F.col("x") - F.col("ex"), F.col("r")))

@@ -173,7 +173,7 @@ def estimates(bands: DataFrame, shapes: DataFrame, sizes: Sequence[int], tf: str
     if tf == "tf_random":
         return tf_random(grid(shapes, sizes, ov))
     if tf == "tf_superpixels":
-        return tf_superpixel(regions(band_pixels(bands), shapes, sizes, ov), **SLIC)
+        return tf_superpixel(regions(band_pixels(bands, sides=True), shapes, sizes, ov), **SLIC)
     raise ValueError(f"no estimator named {tf}: {[*ESTIMATORS, 'tf_random', 'tf_superpixels']}")
 
 

@@ -14,6 +14,7 @@ from ..functions import div
 from ..shared import small
 
 PIXELS = "image string, y long, x long, r long, g long, b long"
+SIDES = ", h long, w long"
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -22,8 +23,8 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract("image.origin", r"([^/]+)$", 1).alias("image"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
-def to_pixels(images: DataFrame, band_rows: int = 256) -> DataFrame:
-    """One row a pixel. A large image is cut into bands of rows inside its own task, so that no
+def to_pixels(images: DataFrame, band_rows: int = 256, sides: bool = False) -> DataFrame:
+    """One row a pixel (sides: with the image's h and w). A large image is cut into bands of rows inside its own task, so that no
     batch of pixels exceeds a band; no shuffle."""
     key = images.schema["image"].dataType.simpleString()
 
@@ -34,9 +35,9 @@ def to_pixels(images: DataFrame, band_rows: int = 256) -> DataFrame:
                 for top in range(0, h, band_rows):
                     part = a[top : top + band_rows].astype(np.int64)
                     b, g, r = (part[..., min(c, channels - 1)].ravel() for c in range(3))
-                    yield pd.DataFrame({"image": image, "y": np.repeat(np.arange(top, top + len(part)), w), "x": np.tile(np.arange(w), len(part)), "r": r, "g": g, "b": b})
+                    yield pd.DataFrame({"image": image, "y": np.repeat(np.arange(top, top + len(part)), w), "x": np.tile(np.arange(w), len(part)), "r": r, "g": g, "b": b} | ({"h": h, "w": w} if sides else {}))
 
-    return images.mapInPandas(pixels, PIXELS.replace("image string", f"image {key}"))
+    return images.mapInPandas(pixels, PIXELS.replace("image string", f"image {key}") + SIDES * sides)
 
 
 #: Pixels of a band, about.
@@ -75,17 +76,17 @@ def pack_bands(pixels: DataFrame, shapes: DataFrame | tuple[int, int], channels:
     return sized.select("image", "h", "w", (F.col("band") * rows).alias("top"), F.col("rows").cast("long").alias("rows"), data.alias("data"))
 
 
-def band_pixels(bands: DataFrame) -> DataFrame:
-    """Pixel rows (image, y, x, r, g, b) of bands."""
+def band_pixels(bands: DataFrame, sides: bool = False) -> DataFrame:
+    """Pixel rows (image, y, x, r, g, b; sides: with the image's h and w) of bands."""
     key = bands.schema["image"].dataType.simpleString()
 
     def pixels(batches):
         for pdf in batches:
-            for image, w, top, rows, data in pdf[["image", "w", "top", "rows", "data"]].itertuples(index=False):
+            for image, h, w, top, rows, data in pdf[["image", "h", "w", "top", "rows", "data"]].itertuples(index=False):
                 b, g, r = (np.frombuffer(data, dtype=np.uint8).reshape(rows * w, -1)[:, [0, 1, 2] if len(data) > rows * w else [0, 0, 0]]).T.astype(np.int64)
-                yield pd.DataFrame({"image": image, "y": np.repeat(np.arange(top, top + rows), w), "x": np.tile(np.arange(w), rows), "r": r, "g": g, "b": b})
+                yield pd.DataFrame({"image": image, "y": np.repeat(np.arange(top, top + rows), w), "x": np.tile(np.arange(w), rows), "r": r, "g": g, "b": b} | ({"h": h, "w": w} if sides else {}))
 
-    return bands.mapInPandas(pixels, PIXELS.replace("image string", f"image {key}"))
+    return bands.mapInPandas(pixels, PIXELS.replace("image string", f"image {key}") + SIDES * sides)
 
 
 def from_bands(bands: DataFrame, *more: str) -> DataFrame:

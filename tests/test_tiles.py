@@ -95,6 +95,18 @@ def test_images_and_pixel_rows_give_the_same_matrices(spark, arrays):
         assert one == two and len(one) == 7 * 10 + 4 * 3 + 9
 
 
+def test_pixels_that_know_their_sides_need_no_join(spark, arrays):
+    from groundroute.operators import grid
+
+    read, shapes = image_rows(spark, arrays), images.shapes(pixel_rows(spark, arrays))
+    for ov in (1, 2):
+        wanted = sorted(map(tuple, grid.assign_cells(images.to_pixels(read).drop("r"), shapes, [3, 4], ov).collect()))
+        for pixels in (images.to_pixels(read, sides=True), images.band_pixels(images.to_bands(read, 50), sides=True)):
+            found = grid.assign_cells(pixels.drop("r"), shapes, [3, 4], ov)
+            assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, found.select(*grid.assign_cells(images.to_pixels(read).drop("r"), shapes, [3], ov).columns).collect())) == wanted
+
+
 def test_no_pixels_leave_the_tasks_that_read_images(spark, arrays):
     read = image_rows(spark, arrays)
     plan = tv.tf_gray(integral.region_sums(images.to_bands(read), [3, 4]))._jdf.queryExecution().executedPlan().toString()
