@@ -15,27 +15,52 @@ NODE = [*GRAPH, "s", "k"]
 
 
 #: Cells of a tile (a band of an image's rows): what one task relaxes at a time.
-TILE = 65_536
-#: Sources of a graph that a task relaxes together, about: with TILE, what it holds.
-SOURCES = 32
+TILE = 262_144
+#: Sources of a graph that a task relaxes together, about: with TILE, what it holds and gives back.
+SOURCES = 8
 #: Rounds whose lowered distances are merged into one table.
 MERGED = 4
 
 
 def relax(dist: np.ndarray, reached: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, steps: int | None = None) -> np.ndarray:
-    """Lowers dist (sources x cells) in place until no edge (sorted by dst) lowers it further, or for so many steps.
-    reached: cells to begin at; gives back those to go on from."""
-    while reached.any() and steps != 0:
-        steps = None if steps is None else steps - 1
-        used = reached[src]
-        to, now = dst[used], dist[:, src[used]] + w[used]
-        first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)])
-        reached = np.zeros(dist.shape[1], dtype=bool)
-        if len(first):
-            best, cells = np.minimum.reduceat(now, first, axis=1), to[first]
-            reached[cells] = (best < dist[:, cells]).any(axis=0)
-            dist[:, cells] = np.minimum(dist[:, cells], best)
-    return reached
+    """Lowers dist (sources x cells, contiguous) in place until no edge lowers it further, or for so many steps.
+    reached: cells to begin at; gives back those to go on from.
+
+    A step looks at edges out of what was lowered, source by source; and of this, while steps aren't counted, only at what lies within a
+    typical edge's weight of the source's nearest, as what is farther may be lowered again before its turn comes."""
+    n = dist.shape[1]
+    order = np.argsort(src, kind="stable")
+    to, weight = dst[order], w[order]
+    first = np.searchsorted(src[order], np.arange(n + 1))
+    degree, typical = np.diff(first), np.median(weight) if len(weight) else 0.0
+    flat = dist.reshape(-1)
+    front = np.flatnonzero((reached & np.isfinite(dist)).reshape(-1))
+    waits = np.zeros(len(flat), dtype=bool)
+    waits[front] = True
+    while len(front) and steps != 0:
+        now, later = front, front[:0]
+        if steps is not None:
+            steps -= 1
+        else:
+            row, least = front // n, np.full(len(dist), np.inf)
+            np.minimum.at(least, row, flat[front])
+            near = flat[front] <= least[row] + typical
+            now, later = front[near], front[~near]
+        waits[now] = False
+        cell = now % n
+        k = degree[cell]
+        edge = np.repeat(first[cell] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        at, value = np.repeat(now - cell, k) + to[edge], np.repeat(flat[now], k) + weight[edge]
+        lower = value < flat[at]
+        at, value = at[lower], value[lower]
+        np.minimum.at(flat, at, value)
+        told = np.unique(at)
+        told = told[~waits[told]]
+        waits[told] = True
+        front = np.concatenate([later, told])
+    left = np.zeros(n, dtype=bool)
+    left[front % n] = True
+    return left
 
 
 def _relax_tile(inside: np.ndarray, known: pd.DataFrame, edges: pd.DataFrame, steps: int | None) -> pd.DataFrame:
@@ -51,7 +76,7 @@ def _relax_tile(inside: np.ndarray, known: pd.DataFrame, edges: pd.DataFrame, st
     src, dst, w = src[order], dst[order], edges["w"].to_numpy(dtype=float)[order]
     stays = own[dst]
     out = []
-    step = max(1, (1 << 22) // max(1, len(w)))  # sources at a time: a bounded matrix
+    step = max(1, (1 << 22) // max(1, len(cells)))  # sources at a time: a bounded matrix
     for low in range(0, len(names), step):
         mine = (source >= low) & (source < low + step)
         dist = np.full((min(step, len(names) - low), len(cells)), np.inf)

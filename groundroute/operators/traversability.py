@@ -68,15 +68,19 @@ def tf_label(labels: DataFrame, shapes: DataFrame, sizes: Sequence[int], ov: int
     return least_means(label_bands(labels, shapes), sizes, ov)
 
 
-def estimate(cells: DataFrame, tf: Callable[[pd.Series, pd.Series, pd.Series], float] | Callable[..., Column]) -> DataFrame:
+def estimate(cells: DataFrame, tf: Callable[[pd.Series, pd.Series, pd.Series], float] | Callable[..., Column], series: bool | None = None) -> DataFrame:
     """A caller's own estimator: a function of three pandas Series (a region's channels) to a float,
-    or of three columns to an aggregate Column (preferred: it stays in the JVM). Which one it is shows when it is given
-    columns: a function of Series stumbles over their type. Its own errors come up when it runs."""
-    channels = [F.col(c) for c in ("r_", "g", "b")]
-    try:
-        value = tf(*channels)
-    except (TypeError, ValueError, AttributeError):
-        value = None
+    or of three columns to an aggregate Column (preferred: it stays in the JVM). series tells which; without it that shows when it is given
+    columns: a function of Series stumbles over their type. Its own errors come up when it runs, and with series=False at once."""
+    channels, value = [F.col(c) for c in ("r_", "g", "b")], None
+    if not series:
+        try:
+            value = tf(*channels)
+        except (TypeError, ValueError, AttributeError):
+            if series is False:
+                raise
+    if series is False and not isinstance(value, Column):
+        raise TypeError("the estimator gave no Column")
     if not isinstance(value, Column):
         def apply(r: pd.Series, g: pd.Series, b: pd.Series) -> float:
             return float(tf(r, g, b))

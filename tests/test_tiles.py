@@ -269,6 +269,16 @@ def test_a_long_corridor_is_read_back(spark):
     assert path.where(f"t = {n} and seq = k").count() == n + 1 and [tuple(r) for r in path.where("t <> 100000").select("t", "seq", "k").collect()] == [(0, 0, 0)]
 
 
+def test_errors_of_a_column_estimator_show_at_once(spark):
+    pixels = spark.createDataFrame([(0, 0, 0, 1, 2, 3), (0, 0, 1, 4, 5, 6), (0, 1, 0, 1, 2, 3), (0, 1, 1, 4, 5, 6)], "image long, y long, x long, r long, g long, b long")
+    cells = tv.regions(pixels, images.shapes(pixels), [2])
+    with pytest.raises(TypeError):
+        tv.estimate(cells, lambda r, g, b: F.max(r) + len(g), series=False)
+    with pytest.raises(TypeError, match="no Column"):
+        tv.estimate(cells, lambda r, g, b: 3.0, series=False)
+    assert tv.estimate(cells, lambda r, g, b: float(len(r)), series=True).first().t == 4 and tv.estimate(cells, lambda r, g, b: F.max(b), series=False).first().t == 6
+
+
 def test_painted_bands_keep_the_last_cell(spark):
     from groundroute.operators import grid
 
