@@ -36,18 +36,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs of 24 or more; a shorter run is a match that fails.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-#: Lines of base64, the first one of at least 32 characters; read once, whatever they hold.
-LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?:\r?\n[A-Za-z0-9+/]++={0,2}+(?![A-Za-z0-9+/_=-]))*+")
-LINE = re.compile(r"[A-Za-z0-9+/_-]+(={0,2})")
+#: What may stand between two lines of one key: a line break, or one written as \n, with what closes and opens string pieces, indents or quotes lines.
+_SHUT, _OPEN = r"""["'+,\x20\t\\]{0,8}+""", r"""[\x20\t>"'|#*]{0,60}+"""
+BREAK = rf"(?:{_SHUT}\r?\n{_OPEN}|(?:\\r)?\\n(?:{_SHUT}\r?\n{_OPEN})?)"
+#: Lines of base64, the first one of at least 32 characters; read once, whatever they hold. A letter after a backslash belongs to that.
+LINES = re.compile(rf"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\n))[A-Za-z0-9+/_-]{{32,}}+={{0,2}}+(?:{BREAK}[A-Za-z0-9+/]++={{0,2}}+(?![A-Za-z0-9+/_=-]))*+")
+LINE = re.compile(rf"([A-Za-z0-9+/_-]+)(={{0,2}})(?:{BREAK})?")
 LEAST_RUN = 32
-HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{48,}|[0-9A-F]{48,})(?![0-9A-Za-z])")
+#: Hexadecimal in one case, in lines, or in pairs parted by colons.
+HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{48,}+(?:BREAK[0-9a-f]{2,}+)*+|[0-9A-F]{48,}+(?:BREAK[0-9A-F]{2,}+)*+)(?![0-9A-Za-z])".replace("BREAK", BREAK))
+HEX_LINE = re.compile(rf"([0-9A-Fa-f]+)(?:{BREAK})?")
+PAIRS = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{2}:(?:\r?\n[\x20\t]{0,60}+)?){23,}+[0-9A-Fa-f]{2}(?![0-9A-Za-z:])")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: Algorithm names of signed tokens, and names of length-prefixed public keys.
 ALGORITHMS = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA"}
 KEY_PARTS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 BOXED = b"openssh-key-v1\0"
-#: Elements of a key's sequence, strings and keys of a boxed key: more make no key of a known kind.
-MOST_PARTS = 16
+#: Elements of a key's sequence, and public keys of a boxed key: more make no key of a known kind.
+MOST_PARTS, MOST_KEYS = 16, 256
 
 Read = Callable[[int, int], bytes]
 
@@ -126,7 +132,7 @@ def prefixed_key(read: Read, most: int) -> tuple[str, int] | None:
     if read(0, len(BOXED)) == BOXED:  # cipher, key derivation and its options; then the public keys and the sealed part
         at = past(len(BOXED), 3)
         keys = int.from_bytes(read(at, 4), "big") if at else 0
-        end = past(at + 4, keys + 1) if 1 <= keys <= MOST_PARTS else None
+        end = past(at + 4, keys + 1) if 1 <= keys <= MOST_KEYS else None
         return ("openssh-private", end) if end else None
     n = int.from_bytes(read(0, 4), "big")
     parts = KEY_PARTS.get(read(4, n)) if n <= 32 else None
@@ -154,7 +160,7 @@ def wrapped_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int, st
     """Keys among the lines of base64 in text[start:end]. A key begins where a line does, and its own
     lengths tell where it ends: on a line's end, after lines of one width and none wider. Each line costs a few header
     reads, so that work grows with the text alone."""
-    found = [(m.start(), m.end(1), m.start(1) - m.start(), bool(m[1])) for m in LINE.finditer(text, start, end)]
+    found = [(m.start(), m.end(2), m.end(1) - m.start(), bool(m[2])) for m in LINE.finditer(text, start, end)]
     flat = "".join(text[a : a + n] for a, _, n, _ in found)
     ends = list(accumulate(n for _, _, n, _ in found))
     alike = [0] * len(found)  # the last of the lines from here that are as wide and unpadded
@@ -175,6 +181,21 @@ def wrapped_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int, st
         i += 1
 
 
+def hex_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """Keys among the lines of hexadecimal in text[start:end]: a key begins where a line does and ends where one does."""
+    lines = [x.span(1) for x in HEX_LINE.finditer(text, start, end)]
+    flat = "".join(text[a:b] for a, b in lines)
+    data = bytes.fromhex(flat[: len(flat) - len(flat) % 2])
+    ends, i = list(accumulate(b - a for a, b in lines)), 0
+    while i < len(lines):
+        at = ends[i] - (lines[i][1] - lines[i][0])
+        key = key_of(lambda k, n, at=at // 2: data[at + k : at + k + n], len(data) - at // 2) if at % 2 == 0 else None
+        if key and (j := bisect_left(ends, at + 2 * key[1])) < len(ends) and ends[j] == at + 2 * key[1]:
+            yield lines[i][0], lines[j][1], key[0]
+            i = j
+        i += 1
+
+
 def _decode64(run: str) -> bytes | None:
     run = re.sub(r"\s", "", run).rstrip("=")
     if len(run) % 4 == 1:
@@ -206,10 +227,11 @@ def _candidates(text: str) -> Iterator[tuple[int, int, str | None]]:
     for m in LINES.finditer(text):
         yield from wrapped_keys(text, *m.span())
     for m in HEX_RUN.finditer(text):
-        if len(m[0]) % 2 == 0:
-            data = bytes.fromhex(m[0])
-            key = key_of(lambda at, n, data=data: data[at : at + n], len(data))
-            yield m.start(), m.end(), key[0] if key and key[1] == len(data) else None
+        yield from hex_keys(text, *m.span())
+    for m in PAIRS.finditer(text):
+        data = bytes.fromhex(re.sub(r"[:\s]", "", m[0]))
+        key = key_of(lambda at, n, data=data: data[at : at + n], len(data))
+        yield m.start(), m.end(), key[0] if key and key[1] == len(data) else None
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:

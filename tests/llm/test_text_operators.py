@@ -449,3 +449,37 @@ def test_names_that_would_leave_nothing_give_way():
     assert text('<main><section class="notice"><p>All there is</p></section></main>') == "All there is"
     assert text('<div class="subscription-comment"><p>All there is</p></div><nav>menu</nav><footer>foot</footer>') == "All there is"
     assert text('<div class="comments"><p>Not this</p></div><p>Text</p>') == "Text" and text("<nav>menu</nav>") == ""
+
+
+def test_keys_are_found_where_they_leak():
+    """Indented, quoted, joined by a written line break, as string pieces, in lines of hexadecimal and in pairs."""
+    rsa = der(0x30, der(2, b"\0") + b"".join(der(2, random.Random(k).randbytes(40)) for k in range(8)))
+    flat = base64.b64encode(rsa).decode()
+    lines = [flat[k : k + 64] for k in range(0, len(flat), 64)]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    shown = {
+        "yaml": "key: |\n    " + "\n    ".join([head, *lines, tail]) + "\nnext: 1", "quoted": "\n".join("> " + x for x in [head, *lines, tail]), "tabs": "\r\n\t".join([head, *lines, tail]),
+        "written": '{"key": "' + "\\n".join([head, *lines, tail]) + '\\n"}', "written twice": "\\r\\n".join([head, *lines, tail]),
+        "pieces": "key = (\n" + "".join(f'    "{x}\\n"\n' for x in [head, *lines, tail]) + ")", "added": '" +\n  "'.join(lines) + '"',
+    }
+    for name, text in shown.items():
+        spans = secrets.confirmed_spans(text)
+        assert [k for *_, k in spans] == ["rsa-private"], name
+        a, b, _ = spans[0]
+        assert text[a:].startswith(lines[0]) and text[:b].endswith(lines[-1]), name
+    dump = rsa.hex()
+    wrapped = "\n".join(dump[k : k + 60] for k in range(0, len(dump), 60))
+    assert secrets.confirmed_spans("x " + wrapped + "\nffff z") == [(2, 2 + len(wrapped), "rsa-private")]
+    pairs = ":".join(dump[k : k + 2] for k in range(0, len(dump), 2))
+    broken = ":\n    ".join(pairs[k : k + 44] for k in range(0, len(pairs), 45))
+    assert secrets.confirmed_spans(pairs) == [(0, len(pairs), "rsa-private")] and secrets.confirmed_spans(broken) == [(0, len(broken), "rsa-private")]
+    assert secrets.confirmed_spans("ab" * 30 + "\n" + wrapped + "\n" + dump) == [(61, 61 + len(wrapped), "rsa-private"), (62 + len(wrapped), 62 + len(wrapped) + len(dump), "rsa-private")]
+    assert secrets.confirmed_spans("\n    ".join(lines[:-2])) == [] and secrets.confirmed_spans(wrapped[:-70]) == [] and secrets.confirmed_spans(pairs[:-30]) == []
+    boxed = secrets.BOXED + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (40).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in [b"k" * 20] * 41)
+    assert [k for *_, k in secrets.confirmed_spans(base64.b64encode(boxed).decode())] == ["openssh-private"]
+    import time
+
+    for text in ("A" * 64 + "\n  ") * 30_000, ("A" * 40 + '\\n" +\n "') * 30_000, ("0a" * 30 + "\n") * 30_000, "0a:" * 700_000, ('"' * 9 + "\n") * 200_000:
+        began = time.process_time()
+        secrets.confirmed_spans(text)
+        assert time.process_time() - began < 10
