@@ -103,22 +103,16 @@ def automaton(word: list[int]) -> tuple[list[int], list[int], list[int]]:
 def runs_of(word: list[int], least: int = LEAST, times: int = TIMES) -> list[tuple[int, int, int]]:
     """(start, length, period) of every run of a word, by start, then period."""
     link, length, end = automaton(word)
-    sets: list[Ends | None] = [None if e < 0 else Ends(e) for e in end]
     found: dict[tuple[int, int], int] = {}
     n = len(word)
-    for state in np.argsort(np.array(length), kind="stable")[::-1].tolist():
-        up, own = link[state], sets[state]
-        if up <= 0:  # the root's strings are empty
-            sets[state] = None
-            continue
-        held, sets[state] = sets[up], None
+
+    def merged(held: Ends | None, own: Ends, common_: int) -> Ends:
+        """Both sets of a state whose strings are so long; runs that end at new neighbours are found."""
         if held is None:
-            sets[up] = own
-            continue
+            return own
         if held.n < own.n:
             held, own = own, held
-            sets[up] = held
-        common_, last = length[up], -1
+        last = -1
         for x in own:
             before, after = held.add(x)
             if before == last:
@@ -129,6 +123,15 @@ def runs_of(word: list[int], least: int = LEAST, times: int = TIMES) -> list[tup
                 if a >= 0 and 0 < d <= common_ and common_ + d >= least and common_ >= (times - 1) * d and (b + 1 == n or word[a + 1] != word[b + 1]):
                     key = (a - common_ + 1, b)
                     found[key] = min(d, found.get(key, d))
+        return held
+
+    sets: dict[int, Ends] = {}
+    for state in np.argsort(np.array(length), kind="stable")[:0:-1].tolist():  # but for the root, whose string is empty
+        held = sets.pop(state, None)
+        if end[state] >= 0:
+            held = merged(held, Ends(end[state]), length[state])
+        if link[state] > 0:
+            sets[link[state]] = merged(sets.get(link[state]), held, length[link[state]])
     return sorted((a, b - a + 1, d) for (a, b), d in found.items())
 
 
