@@ -94,7 +94,7 @@ def region_sums(bands: DataFrame, sizes: Sequence[int], ov: int = 1) -> DataFram
 
 
 def least_means(bands: DataFrame, sizes: Sequence[int], ov: int = 1) -> DataFrame:
-    """image, r, i, j, k, t: the least mean of a region's sub-blocks in bands of one channel. A sub-block's side is half the region's height;
+    """image, r, i, j, k, t: the least mean of a region's sub-blocks in bands of one channel, or of the grey of three. A sub-block's side is half the region's height;
     they are cropped evenly, as regions are in an image. Regions too small for one get null."""
     sizes = [int(r) for r in sizes]
 
@@ -106,7 +106,7 @@ def least_means(bands: DataFrame, sizes: Sequence[int], ov: int = 1) -> DataFram
         return of, first[of] + (n[of] % q) // 2 + within * q
 
     def sums(a, top, h, w):
-        s, bottom = table(a[..., 0]), top + len(a)
+        s, bottom = table(a[..., 0] if a.shape[2] == 1 else gray_of(a)), top + len(a)
         for r in sizes:
             (y1, y2), (x1, x2) = axis(h, r, ov), axis(w, r, ov)
             cols, known, rows = len(x1), {}, []

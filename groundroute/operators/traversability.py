@@ -56,7 +56,7 @@ def tf_random(cells: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def label_bands(labels: DataFrame, shapes: DataFrame) -> DataFrame:
-    """labels as bands: as they are, from images of one channel or more (the first counts), or from rows (image, y, x, lab)."""
+    """labels as bands: as they are, from images (their grey counts), or from rows (image, y, x, lab)."""
     if "rows" in labels.columns:
         return labels
     return to_bands(labels) if "data" in labels.columns else pack_bands(labels, shapes, ("lab",))
