@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from .integral import CELL
 
 #: Distances that a task holds together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 19
 
 
 def seeds(n: int, segments: int) -> np.ndarray:
@@ -51,14 +51,22 @@ def assign(rgb: np.ndarray, colours: np.ndarray, places: np.ndarray, weight: flo
     """The nearest centre of each pixel of regions (n, h, w, 3): by squared colour distance and weight times squared distance. colours (n, c, 3) and
     places (n, c, 2) of the centres; reach: only centres within it along both sides count, where there is one."""
     n, h, w, _ = rgb.shape
-    y, x = (v.reshape(1, -1, 1) for v in np.meshgrid(np.arange(h), np.arange(w), indexing="ij"))
-    dy, dx = y - places[:, None, :, 0], x - places[:, None, :, 1]
-    d = weight * (dy * dy + dx * dx)
+    y, x = (v.reshape(1, -1, 1) for v in np.meshgrid(np.arange(float(h)), np.arange(float(w)), indexing="ij"))
+    cy, cx = places[:, None, :, 0], places[:, None, :, 1]
+    d, part = (np.empty((n, h * w, places.shape[1])) for _ in range(2))
+
+    def squared(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+        return np.square(np.subtract(a, b, out=out), out=out)
+
+    squared(y, cy, d)
+    d += squared(x, cx, part)
+    d *= weight
     for c in range(3):
-        d += (rgb[..., c].reshape(n, -1, 1) - colours[:, None, :, c]) ** 2
+        d += squared(rgb[..., c].reshape(n, -1, 1), colours[:, None, :, c], part)
     if reach is not None:
-        near = (np.abs(dy) <= reach) & (np.abs(dx) <= reach)
-        d = np.where(near | ~near.any(axis=2, keepdims=True), d, np.inf)
+        far = (np.abs(y - cy) > reach) | (np.abs(x - cx) > reach)
+        far &= ~far.all(axis=2, keepdims=True)
+        d[far] = np.inf
     return d.argmin(axis=2)
 
 
