@@ -291,7 +291,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     (the highest counts, null ones don't). Without rows of both labels it is a constant."""
     sentences = labelled_sentences(docs, labels, sample)
     groups = (*IDENTITIES, *stand_ins(sentences))
-    return fit(labelled_rows(sentences), penalty, groups=groups, apart=APART, pairs=differences(sentences, groups))
+    model = fit(labelled_rows(sentences), penalty, groups=groups, apart=APART, pairs=differences(sentences, groups))
+    common.give_back()  # the driver goes on to other work
+    return model
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
