@@ -26,11 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    return shared.written(df, label, **WRITER)
+    return shared.written(df, label, sorts=False, **WRITER)
 
 
 def rounds(spark: SparkSession, label: str) -> shared.Rounds:
-    return shared.Rounds(spark, label, **WRITER)
+    return shared.Rounds(spark, label, sorts=False, **WRITER)
 
 
 def long_texts(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import div
-from ..shared import Rounds, small, written
+from ..shared import Rounds, shuffled, small, written
 
 GRAPH = ["image", "r", "c"]
 NODE = [*GRAPH, "s", "k"]
@@ -146,7 +146,7 @@ def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None
         best_now = best.groupBy(*NODE).agg(F.first("block").alias("block"), F.min("dist").alias("dist"))
         if not _none(found.where("told > 0")):
             news = found.where("told > 0").groupBy(*NODE).agg(F.first("block").alias("block"), F.min("dist").alias("dist"), F.max("told").alias("told"))
-            least = best_now.select(*NODE, F.col("dist").alias("least"))
+            least = shuffled(best_now.select(*NODE, F.col("dist").alias("least")))
             told = tellings.write(news.join(least, NODE, "left").where("least is null or dist < least or told = 2").select(*columns))
             if not _none(told):
                 if len(lowerings) >= MERGED:
@@ -167,14 +167,14 @@ def _none(news: DataFrame) -> bool:
 def predecessors(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """image, r, c, s, k, pred: the last cell before k on a best route (the smallest on ties)."""
     before = tree.select(*GRAPH, "s", F.col("k").alias("src"), F.col("dist").alias("d0"))
-    met = before.join(edges.select(*GRAPH, "src", F.col("dst").alias("k"), "w"), [*GRAPH, "src"]).join(tree, NODE).where("d0 + w = dist and k <> s")
+    met = before.join(edges.select(*GRAPH, "src", F.col("dst").alias("k"), "w"), [*GRAPH, "src"]).join(shuffled(tree), NODE).where("d0 + w = dist and k <> s")
     return met.groupBy(*NODE).agg(F.min("src").alias("pred"))
 
 
 def routes(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     """pairs (image, r, c, kind, o1, o2, s, t) with dist and found: one search a distinct source,
     joined to every pair of it. s = t is found at distance 0 unless its cell is cut."""
-    return pairs.join(tree.withColumnRenamed("k", "t"), [*GRAPH, "s", "t"], "left").withColumn("found", F.col("dist").isNotNull())
+    return pairs.join(shuffled(tree.withColumnRenamed("k", "t")), [*GRAPH, "s", "t"], "left").withColumn("found", F.col("dist").isNotNull())
 
 
 def _chase(pred: np.ndarray, cells: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +254,7 @@ def trace_paths(found: DataFrame, preds: DataFrame, tile: int = TILE) -> DataFra
 def path_centers(paths: DataFrame, cells: DataFrame) -> DataFrame:
     """paths (…, r, k) with row and col of the cells' centres."""
     at = cells.select("image", "r", "k", (F.col("tly") + div(F.col("r"), 2)).alias("row"), (F.col("tlx") + div(F.col("r"), 2)).alias("col"))
-    return paths.join(at, ["image", "r", "k"])
+    return paths.join(shuffled(at), ["image", "r", "k"])
 
 
 def unfound_paths(pairs: DataFrame) -> DataFrame:

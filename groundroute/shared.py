@@ -31,28 +31,36 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df marked for joins that sort both sides, unless the other side is marked for broadcast. Spark takes the size of a table's files for the table's, and
+    would broadcast a well compressed one of many times its own bound."""
+    return df.hint("merge")
+
+
 def _write_to(df: DataFrame, path: str, options: dict[str, str]) -> DataFrame:
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, so lost executors cost no re-run of what came before. options: of the writer."""
-    return _write_to(df, new_path(df.sparkSession, label), options)
+def written(df: DataFrame, label: str, sorts: bool = True, **options: str) -> DataFrame:
+    """Cuts the lineage: df as a table in the shared folder, so lost executors cost no re-run of what came before. options: of the writer. sorts: joins
+    with it are shuffled()."""
+    out = _write_to(df, new_path(df.sparkSession, label), options)
+    return shuffled(out) if sorts else out
 
 
 class Rounds:
     """The written rounds of an iterative job: a round's table goes when the one after it is whole."""
 
-    def __init__(self, spark: SparkSession, label: str, **options: str):
-        self.spark, self.label, self.options, self.last = spark, label, options, None
+    def __init__(self, spark: SparkSession, label: str, sorts: bool = True, **options: str):
+        self.spark, self.label, self.sorts, self.options, self.last = spark, label, sorts, options, None
 
     def write(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, self.label)
         out = _write_to(df, path, self.options)
         self.drop()
         self.last = path
-        return out
+        return shuffled(out) if self.sorts else out
 
     def drop(self) -> None:
         """Removes the last round's table: when nothing reads it any more."""
@@ -97,8 +105,8 @@ def components(edges: DataFrame, key: list[str], label: str = "stars") -> DataFr
             return now.select(*key, F.col("a").alias("node"), F.col("b").alias("root"))
         state = sums
         both = now.unionByName(now.select(*key, F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(*key, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = shuffled(both.groupBy(*key, "a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, [*key, "a"]).select(*key, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy(*key, "a").agg(F.min("b").alias("m"))
+        low = shuffled(large.groupBy(*key, "a").agg(F.min("b").alias("m")))
         told = large.join(low, [*key, "a"]).select(*key, F.col("b").alias("a"), F.col("m").alias("b"))
         now = kept.write(down(told.unionByName(low.select(*key, "a", F.col("m").alias("b")))))

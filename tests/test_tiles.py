@@ -341,3 +341,14 @@ def test_sweep_records_have_times_for_the_reports(spark, tmp_path):
     assert all(v is not None and v >= 0 for r in report.time_summary(read, ["region_size", "cut_threshold"]).collect() for v in r)
     assert report.time_series(read).count() == 16 and report.time_spread(read).count() == 16
     assert report.time_series_combined(read, read, ("a", "b")).count() == 32 and report.average_time(read, "tf_grayhist", 2, 0.1).first().n == 3
+
+
+def test_written_tables_are_never_broadcast_by_the_size_of_their_files(spark):
+    df = spark.range(1000).withColumnRenamed("id", "a")
+    plan = lambda one, two: one.join(two, "a")._jdf.queryExecution().executedPlan().toString()
+    for table in (shared.written(df, "test"), shared.Rounds(spark, "test").write(df)):
+        assert "BroadcastHashJoin" not in plan(df, table.where("a > 3").groupBy("a").count()) + plan(table, df)
+        assert "BroadcastHashJoin" in plan(df, shared.small(table))
+    matrix = matrix_of(spark, np.full((4, 4), 0.5))
+    edges = graph.graph_edges(matrix, [0.1])
+    assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()
