@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import div
-from ..shared import Rounds, shuffled, small, written
+from ..shared import Rounds, in_groups, shuffled, small, written
 
 GRAPH = ["image", "r", "c"]
 NODE = [*GRAPH, "s", "k"]
@@ -20,21 +23,18 @@ TILE = 262_144
 SOURCES = 8
 #: Rounds whose lowered distances are merged into one table.
 MERGED = 4
+#: What a row that a tile's task gets is: a distance known before, one told in this round; an edge.
+OLD, FRESH, EDGE = 0, 1, 2
 
 
-def relax(dist: np.ndarray, reached: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, steps: int | None = None) -> np.ndarray:
-    """Lowers dist (sources x cells, contiguous) in place until no edge lowers it further, or for so many steps.
-    reached: cells to begin at; gives back those to go on from.
+def relax(flat: np.ndarray, front: np.ndarray, row: np.ndarray, shift: np.ndarray, first: np.ndarray, to: np.ndarray, weight: np.ndarray, typical: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """Lowers flat in place until no edge lowers it further, or for so many steps. flat: distances of all cells of a graph from one source, a row each source,
+    row after row; row: each place's; shift: what a row's places lie after its cells' numbers. first, to, weight: edges by the cell they begin in; typical: an
+    edge's weight in a row's graph. front: places to begin at; gives back those to go on from.
 
-    A step looks at edges out of what was lowered, source by source; and of this, while steps aren't counted, only at what lies within a
-    typical edge's weight of the source's nearest, as what is farther may be lowered again before its turn comes."""
-    n = dist.shape[1]
-    order = np.argsort(src, kind="stable")
-    to, weight = dst[order], w[order]
-    first = np.searchsorted(src[order], np.arange(n + 1))
-    degree, typical = np.diff(first), np.median(weight) if len(weight) else 0.0
-    flat = dist.reshape(-1)
-    front = np.flatnonzero((reached & np.isfinite(dist)).reshape(-1))
+    A step looks at edges out of what was lowered, in all rows at once; and of this, while steps aren't counted, only at what lies within a
+    typical edge's weight of the row's nearest, as what is farther may be lowered again before its turn comes."""
+    degree = np.diff(first)
     waits = np.zeros(len(flat), dtype=bool)
     waits[front] = True
     while len(front) and steps != 0:
@@ -42,15 +42,14 @@ def relax(dist: np.ndarray, reached: np.ndarray, src: np.ndarray, dst: np.ndarra
         if steps is not None:
             steps -= 1
         else:
-            row, least = front // n, np.full(len(dist), np.inf)
-            np.minimum.at(least, row, flat[front])
-            near = flat[front] <= least[row] + typical
+            of, least = row[front], np.full(len(shift), np.inf)
+            np.minimum.at(least, of, flat[front])
+            near = flat[front] <= (least + typical)[of]
             now, later = front[near], front[~near]
         waits[now] = False
-        cell = now % n
-        k = degree[cell]
-        edge = np.repeat(first[cell] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        at, value = np.repeat(now - cell, k) + to[edge], np.repeat(flat[now], k) + weight[edge]
+        move = shift[row[now]]
+        edge, k = _out_of(now - move, first, degree)
+        at, value = np.repeat(move, k) + to[edge], np.repeat(flat[now], k) + weight[edge]
         lower = value < flat[at]
         at, value = at[lower], value[lower]
         np.minimum.at(flat, at, value)
@@ -58,47 +57,65 @@ def relax(dist: np.ndarray, reached: np.ndarray, src: np.ndarray, dst: np.ndarra
         told = told[~waits[told]]
         waits[told] = True
         front = np.concatenate([later, told])
-    left = np.zeros(n, dtype=bool)
-    left[front % n] = True
-    return left
+    return front
+
+
+def _out_of(cell: np.ndarray, first: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges that begin in these cells, and how many each has."""
+    k = degree[cell]
+    return np.repeat(first[cell] - (np.cumsum(k) - k), k) + np.arange(k.sum()), k
 
 
-def _relax_tile(inside: np.ndarray, known: pd.DataFrame, edges: pd.DataFrame, steps: int | None) -> pd.DataFrame:
-    """One graph's tile: known (s, k, dist, fresh) and edges (k, dst, w) that begin in it. Distances of its cells that
+#: Distances that a task lowers at a time.
+PLACES = 1 << 22
+
+
+def _relax_tiles(of: np.ndarray, what: np.ndarray, a: np.ndarray, k: np.ndarray, v: np.ndarray, steps: int | None, places: int = PLACES) -> Iterator[tuple[np.ndarray, ...]]:
+    """Many groups (a graph's tile and a block of sources) at once; of: each row's group. Rows are known distances (what OLD or FRESH; a the source) and edges
+    that begin in the tile (what EDGE; a where they lead). Yields group, source, cell, distance, told: distances of a tile's cells that
     were lowered (told 0), what its edges tell cells of other tiles (1), and cells it has yet to go on from (2)."""
-    names, source = np.unique(known["s"].to_numpy(), return_inverse=True)
-    cells, at = np.unique(np.r_[inside, known["k"].to_numpy(), edges["dst"].to_numpy()], return_inverse=True)
-    src, dst = at[: len(inside)], at[len(inside) + len(known) :]
-    start = at[len(inside) : len(inside) + len(known)]
+    is_edge, fresh = what == EDGE, what == FRESH
+    known, groups = ~is_edge, int(of[-1]) + 1
+    wide = int(max(a.max(), k.max())) + 1
+    cells, at = np.unique(np.r_[of * wide + k, of[is_edge] * wide + a[is_edge]], return_inverse=True)
+    begins, dst = np.searchsorted(cells, np.arange(groups + 1) * wide), at[len(k) :]
+    src, w, start = at[: len(k)][is_edge], v[is_edge], at[: len(k)][known]
     own = np.zeros(len(cells), dtype=bool)
-    own[src], own[start] = True, True
-    order = np.argsort(dst, kind="stable")
-    src, dst, w = src[order], dst[order], edges["w"].to_numpy(dtype=float)[order]
-    stays = own[dst]
-    out = []
-    step = max(1, (1 << 22) // max(1, len(cells)))  # sources at a time: a bounded matrix
-    for low in range(0, len(names), step):
-        mine = (source >= low) & (source < low + step)
-        dist = np.full((min(step, len(names) - low), len(cells)), np.inf)
-        np.minimum.at(dist, (source[mine] - low, start[mine]), known["dist"].to_numpy(dtype=float)[mine])
-        before = np.full(dist.shape, np.inf)
-        fresh = known["fresh"].to_numpy(dtype=bool)
-        old, begin = mine & ~fresh, np.zeros(len(cells), dtype=bool)
-        begin[start[mine & fresh]] = True
-        np.minimum.at(before, (source[old] - low, start[old]), known["dist"].to_numpy(dtype=float)[old])
-        left = relax(dist, begin, src[stays], dst[stays], w[stays], steps)
-        relaxed = dist < before
-        one = np.full(dist.shape, np.inf)
-        if (~stays).any():
+    own[at[: len(k)]] = True
+    order = np.argsort(src, kind="stable")
+    src, dst, w, stays = src[order], dst[order], w[order], own[dst[order]]
+    inner, outer = ((np.searchsorted(src[m], np.arange(len(cells) + 1)), dst[m], w[m]) for m in (stays, ~stays))
+    typical = np.zeros(groups)
+    median = pd.Series(w[stays]).groupby(cells[src[stays]] // wide).median()
+    typical[median.index.to_numpy()] = median.to_numpy()
+    names, source = np.unique(of[known] * wide + a[known], return_inverse=True)
+    group, dist, fresh = names // wide, v[known], fresh[known]
+    size = np.diff(begins)[group]
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(names):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - size[low] + places, side="right")))
+        mine, n = (source >= low) & (source < high), size[low:high]
+        shift = np.cumsum(n) - n - begins[group[low:high]]
+        row = np.repeat(np.arange(len(n)), n)
+        place = shift[source[mine] - low] + start[mine]
+        flat, before = np.full(len(row), np.inf), np.full(len(row), np.inf)
+        np.minimum.at(flat, place, dist[mine])
+        old = ~fresh[mine]
+        np.minimum.at(before, place[old], dist[mine][old])
+        left = relax(flat, np.unique(place[~old]), row, shift, *inner, typical[group[low:high]], steps)
+        lowered = np.flatnonzero(flat < before)
+        out = [(lowered[own[lowered - shift[row[lowered]]]], flat, 0), (left, flat, 2)]
+        if len(outer[1]):
             # only edges out of lowered cells tell anything new
-            lowered = np.where(relaxed, dist, np.inf)
-            to, now = dst[~stays], lowered[:, src[~stays]] + w[~stays]
-            first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            one[:, to[first]] = np.minimum.reduceat(now, first, axis=1)
-        for values, told, where in ((dist, 0, relaxed & own), (one, 1, one < np.inf), (dist, 2, (dist < np.inf) & left)):
-            r, c = np.nonzero(where)
-            out.append(pd.DataFrame({"s": names[r + low], "k": cells[c], "dist": values[r, c], "told": told}))
-    return pd.concat(out)
+            move, one = shift[row[lowered]], np.full(len(row), np.inf)
+            edge, many = _out_of(lowered - move, outer[0], np.diff(outer[0]))
+            np.minimum.at(one, np.repeat(move, many) + outer[1][edge], np.repeat(flat[lowered], many) + outer[2][edge])
+            out.append((np.flatnonzero(one < np.inf), one, 1))
+        for where, values, told in out:
+            r = row[where]
+            yield group[low + r], names[low + r] % wide, cells[where - shift[r]] % wide, values[where], np.full(len(where), told, dtype=np.int32)
+        low = high
 
 
 def _in_blocks(sources: DataFrame, most: int) -> DataFrame:
@@ -126,21 +143,23 @@ def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None
     schema = ", ".join(f"{n} {types[n]}" for n in GRAPH) + ", block int, s long, k long, dist double, told int"
     key, columns = [*GRAPH, "tile", "block"], [*GRAPH, "block", "s", "k", "dist"]
 
-    def settle(at, known: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if not len(known):
-            return pd.DataFrame(columns=[*columns, "told"])
-        found = _relax_tile(edges["k"].to_numpy(), known, edges, steps)
-        return found.assign(**dict(zip(GRAPH, at)), block=at[-1])[[*columns, "told"]]
+    def settle(table: pa.Table, first: np.ndarray) -> Iterator[pa.Table]:
+        of = _numbered(table, first)
+        for group, *found in _relax_tiles(of, *(table[n].to_numpy() for n in ("what", "a", "k", "v")), steps):
+            graph = table.select([*GRAPH, "block"]).take(pa.array(first[group]))
+            yield pa.table([*graph.columns, *found], names=[*columns, "told"])
 
     best, done = None, 0
     while rounds is None or done < rounds:
         done += 1
-        fresh = told.select(*columns, band("k"), F.lit(True).alias("fresh"))
+        as_rows = lambda df, what, a, v: df.select(*key, F.lit(what).alias("what"), F.col(a).alias("a"), "k", F.col(v).alias("v"))
+        fresh = told.select(*columns, band("k"))
         active = small(fresh.select(*key).distinct())
-        known = fresh if best is None else fresh.unionByName(best.select(*columns, band("k"), F.lit(False).alias("fresh")).join(active, key, "left_semi"))
-        asked = edges.join(active.withColumn("block", F.col("block") + 0), [*GRAPH, "tile"])  # a column of its own for the cogroup
+        rows = as_rows(fresh, FRESH, "s", "dist").unionByName(as_rows(edges.join(active, [*GRAPH, "tile"]), EDGE, "dst", "w"))
+        if best is not None:
+            rows = rows.unionByName(as_rows(best.select(*columns, band("k")).join(active, key, "left_semi"), OLD, "s", "dist"))
         lowerings.append(Rounds(spark, "lowered"))
-        found = lowerings[-1].write(known.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(settle, schema))
+        found = lowerings[-1].write(in_groups(rows, key, settle, schema))
         lowered = found.where("told = 0").select(*columns)
         best = lowered if best is None else best.unionByName(lowered)
         best_now = best.groupBy(*NODE).agg(F.first("block").alias("block"), F.min("dist").alias("dist"))
@@ -160,6 +179,11 @@ def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None
     raise RuntimeError("distances not settled")
 
 
+def _numbered(table: pa.Table, first: np.ndarray) -> np.ndarray:
+    """The number of each row's group."""
+    return np.repeat(np.arange(len(first)), np.diff(np.r_[first, table.num_rows]))
+
+
 def _none(news: DataFrame) -> bool:
     return not news.limit(1).count()
 
@@ -193,6 +217,10 @@ def _chase(pred: np.ndarray, cells: np.ndarray, asked: np.ndarray) -> tuple[np.n
     return every[to[at]], hops[at]
 
 
+#: Places of routes whose cells a task lists together.
+WALKED = 1 << 14
+
+
 def trace_paths(found: DataFrame, preds: DataFrame, tile: int = TILE) -> DataFrame:
     """image, r, c, s, t, seq, k: cells of each found route, from s.
 
@@ -206,35 +234,43 @@ def trace_paths(found: DataFrame, preds: DataFrame, tile: int = TILE) -> DataFra
     named = lambda names: ", ".join(f"{n} {types[n]}" for n in names)
     band = lambda k: F.floor(F.col(k) / tile).cast("long").alias("tile")
     asked = written(found.where("found").select(*path).distinct(), "asked")
-    back = preds.select(*tree, band("k"), "k", "pred")
+    back = written(preds.select(*tree, band("k"), "k", "pred"), "preds")
     crossing = back.where(F.col("tile") != F.floor(F.col("pred") / tile)).select(*tree, F.col("pred").alias("k"))
-
-    def leave(at, entries: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        if not len(entries):
-            return pd.DataFrame(columns=[*tree, "k", "exit", "hops"])
-        to, hops = _chase(back["pred"].to_numpy(), back["k"].to_numpy(), entries["k"].to_numpy())
-        return pd.DataFrame({"k": entries["k"].to_numpy(), "exit": to, "hops": hops}).assign(**dict(zip(tree, at)))[[*tree, "k", "exit", "hops"]]
-
-    def walk(at, points: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        if not len(points):
-            return pd.DataFrame(columns=[*path, "seq", "k"])
-        cells = np.unique(np.r_[back["k"].to_numpy(), back["pred"].to_numpy(), points["k"].to_numpy()])
+    ways = back.select(*group, F.lit(True).alias("way"), "k", F.col("pred").alias("a"), F.lit(0).cast("long").alias("seq"))
+
+    def leave(table: pa.Table, first: np.ndarray) -> Iterator[pa.Table]:
+        of, way, k, a = _numbered(table, first), *(table[n].to_numpy() for n in ("way", "k", "a"))
+        wide = int(max(k.max(), a.max())) + 1
+        at, entry = of * wide + k, np.flatnonzero(~way)
+        if len(entry):
+            to, hops = _chase((of * wide + a)[way], at[way], at[entry])
+            yield pa.table([*table.select([*tree, "k"]).take(pa.array(entry)).columns, to % wide, hops], names=[*tree, "k", "exit", "hops"])
+
+    def walk(table: pa.Table, first: np.ndarray) -> Iterator[pa.Table]:
+        of, way, k, a, at = _numbered(table, first), *(table[n].to_numpy() for n in ("way", "k", "a", "seq"))
+        wide = int(max(k.max(), a.max())) + 1
+        pred = of * wide + a
+        cells, place = np.unique(np.r_[of * wide + k, pred[way]], return_inverse=True)
         to = np.full(len(cells), -1)
-        to[np.searchsorted(cells, back["k"].to_numpy())] = np.searchsorted(cells, back["pred"].to_numpy())
-        inside = (cells // tile == at[-1]) & (cells != at[3])  # the source is a place of its own
-        now, n = np.searchsorted(cells, points["k"].to_numpy()), np.arange(len(points))
-        seq, out = points["seq"].to_numpy(), []
-        while len(now):
-            out.append((n, now, seq))
-            kept = to[now] >= 0
-            kept[kept] = inside[to[now[kept]]]
-            now, n, seq = to[now[kept]], n[kept], seq[kept] - 1
-        n, now, seq = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"t": points["t"].to_numpy()[n], "seq": seq, "k": cells[now]}).assign(**dict(zip(tree, at)))[[*path, "seq", "k"]]
+        to[place[: len(k)][way]] = place[len(k) :]
+        tiles, sources = (table[c].to_numpy()[first][cells // wide] for c in ("tile", "s"))
+        inside = (cells % wide // tile == tiles) & (cells % wide != sources)  # the source is a place of its own
+        points = np.flatnonzero(~way)
+        for low in range(0, len(points), WALKED):
+            n = points[low : low + WALKED]
+            now, seq, out = place[n], at[n], []
+            while len(now):
+                out.append((n, now, seq))
+                kept = to[now] >= 0
+                kept[kept] = inside[to[now[kept]]]
+                now, n, seq = to[now[kept]], n[kept], seq[kept] - 1
+            n, now, seq = (np.concatenate(x) for x in zip(*out))
+            yield pa.table([*table.select([*tree, "a"]).take(pa.array(n)).columns, seq.astype(np.int32), cells[now] % wide], names=[*path, "seq", "k"])
 
     entries = asked.select(*tree, F.col("t").alias("k")).unionByName(crossing).distinct().withColumn("tile", band("k"))
     pointers = Rounds(spark, "pointers")
-    jump = pointers.write(entries.groupBy(*group).cogroup(back.groupBy(*group)).applyInPandas(leave, named(tree) + ", k long, exit long, hops long"))
+    asking = entries.select(*group, F.lit(False).alias("way"), "k", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("seq"))
+    jump = pointers.write(in_groups(asking.unionByName(ways), group, leave, named(tree) + ", k long, exit long, hops long"))
     points, places = asked.select(*path, F.col("t").alias("k"), F.lit(0).cast("long").alias("back")), Rounds(spark, "places")
     while True:
         told = jump.where("hops > 0")
@@ -247,8 +283,8 @@ def trace_paths(found: DataFrame, preds: DataFrame, tile: int = TILE) -> DataFra
     pointers.drop()
     # of a route's places its source is the farthest back
     length = points.groupBy(*path).agg(F.max("back").alias("length"))
-    started = points.join(length, path).select(*path, band("k"), "k", (F.col("length") - F.col("back")).alias("seq"))
-    return started.groupBy(*group).cogroup(back.groupBy(*group)).applyInPandas(walk, named(path) + ", seq int, k long")
+    started = points.join(length, path).select(*tree, band("k"), F.lit(False).alias("way"), "k", F.col("t").alias("a"), (F.col("length") - F.col("back")).alias("seq"))
+    return in_groups(started.unionByName(ways), group, walk, named(path) + ", seq int, k long")
 
 
 def path_centers(paths: DataFrame, cells: DataFrame) -> DataFrame:
@@ -294,14 +330,16 @@ def simplify_paths(paths: DataFrame, factor: float = 1.5) -> DataFrame:
     """paths (image, r, c, s, t, seq, row, col) without the points within factor * r of the line, and n, the
     number of points before."""
 
-    def simplify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        keep = rdp(pdf[["row", "col"]].to_numpy(), factor * float(pdf["r"].iloc[0]))
-        return pdf[keep].assign(n=len(pdf))
+    def simplify(table: pa.Table, first: np.ndarray) -> Iterator[pa.Table]:
+        points, ends = np.c_[table["row"].to_numpy(), table["col"].to_numpy()], np.r_[first[1:], table.num_rows]
+        reach = factor * table["r"].to_numpy()[first].astype(float)
+        keep = np.concatenate([rdp(points[a:b], d) for a, b, d in zip(first, ends, reach)])
+        n = np.repeat(ends - first, ends - first)
+        yield table.append_column("n", pa.array(n)).filter(pa.array(keep))
 
     types = {f.name: f.dataType.simpleString() for f in paths.schema}
     names = [*PATH, "seq", "row", "col"]
-    return paths.select(*names).groupBy(*PATH).applyInPandas(simplify, ", ".join(f"{n} {types[n]}" for n in names) + ", n long")
+    return in_groups(paths.select(*names), PATH, simplify, ", ".join(f"{n} {types[n]}" for n in names) + ", n long", order=["seq"])
 
 
 def resample_paths(simple: DataFrame) -> DataFrame:

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes (of values, uncompressed) up to which a side counts as small enough to broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Rows of whole groups that a task hands on together.
+GATHERED = 1 << 18
 
 _own_dir: list[str] = []
 
@@ -91,6 +97,44 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if n_bytes(df) <= most else df
 
 
+def _starts(table: pa.Table, key: Sequence[str]) -> np.ndarray:
+    """Where each run of rows with equal key begins."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[:1] = True
+    for name in key:
+        column = table[name]
+        new[1:] |= pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1)), True).to_numpy()
+    return np.flatnonzero(new)
+
+
+def in_groups(df: DataFrame, key: Sequence[str], f: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]], schema: str, order: Sequence[str] = (), gathered: int = GATHERED) -> DataFrame:
+    """df's groups of equal key, many small ones in a call: f gets whole groups (a table by key, then order) and where each begins, and yields tables of
+    the schema. A task holds ``gathered`` rows, or one group, if that is larger."""
+    key = list(key)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, due = [], 0, gathered
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < due:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            first = _starts(table, key)
+            if cut := int(first[-1]):
+                for found in f(table.slice(0, cut), first[:-1]):
+                    yield from found.combine_chunks().to_batches()
+                table = table.slice(cut)
+            held, n = table.to_batches(), table.num_rows
+            due = max(gathered, 2 * n)
+        if n:
+            table = pa.Table.from_batches(held).combine_chunks()
+            for found in f(table, _starts(table, key)):
+                yield from found.combine_chunks().to_batches()
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(task, schema)
+
+
 def components(edges: DataFrame, key: list[str], label: str = "stars") -> DataFrame:
     """key, node, root (the component's smallest node) for every node of edges (key, a, b: long) that is no root itself, each key apart.
 

@@ -352,3 +352,32 @@ def test_written_tables_are_never_broadcast_by_the_size_of_their_files(spark):
     matrix = matrix_of(spark, np.full((4, 4), 0.5))
     edges = graph.graph_edges(matrix, [0.1])
     assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("gathered", [1, 7, 1000])
+def test_gathered_groups_are_whole_and_in_order(spark, gathered):
+    def sums(table, first):
+        key, n, at = (table[c].to_numpy(zero_copy_only=False) for c in ("k", "n", "at"))
+        for a, b in zip(first, [*first[1:], len(n)]):
+            assert len(set(key[a:b])) == 1 and list(at[a:b]) == sorted(at[a:b])
+            yield table.slice(a, 1).select(["k"]).append_column("total", [[n[a:b].sum()]]).append_column("rows", [[b - a]])
+
+    rows = [(f"g{n % 13 if n < 300 else 13}", n, -n) for n in range(600)]
+    found = shared.in_groups(spark.createDataFrame(rows, "k string, n long, at long"), ["k"], sums, "k string, total long, rows long", order=["at"], gathered=gathered)
+    wanted = {}
+    for k, n, _ in rows:
+        wanted.setdefault(k, []).append(n)
+    assert sorted(map(tuple, found.collect())) == sorted((k, sum(v), len(v)) for k, v in wanted.items())
+
+
+def test_routes_and_paths_take_many_small_groups_in_a_call(spark):
+    one = matrix_of(spark, np.full((4, 4), 0.5))
+    cells = one.crossJoin(spark.range(3).select(F.col("id").alias("n"))).withColumn("image", F.col("n")).drop("n")
+    edges = graph.graph_edges(cells, [0.1])
+    tree = routes.shortest_tree(edges, cells.where("k in (0, 5)").select("image", "r", F.lit(0.1).alias("c"), F.col("k").alias("s")))
+    pairs = tree.where("k = 15").select("image", "r", "c", "s", F.col("k").alias("t"), F.lit(True).alias("found"))
+    paths = routes.trace_paths(pairs, routes.predecessors(edges, tree))
+    simple = routes.simplify_paths(paths.withColumns({"row": F.col("k") / 4, "col": F.col("k") % 4}))
+    plans = "".join(df._jdf.queryExecution().executedPlan().toString() for df in (paths, simple))
+    assert "FlatMap" not in plans and "InPandas" not in plans
+    assert {(r.image, r.s, r.n) for r in simple.collect()} == {(n, s, 4 if s == 0 else 3) for n in range(3) for s in (0, 5)}
