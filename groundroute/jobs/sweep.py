@@ -17,7 +17,7 @@ from ..operators.keypoints import keypoint_cells, keypoint_pairs
 from ..operators.metrics import score_paths
 from ..operators.routes import GRAPH, PATH, pack_paths, path_centers, predecessors, resample_paths, routes, shortest_tree, simplify_paths, smooth_paths, trace_paths, unfound_paths
 from ..operators.traversability import blended, ground_truth, scales_of, traversability
-from ..shared import small, written
+from ..shared import shuffled, small, written
 from ..sources.images import shapes as shapes_of
 
 
@@ -101,8 +101,8 @@ def run_sweep(pixels: DataFrame, labels: DataFrame | None, keypoints: DataFrame,
             curve = written(shaped(pairs, edges, tree, cells), "curves")
         rows = pairs.join(pack_paths(curve), PATH, "left")
         if labels is not None:
-            scored = score_paths(curve.join(pairs.where("found").select(*PATH).distinct(), PATH, "left_semi"), labels, shapes)
-            rows = rows.join(scored, PATH, "left")
+            scored = score_paths(curve.join(shuffled(pairs.where("found").select(*PATH).distinct()), PATH), labels, shapes)
+            rows = rows.join(shuffled(scored), PATH, "left")
         else:
             rows = rows.withColumn("score", F.lit(None).cast("double"))
         for table, key, stage in ((matrix, ["image", "r"], "matrix"), (edges, GRAPH, "graph"), (curve, PATH, "path")):

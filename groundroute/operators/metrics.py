@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import div
-from ..shared import small, written
+from ..shared import shuffled, small, written
 from .routes import PATH
 
 PENALTY, PASSABLE = 0.03, 0.5
@@ -136,7 +136,7 @@ def score_paths(paths: DataFrame, labels: DataFrame, shapes: DataFrame) -> DataF
     values = patch_values(paths, labels, shapes).withColumnRenamed("t", "value")
     order = Window.partitionBy(*PATH)
     inner = paths.withColumn("inner", (F.col("seq") > F.min("seq").over(order)) & (F.col("seq") < F.max("seq").over(order)))
-    met = inner.join(values, ["image", "r", "row", "col"], "left")
+    met = inner.join(shuffled(values), ["image", "r", "row", "col"], "left")
     lost = F.sum(F.when(F.col("inner") & (F.col("value") < PASSABLE), 1 - F.col("value")))
     return met.groupBy(*PATH).agg(F.greatest(F.lit(0.0), 1 - PENALTY * F.coalesce(lost, F.lit(0.0))).alias("score"))
 

@@ -381,3 +381,11 @@ def test_routes_and_paths_take_many_small_groups_in_a_call(spark):
     plans = "".join(df._jdf.queryExecution().executedPlan().toString() for df in (paths, simple))
     assert "FlatMap" not in plans and "InPandas" not in plans
     assert {(r.image, r.s, r.n) for r in simple.collect()} == {(n, s, 4 if s == 0 else 3) for n in range(3) for s in (0, 5)}
+
+
+def test_scores_are_joined_without_a_broadcast_by_size(spark):
+    points = spark.createDataFrame([(0, 3, 0.1, 0, 1, n, 4 + n, 5) for n in range(3)], "image long, r int, c double, s long, t long, seq int, row long, col long")
+    labels = spark.createDataFrame([(0, y, x, 255) for y in range(12) for x in range(12)], "image long, y long, x long, lab int")
+    scored = metrics.score_paths(points, labels, images.shapes(labels))
+    assert "BroadcastHashJoin" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert [r.score for r in scored.collect()] == [1.0]
