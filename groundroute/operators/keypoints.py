@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import components, small, written
+from ..shared import components, in_groups, small, written
 from .grid import _covering, _geometry
 from ..functions import div
 
@@ -138,21 +139,22 @@ def find_blobs(markers: DataFrame, threshold: int = 127, most_area: int | None =
     sized = stats.where((F.col("area") >= LEAST_AREA) & (F.lit(most_area is None) | (F.col("area") <= F.lit(most_area or 0))))
     ends = runs.groupBy(*key, "y").agg(F.min("x1").alias("low"), F.max("x2").alias("high")).join(sized, key)
 
-    def shape(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        area, edge = float(first["area"]), float(first["edge"])
-        y = pdf["y"].to_numpy(dtype=float)
-        corners = np.concatenate([np.c_[y + dy, pdf[c].to_numpy(dtype=float) + dx] for c, dx in (("low", -0.5), ("high", 0.5)) for dy in (-0.5, 0.5)])
-        hull_area, _ = _hull_area_perimeter(corners)
-        syy, sxx, sxy = first["syy"] - first["sy"] ** 2 / area, first["sxx"] - first["sx"] ** 2 / area, first["sxy"] - first["sy"] * first["sx"] / area
-        spread = np.hypot(syy - sxx, 2 * sxy)
-        low, high = (syy + sxx - spread) / 2, (syy + sxx + spread) / 2
-        ok = 4 * np.pi * area / edge**2 >= LEAST_CIRCULARITY and area / hull_area >= LEAST_CONVEXITY and (high <= 0 or low / high >= LEAST_INERTIA)
-        rows = [(first["image"], first["kind"], int(first["sy"] // area), int(first["sx"] // area))] if ok else []
-        return pd.DataFrame(rows, columns=["image", "kind", "y", "x"])
+    def shape(table: pa.Table, first: np.ndarray) -> Iterator[pa.Table]:
+        area, edge, sy, sx, syy, sxx, sxy = (table[c].to_numpy()[first] for c in ("area", "edge", "sy", "sx", "syy", "sxx", "sxy"))
+        y, *sides = (table[c].to_numpy().astype(float) for c in ("y", "low", "high"))
+        hull_area = np.empty(len(first))
+        for n, (a, b) in enumerate(zip(first, [*first[1:], len(y)])):
+            hull_area[n], _ = _hull_area_perimeter(np.concatenate([np.c_[y[a:b] + dy, side[a:b] + dx] for side, dx in zip(sides, (-0.5, 0.5)) for dy in (-0.5, 0.5)]))
+        vy, vx, vxy = syy - sy.astype(float) ** 2 / area, sxx - sx.astype(float) ** 2 / area, sxy - sy.astype(float) * sx / area
+        spread = np.hypot(vy - vx, 2 * vxy)
+        low, high = (vy + vx - spread) / 2, (vy + vx + spread) / 2
+        even = low / np.where(high > 0, high, 1) >= LEAST_INERTIA
+        ok = (4 * np.pi * area / edge.astype(float) ** 2 >= LEAST_CIRCULARITY) & (area / hull_area >= LEAST_CONVEXITY) & ((high <= 0) | even)
+        named = table.select(["image", "kind"]).take(pa.array(first[ok]))
+        yield pa.table([*named.columns, (sy // area)[ok], (sx // area)[ok]], names=["image", "kind", "y", "x"])
 
     kind = markers.schema["image"].dataType.simpleString()
-    found = ends.groupBy(*key).applyInPandas(shape, f"image {kind}, kind string, y long, x long")
+    found = in_groups(ends, key, shape, f"image {kind}, kind string, y long, x long")
     return found.select("image", "kind", (F.row_number().over(Window.partitionBy("image", "kind").orderBy("y", "x")) - 1).alias("ord"), "y", "x")
 
 

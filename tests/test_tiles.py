@@ -389,3 +389,10 @@ def test_scores_are_joined_without_a_broadcast_by_size(spark):
     scored = metrics.score_paths(points, labels, images.shapes(labels))
     assert "BroadcastHashJoin" not in scored._jdf.queryExecution().executedPlan().toString()
     assert [r.score for r in scored.collect()] == [1.0]
+
+
+def test_shapes_of_many_marks_take_one_call(spark):
+    marks = [(n, "a", y, x, 255) for n in range(5) for y in range(2, 8) for x in range(3, 9 + 40 * (n == 4))]
+    found = keypoints.find_blobs(spark.createDataFrame(marks, "image long, kind string, y long, x long, gray int"))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(n, "a", 0, 4, 5) for n in range(4)]
