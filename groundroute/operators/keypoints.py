@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import components, in_groups, small, written
+from ..shared import components, in_groups, shuffled, small, written
 from .grid import _covering, _geometry
 from ..functions import div
 
@@ -162,7 +162,7 @@ def keypoint_cells(keypoints: DataFrame, shapes: DataFrame, sizes: Sequence[int]
     """image, kind, r, ord, k: the cells whose leading r/ov square holds the point (both borders
     half open). Points outside the grid are dropped; with overlap and odd r a point may have
     two cells an axis, and ord then tells them apart (by point, then cell)."""
-    p = keypoints.join(_geometry(shapes, sizes, ov), "image")
+    p = keypoints.join(shuffled(_geometry(shapes, sizes, ov)), "image")
     for at, edge, count, index in (("y", "ey", "rows", "i"), ("x", "ex", "cols", "j")):
         if ov == 1:
             p = p.withColumn(index, F.floor((F.col(at) - F.col(edge)) / F.col("r"))).where((F.col(index) >= 0) & (F.col(index) < F.col(count)))
@@ -177,7 +177,7 @@ def keypoint_pairs(cells: DataFrame) -> DataFrame:
     """image, kind, r, o1, o2, s, t: unordered pairs by list position."""
     key = ["image", "kind", "r"]
     a, b = cells.select(*key, F.col("ord").alias("o1"), F.col("k").alias("s")), cells.select(*key, F.col("ord").alias("o2"), F.col("k").alias("t"))
-    return a.join(b, key).where("o1 < o2")
+    return a.join(shuffled(b), key).where("o1 < o2")
 
 
 def sample_pair(keypoints: DataFrame, seed: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import binarize, capped_inverse, div, gray, variance_terms
-from ..shared import small
+from ..shared import shuffled, small
 from ..sources.images import band_pixels, from_pixels, pack_bands, to_bands
 from .grid import _geometry, assign_cells, grid
 from .integral import CELL, least_means, region_sums
@@ -98,7 +98,7 @@ def resize_bilinear(matrix: DataFrame, target: DataFrame) -> DataFrame:
     """matrix (image, r, i, j, t) resampled to target (image, rows, cols), four taps a cell,
     edges repeated, no smoothing first: image, r, i, j, t."""
     size = matrix.groupBy("image", "r").agg((F.max("i") + 1).alias("src_rows"), (F.max("j") + 1).alias("src_cols"))
-    both = size.join(target.select("image", "rows", "cols"), "image")
+    both = size.join(shuffled(target.select("image", "rows", "cols")), "image")
     for n, index in (("rows", "i"), ("cols", "j")):
         both = both.withColumn(index, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)))
         at = (F.col(index) + 0.5) * (F.col(f"src_{n}").cast("double") / F.col(n)) - 0.5
@@ -107,7 +107,7 @@ def resize_bilinear(matrix: DataFrame, target: DataFrame) -> DataFrame:
         both = both.withColumn(f"tap_{index}", F.explode(F.array(F.struct(clip(low).alias("at"), (1 - (at - low)).alias("weight")), F.struct(clip(low + 1).alias("at"), (at - low).alias("weight")))))
     taps = both.select("image", "r", "i", "j", F.col("tap_i.at").alias("si"), F.col("tap_j.at").alias("sj"), (F.col("tap_i.weight") * F.col("tap_j.weight")).alias("weight"))
     source = matrix.select("image", "r", F.col("i").alias("si"), F.col("j").alias("sj"), "t")
-    return taps.join(source, ["image", "r", "si", "sj"]).groupBy("image", "r", "i", "j").agg(F.sum(F.col("weight") * F.col("t")).alias("t"))
+    return taps.join(shuffled(source), ["image", "r", "si", "sj"]).groupBy("image", "r", "i", "j").agg(F.sum(F.col("weight") * F.col("t")).alias("t"))
 
 
 def clahe(matrix: DataFrame, clip: float = 3.0, tiles: int = 3, scale: str = "unit") -> DataFrame:
@@ -123,7 +123,7 @@ def clahe(matrix: DataFrame, clip: float = 3.0, tiles: int = 3, scale: str = "un
     pad = lambda n: F.when(even, F.lit(0)).otherwise(tiles - F.col(n) % tiles)
     size = size.withColumn("pr", pad("rows")).withColumn("pc", pad("cols"))
     size = size.select(*key, "rows", "cols", "pr", "pc", div(F.col("rows") + F.col("pr"), tiles).alias("th"), div(F.col("cols") + F.col("pc"), tiles).alias("tw"))
-    cells = matrix.select(*key, "i", "j", "k", F.floor(F.col("t") * 255).cast("long").alias("v")).join(size, key)
+    cells = matrix.select(*key, "i", "j", "k", F.floor(F.col("t") * 255).cast("long").alias("v")).join(shuffled(size), key)
 
     def mirrored(index: str, n: str, p: str) -> Column:
         # a cell at n-2-m is also met at n+m
@@ -138,7 +138,7 @@ def clahe(matrix: DataFrame, clip: float = 3.0, tiles: int = 3, scale: str = "un
     # a table needs only the values that occur in its matrix: how much redistribution lies below a value is arithmetic
     bins = bins.withColumn("limit", limit).withColumn("over", F.sum(F.greatest(F.col("n") - F.col("limit"), F.lit(0))).over(tile))
     clipped = bins.select(*key, "ty", "tx", "v", F.least("n", "limit").alias("n"), "over", area.alias("area"))
-    tables = clipped.select(*key, "ty", "tx", "over", "area").distinct().join(cells.select(*key, "v").distinct(), key)
+    tables = clipped.select(*key, "ty", "tx", "over", "area").distinct().join(shuffled(cells.select(*key, "v").distinct()), key)
     below = clipped.select(*key, "ty", "tx", F.col("v").alias("u"), "n")
     rest = F.col("over") % 256
     step = F.greatest(div(F.lit(256), F.nullif(rest, F.lit(0).cast("long"))), F.lit(1).cast("long"))
@@ -156,7 +156,7 @@ def clahe(matrix: DataFrame, clip: float = 3.0, tiles: int = 3, scale: str = "un
         cells = cells.withColumn(f"tap_{side}", F.explode(F.array(F.struct(clipped_(low).alias("at"), (1 - (at - low)).alias("weight")), F.struct(clipped_(low + 1).alias("at"), (at - low).alias("weight")))))
     taps = cells.select(*key, "i", "j", "k", "v", F.col("tap_y.at").alias("ty"), F.col("tap_x.at").alias("tx"), (F.col("tap_y.weight") * F.col("tap_x.weight")).alias("weight"))
     # blends are rounded at six places first, so that the order of the four terms can't tip a half
-    blended = taps.join(lut, [*key, "ty", "tx", "v"]).groupBy(*key, "i", "j", "k").agg(F.bround(F.round(F.sum(F.col("weight") * F.col("out")), 6)).alias("t"))
+    blended = taps.join(shuffled(lut), [*key, "ty", "tx", "v"]).groupBy(*key, "i", "j", "k").agg(F.bround(F.round(F.sum(F.col("weight") * F.col("out")), 6)).alias("t"))
     return blended if scale == "u8" else blended.withColumn("t", F.col("t") / 255)
 
 

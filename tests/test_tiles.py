@@ -354,6 +354,18 @@ def test_written_tables_are_never_broadcast_by_the_size_of_their_files(spark):
     assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()
 
 
+def test_matrices_and_points_are_never_broadcast_by_the_size_of_their_files(spark):
+    matrix = shared.written(matrix_of(spark, np.linspace(0.1, 1, 30).reshape(5, 6)), "test", sorts=False)
+    marks = shared.written(spark.createDataFrame([(0, "a", n, n, 2 * n) for n in range(3)], "image long, kind string, ord int, y long, x long"), "test", sorts=False)
+    shape = shared.written(spark.createDataFrame([(0, 5, 6)], "image long, h long, w long"), "test", sorts=False)
+    made = [
+        tv.clahe(matrix), tv.resize_bilinear(matrix, spark.range(1).selectExpr("id as image", "7 as rows", "8 as cols")),
+        cells := keypoints.keypoint_cells(marks, shape, [1]), keypoints.keypoint_pairs(cells),
+    ]
+    assert not [n for n, df in enumerate(made) if "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()]
+    assert [df.count() for df in made] == [30, 56, 3, 3]
+
+
 @pytest.mark.parametrize("gathered", [1, 7, 1000])
 def test_gathered_groups_are_whole_and_in_order(spark, gathered):
     def sums(table, first):
