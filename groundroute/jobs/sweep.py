@@ -106,7 +106,8 @@ def run_sweep(pixels: DataFrame, labels: DataFrame | None, keypoints: DataFrame,
         else:
             rows = rows.withColumn("score", F.lit(None).cast("double"))
         for table, key, stage in ((matrix, ["image", "r"], "matrix"), (edges, GRAPH, "graph"), (curve, PATH, "path")):
-            rows = rows.join(small(clock.shared(table, key, stage, f"{stage}_build_time")), key, "left")
+            took = clock.shared(table, key, stage, f"{stage}_build_time")
+            rows = rows.join(took if key == PATH else small(took), key, "left")  # a row a path: both sides are dealt out by path already
         existence = F.col("kind") == "reachable"
         score = outcome_score(existence, F.col("found"), F.col("score")) if labels is not None else F.lit(None).cast("double")
         rows = rows.select(

@@ -403,6 +403,15 @@ def test_scores_are_joined_without_a_broadcast_by_size(spark):
     assert [r.score for r in scored.collect()] == [1.0]
 
 
+def test_times_of_paths_are_joined_without_a_broadcast(spark):
+    pixels = spark.createDataFrame([(0, y, x, *[(y * 37 + x * 91) % 60] * 3) for y in range(12) for x in range(12)], "image long, y long, x long, r long, g long, b long")
+    points = spark.createDataFrame([(0, "reachable", n, 1 + 9 * n, 1) for n in range(2)], "image long, kind string, ord int, y long, x long")
+    found = sweep.run_sweep(pixels, None, points, ["tf_grayhist"], [2], [0.1], smooth=False, normalize=False)
+    joins = [line.split("[")[1].split("]")[0] for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert joins and not [keys for keys in joins if len(keys.split(", ")) == len(routes.PATH)]
+    assert [r.path_build_time > 0 for r in found.collect()] == [True]
+
+
 def test_shapes_of_many_marks_take_one_call(spark):
     marks = [(n, "a", y, x, 255) for n in range(5) for y in range(2, 8) for x in range(3, 9 + 40 * (n == 4))]
     found = keypoints.find_blobs(spark.createDataFrame(marks, "image long, kind string, y long, x long, gray int"))
