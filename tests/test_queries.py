@@ -5,7 +5,11 @@ import math
 import duckdb
 import pytest
 
+from groundroute.jobs import sweep
 from groundroute.jobs.queries import ORACLE_SQL, QUERIES
+from groundroute.operators import grid, keypoints, metrics, routes, traversability
+from groundroute.shared import shuffled
+from groundroute.sources import images
 from tests.conftest import DATA
 
 
@@ -37,3 +41,19 @@ def test_sweeps_run_the_default_chain(spark, monkeypatch):
     assert Q.QUERIES["run_sweep_overlap_multiscale"](spark, DATA).count() > 0
     assert all(o.get("smooth", True) and o.get("normalize", True) for o in asked)
     assert asked[-1] == {"ov": 2, "multiscale": True}
+
+
+@pytest.mark.parametrize("name", ["path_centers"])
+def test_no_step_of_a_job_is_broadcast_by_size(spark, monkeypatch, name):
+    """With small() out of the way no join of the whole job is left to Spark's choice, which goes by the size of files."""
+    for module in (grid, keypoints, metrics, routes, traversability, images, sweep):
+        monkeypatch.setattr(module, "small", shuffled)
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = lambda: (n := store.executionsList().size()) and store.executionsList().apply(n - 1).executionId()
+    before = last()
+    QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save()
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(30_000)
+    steps = [store.executionsList().apply(n) for n in range(store.executionsList().size())]
+    plans = [s.physicalPlanDescription() for s in steps if s.executionId() > before]
+    assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
