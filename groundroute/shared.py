@@ -93,8 +93,8 @@ def n_bytes(df: DataFrame) -> int:
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if its rows hold so few bytes (summed first), else as it is."""
-    return F.broadcast(df) if n_bytes(df) <= most else df
+    """df marked for broadcast if its rows hold so few bytes (summed first), else shuffled(), as Spark would still go by the size of files."""
+    return F.broadcast(df) if n_bytes(df) <= most else shuffled(df)
 
 
 def _starts(table: pa.Table, key: Sequence[str]) -> np.ndarray:

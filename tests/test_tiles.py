@@ -354,6 +354,13 @@ def test_written_tables_are_never_broadcast_by_the_size_of_their_files(spark):
     assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_side_too_large_to_broadcast_is_sorted(spark):
+    few = shared.written(spark.range(5).selectExpr("id as a"), "test", sorts=False)
+    plan = lambda side: spark.range(1000).selectExpr("id as a").join(side, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(shared.small(few))
+    assert "BroadcastHashJoin" not in plan(shared.small(few, most=10))
+
+
 def test_matrices_and_points_are_never_broadcast_by_the_size_of_their_files(spark):
     matrix = shared.written(matrix_of(spark, np.linspace(0.1, 1, 30).reshape(5, 6)), "test", sorts=False)
     marks = shared.written(spark.createDataFrame([(0, "a", n, n, 2 * n) for n in range(3)], "image long, kind string, ord int, y long, x long"), "test", sorts=False)
