@@ -43,7 +43,7 @@ def test_sweeps_run_the_default_chain(spark, monkeypatch):
     assert asked[-1] == {"ov": 2, "multiscale": True}
 
 
-@pytest.mark.parametrize("name", ["path_centers", "trace_paths", "route_all"])
+@pytest.mark.parametrize("name", ["path_centers", "trace_paths", "route_all", "run_sweep_multiscale"])
 def test_no_step_of_a_job_is_broadcast_by_size(spark, monkeypatch, name):
     """With small() out of the way no join of the whole job is left to Spark's choice, which goes by the size of files."""
     for module in (grid, keypoints, metrics, routes, traversability, images, sweep):
