@@ -118,9 +118,12 @@ def _relax_tiles(of: np.ndarray, what: np.ndarray, a: np.ndarray, k: np.ndarray,
         low = high
 
 
-def _in_blocks(sources: DataFrame, most: int) -> DataFrame:
-    """sources (image, r, c, s) with block: about ``most`` sources of a graph share one."""
-    n = sources.groupBy(*GRAPH).agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("blocks"))
+def _in_blocks(sources: DataFrame, edges: DataFrame, most: int, tile: int) -> DataFrame:
+    """sources (image, r, c, s) with block: about ``most`` sources of a graph share one, or more if its cells fill no tile: as many as have no more
+    distances. A block's task gets edges of its own, so they are there as often as there are blocks."""
+    cells = edges.groupBy(*GRAPH).agg(F.least(F.max(F.greatest("src", "dst")) + 1, F.lit(tile)).alias("cells"))
+    n = sources.groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("n")).join(shuffled(cells), GRAPH, "left")
+    n = n.select(*GRAPH, F.ceil(F.col("n") * F.coalesce("cells", F.lit(1)) / (most * tile)).cast("long").alias("blocks"))
     return sources.join(small(n), GRAPH).select(*GRAPH, "s", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"))
 
 
@@ -134,10 +137,11 @@ def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None
     more cells than a tile takes one round. kept: edges is a written table already. rounds: an error after so many (none: as many as it takes)."""
     spark = edges.sparkSession
     band = lambda k: F.floor(F.col(k) / tile).cast("long").alias("tile")
-    edges = edges.select(*GRAPH, band("src"), F.col("src").alias("k"), "dst", "w").where(F.col("w") < float("inf"))
+    edges = edges.where(F.col("w") < float("inf")).select(*GRAPH, "src", "dst", "w")
     edges = edges if kept else written(edges, "edges")
     tellings, best_rounds, lowerings = Rounds(spark, "told"), Rounds(spark, "best"), []
-    blocks = _in_blocks(written(sources.select(*GRAPH, "s").distinct(), "sources"), block)
+    blocks = _in_blocks(written(sources.select(*GRAPH, "s").distinct(), "sources"), edges, block, tile)
+    edges = edges.select(*GRAPH, band("src"), F.col("src").alias("k"), "dst", "w")
     told = tellings.write(blocks.select(*GRAPH, "block", "s", F.col("s").alias("k"), F.lit(0.0).alias("dist")))
     types = {f.name: f.dataType.simpleString() for f in edges.schema}
     schema = ", ".join(f"{n} {types[n]}" for n in GRAPH) + ", block int, s long, k long, dist double, told int"
@@ -175,7 +179,11 @@ def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None
                     lowerings = []
                 continue
         tellings.drop()
-        return best_now.select(*NODE, "dist")
+        if done > 1:  # read more than once: merged here, not by every reader; a single round has each distance once
+            best = best_rounds.write(best_now.select(*columns))
+            for old in lowerings:
+                old.drop()
+        return best.select(*NODE, "dist")
     raise RuntimeError("distances not settled")
 
 
@@ -188,11 +196,66 @@ def _none(news: DataFrame) -> bool:
     return not news.limit(1).count()
 
 
-def predecessors(edges: DataFrame, tree: DataFrame) -> DataFrame:
-    """image, r, c, s, k, pred: the last cell before k on a best route (the smallest on ties)."""
-    before = tree.select(*GRAPH, "s", F.col("k").alias("src"), F.col("dist").alias("d0"))
-    met = before.join(edges.select(*GRAPH, "src", F.col("dst").alias("k"), "w"), [*GRAPH, "src"]).join(shuffled(tree), NODE).where("d0 + w = dist and k <> s")
-    return met.groupBy(*NODE).agg(F.min("src").alias("pred"))
+def _before(of: np.ndarray, is_edge: np.ndarray, a: np.ndarray, k: np.ndarray, v: np.ndarray, places: int = PLACES) -> Iterator[tuple[np.ndarray, ...]]:
+    """Many groups at once; of: each row's group. Rows are edges (where is_edge; from a to k) and known distances (a the source). Yields group, source, cell, the
+    smallest cell before it on a best route; so many edges, each once for every source, are looked at at a time."""
+    known, wide = ~is_edge, int(max(a.max(), k.max())) + 1
+    cells, at = np.unique(np.r_[of * wide + k, of[is_edge] * wide + a[is_edge]], return_inverse=True)
+    groups = np.arange(int(of[-1]) + 2) * wide
+    begins, at, src = np.searchsorted(cells, groups), at[: len(k)], at[len(k) :]
+    dst, w, start, dist = at[is_edge], v[is_edge], at[known], v[known]
+    order = np.lexsort((src, dst))
+    src, dst, w = src[order], dst[order], w[order]
+    edges = np.searchsorted(cells[dst], groups)  # of each group: where its edges begin
+    names, source = np.unique(of[known] * wide + a[known], return_inverse=True)
+    by_source = np.argsort(source, kind="stable")
+    rows = np.searchsorted(source[by_source], np.arange(len(names) + 1))
+    group = names // wide
+    n, size = np.diff(edges)[group], np.diff(begins)[group]
+    ends, low = np.cumsum(n + size), 0
+    while low < len(names):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - n[low] - size[low] + places, side="right")))
+        g, mine = group[low:high], by_source[rows[low] : rows[high]]
+        shift = np.cumsum(size[low:high]) - size[low:high] - begins[g]
+        flat = np.full(int(size[low:high].sum()), np.inf)
+        flat[shift[source[mine] - low] + start[mine]] = dist[mine]
+        row = np.repeat(np.arange(high - low), n[low:high])
+        edge = np.arange(len(row)) - np.repeat(np.cumsum(n[low:high]) - n[low:high] - edges[g], n[low:high])
+        to = flat[shift[row] + dst[edge]]
+        met = np.flatnonzero((flat[shift[row] + src[edge]] + w[edge] == to) & (to < np.inf) & (cells[dst[edge]] != names[low:high][row]))
+        row, edge = row[met], edge[met]
+        new = np.ones(len(met), dtype=bool)  # edges are in order: the first into a cell begins in the smallest
+        new[1:] = (row[1:] != row[:-1]) | (dst[edge[1:]] != dst[edge[:-1]])
+        row, edge = row[new], edge[new]
+        yield g[row], names[low:high][row] % wide, cells[dst[edge]] % wide, cells[src[edge]] % wide
+        low = high
+
+
+def predecessors(edges: DataFrame, tree: DataFrame, tile: int = TILE, block: int = SOURCES) -> DataFrame:
+    """image, r, c, s, k, pred: the last cell before k on a best route (the smallest on ties).
+
+    A task takes the edges that lead into one tile of one graph, and the distances of both their ends from a block of sources: what is shuffled is a row an
+    edge and a row a distance, not a row for each edge and source. Edges are there once a block; a graph has several only where its tile's distances are
+    more than ``block`` sources would have in a whole tile. Cells that an edge leads out of are known in the next tile too."""
+    band = lambda c: F.floor(F.col(c) / tile).cast("long")
+    types = {f.name: f.dataType.simpleString() for f in tree.schema}
+    graph_tile, key = [*GRAPH, "tile"], [*GRAPH, "tile", "block"]
+    into = edges.select(*GRAPH, "src", "dst", "w", band("dst").alias("tile"))
+    out = small(into.where(band("src") != F.col("tile")).select(*GRAPH, F.col("src").alias("k"), "tile").distinct())
+    own = tree.select(*NODE, "dist", band("k").alias("tile"))
+    beside = tree.select(*NODE, "dist").join(out, [*GRAPH, "k"]).select(*own.columns)
+    blocks = own.groupBy(*graph_tile).agg(F.ceil(F.count(F.lit(1)) / (block * tile)).cast("int").alias("blocks"))
+    many = small(blocks.where("blocks > 1"))
+    dealt = lambda df: df.join(many, graph_tile, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    as_rows = lambda df, is_edge, a, k, v: df.select(*key, F.lit(is_edge).alias("edge"), F.col(a).alias("a"), F.col(k).alias("k"), F.col(v).alias("v"))
+    rows = as_rows(dealt(into).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), True, "src", "dst", "w")
+    rows = rows.unionByName(as_rows(dealt(own.unionByName(beside)).withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")), False, "s", "k", "dist"))
+
+    def find(table: pa.Table, first: np.ndarray) -> Iterator[pa.Table]:
+        for group, s, k, pred in _before(_numbered(table, first), *(table[n].to_numpy() for n in ("edge", "a", "k", "v"))):
+            yield pa.table([*table.select(GRAPH).take(pa.array(first[group])).columns, s, k, pred], names=[*NODE, "pred"])
+
+    return in_groups(rows, key, find, ", ".join(f"{n} {types[n]}" for n in GRAPH) + ", s long, k long, pred long")
 
 
 def routes(pairs: DataFrame, tree: DataFrame) -> DataFrame:

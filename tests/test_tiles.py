@@ -424,3 +424,82 @@ def test_shapes_of_many_marks_take_one_call(spark):
     found = keypoints.find_blobs(spark.createDataFrame(marks, "image long, kind string, y long, x long, gray int"))
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(n, "a", 0, 4, 5) for n in range(4)]
+
+
+def rows_shuffled(spark, df):
+    """df's rows, and how many rows its stages wrote for shuffles."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    listed = lambda: (lambda found: {found.apply(n).stageId(): found.apply(n).shuffleWriteRecords() for n in range(found.size())})(stages())
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = max(listed(), default=-1)
+    rows = df.collect()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return rows, sum(n for stage, n in listed().items() if stage > before)
+
+
+def test_cells_are_shuffled_and_not_their_edges(spark):
+    m = shared.written(matrix_of(spark, np.full((12, 12), 0.5)), "test")
+    found, shuffled = rows_shuffled(spark, graph.base_edges(m, 2))
+    assert len(found) == 1892 and shuffled == 144
+
+
+def test_no_row_is_shuffled_for_each_edge_and_source(spark):
+    m = matrix_of(spark, np.random.default_rng(4).choice([0.3, 0.6, 0.9, 1], (12, 12)))
+    edges = shared.written(graph.graph_edges(m, [0.2], 2), "test")
+    sources = spark.createDataFrame([(0, 3, 0.2, s) for s in range(30)], "image long, r int, c double, s long")
+    tree = shared.written(routes.shortest_tree(edges, sources, kept=True), "test")
+    found, shuffled = rows_shuffled(spark, routes.predecessors(edges, tree))
+    assert len(found) == 30 * 143 and shuffled <= 1892 + 30 * 144 + 4
+
+
+@pytest.mark.parametrize("side", [512, 4, 1])
+@pytest.mark.parametrize("reach", [1, 2])
+def test_edges_over_tiles_equal_brute_force(spark, side, reach):
+    rng = np.random.default_rng(reach)
+    values = rng.choice([0, 0.1, 0.3, 0.6, 1], (9, 7))
+    got = sorted(tuple(e) for e in graph.base_edges(matrix_of(spark, values), reach, 0.1, side).select("src", "dst", "w", "tmin").collect())
+    wanted = []
+    for i, j in np.ndindex(9, 7):
+        for a, b in {(s * x, s * y) for s in range(1, reach + 1) for x, y in graph.NEAR}:
+            if 0 <= i + a < 9 and 0 <= j + b < 7 and min(values[i, j], values[i + a, j + b]) >= 0.1:
+                one, two = float(values[i, j]), float(values[i + a, j + b])
+                wanted.append((i * 7 + j, (i + a) * 7 + j + b, (100 / one) * (100 / one) + (100 / two) * (100 / two), min(one, two)))
+    assert got == sorted(wanted)
+    blocked = graph.base_edges(matrix_of(spark, [[0, 1]]), 1).select("src", "dst", "w", "tmin").collect()
+    assert sorted(map(tuple, blocked)) == [(0, 1, float("inf"), 0), (1, 0, float("inf"), 0)]
+
+
+@pytest.mark.parametrize("tile, block", [(65_536, 8), (7, 1), (11, 3)])
+def test_predecessors_over_tiles_and_blocks_equal_brute_force(spark, tile, block):
+    random.seed(31)
+    cells = [matrix_of(spark, [[random.choice([0, 0.3, 0.6, 1]) for _ in range(7)] for _ in range(6)], image=n) for n in range(2)]
+    edges = graph.graph_edges(cells[0].unionByName(cells[1]), [0.2, 0.5])
+    sources = spark.createDataFrame([(n, 3, c, s) for n in range(2) for c in (0.2, 0.5) for s in range(0, 42, 4)], "image long, r int, c double, s long")
+    tree = shared.written(routes.shortest_tree(edges, sources), "test")
+    dist = {(*(r[c] for c in routes.GRAPH), r.s, r.k): r.dist for r in tree.collect()}
+    wanted = {}
+    for e in edges.collect():
+        for s in range(0, 42, 4):
+            at = (e.image, e.r, e.c, s)
+            if e.dst != s and dist.get((*at, e.src), float("inf")) + e.w == dist.get((*at, e.dst)):
+                wanted[*at, e.dst] = min(e.src, wanted.get((*at, e.dst), e.src))
+    got = [tuple(r) for r in routes.predecessors(edges, tree, tile, block).select(*routes.NODE, "pred").collect()]
+    assert {g[:-1]: g[-1] for g in got} == wanted and len(got) == len(wanted) > 500
+    assert routes.predecessors(edges.limit(0), tree, tile, block).count() == 0 and routes.predecessors(edges, tree.limit(0), tile, block).count() == 0
+
+
+def test_predecessors_looked_at_a_few_at_a_time_are_the_same():
+    rng = np.random.default_rng(9)
+    of, is_edge = np.sort(rng.integers(0, 5, 4000)), rng.random(4000) < 0.5
+    a, k, v = rng.integers(0, 20, 4000), rng.integers(0, 20, 4000), rng.integers(1, 4, 4000).astype(float)
+    keep = np.unique(np.c_[of, is_edge, a, k], axis=0, return_index=True)[1]
+    of, is_edge, a, k, v = (x[np.sort(keep)] for x in (of, is_edge, a, k, v))
+    wanted, dist = {}, {(g, s, n): d for g, e, s, n, d in zip(of, is_edge, a, k, v) if not e}
+    for g, src, dst, w in zip(of[is_edge], a[is_edge], k[is_edge], v[is_edge]):
+        for s in range(20):
+            if dst != s and (g, s, src) in dist and dist[g, s, src] + w == dist.get((g, s, dst)):
+                wanted[g, s, dst] = min(src, wanted.get((g, s, dst), src))
+    for places in (1, 50, 1000, 1 << 22):
+        got = [x for part in routes._before(of, is_edge, a, k, v, places) for x in zip(*part)]
+        assert {g[:3]: g[3] for g in got} == wanted and len(got) == len(wanted) > 100
