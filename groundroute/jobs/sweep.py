@@ -55,19 +55,19 @@ class Clock:
 TIMES = ("matrix_build_time", "graph_build_time", "path_build_time")
 
 
-def search(matrix: DataFrame, cells: DataFrame, cuts: Sequence[float], reach: int = 1, clock: Clock | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs with dist and found; edges; distances from every distinct source. clock: gets the time of the graphs and of the routes."""
+def search(matrix: DataFrame, cells: DataFrame, cuts: Sequence[float], reach: int = 1, clock: Clock | None = None, preds: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs with dist and found; edges; distances from every distinct source. clock: gets the time of the graphs and of the routes. preds: see shortest_tree."""
     clock = clock or Clock()
     cs = F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias("c")
     pairs = keypoint_pairs(cells).select("*", cs)
     with clock.stage("graph"):
         edges = written(graph_edges(matrix, cuts, reach), "graph-edges")
     with clock.stage("path"):
-        tree = shortest_tree(edges, pairs.select(*GRAPH, "s"), kept=True)
+        tree = shortest_tree(edges, pairs.select(*GRAPH, "s"), kept=True, preds=preds)
     # a cut cell is no end of a route, not even of one to itself
     kept = matrix.select("image", "r", F.col("k").alias("s"), F.col("t").alias("ts"))
     open_ = pairs.join(kept, ["image", "r", "s"], "left").withColumn("open", F.coalesce(F.col("ts") >= F.col("c"), F.lit(False))).drop("ts")
-    met = routes(open_, tree).withColumn("found", F.col("found") & F.col("open")).withColumn("dist", F.when(F.col("found"), F.col("dist"))).drop("open")
+    met = routes(open_, tree.drop("pred")).withColumn("found", F.col("found") & F.col("open")).withColumn("dist", F.when(F.col("found"), F.col("dist"))).drop("open")
     return met, edges, tree
 
 
@@ -95,7 +95,7 @@ def run_sweep(pixels: DataFrame, labels: DataFrame | None, keypoints: DataFrame,
         clock = Clock()
         with clock.stage("matrix"):
             matrix = written(matrices(pixels, labels, shapes, tf, sizes, ov, multiscale, smooth, normalize, images, scales), "matrix")
-        pairs, edges, tree = search(matrix, points, cuts, 2 if ov > 1 else 1, clock)
+        pairs, edges, tree = search(matrix, points, cuts, 2 if ov > 1 else 1, clock, preds=True)
         with clock.stage("path"):
             pairs = written(pairs, "pairs")
             curve = written(shaped(pairs, edges, tree, cells), "curves")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -70,10 +71,32 @@ def _out_of(cell: np.ndarray, first: np.ndarray, degree: np.ndarray) -> tuple[np
 PLACES = 1 << 22
 
 
-def _relax_tiles(of: np.ndarray, what: np.ndarray, a: np.ndarray, k: np.ndarray, v: np.ndarray, steps: int | None, places: int = PLACES) -> Iterator[tuple[np.ndarray, ...]]:
+def _last_steps(flat: np.ndarray, shift: np.ndarray, group: np.ndarray, source: np.ndarray, begins: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, places: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, cell and the smallest cell before it on a best route. flat: settled distances, a row each source; shift: what a row's places lie after its cells';
+    group and source: each row's, cells; begins: where each group's cells begin; src, dst, w: edges in order of dst, then src. So many edges, each once for
+    every source, are looked at at a time."""
+    edges = np.searchsorted(dst, begins)
+    n = np.diff(edges)[group]
+    ends, low = np.cumsum(n), 0
+    while low < len(group):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - n[low] + places, side="right")))
+        many = n[low:high]
+        row = np.repeat(np.arange(low, high), many)
+        edge = np.arange(len(row)) - np.repeat(np.cumsum(many) - many - edges[group[low:high]], many)
+        to = flat[shift[row] + dst[edge]]
+        met = np.flatnonzero((flat[shift[row] + src[edge]] + w[edge] == to) & (to < np.inf) & (dst[edge] != source[row]))
+        row, edge = row[met], edge[met]
+        new = np.ones(len(met), dtype=bool)  # edges are in order: the first into a cell begins in the smallest
+        new[1:] = (row[1:] != row[:-1]) | (dst[edge[1:]] != dst[edge[:-1]])
+        yield row[new], dst[edge[new]], src[edge[new]]
+        low = high
+
+
+def _relax_tiles(of: np.ndarray, what: np.ndarray, a: np.ndarray, k: np.ndarray, v: np.ndarray, steps: int | None, places: int = PLACES, preds: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """Many groups (a graph's tile and a block of sources) at once; of: each row's group. Rows are known distances (what OLD or FRESH; a the source) and edges
     that begin in the tile (what EDGE; a where they lead). Yields group, source, cell, distance, told: distances of a tile's cells that
-    were lowered (told 0), what its edges tell cells of other tiles (1), and cells it has yet to go on from (2)."""
+    were lowered (told 0), what its edges tell cells of other tiles (1), and cells it has yet to go on from (2); preds: and the cell before
+    each lowered one by the tile's own edges (-1: none)."""
     is_edge, fresh = what == EDGE, what == FRESH
     known, groups = ~is_edge, int(of[-1]) + 1
     wide = int(max(a.max(), k.max())) + 1
@@ -92,6 +115,12 @@ def _relax_tiles(of: np.ndarray, what: np.ndarray, a: np.ndarray, k: np.ndarray,
     group, dist, fresh = names // wide, v[known], fresh[known]
     size = np.diff(begins)[group]
     ends = np.cumsum(size)
+    if preds:
+        own_src = np.repeat(np.arange(len(cells)), np.diff(inner[0]))
+        by_dst = np.lexsort((own_src, inner[1]))
+        into = own_src[by_dst], inner[1][by_dst], inner[2][by_dst]
+        home = np.minimum(np.searchsorted(cells, names), len(cells) - 1)
+        home = np.where(cells[home] == names, home, -1)
     low = 0
     while low < len(names):
         high = max(low + 1, int(np.searchsorted(ends, ends[low] - size[low] + places, side="right")))
@@ -112,9 +141,14 @@ def _relax_tiles(of: np.ndarray, what: np.ndarray, a: np.ndarray, k: np.ndarray,
             edge, many = _out_of(lowered - move, outer[0], np.diff(outer[0]))
             np.minimum.at(one, np.repeat(move, many) + outer[1][edge], np.repeat(flat[lowered], many) + outer[2][edge])
             out.append((np.flatnonzero(one < np.inf), one, 1))
+        last = np.full(len(row) if preds else 0, -1)
+        if preds:
+            for r, to, before_to in _last_steps(flat, shift, group[low:high], home[low:high], begins, *into, places):
+                last[shift[r] + to] = cells[before_to] % wide
         for where, values, told in out:
             r = row[where]
-            yield group[low + r], names[low + r] % wide, cells[where - shift[r]] % wide, values[where], np.full(len(where), told, dtype=np.int32)
+            pred = [last[where] if told == 0 else np.full(len(where), -1)] if preds else []
+            yield group[low + r], names[low + r] % wide, cells[where - shift[r]] % wide, values[where], np.full(len(where), told, dtype=np.int32), *pred
         low = high
 
 
@@ -127,14 +161,15 @@ def _in_blocks(sources: DataFrame, edges: DataFrame, most: int, tile: int) -> Da
     return sources.join(small(n), GRAPH).select(*GRAPH, "s", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"))
 
 
-def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None, rounds: int | None = None, tile: int = TILE, block: int = SOURCES, kept: bool = False) -> DataFrame:
+def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None, rounds: int | None = None, tile: int = TILE, block: int = SOURCES, kept: bool = False, preds: bool = False) -> DataFrame:
     """image, r, c, s, k, dist: least weight from each source (image, r, c, s) to every cell it reaches.
 
     All graphs and sources relax together, by tiles and blocks of sources: a task takes the edges that begin in one tile of one graph and
     lowers the distances of all its cells from one block's sources until they settle (or for so many steps); what it tells cells of other tiles is
     the next round's work, if it is better than what they have. A round touches the tiles that were told something and no others. Rounds'
     tables go as soon as no later round reads them: lowered distances are merged into one table every few rounds. An image with no
-    more cells than a tile takes one round. kept: edges is a written table already. rounds: an error after so many (none: as many as it takes)."""
+    more cells than a tile takes one round. kept: edges is a written table already. rounds: an error after so many (none: as many as it takes).
+    preds: if one round was all, with pred, what predecessors() would find (-1: none): the task that settles a tile has its edges at hand."""
     spark = edges.sparkSession
     band = lambda k: F.floor(F.col(k) / tile).cast("long").alias("tile")
     edges = edges.where(F.col("w") < float("inf")).select(*GRAPH, "src", "dst", "w")
@@ -145,13 +180,14 @@ def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None
     told = tellings.write(blocks.select(*GRAPH, "block", "s", F.col("s").alias("k"), F.lit(0.0).alias("dist")))
     types = {f.name: f.dataType.simpleString() for f in edges.schema}
     schema = ", ".join(f"{n} {types[n]}" for n in GRAPH) + ", block int, s long, k long, dist double, told int"
+    preds = preds and steps is None
     key, columns = [*GRAPH, "tile", "block"], [*GRAPH, "block", "s", "k", "dist"]
 
-    def settle(table: pa.Table, first: np.ndarray) -> Iterator[pa.Table]:
+    def settle(table: pa.Table, first: np.ndarray, preds: bool) -> Iterator[pa.Table]:
         of = _numbered(table, first)
-        for group, *found in _relax_tiles(of, *(table[n].to_numpy() for n in ("what", "a", "k", "v")), steps):
+        for group, *found in _relax_tiles(of, *(table[n].to_numpy() for n in ("what", "a", "k", "v")), steps, preds=preds):
             graph = table.select([*GRAPH, "block"]).take(pa.array(first[group]))
-            yield pa.table([*graph.columns, *found], names=[*columns, "told"])
+            yield pa.table([*graph.columns, *found], names=[*columns, "told", *["pred"] * preds])
 
     best, done = None, 0
     while rounds is None or done < rounds:
@@ -163,7 +199,8 @@ def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None
         if best is not None:
             rows = rows.unionByName(as_rows(best.select(*columns, band("k")).join(active, key, "left_semi"), OLD, "s", "dist"))
         lowerings.append(Rounds(spark, "lowered"))
-        found = lowerings[-1].write(in_groups(rows, key, settle, schema))
+        only = preds and done == 1
+        found = lowerings[-1].write(in_groups(rows, key, partial(settle, preds=only), schema + ", pred long" * only))
         lowered = found.where("told = 0").select(*columns)
         best = lowered if best is None else best.unionByName(lowered)
         best_now = best.groupBy(*NODE).agg(F.first("block").alias("block"), F.min("dist").alias("dist"))
@@ -183,7 +220,7 @@ def shortest_tree(edges: DataFrame, sources: DataFrame, steps: int | None = None
             best = best_rounds.write(best_now.select(*columns))
             for old in lowerings:
                 old.drop()
-        return best.select(*NODE, "dist")
+        return found.where("told = 0").select(*NODE, "dist", "pred") if only else best.select(*NODE, "dist")
     raise RuntimeError("distances not settled")
 
 
@@ -198,36 +235,29 @@ def _none(news: DataFrame) -> bool:
 
 def _before(of: np.ndarray, is_edge: np.ndarray, a: np.ndarray, k: np.ndarray, v: np.ndarray, places: int = PLACES) -> Iterator[tuple[np.ndarray, ...]]:
     """Many groups at once; of: each row's group. Rows are edges (where is_edge; from a to k) and known distances (a the source). Yields group, source, cell, the
-    smallest cell before it on a best route; so many edges, each once for every source, are looked at at a time."""
+    smallest cell before it on a best route; so many distances are looked at at a time."""
     known, wide = ~is_edge, int(max(a.max(), k.max())) + 1
     cells, at = np.unique(np.r_[of * wide + k, of[is_edge] * wide + a[is_edge]], return_inverse=True)
-    groups = np.arange(int(of[-1]) + 2) * wide
-    begins, at, src = np.searchsorted(cells, groups), at[: len(k)], at[len(k) :]
+    begins, at, src = np.searchsorted(cells, np.arange(int(of[-1]) + 2) * wide), at[: len(k)], at[len(k) :]
     dst, w, start, dist = at[is_edge], v[is_edge], at[known], v[known]
     order = np.lexsort((src, dst))
     src, dst, w = src[order], dst[order], w[order]
-    edges = np.searchsorted(cells[dst], groups)  # of each group: where its edges begin
     names, source = np.unique(of[known] * wide + a[known], return_inverse=True)
+    home = np.minimum(np.searchsorted(cells, names), len(cells) - 1)
+    home = np.where(cells[home] == names, home, -1)
     by_source = np.argsort(source, kind="stable")
     rows = np.searchsorted(source[by_source], np.arange(len(names) + 1))
     group = names // wide
-    n, size = np.diff(edges)[group], np.diff(begins)[group]
-    ends, low = np.cumsum(n + size), 0
+    size = np.diff(begins)[group]
+    ends, low = np.cumsum(size), 0
     while low < len(names):
-        high = max(low + 1, int(np.searchsorted(ends, ends[low] - n[low] - size[low] + places, side="right")))
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - size[low] + places, side="right")))
         g, mine = group[low:high], by_source[rows[low] : rows[high]]
         shift = np.cumsum(size[low:high]) - size[low:high] - begins[g]
         flat = np.full(int(size[low:high].sum()), np.inf)
         flat[shift[source[mine] - low] + start[mine]] = dist[mine]
-        row = np.repeat(np.arange(high - low), n[low:high])
-        edge = np.arange(len(row)) - np.repeat(np.cumsum(n[low:high]) - n[low:high] - edges[g], n[low:high])
-        to = flat[shift[row] + dst[edge]]
-        met = np.flatnonzero((flat[shift[row] + src[edge]] + w[edge] == to) & (to < np.inf) & (cells[dst[edge]] != names[low:high][row]))
-        row, edge = row[met], edge[met]
-        new = np.ones(len(met), dtype=bool)  # edges are in order: the first into a cell begins in the smallest
-        new[1:] = (row[1:] != row[:-1]) | (dst[edge[1:]] != dst[edge[:-1]])
-        row, edge = row[new], edge[new]
-        yield g[row], names[low:high][row] % wide, cells[dst[edge]] % wide, cells[src[edge]] % wide
+        for row, to, pred in _last_steps(flat, shift, g, home[low:high], begins, src, dst, w, places):
+            yield g[row], names[low + row] % wide, cells[to] % wide, cells[pred] % wide
         low = high
 
 
@@ -236,7 +266,10 @@ def predecessors(edges: DataFrame, tree: DataFrame, tile: int = TILE, block: int
 
     A task takes the edges that lead into one tile of one graph, and the distances of both their ends from a block of sources: what is shuffled is a row an
     edge and a row a distance, not a row for each edge and source. Edges are there once a block; a graph has several only where its tile's distances are
-    more than ``block`` sources would have in a whole tile. Cells that an edge leads out of are known in the next tile too."""
+    more than ``block`` sources would have in a whole tile. Cells that an edge leads out of are known in the next tile too. A tree that has
+    pred already (see shortest_tree) is all it takes."""
+    if "pred" in tree.columns:
+        return tree.where("pred >= 0").select(*NODE, "pred")
     band = lambda c: F.floor(F.col(c) / tile).cast("long")
     types = {f.name: f.dataType.simpleString() for f in tree.schema}
     graph_tile, key = [*GRAPH, "tile"], [*GRAPH, "tile", "block"]
@@ -289,7 +322,8 @@ def trace_paths(found: DataFrame, preds: DataFrame, tile: int = TILE) -> DataFra
 
     A way back is followed inside tiles first: of each cell where it enters one, a task gives the cell where it leaves it
     and the hops between. These pointers are doubled by joins (as many rounds as the tiles crossed have binary digits) until each route
-    has its places on entering tiles; then every tile's task lists the cells between. A group is one tile of one source's tree."""
+    has its places on entering tiles; then every tile's task lists the cells between. A group is one tile of one source's tree.
+    Where no way back leaves its tile, the tasks that list the cells are all."""
     spark = found.sparkSession
     tree, path = [*GRAPH, "s"], [*GRAPH, "s", "t"]
     group = [*tree, "tile"]
@@ -319,17 +353,24 @@ def trace_paths(found: DataFrame, preds: DataFrame, tile: int = TILE) -> DataFra
         tiles, sources = (table[c].to_numpy()[first][cells // wide] for c in ("tile", "s"))
         inside = (cells % wide // tile == tiles) & (cells % wide != sources)  # the source is a place of its own
         points = np.flatnonzero(~way)
+        whole = at < 0  # routes that lie in this tile alone: counted here
+        if whole.any():
+            at = at.copy()
+            at[whole] = _chase(pred[way], (of * wide + k)[way], (of * wide + k)[whole])[1]
         for low in range(0, len(points), WALKED):
             n = points[low : low + WALKED]
             now, seq, out = place[n], at[n], []
             while len(now):
                 out.append((n, now, seq))
                 kept = to[now] >= 0
-                kept[kept] = inside[to[now[kept]]]
+                kept[kept] = inside[to[now[kept]]] | whole[n[kept]]
                 now, n, seq = to[now[kept]], n[kept], seq[kept] - 1
             n, now, seq = (np.concatenate(x) for x in zip(*out))
             yield pa.table([*table.select([*tree, "a"]).take(pa.array(n)).columns, seq.astype(np.int32), cells[now] % wide], names=[*path, "seq", "k"])
 
+    if _none(crossing):
+        started = asked.select(*tree, band("t"), F.lit(False).alias("way"), F.col("t").alias("k"), F.col("t").alias("a"), F.lit(-1).cast("long").alias("seq"))
+        return in_groups(started.unionByName(ways), group, walk, named(path) + ", seq int, k long")
     entries = asked.select(*tree, F.col("t").alias("k")).unionByName(crossing).distinct().withColumn("tile", band("k"))
     pointers = Rounds(spark, "pointers")
     asking = entries.select(*group, F.lit(False).alias("way"), "k", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("seq"))

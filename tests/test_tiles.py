@@ -503,3 +503,28 @@ def test_predecessors_looked_at_a_few_at_a_time_are_the_same():
     for places in (1, 50, 1000, 1 << 22):
         got = [x for part in routes._before(of, is_edge, a, k, v, places) for x in zip(*part)]
         assert {g[:3]: g[3] for g in got} == wanted and len(got) == len(wanted) > 100
+
+
+@pytest.mark.parametrize("tile", [65_536, 9])
+def test_a_tree_of_one_round_has_its_predecessors(spark, tile):
+    random.seed(17)
+    edges = graph.graph_edges(matrix_of(spark, [[random.choice([0, 0.3, 0.6, 1]) for _ in range(7)] for _ in range(6)]), [0.2, 0.5], 2)
+    sources = spark.createDataFrame([(0, 3, c, s) for c in (0.2, 0.5) for s in range(0, 42, 4)], "image long, r int, c double, s long")
+    plain, told = (routes.shortest_tree(edges, sources, tile=tile, preds=p) for p in (False, True))
+    assert plain.columns == [*routes.NODE, "dist"] and ("pred" in told.columns) == (tile > 42)
+    assert sorted(map(tuple, told.drop("pred").collect())) == sorted(map(tuple, plain.collect()))
+    found, wanted = (sorted(map(tuple, routes.predecessors(edges, tree).select(*routes.NODE, "pred").collect())) for tree in (told, plain))
+    assert found == wanted and len(found) > 300
+
+
+def test_sweeps_shuffle_no_distances_for_predecessors(spark, monkeypatch):
+    def none(edges, tree):
+        assert "pred" in tree.columns
+        return predecessors(edges, tree)
+
+    predecessors = routes.predecessors
+    monkeypatch.setattr(sweep, "predecessors", none)
+    pixels = spark.createDataFrame([(0, y, x, *[(y * 37 + x * 91) % 60] * 3) for y in range(12) for x in range(12)], "image long, y long, x long, r long, g long, b long")
+    points = spark.createDataFrame([(0, "reachable", n, 1 + 9 * n, 1) for n in range(2)], "image long, kind string, ord int, y long, x long")
+    found = sweep.run_sweep(pixels, None, points, ["tf_grayhist"], [2], [0.1], smooth=False, normalize=False).collect()
+    assert [r.path_found for r in found] == [True] and found[0].path_coordinates[0] == [1, 1] and found[0].path_coordinates[-1] == [11, 1]
